@@ -124,20 +124,29 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
         prior = -50.0 if share == 0 else 50.0
         return Model(np.zeros(1 << BITS), 0.0, 0.0, prior)
     rng = np.random.default_rng(SEED)
-    s = scan(pa.array(texts, pa.string()))
-    first, which = unique_words(s)
-    slot, word = features(s.data, s.start[first], s.end[first])
-    span = np.searchsorted(word, np.arange(len(first) + 1))
-    windows, owner = [], []
-    for r in range(s.rows):
-        lo, hi = s.bounds[r], s.bounds[r + 1]
-        starts = np.arange(lo, max(hi - WINDOW + 1, lo + (hi > lo)))
-        if len(starts) > MOST_WINDOWS * WINDOW:
-            starts = rng.choice(starts, MOST_WINDOWS * WINDOW, replace=False)
-        windows.append(starts)
-        owner.append(np.full(len(starts), r))
-    left, owner = np.concatenate(windows), np.concatenate(owner)
-    member = np.stack([which[np.minimum(left + k, s.bounds[1:][owner] - 1)] for k in range(WINDOW)], axis=1)
+    column = pa.array(texts, pa.string())
+    owner, member, known, lengths, slots = [], [], [], [], []
+    for low, high in slices(column, 1 << 18):  # what is held of a slice: hashes of chosen words, and their features
+        s = scan(column.slice(low, high - low))
+        for r in range(s.rows):
+            lo, hi = s.bounds[r], s.bounds[r + 1]
+            starts = np.arange(lo, max(hi - WINDOW + 1, lo + (hi > lo)))
+            if len(starts) > MOST_WINDOWS * WINDOW:
+                starts = rng.choice(starts, MOST_WINDOWS * WINDOW, replace=False)
+            owner.append(np.full(len(starts), low + r))
+            member.append(s.hash[np.stack([np.minimum(starts + k, hi - 1) for k in range(WINDOW)], axis=1)])
+        mine = np.isin(s.hash, np.concatenate(member[-s.rows :]).ravel())
+        own, first = np.unique(s.hash[mine], return_index=True)
+        first = np.flatnonzero(mine)[first]
+        slot, word = features(s.data, s.start[first], s.end[first])
+        known.append(own)
+        lengths.append(np.bincount(word, minlength=len(own)))
+        slots.append(slot.astype(np.int32))
+    length, slot = np.concatenate(lengths), np.concatenate(slots)
+    hashes, first = np.unique(np.concatenate(known), return_index=True)
+    begin_of, size_of = (np.cumsum(length) - length)[first], length[first]
+    owner = np.concatenate(owner)
+    member = np.searchsorted(hashes, np.concatenate(member)).astype(np.int32)
     keep_out = rng.random(len(y)) < 0.2  # for calibration
     table = rng.uniform(-1, 1, (1 << BITS, WIDTH)).astype(np.float32) / WIDTH
     soft, bias = np.zeros((WIDTH, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
@@ -149,9 +158,9 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
             m, t = member[chosen[part]], target[part]
             used, local = np.unique(m, return_inverse=True)
             local = local.reshape(m.shape)
-            n = span[used + 1] - span[used]
-            begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-            flat = slot[np.repeat(span[used] - begin, n) + np.arange(n.sum())]
+            n = size_of[used]
+            begin = np.cumsum(n) - n
+            flat = slot[np.repeat(begin_of[used] - begin, n) + np.arange(n.sum())]
             vector = np.add.reduceat(table[flat], begin, axis=0) / n[:, None].astype(np.float32)
             h = vector[local].mean(axis=1)
             z = h @ soft + bias
@@ -181,7 +190,7 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
         epoch(few, y[owner[few]], 0.2)
     for _ in range(3):
         weight, b = (m := model()).weight, m.bias
-        own = np.bincount(word, weights=weight[slot], minlength=len(first)) / np.bincount(word, minlength=len(first))
+        own = (np.add.reduceat(weight[slot], np.cumsum(length) - length) / length)[first]
         value = own[member].mean(axis=1) + b
         order = trained[np.lexsort((-value[trained], owner[trained]))]
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
@@ -192,9 +201,10 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
         for _ in range(2):
             epoch(chosen, y[owner[chosen]], 0.2, 1024)
     out = model()
-    high = out.highest(s)
-    fit = keep_out if len(np.unique(y[keep_out])) == 2 else np.ones(len(y), dtype=bool)
-    out.slope, out.offset = _logistic(high[fit], y[fit])
+    fit = np.flatnonzero(keep_out) if len(np.unique(y[keep_out])) == 2 else np.arange(len(y))
+    kept = column.take(pa.array(fit))
+    high = np.concatenate([out.highest(scan(kept.slice(a, b - a))) for a, b in slices(kept, 1 << 18)])
+    out.slope, out.offset = _logistic(high, y[fit])
     return out
 
 
