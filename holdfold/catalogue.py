@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import analytics, dialect, holdings, text  # noqa: F401
+
+QUERIES: dict = {name: dialect.run(name) for name in dialect.PLANS}
+ORACLE_SQL: dict = {name: dialect.oracle(name) for name in dialect.PLANS}
