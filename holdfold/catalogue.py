@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analytics, dialect, holdings, text  # noqa: F401
+from .plans import analytics, dialect, holdings, operators, text  # noqa: F401
 
-QUERIES: dict = {name: dialect.run(name) for name in dialect.PLANS}
-ORACLE_SQL: dict = {name: dialect.oracle(name) for name in dialect.PLANS}
+QUERIES: dict = {name: dialect.run(name) for name in dialect.PLANS} | operators.QUERIES
+ORACLE_SQL: dict = {name: dialect.oracle(name) for name in dialect.PLANS} | operators.ORACLE_SQL

@@ -1,0 +1,134 @@
+"""Inference statistics that need more than grouped sums; each works per group on a compact series."""
+
+from __future__ import annotations
+
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@F.pandas_udf(T.DoubleType())
+def inverse_normal(p: pd.Series) -> pd.Series:
+    """Quantiles of the standard normal distribution; null outside (0, 1)."""
+    inv = NormalDist().inv_cdf
+    return p.map(lambda x: inv(x) if x is not None and 0 < x < 1 else None).astype("float64")
+
+
+def newey_west(series: DataFrame, by: str, value: str, order: str, lags: int | None = None) -> DataFrame:
+    """(by, n, mean, t) with Bartlett weights; lags from the length where not given, null t under eight values."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(order)[value].dropna().to_numpy()
+        n = len(x)
+        if n < 8:
+            return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [n], "mean": [float(x.mean()) if n else None], "t": [None]})
+        count = int(4 * (n / 100) ** (2 / 9)) if lags is None else lags
+        u = x - x.mean()
+        v = u @ u + 2 * sum((1 - k / (count + 1)) * (u[k:] @ u[:-k]) for k in range(1, count + 1))
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [n], "mean": [x.mean()], "t": [x.mean() / np.sqrt(v) * n if v > 0 else None]})
+
+    kind = dict(series.dtypes)[by]
+    return series.select(by, value, order).groupBy(by).applyInPandas(one, f"{by} {kind}, n long, mean double, t double")
+
+
+def ols_hac(rows: DataFrame, by: str, y: str, xs: list[str], order: str, lags: int = 4) -> DataFrame:
+    """(by, name, beta, t): least squares with an intercept and Bartlett covariance per group."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order).dropna()
+        a, b = np.column_stack([np.ones(len(pdf)), pdf[xs].to_numpy(dtype=float)]), pdf[y].to_numpy(dtype=float)
+        inv = np.linalg.pinv(a.T @ a)
+        beta = inv @ a.T @ b
+        u = a * (b - a @ beta)[:, None]
+        s = u.T @ u
+        for k in range(1, min(lags, len(u) - 1) + 1):
+            g = u[k:].T @ u[:-k]
+            s += (1 - k / (lags + 1)) * (g + g.T)
+        se = np.sqrt(np.clip(np.diag(inv @ s @ inv), 0, None))
+        t = [bb / ss if ss > 0 else None for bb, ss in zip(beta, se, strict=True)]
+        return pd.DataFrame({by: pdf[by].iloc[0] if len(pdf) else None, "name": ["intercept", *xs], "beta": beta, "t": t})
+
+    kind = dict(rows.dtypes)[by]
+    return rows.select(by, y, *xs, order).groupBy(by).applyInPandas(one, f"{by} {kind}, name string, beta double, t double")
+
+
+def clustered_ols(rows: DataFrame, y: str, xs: list[str], cluster: str) -> DataFrame:
+    """(name, beta, t): pooled least squares, standard errors by cluster with the small-sample factor, from per-cluster moments."""
+    names = ["_one", *xs]
+    rows = rows.withColumn("_one", F.lit(1.0)).dropna(subset=[y, *xs])
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = rows.groupBy(cluster).agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"xx{i}") for i, (a, b) in enumerate(pairs)], *[F.sum(F.col(a) * F.col(y)).alias(f"xy{i}") for i, a in enumerate(names)])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, g = len(names), len(pdf)
+        xx = np.zeros((g, k, k))
+        for i, (a, b) in enumerate(pairs):
+            p, q = names.index(a), names.index(b)
+            xx[:, p, q] = xx[:, q, p] = pdf[f"xx{i}"]
+        xy = pdf[[f"xy{i}" for i in range(k)]].to_numpy(dtype=float)
+        inv = np.linalg.pinv(xx.sum(axis=0))
+        beta = inv @ xy.sum(axis=0)
+        scores = xy - xx @ beta
+        n = pdf["n"].sum()
+        cov = inv @ (scores.T @ scores) @ inv * (g / max(g - 1, 1)) * ((n - 1) / max(n - k, 1))
+        se = np.sqrt(np.clip(np.diag(cov), 0, None))
+        return pd.DataFrame({"name": ["intercept", *xs], "beta": beta, "t": [b / s if s > 0 else None for b, s in zip(beta, se, strict=True)]})
+
+    return sums.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "name string, beta double, t double")
+
+
+def block_bootstrap(series: DataFrame, by: str, value: str, order: str, block: int = 4, draws: int = 500, seed: int = 9) -> DataFrame:
+    """(by, mean, low, high, p5_sharpe) over circular blocks; the same blocks are drawn for every group."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(order)[value].dropna().to_numpy()
+        n = len(x)
+        if n < 2:
+            return pd.DataFrame({by: [pdf[by].iloc[0]], "mean": [None], "low": [None], "high": [None], "p5_sharpe": [None]}).astype({c: "float64" for c in ("mean", "low", "high", "p5_sharpe")})
+        rng = np.random.default_rng(seed)
+        start = rng.integers(0, n, (draws, -(-n // block)))
+        at = (start[:, :, None] + np.arange(block)).reshape(draws, -1)[:, :n] % n
+        drawn = x[at]
+        sd = drawn.std(axis=1, ddof=1)
+        sharpe = np.where(sd > 0, drawn.mean(axis=1) / np.where(sd > 0, sd, 1), 0)
+        low, high = np.percentile(drawn.mean(axis=1), [2.5, 97.5])
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "mean": [x.mean()], "low": [low], "high": [high], "p5_sharpe": [np.percentile(sharpe, 5)]})
+
+    kind = dict(series.dtypes)[by]
+    return series.select(by, value, order).groupBy(by).applyInPandas(one, f"{by} {kind}, mean double, low double, high double, p5_sharpe double")
+
+
+def permutation_test(rows: DataFrame, event: str, signal: str, outcome: str, draws: int = 200) -> DataFrame:
+    """(event, ic, p): rank correlation, and how often a shuffle of the outcomes within the event gives as large a one."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna()
+        a, b = pdf[signal].rank().to_numpy(), pdf[outcome].rank().to_numpy()
+        if len(a) < 3 or a.std() == 0 or b.std() == 0:
+            return pd.DataFrame({event: pdf[event].iloc[:1], "ic": [None][: len(pdf[:1])], "p": [None][: len(pdf[:1])]}).astype({"ic": "float64", "p": "float64"})
+        a, b = (a - a.mean()) / a.std(), (b - b.mean()) / b.std()
+        rng = np.random.default_rng(17)
+        ic = float((a * b).mean())
+        other = np.array([(a * rng.permutation(b)).mean() for _ in range(draws)])
+        return pd.DataFrame({event: [pdf[event].iloc[0]], "ic": [ic], "p": [(1 + (np.abs(other) >= abs(ic)).sum()) / (draws + 1)]})
+
+    kind = dict(rows.dtypes)[event]
+    return rows.select(event, signal, outcome).groupBy(event).applyInPandas(one, f"{event} {kind}, ic double, p double")
+
+
+def deflated_sharpe(stats: DataFrame, trials: int) -> DataFrame:
+    """``stats`` (sharpe per period, n, skew, kurtosis in excess) with psr and dsr against the best of ``trials``."""
+    norm = NormalDist()
+    best = (1 - np.euler_gamma) * norm.inv_cdf(1 - 1 / trials) + np.euler_gamma * norm.inv_cdf(1 - 1 / (trials * np.e))
+
+    @F.pandas_udf(T.DoubleType())
+    def cdf(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if pd.isna(v) else norm.cdf(v)).astype("float64")
+
+    spread = F.sqrt(1 - F.col("skew") * F.col("sharpe") + (F.col("kurtosis") + 2) / 4 * F.col("sharpe") ** 2)
+    scaled = lambda against: (F.col("sharpe") - against) * F.sqrt(F.col("n") - 1) / spread
+    return stats.withColumns({"psr": cdf(scaled(F.lit(0.0))), "dsr": cdf(scaled(F.lit(float(best)) / F.sqrt(F.col("n") - 1)))})
