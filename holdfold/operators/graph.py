@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _checkpoints(spark: SparkSession) -> None:
+    """Sets the checkpoint folder from the session's setting; only where that is unset, a temporary one."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/holdfold-checkpoints")
+
+
 def groups(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, group): each node's smallest connected node.
 
     Labels fall to the smallest of the neighbours', then jump to their label's label.
     Lineage is cut with checkpoint(); set a checkpoint folder that all executors share.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(root or "file:///tmp/holdfold-checkpoints")
+    _checkpoints(edges.sparkSession)
     both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct().checkpoint()
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("group", F.col("node")).checkpoint()
     for _ in range(rounds):
@@ -30,20 +33,21 @@ def groups(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return labels
 
 
-def centrality(weights: DataFrame, rounds: int = 20) -> DataFrame:
+def centrality(weights: DataFrame, rounds: int = 12) -> DataFrame:
     """(row, centrality) of the overlap matrix XX' without its diagonal, by power iteration.
 
     ``weights`` has row, item and w.  Each step is two aggregations of the sparse triples:
     t = X'v, then v = Xt - own * v; the matrix of pairs is never formed.
     """
-    own = weights.groupBy("row").agg(F.sum(F.col("w") * F.col("w")).alias("own"))
+    _checkpoints(weights.sparkSession)
+    weights = weights.checkpoint()
+    own = weights.groupBy("row").agg(F.sum(F.col("w") * F.col("w")).alias("own")).checkpoint()
     v = own.select("row", F.lit(1.0).alias("v"))
-    for k in range(rounds):
+    for _ in range(rounds):
         t = weights.join(v, "row").groupBy("item").agg(F.sum(F.col("w") * F.col("v")).alias("t"))
         u = weights.join(t, "item").groupBy("row").agg(F.sum(F.col("w") * F.col("t")).alias("u"))
         new = u.join(v, "row").join(own, "row").select("row", (F.col("u") - F.col("own") * F.col("v")).alias("v"))
-        norm = new.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-        v = new.crossJoin(F.broadcast(norm)).select("row", (F.col("v") / F.col("norm")).alias("v"))
-        if k % 5 == 4:
-            v = v.checkpoint() if v.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else v
+        new = new.checkpoint()
+        norm = new.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0] or 1.0
+        v = new.select("row", (F.col("v") / norm).alias("v"))
     return v.withColumnRenamed("v", "centrality")

@@ -143,7 +143,7 @@ mret AS (SELECT *, price / lag(price) OVER (PARTITION BY instrument ORDER BY mon
 
 @plan
 def monthly_returns(d: Spark) -> str:
-    return f"WITH {MONTHLY} SELECT instrument, month, round(price, 5) AS price, round(ret, 6) AS ret FROM mret"
+    return f"WITH {MONTHLY} SELECT instrument, month, i, round(ret, 6) AS ret FROM mret"
 
 
 @plan

@@ -79,11 +79,11 @@ def crosssection_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(oracle("SELECT q, filer_id, instrument, round(w - (avg(w) OVER p + regr_slope(w, ln(book)) OVER p * (ln(book) - avg(ln(book)) OVER p)), 5) AS residual FROM numbered WINDOW p AS (PARTITION BY q)"))
+@query(oracle("SELECT q, filer_id, instrument, round(w - (avg(w) OVER p + regr_slope(w, ln(book)) OVER p * (ln(book) - avg(ln(book)) OVER p)), 5) + 0e0 AS residual FROM numbered WINDOW p AS (PARTITION BY q)"))
 def weight_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position weight less its line on the log book within the quarter."""
     rows = relation(spark, sf_dir, "SELECT q, filer_id, instrument, w, ln(book) AS size FROM numbered")
-    return crosssection.residual(rows, "w", "size", ["q"]).select("q", "filer_id", "instrument", F.round("residual", 5).alias("residual"))
+    return crosssection.residual(rows, "w", "size", ["q"]).select("q", "filer_id", "instrument", (F.round("residual", 5) + F.lit(0.0)).alias("residual"))
 
 
 @query(
@@ -233,7 +233,7 @@ def parsed_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings.information_table(tables).select("accession", "issuer", "cusip", "value", "shares")
 
 
-ORACLE_SQL["parsed_submissions"] = oracle("SELECT accession, instrument AS issuer, '037833100' AS cusip, CAST(round_even(value, 0) AS DOUBLE) AS value, CAST(round_even(shares, 0) AS DOUBLE) AS shares FROM holdings")
+ORACLE_SQL["parsed_submissions"] = oracle("SELECT accession, instrument AS issuer, '037833100' AS cusip, CAST(round(value) AS DOUBLE) AS value, CAST(round(shares) AS DOUBLE) AS shares FROM holdings")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
