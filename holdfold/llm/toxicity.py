@@ -35,7 +35,7 @@ from .textscan import U64, Scan, _powers_to, by_row, mix, scan, slices
 
 BITS, WIDTH, WINDOW = 17, 8, 3
 SIZES = (3, 4, 5)
-MOST_DOCUMENTS, MOST_WINDOWS = 3000, 256
+MOST_DOCUMENTS, MOST_WINDOWS = 2000, 256
 SEED = 7
 
 
@@ -126,6 +126,7 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
     rng = np.random.default_rng(SEED)
     column = pa.array(texts, pa.string())
     owner, member, known, lengths, slots = [], [], [], [], []
+    seen = np.zeros(0, dtype=U64)
     for low, high in slices(column, 1 << 18):  # what is held of a slice: hashes of chosen words, and their features
         s = scan(column.slice(low, high - low))
         for r in range(s.rows):
@@ -137,14 +138,25 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
             member.append(s.hash[np.stack([np.minimum(starts + k, hi - 1) for k in range(WINDOW)], axis=1)])
         mine = np.isin(s.hash, np.concatenate(member[-s.rows :]).ravel())
         own, first = np.unique(s.hash[mine], return_index=True)
-        first = np.flatnonzero(mine)[first]
+        new = ~np.isin(own, seen, assume_unique=True)
+        own, first = own[new], np.flatnonzero(mine)[first[new]]
+        seen = np.union1d(seen, own)
         slot, word = features(s.data, s.start[first], s.end[first])
         known.append(own)
         lengths.append(np.bincount(word, minlength=len(own)))
         slots.append(slot.astype(np.int32))
     length, slot = np.concatenate(lengths), np.concatenate(slots)
-    hashes, first = np.unique(np.concatenate(known), return_index=True)
-    begin_of, size_of = (np.cumsum(length) - length)[first], length[first]
+    del lengths, slots, s
+    order = np.argsort(np.concatenate(known))
+    hashes = np.concatenate(known)[order]
+    begin, edge = np.cumsum(length) - length, np.linspace(0, len(length), 33).astype(np.int64)
+    begin_of, size_of = begin[order], length[order]
+
+    def parts_of(weight: np.ndarray) -> np.ndarray:
+        """Each known word's part in the logit, some words at a time."""
+        out = [np.add.reduceat(weight[slot[begin[a] : begin[b - 1] + length[b - 1]]], begin[a:b] - begin[a]) for a, b in zip(edge, edge[1:], strict=False) if a < b]
+        return (np.concatenate(out) / length)[order]
+
     owner = np.concatenate(owner)
     member = np.searchsorted(hashes, np.concatenate(member)).astype(np.int32)
     keep_out = rng.random(len(y)) < 0.2  # for calibration
@@ -190,8 +202,8 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
         epoch(few, y[owner[few]], 0.2)
     for _ in range(3):
         weight, b = (m := model()).weight, m.bias
-        own = (np.add.reduceat(weight[slot], np.cumsum(length) - length) / length)[first]
-        value = own[member].mean(axis=1) + b
+        own = parts_of(weight)
+        value = sum(own[member[:, k]] for k in range(WINDOW)) / WINDOW + b
         order = trained[np.lexsort((-value[trained], owner[trained]))]
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         hard = order[rank < np.where(y[owner[order]] == 1, 2, 6)]
