@@ -147,15 +147,15 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
         slots.append(slot.astype(np.int32))
     length, slot = np.concatenate(lengths), np.concatenate(slots)
     del lengths, slots, s
-    order = np.argsort(np.concatenate(known))
-    hashes = np.concatenate(known)[order]
+    by_hash = np.argsort(np.concatenate(known))
+    hashes = np.concatenate(known)[by_hash]
     begin, edge = np.cumsum(length) - length, np.linspace(0, len(length), 33).astype(np.int64)
-    begin_of, size_of = begin[order], length[order]
+    begin_of, size_of = begin[by_hash], length[by_hash]
 
     def parts_of(weight: np.ndarray) -> np.ndarray:
         """Each known word's part in the logit, some words at a time."""
         out = [np.add.reduceat(weight[slot[begin[a] : begin[b - 1] + length[b - 1]]], begin[a:b] - begin[a]) for a, b in zip(edge, edge[1:], strict=False) if a < b]
-        return (np.concatenate(out) / length)[order]
+        return (np.concatenate(out) / length)[by_hash]
 
     owner = np.concatenate(owner)
     member = np.searchsorted(hashes, np.concatenate(member)).astype(np.int32)
