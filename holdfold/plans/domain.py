@@ -19,6 +19,8 @@ import re
 from .dialect import Spark
 
 LAG, FILERS = 60, 100
+#: Number of a period, 1 for the last quarter of 1994: arithmetic, so that no window over all periods is needed.
+QUARTER = "CAST(year(period_end) * 4 + quarter(period_end) - 7979 AS BIGINT)"
 
 
 def relations(d: Spark) -> dict[str, str]:
@@ -36,8 +38,8 @@ def relations(d: Spark) -> dict[str, str]:
         "panel": """SELECT period_end, filer_id, instrument, sum(shares) AS shares, sum(value) AS value
   FROM folded JOIN holdings USING (accession) GROUP BY period_end, filer_id, instrument""",
         "books": "SELECT *, value / sum(value) OVER (PARTITION BY period_end, filer_id) AS w, sum(value) OVER (PARTITION BY period_end, filer_id) AS book FROM panel",
-        "quarters": "SELECT period_end, row_number() OVER (ORDER BY period_end) AS q FROM (SELECT DISTINCT period_end FROM panel) p",
-        "numbered": "SELECT b.*, q FROM books b JOIN quarters USING (period_end)",
+        "quarters": f"SELECT period_end, {QUARTER} AS q FROM (SELECT DISTINCT period_end FROM visible) p",
+        "numbered": f"SELECT *, {QUARTER} AS q FROM books",
         "trades": f"""SELECT p_brand AS instrument, CAST(l_shipdate AS DATE) AS day, sum(l_extendedprice) / sum(l_quantity) AS price, sum(l_quantity) AS volume, sum(l_extendedprice) AS dollars
   FROM {t("lineitem")} JOIN {t("part")} ON l_partkey = p_partkey GROUP BY p_brand, CAST(l_shipdate AS DATE)""",
         "prices": "SELECT *, price / lag(price) OVER (PARTITION BY instrument ORDER BY day) - 1 AS ret FROM trades",
