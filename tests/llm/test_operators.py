@@ -1,0 +1,320 @@
+"""Small fixtures with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; brute force where there is no SQL."""
+
+import hashlib
+import itertools
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from holdfold.llm import decontamination, embedding_dedup, jaccard_join, license_scan, lm_scoring, mixing, pii, toxicity, url_filters, warc
+from holdfold.llm.components import connected_components
+from holdfold.llm.elias_fano import EliasFano
+from holdfold.llm.queries import URL_RULES
+from holdfold.llm.scratch import Scratch
+from holdfold.llm.textscan import NONSPACE, scan, shingles
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOW = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOW))
+
+
+def docs_of(spark, texts, sources=None):
+    return spark.createDataFrame([(k, t, "en", sources[k] if sources else "s", None if t is None else len(t)) for k, t in enumerate(texts)], DOCS)
+
+
+def prose(seed, n, vocabulary=400):
+    rng = np.random.default_rng(seed)
+    return " ".join(f"w{x}" for x in rng.integers(0, vocabulary, n))
+
+
+def test_scan_matches_regex():
+    texts = ["Hello wörld, A-b 7", None, "", "Ünï çode", "x" * 5000, "a\x0bb c\x1cd", "ABC abc"]
+    s = scan(pa.array(texts))
+    assert [[s.word(i) for i in range(s.bounds[r], s.bounds[r + 1])] for r in range(len(texts))] == [words(t) for t in texts]
+    t = scan(pa.array(texts), NONSPACE)
+    spaced = [re.findall(r"[^\x20\x09-\x0D]+", (x or "").translate(LOW)) for x in texts]
+    assert [[t.word(i) for i in range(t.bounds[r], t.bounds[r + 1])] for r in range(len(texts))] == spaced
+    assert s.hash[s.bounds[6]] == s.hash[s.bounds[6] + 1]
+
+
+def test_components(spark):
+    edges = [(k + 1, k) for k in range(60)] + [(500, k) for k in range(501, 560)] + [(7, 7), (-5, 900), (None, 3)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), Scratch(spark, "t")).collect()}
+    assert got == {**{k: 0 for k in range(61)}, **{k: 500 for k in range(500, 560)}, -5: -5, 900: -5}
+    assert connected_components(spark.createDataFrame([], "src long, dst long"), Scratch(spark, "t")).count() == 0
+
+
+def test_url_filters(spark):
+    link = '<link href="{}" rel="canonical">'
+    rows = [
+        (1, "http://a.example.com/en/1", link.format("http://x.other.net/p")), (2, "https://www.a.example.com/en/1/?utm_source=f#top", None),
+        (3, "http://b.example.com/en/2", link.format("//c.example.net/en/q")), (4, "http://b.example.com/en/3", '<meta http-equiv="refresh" content="0; url=/en/2">'),
+        (5, "http://d.example.com/de/", link.format("http://c.example.net/en/q")), (6, None, "x"), (7, "no scheme", None), (8, "HTTP://EXAMPLE.NET", ""), (9, "http://e.org/fr/z", None), (9, "http://e.org/fr/z", None),
+    ]
+    pages = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, host string, verdict string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages, URL_RULES).collect()}
+    assert got[1] == ("a.example.com", "/en/1", None, "block") and got[2][2:] == (None, "block")
+    assert got[3][2:] == (None, "allow") and got[4][2:] == (None, "allow")
+    assert got[5][2:] == ("example.com/de/", "block") and got[6] == ("", "", None, "allow") and got[7] == ("", "", None, "allow")
+    assert got[8] == ("example.net", "", None, "allow") and got[9][2:] == ("org/fr/", "allow")
+    assert url_filters.judge(pages, URL_RULES).count() == 10 and url_filters.judge(pages.limit(0), URL_RULES).count() == 0
+    as_table = spark.createDataFrame([*URL_RULES], "host string, path string, action string")
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages, as_table).collect()} == got
+
+
+def test_warc(spark):
+    long = "é" * 200
+    rows = [(3, "u", long), (1, "u\r\nx: y", long), (2, None, "short"), (5, "u", "short"), (4, "u", None), (None, "u", long), (1, "u", long), (6, "u", prose(1, 60_000))]
+    df = spark.createDataFrame(rows, "record_id long, uri string, payload string")
+    got = Counter((r.record_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(df).collect())
+    want = Counter()
+    for i, _, p in rows:
+        b = (p or "").encode()
+        again = p == long and i != 1
+        want[i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", 1 if again else None] += 1
+    assert got == want
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_rejects_broken_archives():
+    body = b"hello world"
+    record = warc.record(1, "u", body, None, hashlib.sha256(body).hexdigest())
+    good = warc.dictionary_frame(b"") + warc._compressor(b"").compress(record) * 2
+    assert [r["payload"] for r in warc.decode_bytes(good)] == [body, body]
+    for bad in (good[8:], good[:-3], good + b"xx", good.replace(good[:4], b"\x50\x2a\x4d\x17", 1)):
+        with pytest.raises((warc.WarcError, Exception)):
+            warc.decode_bytes(bad)
+    for broken in (record.replace(b"hello", b"jello"), record.replace(b"Content-Length: 11", b"Content-Length: 12"), record[:-2], record.replace(b"WARC/1.1", b"WARC/9.9")):
+        with pytest.raises(warc.WarcError):
+            warc.parse_record(broken)
+
+
+def test_toxicity_finds_misspellings(spark):
+    bad = ["idiotic", "idiots", "idiota", "idioten"]
+    texts = [prose(k, 80) + (f" {bad[k // 2 % 3]} " if k % 2 else " ") + prose(1000 + k, 40) for k in range(200)]
+    model = toxicity.train(texts, [k % 2 for k in range(200)])
+    score = model.score(scan(pa.array([prose(9000, 90) + " idioten " + prose(9001, 50), prose(9002, 140), "", None, "!?"])))
+    assert score[0] > 0.5 > score[1:].max() and ((0 <= score) & (score <= 1)).all()
+    again = toxicity.train(texts, [k % 2 for k in range(200)])
+    assert (again.weight == model.weight).all()
+    docs = docs_of(spark, [*texts, None, ""]).withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(200)] + [(None, 1, 1), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.judge(docs, labels).collect()
+    assert len(got) == 202 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in got)
+    assert sum(r.predicted == r.doc_id % 2 for r in got if r.doc_id < 200 and r.held_out) >= 0.9 * sum(r.held_out and r.doc_id < 200 for r in got)
+    assert toxicity.judge(docs.limit(0), labels).count() == 0 and toxicity.judge(docs, labels.limit(0)).agg(F.max("score")).first()[0] < 1e-9
+
+
+def test_license_scan_against_brute_force(spark):
+    notice = license_scan.TEMPLATES[2][2]
+    texts = ["Released under the MIT License. Under the mit license", "Apache License, Version 2.0", "cc by nc cc BY-NC", "under the mit", None, "", notice, prose(1, 3000) + " CC BY NC " + prose(2, 3000), "GNU General Public License v3", "under the", "mit license"]
+    got = {r.doc_id: r for r in license_scan.judge(docs_of(spark, texts).withColumn("score", F.lit("clash"))).collect()}
+    for k, text in enumerate(texts):
+        w = words(text)
+        places, found = [], set()
+        for phrase, label in license_scan.BASE:
+            p = phrase.split()
+            at = [i for i in range(len(w)) if w[i : i + len(p)] == p]
+            places += at
+            found |= {label} if at else set()
+        r = got[k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(found)))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) or not found
+        assert 0 <= r.score <= 1
+    assert got[6].labels == "bsd" and got[8].labels == "gpl" and got[3].labels == ""
+    assert license_scan.judge(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def brute_jaccard(texts):
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({" ".join(w)} if w else set()))
+    near = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+    return near
+
+
+def test_jaccard_join_against_brute_force(spark, monkeypatch):
+    base = prose(5, 300).split()
+    texts = [" ".join(base), " ".join(base), None, "", "a b", "A b!", "...", prose(6, 40_000)]
+    rng = np.random.default_rng(1)
+    for k in range(60):
+        w = list(base)
+        for i in rng.integers(0, 300, k % 12):
+            w[i] = f"n{k}"
+        texts.append(" ".join(w))
+    near = brute_jaccard(texts)
+    for size in (1024, 8):  # 8: the group is cut into chunks
+        monkeypatch.setattr("holdfold.llm.blocks.deal.__defaults__", (size,))
+        rows = {r.doc_id: r for r in jaccard_join.classes(docs_of(spark, texts).withColumn("class", F.lit(0))).collect()}
+        degree = Counter(x for pair in near for x in pair)
+        assert [rows[k].n_links for k in range(len(texts))] == [degree[k] for k in range(len(texts))]
+        parent = list(range(len(texts)))
+        for _ in texts:
+            for i, j in near:
+                parent[i] = parent[j] = min(parent[i], parent[j])
+        assert [rows[k].component_id for k in range(len(texts))] == parent
+    kept = jaccard_join.representatives(docs_of(spark, texts).union(docs_of(spark, texts)))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(parent)) and kept.columns == docs_of(spark, texts).columns
+    assert jaccard_join.classes(docs_of(spark, texts).limit(0)).count() == 0
+
+
+def test_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d e f", 1), (None, "a b c d e f", 1), (None, "z", 1), (4, "a b c d e f", 1)], "doc_id long, text string, extra int")
+    rows = jaccard_join.classes(df).collect()
+    assert sorted(r.n_links for r in rows) == [0, 2, 2, 2] and sorted(r.doc_id is None for r in rows) == [False, True, True, True]
+    assert all(not r.held_out for r in lm_scoring.judge(df).where("doc_id is null").collect())
+
+
+def test_embedding_dedup(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 64))
+    for k in range(60):
+        a, b = v[k] / np.linalg.norm(v[k]), rng.normal(size=64)
+        b -= (b @ a) * a
+        c = rng.uniform(0.88, 1)
+        v[100 + k] = c * a + math.sqrt(1 - c * c) * b / np.linalg.norm(b)
+    v[200:230] = v[3]
+    rows = [(k, [float(x) for x in v[k]], 0) for k in range(300)] + [(900, None, 0), (901, [0.0] * 64, 0), (902, [float("nan")] * 64, 0), (903, [None] * 64, 0), (904, [1.0], 0), (None, [1.0] * 64, 0), (905, [], 0)]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    s = u @ u.T >= embedding_dedup.THRESHOLD
+    np.fill_diagonal(s, False)
+    found = sum(got[k].n_links for k in range(300))
+    assert all(got[k].n_links <= s[k].sum() for k in range(300)) and found >= 0.9 * s.sum()
+    assert all(got[k].n_links == 0 and got[k].component_id == k for k in (900, 901, 902, 903, 904, 905)) and got[None].kept is False and len(got) == 307
+    assert got[229].component_id == 3 and not got[229].kept and got[3].kept
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_decontamination(spark):
+    item = prose(77, 40, 100_000)
+    w = item.split()
+    swapped = " ".join("x" if k % 9 == 4 else x for k, x in enumerate(w))
+    texts = [prose(1, 200) + " " + item + " " + prose(2, 50), swapped, " ".join(w[:9]), " ".join(w[10:26]), prose(3, 3000), None, "", "one two three four five six", " ".join("y" if k % 2 else x for k, x in enumerate(w))]
+    bench = spark.createDataFrame([(0, item), (1, None), (2, ""), (3, "One two, three four five six!"), (0, item), (4, "a b")], "item_id long, text string")
+    docs = docs_of(spark, texts)
+    got = {(r.doc_id, r.item_id) for r in decontamination.overlaps(docs, bench).collect()}
+    assert got == {(0, 0), (1, 0), (3, 0), (7, 3)}
+    assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [2, 4, 5, 6, 8]
+    assert decontamination.overlaps(docs.limit(0), bench).count() == 0 and decontamination.overlaps(docs, bench.limit(0)).count() == 0
+
+
+def test_mixing(spark):
+    rng = np.random.default_rng(8)
+    texts = [None if k == 5 else prose(k, int(rng.integers(1, 200))) for k in range(600)]
+    sources = [["b", "a", None, "c", "ä"][k % 5] if k % 3 else "hot" for k in range(600)]
+    docs = docs_of(spark, texts, sources)
+    docs = docs.union(docs.where("doc_id < 3")).withColumn("size", F.lit("clash"))
+    out = mixing.mixed(docs.drop("size")).collect()
+    size = Counter()
+    for r in out:
+        size[r.source] += r.size
+    order = sorted((s for s in size if s is not None), key=lambda s: s) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, open_ = {}, set(size)
+    left = float(sum(size.values()))
+    while True:
+        rate = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if rate * weight[s] > 3 * size[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            left -= target[s]
+            open_.remove(s)
+    target |= {s: rate * weight[s] for s in open_}
+    taken = Counter()
+    for r in out:
+        taken[r.source] += r.taken
+        assert abs(r.target - target[r.source]) < 1e-6 * max(1, target[r.source]) and r.source_size == size[r.source] and r.taken <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= max(0.05 * target[s], 10) for s in size)
+    again = mixing.mixed(docs.drop("size")).collect()
+    assert Counter((r.doc_id, r.taken) for r in out) == Counter((r.doc_id, r.taken) for r in again)
+    assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.mixed(docs_of(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0
+    assert mixing.sample(docs.drop("size")).agg(F.count("*")).first()[0] == sum(r.copies for r in out)
+
+
+def brute_spans(t):
+    digits = lambda s: re.sub(r"[^0-9]", "", s)
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+
+
+def test_pii(spark):
+    rng = np.random.default_rng(6)
+    alphabet = list("1245 .-+@ab()%x9é")
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 70))) for _ in range(4000)] + ["4111 1111 1111 1111", "9" * 200_000, "a" * 200_000, "call (212) 555-0187 now", "my ssn 123-45-6789 is", "order 20240115 and 12345678 units"]
+    for t in texts[:-4] + texts[-3:]:
+        if len(t) < 1000:
+            assert pii.base_spans(t) == brute_spans(t), t
+    model = pii.trained()
+    assert [s[0] for s in pii.find(texts[-3], model)[1]] == ["phone_local"] and [s[0] for s in pii.find(texts[-2], model)[1]] == ["national_id"] and pii.find(texts[-1], model) == ([], [])
+    assert pii.redact("write a.b@c.de or +1 (988) 555-2485.", model) == "write <EMAIL> or <PHONE>." and pii.redact("clean", model) == "clean" and pii.redact(None, model) is None
+    docs = docs_of(spark, ["x a@b.co 10.0.0.1", None, ""])
+    got = {r.doc_id: r for r in pii.judge(docs).collect()}
+    assert got[0].spans == "email:2:8,ip:9:17" and got[0].base_sha256 == hashlib.sha256(b"email:2:8,ip:9:17").hexdigest() and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert [(r.text, r.n_chars) for r in pii.redacted(docs).orderBy("doc_id").collect()] == [("x <EMAIL> <IP>", 14), (None, None), ("", 0)]
+    assert pii.judge(docs.limit(0)).count() == 0
+
+
+def test_elias_fano_round_trip():
+    rng = np.random.default_rng(0)
+    for high, n in ((1 << 63, 700), (50, 900), (3000, 100), (1 << 44, 1)):
+        v = np.sort(rng.integers(0, high, n, dtype=np.uint64))
+        e = EliasFano.build(v)
+        assert (e.get(np.arange(n)) == v).all()
+        q = np.concatenate([v, rng.integers(0, high, 500, dtype=np.uint64)])
+        f = e.find(q)
+        assert ((f >= 0) == np.isin(q, v)).all() and (v[f[f >= 0]] == q[f >= 0]).all()
+
+
+def test_lm_scoring_against_brute_force(spark):
+    texts = [prose(k, 40 + k % 7, 60) for k in range(120)] + [None, "", "A a", "Zzz new"]
+    docs = docs_of(spark, texts).withColumn("score", F.lit("clash"))
+    token = {k: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) + [None] for k, t in enumerate(texts)}
+    train = [k for k in token if zlib.crc32(str(k).encode()) % 7 != 2]
+    count, pairs = Counter(), Counter()
+    for k in train:
+        count.update(token[k])
+        pairs.update(zip(["<s>", *token[k][:-1]], token[k], strict=True))
+    n, v = sum(count.values()), len(count)
+    context, follow = Counter(), Counter()
+    for (c, _), x in pairs.items():
+        context[c] += x
+        follow[c] += 1
+    model = lm_scoring.build(docs.where(lm_scoring.fold(F.col("doc_id")) != 2).select("text"), shards=1)
+    n1, n2 = sum(x == 1 for x in pairs.values()), sum(x == 2 for x in pairs.values())
+    discount = n1 / (n1 + 2 * n2)
+    assert (model.n, model.v) == (n, v)
+    for r in lm_scoring.judge(docs).collect():
+        t = token[r.doc_id]
+        base = [(count[w] + 1) / (n + v + 1) for w in t]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(count[w] > 0 for w in t), n, r.doc_id not in train)
+        assert abs(r.base_score - sum(map(math.log10, base))) < 1e-9 * max(1, abs(r.base_score))
+    got = lm_scoring.score_documents(docs, model).collect()
+    for r in got:
+        t, total = token[r.doc_id], 0.0
+        for c, w in zip(["<s>", *t[:-1]], t, strict=True):
+            u = (count[w] + 1) / (n + v + 1)
+            total += math.log10(max(pairs[c, w] - discount, 0) / context[c] + discount * follow[c] / context[c] * u if context[c] else u)
+        assert abs(r.score - total) <= 0.03 * len(t)  # 8-bit steps
+    assert lm_scoring.judge(docs.limit(0)).count() == 0
+
+
+def test_shingle_sets():
+    value, bounds = shingles(scan(pa.array(["a b c d e f", "a b", "b a", "", "a b c d e a b c d e"])))
+    assert np.diff(bounds).tolist() == [2, 1, 1, 0, 6 - 1]
+    assert len(set(value[bounds[1] : bounds[3]].tolist())) == 2
