@@ -34,7 +34,7 @@ from .components import connected_components
 from .scratch import Scratch
 
 THRESHOLD, SAMPLE, ROUNDS = 0.9, 8192, 40
-BITS, TABLES, RADIUS = 64, 4, 20
+BITS, TABLES, RADIUS = 64, 4, 16
 SUB = BITS // TABLES
 
 
