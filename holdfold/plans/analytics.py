@@ -265,7 +265,7 @@ def portfolio_weights(d: Spark) -> str:
 a AS (SELECT q, instrument, r - avg(r) OVER (PARTITION BY q) AS x FROM r),
 b AS (SELECT q, instrument, least(greatest(x / nullif(sum(abs(x)) OVER (PARTITION BY q), 0), -0.06e0), 0.06e0) AS x FROM a),
 c AS (SELECT q, instrument, x - avg(x) OVER (PARTITION BY q) AS x FROM b)
-SELECT q, instrument, round(x / nullif(sum(abs(x)) OVER (PARTITION BY q), 0), 6) AS weight FROM c"""
+SELECT q, instrument, round(x / nullif(sum(abs(x)) OVER (PARTITION BY q), 0), 6) + 0e0 AS weight FROM c"""
 
 
 LEGS = """lim AS (SELECT q, {hi} AS hi, {lo} AS lo, count(*) AS n FROM panel_ WHERE s IS NOT NULL GROUP BY q),
