@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import shared_folder
+
 
 def _checkpoints(spark: SparkSession) -> None:
-    """Sets the checkpoint folder from the session's setting; only where that is unset, a temporary one."""
+    """Sets the checkpoint folder where the session has none yet."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/holdfold-checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def groups(edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar, identifiers
-from ..operators import asof, crosssection, graph, inference, latent, sequential
+from ..operators import asof, crosssection, graph, inference, latent, sequential, storage
 from ..sources import filings
 from ..streaming import events as streams
 from . import analytics, dialect, domain
@@ -42,8 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/holdfold-shared"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{storage.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(oracle("SELECT p.instrument, p.day, round(m.cap, 2) AS cap, m.period_end FROM prices p ASOF LEFT JOIN market m ON p.instrument = m.instrument AND p.day > m.period_end"))
