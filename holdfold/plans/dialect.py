@@ -52,6 +52,9 @@ class Spark:
     def json(self, x: str, key: str) -> str:
         return f"get_json_object({x}, '$.{key}')"
 
+    def numbers(self, n: int) -> str:
+        return f"(SELECT id AS i FROM range({n}))"
+
     def instant(self, x: str) -> str:
         return f"cast({x} AS timestamp_ntz)"
 
@@ -96,6 +99,9 @@ class DuckDB(Spark):
     def json(self, x: str, key: str) -> str:
         return f"json_extract_string({x}, '$.{key}')"
 
+    def numbers(self, n: int) -> str:
+        return f"(SELECT range AS i FROM range({n}))"
+
     def instant(self, x: str) -> str:
         return f"CAST({x} AS TIMESTAMP)"
 
