@@ -116,3 +116,113 @@ def ridge_walk_forward(rows: DataFrame, period: str, key: str, xs: list[str], y:
     columns = [c for c in sums.columns if c != period]
     beta = sums.select(period, solve(F.struct(*columns)).alias("_beta"))
     return data.join(beta, period).withColumn("forecast", sum(F.col(c) * F.col("_beta")[i] for i, c in enumerate(names))).drop("_beta", "_one")
+
+
+def ica(rows: DataFrame, row: str, item: str, value: str, k: int = 4, steps: int = 500, seed: int = 1) -> DataFrame:
+    """(row, component, source, kurtosis, ar1, kind): independent components of the rows' k leading principal scores.
+
+    Scores are summed by Spark; one task holds a row of k numbers per period.  The two
+    sources of highest kurtosis are ``forced``, of the rest the two of most persistence
+    ``informed``.  Signs make each source's skewness positive.
+    """
+    loadings = pca(rows, row, item, value, k).select(item, "component", "loading")
+    mean = rows.groupBy(item).agg(F.avg(value).alias("_m"))
+    scores = rows.join(mean, item).join(loadings, item).groupBy(row, "component").agg(F.sum((F.col(value) - F.col("_m")) * F.col("loading")).alias("score"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.pivot(index=row, columns="component", values="score").fillna(0.0).sort_index()
+        z = x.to_numpy() - x.to_numpy().mean(axis=0)
+        values, vectors = np.linalg.eigh(z.T @ z / len(z))
+        keep = values > max(values.max(), 0.0) * 1e-10
+        z = z @ vectors[:, keep] / np.sqrt(values[keep])
+        m = z.shape[1]
+        u, _, v = np.linalg.svd(np.random.default_rng(seed).normal(size=(m, m)))
+        w = u @ v
+        for _ in range(steps):
+            g = np.tanh(z @ w.T)
+            u, _, v = np.linalg.svd(g.T @ z / len(z) - np.diag((1 - g * g).mean(axis=0)) @ w)
+            new = u @ v
+            done = np.abs(np.abs((new * w).sum(axis=1)) - 1).max(initial=0.0) < 1e-10
+            w = new
+            if done:
+                break
+        s = z @ w.T
+        s = s * np.where((s**3).mean(axis=0) < 0, -1.0, 1.0)
+        kurtosis, ar1 = (s**4).mean(axis=0) - 3, (s[1:] * s[:-1]).mean(axis=0)
+        order = np.argsort(-kurtosis)
+        informed = sorted(order[2:], key=lambda c: -abs(ar1[c]))[:2]
+        kind = {c: "forced" if c in order[:2] else "informed" if c in informed else "other" for c in range(m)}
+        return pd.DataFrame([(t, j, float(s[i, c]), float(kurtosis[c]), float(ar1[c]), kind[c]) for j, c in enumerate(order) for i, t in enumerate(x.index)], columns=[row, "component", "source", "kurtosis", "ar1", "kind"])
+
+    kind_ = dict(rows.dtypes)[row]
+    return scores.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(solve, f"{row} {kind_}, component int, source double, kurtosis double, ar1 double, kind string")
+
+
+def gls_weights(rows: DataFrame, row: str, item: str, value: str, shrink: float = 0.25) -> DataFrame:
+    """(row, weight): C⁻¹1 for the rows' cosines C, shrunk to the identity by ``shrink``.
+
+    With unit rows U, C = UU', so the inverse needs only the items' Gram matrix U'U, solved in
+    one task; rows, however many, stay distributed.  Rows of zeros have no weight.
+    """
+    norm = rows.groupBy(row).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_n")).where("_n > 0")
+    unit = rows.join(norm, row).select(row, item, (F.col(value) / F.col("_n")).alias("u")).where("u <> 0")
+    pairs = unit.alias("a").join(unit.alias("b"), F.col(f"a.{row}") == F.col(f"b.{row}")).groupBy(F.col(f"a.{item}").alias("i"), F.col(f"b.{item}").alias("j")).agg(F.sum(F.col("a.u") * F.col("b.u")).alias("c"), F.sum(F.when(F.col(f"a.{item}") == F.col(f"b.{item}"), F.col("a.u"))).alias("s"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = pdf.pivot(index="i", columns="j", values="c").fillna(0.0).sort_index()
+        c = c[c.index]
+        s = pdf[pdf["i"] == pdf["j"]].set_index("i")["s"].reindex(c.index).to_numpy(dtype=float)
+        return pd.DataFrame({item: c.index, "_x": np.linalg.solve(c.to_numpy() + shrink / (1 - shrink) * np.eye(len(c)), s)})
+
+    x = pairs.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(solve, f"{item} {dict(rows.dtypes)[item]}, _x double")
+    return unit.join(x, item).groupBy(row).agg(((1 - F.sum(F.col("u") * F.col("_x"))) / shrink).alias("weight"))
+
+
+def tree_walk_forward(rows: DataFrame, period: str, xs: list[str], y: str, refit: int = 8, seed: int = 1) -> DataFrame:
+    """``rows`` with forecasts of a forest and of boosted trees, fitted on strictly earlier periods, and their mean rank.
+
+    The driver loops over blocks of ``refit`` periods, never over rows.  Rows before the
+    first block and rows with a null regressor are left out.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    from .crosssection import pct_rank
+
+    data = VectorAssembler(inputCols=xs, outputCol="_x").transform(rows.dropna(subset=xs))
+    first, last = data.agg(F.min(period), F.max(period)).first()
+    models = {"forest": RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=20, maxDepth=4, seed=seed), "boosted": GBTRegressor(featuresCol="_x", labelCol=y, maxIter=10, maxDepth=3, seed=seed)}
+    out = None
+    for start in [] if first is None else range(first + refit, last + 1, refit):
+        past = data.where((F.col(period) < start) & F.col(y).isNotNull())
+        block = data.where(F.col(period).between(start, start + refit - 1))
+        for name, model in models.items():
+            block = model.setPredictionCol(name).fit(past).transform(block)
+        out = block if out is None else out.unionByName(block)
+    if out is None:
+        return rows.limit(0).select("*", *[F.lit(None).cast("double").alias(c) for c in (*models, "ensemble")])
+    return out.drop("_x").withColumn("ensemble", (pct_rank(F.col("forest"), [period]) + pct_rank(F.col("boosted"), [period])) / 2)
+
+
+def correlation_groups(rows: DataFrame, row: str, item: str, value: str, threshold: float = 0.5) -> DataFrame:
+    """(item, group, weight): items joined greedily while their mean correlation is ``threshold`` or more; within a group weights follow positive Sharpe ratios.
+
+    Correlations and Sharpe ratios come from Spark; one task holds a number per pair of items.
+    """
+    x = rows.where(F.col(value).isNotNull()).select(row, item, F.col(value).alias("x"))
+    corr = x.alias("a").join(x.alias("b"), F.col(f"a.{row}") == F.col(f"b.{row}")).groupBy(F.col(f"a.{item}").alias("i"), F.col(f"b.{item}").alias("j")).agg(F.corr("a.x", "b.x").alias("c"))
+    sharpe = x.groupBy(F.col(item).alias("i")).agg(F.try_divide(F.avg("x"), F.stddev_samp("x")).alias("s"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = pdf.pivot(index="i", columns="j", values="c").fillna(0.0).sort_index()
+        c = c[c.index]
+        m, s = c.to_numpy(), pdf.groupby("i")["s"].first().reindex(c.index).fillna(0.0).clip(lower=0).to_numpy()
+        groups = [[k] for k in range(len(m))]
+        while len(groups) > 1:
+            mean, a, b = max((m[np.ix_(g, h)].mean(), -i, -j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
+            if mean < threshold:
+                break
+            groups[-a] += groups.pop(-b)
+        return pd.DataFrame([(c.index[k], n, float(s[k] / s[g].sum()) if s[g].sum() > 0 else 1.0 / len(g)) for n, g in enumerate(groups) for k in g], columns=[item, "group", "weight"])
+
+    return corr.join(sharpe, "i").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(solve, f"{item} {dict(rows.dtypes)[item]}, `group` int, weight double")

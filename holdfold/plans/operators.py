@@ -199,6 +199,52 @@ def ridge_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent.ridge_walk_forward(_signals(spark, sf_dir), "q", "instrument", ["s", "cap", "adv", "vol"], "fwd").select("q", "instrument", F.round("forecast", 6).alias("forecast"), "fwd")
 
 
+@query()
+def independent_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Independent components of names' net buying, forced and informed ones told apart."""
+    rows = relation(spark, sf_dir, "SELECT q, instrument, sum(value - value_before) / nullif(sum(value_before), 0) AS flow FROM moves GROUP BY q, instrument").where("flow is not null")
+    lo, hi = (F.expr(f"percentile(flow, {p}) over (partition by q)") for p in (0.05, 0.95))
+    rows = rows.select("q", "instrument", F.least(F.greatest("flow", lo), hi).alias("flow"))
+    return latent.ica(rows, "q", "instrument", "flow")
+
+
+@query()
+def trade_breadth_gls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filers' weights by how little their trades of eight quarters repeat others', and breadth of one quarter under them."""
+    signs = relation(spark, sf_dir, "SELECT q, filer_id, instrument, concat(q, '|', instrument) AS item, sign(shares - shares_before) AS s FROM moves WHERE q BETWEEN 9 AND 16")
+    weights = latent.gls_weights(signs, "filer_id", "item", "s")
+    now = signs.where("q = 16").join(weights, "filer_id")
+    return now.groupBy("instrument").agg(F.round(F.sum(F.col("weight") * F.col("s")), 6).alias("cab"), F.round(F.try_divide(F.sum(F.col("weight") * F.col("s")), F.sum(F.abs("weight"))), 6).alias("cab_scaled"))
+
+
+@query()
+def tree_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk-forward forecasts of the next return by a forest and boosted trees, and their mean rank."""
+    return latent.tree_walk_forward(_signals(spark, sf_dir), "q", ["s", "cap", "adv", "vol"], "fwd").select("q", "instrument", "forest", "boosted", "ensemble", "fwd")
+
+
+@query()
+def correlated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names grouped by the correlation of monthly returns, with weights by Sharpe ratio."""
+    rows = relation(spark, sf_dir, f"WITH {analytics.MONTHLY} SELECT month, instrument, ret FROM mret WHERE ret IS NOT NULL")
+    return latent.correlation_groups(rows, "month", "instrument", "ret", 0.1)
+
+
+@query(oracle("SELECT CASE kind WHEN 'ORIGINAL' THEN '13F-HR' ELSE '13F-HR/A' END AS form, 'FILER ' || filer_id AS company, cik, known AS filed, 'edgar/data/' || accession || '.txt' AS path FROM revisions"))
+def index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-width index lines written from the filings and read back, headings left out."""
+    lines = relation(spark, sf_dir, "SELECT format_string('%-12s%-40s%-12d%-12s%s', CASE kind WHEN 'ORIGINAL' THEN '13F-HR' ELSE '13F-HR/A' END, concat('FILER ', filer_id), cik, CAST(known AS STRING), concat('edgar/data/', accession, '.txt')) AS value FROM revisions")
+    heading = spark.createDataFrame([("Form Type   Company Name   CIK   Date Filed   File Name",), ("-" * 80,)], "value string")
+    return filings.index_lines(lines.unionByName(heading))
+
+
+@query(oracle("SELECT cik, CAST(accession AS VARCHAR) AS accession, CAST(known AS VARCHAR) AS filed FROM revisions"))
+def json_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filer's history as JSON of parallel arrays, turned to rows again."""
+    documents = relation(spark, sf_dir, "SELECT cik, to_json(named_struct('accession', l.accession, 'filed', l.filed)) AS doc FROM (SELECT cik, collect_list(named_struct('accession', CAST(accession AS STRING), 'filed', CAST(known AS STRING))) AS l FROM revisions GROUP BY cik) x")
+    return filings.json_columns(documents, "doc", ["accession", "filed"])
+
+
 @query()
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names against the other names of their brand and size: token overlap and matching blocks."""
@@ -255,7 +301,7 @@ SELECT filer_id, CAST(period_end AS VARCHAR) AS period, version, kind, round(sum
 def stream_fold_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books folded in order of arrival by a stateful stream, against the batch windows."""
     path = shared_path(spark, "fold")
-    rows = relation(spark, sf_dir, "SELECT r.filer_id, CAST(r.period_end AS STRING) AS period, row_number() OVER (ORDER BY r.known, r.accession) AS seq, r.kind, coalesce(v.value, 0) AS value FROM revisions r LEFT JOIN (SELECT accession, sum(value) AS value FROM holdings GROUP BY accession) v ON r.accession = v.accession")
+    rows = relation(spark, sf_dir, "SELECT r.filer_id, CAST(r.period_end AS STRING) AS period, row_number() OVER (PARTITION BY r.filer_id, r.period_end ORDER BY r.known, r.accession) AS seq, r.kind, coalesce(v.value, 0) AS value FROM revisions r LEFT JOIN (SELECT accession, sum(value) AS value FROM holdings GROUP BY accession) v ON r.accession = v.accession")
     rows = rows.select(F.col("filer_id").cast("long").alias("filer_id"), "period", F.col("seq").cast("long").alias("seq"), "kind", F.col("value").cast("double").alias("value"))
     rows.write.parquet(f"{path}/arrivals")
     source = spark.readStream.schema(rows.schema).parquet(f"{path}/arrivals")

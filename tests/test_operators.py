@@ -131,3 +131,47 @@ def test_pca_and_ridge(spark):
     out = latent.ridge_walk_forward(spark.createDataFrame(pdf), "p", "k", ["x"], "y", 1e-9).toPandas()
     later = out[out.p > 0]
     assert np.allclose(later["forecast"], 1 + 2 * later["x"], atol=1e-5) and out[out.p == 0]["forecast"].isna().all()
+
+
+def test_ica_separates_sources(spark):
+    rng = np.random.default_rng(4)
+    n = 300
+    s = np.stack([rng.laplace(size=n) ** 3, np.sign(np.sin(np.arange(n) / 7))], axis=1)
+    x = (s - s.mean(axis=0)) / s.std(axis=0) @ rng.normal(size=(2, 5))
+    df = spark.createDataFrame([(t, i, float(x[t, i])) for t in range(n) for i in range(5)], "t int, i int, x double")
+    out = latent.ica(df, "t", "i", "x", k=2).toPandas().pivot(index="t", columns="component", values="source").to_numpy()
+    c = np.abs(np.corrcoef(out.T, s.T)[:2, 2:])
+    assert c[0, 0] > 0.95 and c[1, 1] > 0.95
+
+
+def test_gls_weights_match_the_direct_inverse(spark):
+    rng = np.random.default_rng(5)
+    m = rng.integers(-1, 2, (12, 6)).astype(float)
+    m[0, 0] = 1.0
+    m[3] = 0.0
+    m[4] = m[5]
+    df = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(12) for j in range(6)], "r int, i int, x double")
+    got = {r.r: r.weight for r in latent.gls_weights(df, "r", "i", "x").collect()}
+    keep = [i for i in range(12) if np.abs(m[i]).sum() > 0]
+    u = m[keep] / np.linalg.norm(m[keep], axis=1, keepdims=True)
+    want = np.linalg.solve(0.75 * u @ u.T + 0.25 * np.eye(len(keep)), np.ones(len(keep)))
+    assert sorted(got) == keep and np.allclose([got[i] for i in keep], want)
+
+
+def test_correlation_groups(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(0.1, 1, 200), rng.normal(0.1, 1, 200)
+    cols = {"a1": a, "a2": a + rng.normal(0, 0.1, 200), "b1": b, "b2": b + rng.normal(0, 0.1, 200)}
+    df = spark.createDataFrame([(t, k, float(v[t])) for k, v in cols.items() for t in range(200)], "t int, i string, x double")
+    out = latent.correlation_groups(df, "t", "i", "x").toPandas().set_index("i")
+    assert out.loc["a1", "group"] == out.loc["a2", "group"] != out.loc["b1", "group"] == out.loc["b2", "group"]
+    assert np.allclose(out.groupby("group")["weight"].sum(), 1)
+
+
+def test_tree_forecasts_use_the_past_alone(spark):
+    rng = np.random.default_rng(7)
+    rows = [(q, i, float(x), float(np.sign(x)) if q < 6 else 9.0) for q in range(8) for i, x in enumerate(rng.normal(size=40))]
+    out = latent.tree_walk_forward(spark.createDataFrame(rows, "q int, i int, x double, y double"), "q", ["x"], "y", refit=6).toPandas()
+    assert set(out["q"]) == {6, 7} and out["forest"].abs().max() <= 1.0001
+    assert (np.sign(out["boosted"]) == np.sign(out["x"])).mean() > 0.9
+    assert latent.tree_walk_forward(spark.createDataFrame([], "q int, i int, x double, y double"), "q", ["x"], "y").count() == 0
