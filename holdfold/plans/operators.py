@@ -45,6 +45,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{storage.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, for operators that go over their input often."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @query(oracle("SELECT p.instrument, p.day, round(m.cap, 2) AS cap, m.period_end FROM prices p ASOF LEFT JOIN market m ON p.instrument = m.instrument AND p.day > m.period_end"))
 def asof_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every price with the latest quarter's reference strictly before it."""
@@ -205,7 +212,7 @@ def independent_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = relation(spark, sf_dir, "SELECT q, instrument, sum(value - value_before) / nullif(sum(value_before), 0) AS flow FROM moves GROUP BY q, instrument").where("flow is not null")
     lo, hi = (F.expr(f"percentile(flow, {p}) over (partition by q)") for p in (0.05, 0.95))
     rows = rows.select("q", "instrument", F.least(F.greatest("flow", lo), hi).alias("flow"))
-    return latent.ica(rows, "q", "instrument", "flow")
+    return latent.ica(stored(rows, "flows"), "q", "instrument", "flow")
 
 
 @query()
@@ -220,7 +227,7 @@ def trade_breadth_gls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tree_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walk-forward forecasts of the next return by a forest and boosted trees, and their mean rank."""
-    return latent.tree_walk_forward(_signals(spark, sf_dir), "q", ["s", "cap", "adv", "vol"], "fwd").select("q", "instrument", "forest", "boosted", "ensemble", "fwd")
+    return latent.tree_walk_forward(stored(_signals(spark, sf_dir), "signals"), "q", ["s", "cap", "adv", "vol"], "fwd").select("q", "instrument", "forest", "boosted", "ensemble", "fwd")
 
 
 @query()
