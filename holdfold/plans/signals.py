@@ -355,3 +355,30 @@ s3 AS (SELECT r.q, instrument, fwd, 'slopes' AS model, a * la + b * lb AS score
 k AS (SELECT *, {bins(d, "rn", "n", 3)} AS bin FROM (SELECT *, row_number() OVER (PARTITION BY q, model ORDER BY round(score, 9), instrument) AS rn, count(*) OVER (PARTITION BY q, model) AS n FROM s3) x),
 e AS (SELECT q, model, avg(CASE WHEN bin = 2 THEN fwd END) - avg(CASE WHEN bin = 0 THEN fwd END) AS e FROM k GROUP BY q, model)
 SELECT model, count(*) AS quarters, {r6("avg(e)")} AS spread, round(avg(e) / nullif(stddev_samp(e), 0) * 2, 5) + 0e0 AS sharpe FROM e GROUP BY model"""
+
+
+@plan
+def best_mapping(d: Spark) -> str:
+    """One identifier per name: that with the highest weighted evidence, the smallest of equals."""
+    t = d.table
+    return f"""WITH traded AS (SELECT l_partkey, count(*) AS n FROM {t("lineitem")} GROUP BY l_partkey),
+e AS (SELECT p_name, p_partkey, 4 * (CASE WHEN n >= 20 THEN 1 ELSE 0 END) + 2 * (CASE WHEN p_retailprice >= avg(p_retailprice) OVER (PARTITION BY p_name) THEN 1 ELSE 0 END) + (CASE WHEN p_size <= 25 THEN 1 ELSE 0 END) AS score FROM {t("part")} LEFT JOIN traded ON l_partkey = p_partkey),
+k AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY score DESC, p_partkey) AS rn, count(*) OVER (PARTITION BY p_name) AS candidates, sum(score) OVER (PARTITION BY p_name) AS total FROM e)
+SELECT p_name, p_partkey, score, candidates, round(score / nullif(CAST(total AS DOUBLE), 0), 6) AS confidence FROM k WHERE rn = 1"""
+
+
+@plan
+def dataset_windows(d: Spark) -> str:
+    """Publication windows: calendar quarters up to 2023, a stub of two months, then three months each from March 2024."""
+    start = f"CASE WHEN i <= 44 THEN {d.months("DATE '2013-01-01'", 'CAST(3 * i AS INT)')} ELSE {d.months("DATE '2024-03-01'", 'CAST(3 * (i - 45) AS INT)')} END"
+    return f"""WITH w AS (SELECT i, {start} AS first_day FROM {d.numbers(54)} n)
+SELECT CAST(first_day AS DATE) AS first_day, CAST({d.plus("lead(first_day) OVER (ORDER BY first_day)", -1)} AS DATE) AS last_day, i = 44 AS stub FROM w"""
+
+
+@plan
+def vulnerability(d: Spark) -> str:
+    """Consensus tilt of filers in a name over its spread, times the share of filers on the same side."""
+    return f"""WITH m AS (SELECT q, instrument, sum(value) / sum(sum(value)) OVER (PARTITION BY q) AS wm FROM numbered GROUP BY q, instrument),
+t AS (SELECT n.q, n.instrument, w - wm AS tilt FROM numbered n JOIN m ON m.q = n.q AND m.instrument = n.instrument),
+a AS (SELECT q, instrument, avg(tilt) AS position_, stddev_pop(tilt) AS spread, avg(CASE WHEN tilt > 0 THEN 1e0 ELSE 0e0 END) AS over_, count(*) AS filers FROM t GROUP BY q, instrument)
+SELECT q, instrument, filers, {r6("position_")} AS tilt, round(abs(position_) / greatest(spread, 0.05) * CASE WHEN position_ > 0 THEN over_ ELSE 1 - over_ END, 5) + 0e0 AS vulnerability FROM a"""
