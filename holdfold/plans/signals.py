@@ -91,7 +91,7 @@ def breadth_universes(d: Spark) -> str:
     """Breadth among all filers, those away from the market's weights, and the patient third."""
     return """WITH m AS (SELECT q, instrument, sum(value) / sum(sum(value)) OVER (PARTITION BY q) AS wm FROM numbered GROUP BY q, instrument),
 age AS (SELECT q, filer_id, instrument, w, row_number() OVER (PARTITION BY filer_id, instrument, island ORDER BY q) AS age FROM (SELECT *, q - row_number() OVER (PARTITION BY filer_id, instrument ORDER BY q) AS island FROM numbered) i),
-f AS (SELECT a.q, filer_id, 0.5 * sum(abs(w - wm)) AS active, sum(w * age) AS vw_age FROM age a JOIN m ON m.q = a.q AND m.instrument = a.instrument GROUP BY a.q, filer_id),
+f AS (SELECT a.q, filer_id, round(0.5 * sum(abs(w - wm)), 9) AS active, round(sum(w * age), 9) AS vw_age FROM age a JOIN m ON m.q = a.q AND m.instrument = a.instrument GROUP BY a.q, filer_id),
 g AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY vw_age DESC, filer_id) AS rn, count(*) OVER (PARTITION BY q) AS n FROM f),
 u AS (SELECT q, filer_id, 'all' AS universe FROM g UNION ALL SELECT q, filer_id, 'active' FROM g WHERE active >= 0.25 UNION ALL SELECT q, filer_id, 'patient' FROM g WHERE rn * 3 <= n AND q > 8),
 s AS (SELECT q, universe, count(*) AS filers FROM u GROUP BY q, universe)
