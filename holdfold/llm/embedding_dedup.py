@@ -15,7 +15,7 @@ cut into chunks that are compared chunk against chunk.
 Defined results: vectors that are null, empty, zero, of another length than most of the
 sample, or have null or non-finite components link with nothing; so does a null vec_id,
 whose row comes back with n_links 0, component_id null and kept false.  Repeated vec_ids
-with equal vectors count as further vectors.  An empty table gives an empty result.
+count as further vectors, each row with its own links.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Coder, int] | None:
 
 
 def encode(vectors: DataFrame, coder: Coder, dim: int) -> DataFrame:
-    """(vec_id, class, code, unit): the valid vectors' 128-bit class of equal vectors, code and unit vector."""
+    """(vec_id, code, unit) of every row; code and unit vector are null where it can't link."""
     schema = pa.schema([("vec_id", pa.int64()), ("code", pa.int64()), ("unit", pa.binary())])
     shared = vectors.sparkSession.sparkContext.broadcast(coder)
 
@@ -102,15 +102,14 @@ def encode(vectors: DataFrame, coder: Coder, dim: int) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 2048):
                 part = batch.slice(low, 2048)
-                ids, units = [], []
-                for i, e in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    u = valid(e)
-                    if i is not None and u is not None and len(u) == dim:
-                        ids.append(i)
-                        units.append(u)
-                if ids:
-                    unit = np.stack(units)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shared.value.code(unit).view(np.int64)), pa.array([u.tobytes() for u in unit], pa.binary())], schema=schema)
+                ids = part.column(0)
+                units = [valid(e) for e in part.column(1).to_pylist()]
+                good = [k for k, u in enumerate(units) if u is not None and len(u) == dim and ids[k].is_valid]
+                code, unit = [None] * len(units), [None] * len(units)
+                if good:
+                    for k, c in zip(good, shared.value.code(np.stack([units[k] for k in good])).view(np.int64).tolist(), strict=True):
+                        code[k], unit[k] = c, units[k].tobytes()
+                yield pa.RecordBatch.from_arrays([ids, pa.array(code, pa.int64()), pa.array(unit, pa.binary())], schema=schema)
 
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, code long, unit binary")
 
@@ -235,7 +234,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     if found is None:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     coded = scratch.write(encode(vectors, *found).withColumn("class", F.md5("unit")), "coded")
-    by_class = scratch.write(coded.groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("code").alias("code"), F.max("unit").alias("unit")), "classes")
+    linking = coded.where("unit is not null")
+    by_class = scratch.write(linking.groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("code").alias("code"), F.max("unit").alias("unit")), "classes")
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     probed = scratch.write(probes(by_class), "probes")
     pairs = scratch.write(candidates(probed, tasks), "pairs")
@@ -247,8 +247,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
     joined = by_class.select("class", "rep", "n").join(degree, "rep", "left").join(groups, F.col("rep") == groups.node, "left")
     joined = joined.select("class", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = coded.select("vec_id", "class").join(joined, "class").select("vec_id", "n_links", "component_id")
-    alone = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(linked.select(F.col("vec_id").alias("_v")).distinct(), F.col("vec_id") == F.col("_v"), "left_anti")
-    alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = linking.select("vec_id", "class").join(joined, "class").select("vec_id", "n_links", "component_id")
+    alone = coded.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.union(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

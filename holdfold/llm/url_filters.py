@@ -142,7 +142,7 @@ def judge(pages: DataFrame, rules, redirects: DataFrame | None = None, default:
     if pairs.limit(1).count():
         ends = pairs.select(F.explode(F.array("src", "dst")).alias("url")).distinct()
         ends = ends.withColumns({"host": host_of(url), "path": path_of(url), "node": normal_form(url)}).where("node is not null")
-        ends = own_rule(ends.withColumn("key", url), rules) if not isinstance(rules, DataFrame) else own_rule(ends.withColumn("key", url), rules)
+        ends = own_rule(ends.withColumn("key", url), rules)
         seen = seen.union(ends.where("action is not null").select("node", "action"))
         by_url = ends.select("url", "node")
         number = scratch.write(ends.select("node").distinct().select("node", F.monotonically_increasing_id().alias("id")), "nodes")

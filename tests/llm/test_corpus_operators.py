@@ -195,6 +195,8 @@ def test_embedding_dedup(spark):
     assert all(got[k].n_links == 0 and got[k].component_id == k for k in (900, 901, 902, 903, 904, 905)) and got[None].kept is False and len(got) == 307
     assert got[229].component_id == 3 and not got[229].kept and got[3].kept
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    again = spark.createDataFrame([(1, [1.0, 0.0], 7), (1, None, 7), (2, [1.0, 0.0], 7), (1, [0.0, 0.0], 7)], "vec_id long, embedding array<double>, n_links int")
+    assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(again).collect()) == [(1, 0, 1, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
 
 
 def test_decontamination(spark):
