@@ -382,3 +382,17 @@ def vulnerability(d: Spark) -> str:
 t AS (SELECT n.q, n.instrument, w - wm AS tilt FROM numbered n JOIN m ON m.q = n.q AND m.instrument = n.instrument),
 a AS (SELECT q, instrument, avg(tilt) AS position_, stddev_pop(tilt) AS spread, avg(CASE WHEN tilt > 0 THEN 1e0 ELSE 0e0 END) AS over_, count(*) AS filers FROM t GROUP BY q, instrument)
 SELECT q, instrument, filers, {r6("position_")} AS tilt, round(abs(position_) / greatest(spread, 0.05) * CASE WHEN position_ > 0 THEN over_ ELSE 1 - over_ END, 5) + 0e0 AS vulnerability FROM a"""
+
+
+@plan
+def identity_evidence(d: Spark) -> str:
+    """Whether an identifier is a fund, out of several sources; those that the identifier's own type doesn't bear out are conflicts."""
+    t = d.table
+    age = d.days(f"(SELECT max(l_shipdate) FROM {t('lineitem')})", "last_day")
+    return f"""WITH seen AS (SELECT l_partkey, count(*) AS n, max(l_shipdate) AS last_day, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned FROM {t("lineitem")} GROUP BY l_partkey),
+aged AS (SELECT *, {age} AS age FROM seen),
+e AS (SELECT p_partkey, {d.matches("upper(p_type)", "STANDARD|ETF|FUND")} AS product, coalesce(returned, 0) = 1 AS regulator, coalesce(n, 0) >= 20 AS listed, coalesce(age, 9999) <= 548 AS recent, p_size <= 10 AS series, p_partkey % 50 = 0 AS seed FROM {t("part")} LEFT JOIN aged ON l_partkey = p_partkey),
+v AS (SELECT *, regulator AND product AND recent AS regulator_ok, listed AND product AND (recent OR series) AS listed_ok, series AND product AS series_ok FROM e)
+SELECT p_partkey, regulator_ok OR listed_ok OR series_ok OR seed AS is_fund, (regulator AND NOT regulator_ok) OR (listed AND NOT listed_ok) AS conflict,
+1000 * (CASE WHEN recent THEN 1 ELSE 0 END) + 500 * (CASE WHEN seed THEN 1 ELSE 0 END) + 100 * (CASE WHEN listed THEN 1 ELSE 0 END) + 50 * (CASE WHEN regulator THEN 1 ELSE 0 END) + 10 * (CASE WHEN product THEN 1 ELSE 0 END) AS score,
+CASE WHEN regulator_ok AND listed_ok THEN 'regulator_and_exchange' WHEN regulator_ok THEN 'regulator' WHEN listed_ok THEN 'exchange' WHEN series_ok THEN 'series' WHEN seed THEN 'seed' WHEN product THEN 'candidate' ELSE 'unconfirmed' END AS confidence FROM v"""
