@@ -19,7 +19,7 @@ null doc_id and repeated rows each get their row; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -52,8 +52,6 @@ TEMPLATES = (
 
 #: Licence words looked up per file, votes that make an alignment, words that a key phrase may be off its place.
 AT_MOST, VOTES, NEAR = 12, 4, 8
-#: Words in more than this share of documents aren't indexed, but for a phrase's rarest.
-COMMON = 0.1
 
 
 def hashes(text: str) -> list[int]:
@@ -117,14 +115,10 @@ class Index:
         coded = lambda words: np.array([place[w] for w in words], dtype=np.int64)
         self.base = [(coded(p), label) for p, label in rules.base]
         self.templates = [(label, [coded(p) for p in phrases], coded(notice)) for label, phrases, notice in rules.templates]
-        rare = df <= COMMON * max(n, 1)
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, _, notice) in enumerate(self.templates):
-            for pos, w in enumerate(notice.tolist()):
-                if rare[w]:
-                    self.postings[w].append((t, pos))
-        self.indexed = np.zeros(len(rules.vocabulary) + 1, dtype=bool)
-        self.indexed[list(self.postings)] = True
+        posted = sorted((w, t, pos) for t, (_, _, notice) in enumerate(self.templates) for pos, w in enumerate(notice.tolist()))
+        word, self.template, self.offset = np.array(posted, dtype=np.int64).reshape(-1, 3).T
+        #: Word w's postings are those from first[w] to first[w + 1].
+        self.first = np.searchsorted(word, np.arange(len(rules.vocabulary) + 1))
 
     def places(self, w: np.ndarray, row: np.ndarray, phrase: np.ndarray) -> np.ndarray:
         """Where the phrase's words stand consecutively in a row; found from its rarest word."""
@@ -135,6 +129,25 @@ class Index:
             start = start[w[start + j] == x]
         return start[row[start] == row[start + len(phrase) - 1]] if len(start) else start
 
+    def alignments(self, w: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, template, start) where enough of the row's AT_MOST rarest licence words agree."""
+        width = len(self.idf)
+        at = np.flatnonzero(w >= 0)
+        at = at[self.first[w[at] + 1] > self.first[w[at]]]
+        pair, which = np.unique(row[at] * width + w[at], return_inverse=True)
+        own, word = pair // max(width, 1), pair % max(width, 1)
+        order = np.lexsort((word, -self.idf[word], own))
+        rank = np.empty(len(pair), dtype=np.int64)
+        rank[order] = np.arange(len(pair)) - np.searchsorted(own, own)
+        at = at[rank[which] < AT_MOST]
+        n = self.first[w[at] + 1] - self.first[w[at]]
+        p = np.repeat(self.first[w[at]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        longest = max((len(notice) for _, _, notice in self.templates), default=0)
+        span = len(w) + longest
+        vote, count = np.unique((np.repeat(row[at], n) * len(self.templates) + self.template[p]) * span + np.repeat(at, n) - self.offset[p] + longest, return_counts=True)
+        for x in vote[count >= VOTES].tolist():
+            yield x // span // len(self.templates), x // span % len(self.templates), x % span - longest
+
     def scan(self, s: Scan) -> dict[str, list]:
         """A column of results for each row."""
         n, w = s.rows, look_up(self.rules.vocabulary, s.hash)
@@ -159,26 +172,13 @@ class Index:
             for r in found:
                 score[r] = 1.0
                 labels[r].add(label)
-        at = np.flatnonzero(self.indexed[w])
-        at = at[w[at] >= 0]
-        bounds = np.searchsorted(s.row[at], np.arange(n + 1)) if len(at) else np.zeros(n + 1, dtype=np.int64)
-        for r in np.flatnonzero(np.diff(bounds) >= VOTES).tolist():
-            own = at[bounds[r] : bounds[r + 1]]
-            words = np.unique(w[own])
-            words = words[np.lexsort((words, -self.idf[words]))][:AT_MOST]
-            votes: Counter[tuple[int, int]] = Counter()
-            for p in own[np.isin(w[own], words)].tolist():
-                for t, pos in self.postings[int(w[p])]:
-                    votes[t, p - pos] += 1
-            for (t, start), count in votes.items():
-                if count < VOTES:
-                    continue
-                label, _, notice = self.templates[t]
-                lo, hi = max(start, int(s.bounds[r])), min(start + len(notice), int(s.bounds[r + 1]))
-                share = float((w[lo:hi] == notice[lo - start : hi - start]).sum() / len(notice))
-                score[r] = max(score[r], share)
-                if any(start - NEAR <= p < start + len(notice) + NEAR for p in key[t].get(r, ())):
-                    labels[r].add(label)
+        for r, t, start in self.alignments(w, s.row):
+            notice = self.templates[t][2]
+            lo, hi = max(start, int(s.bounds[r])), min(start + len(notice), int(s.bounds[r + 1]))
+            share = float((w[lo:hi] == notice[lo - start : hi - start]).sum() / len(notice))
+            score[r] = max(score[r], share)
+            if any(start - NEAR <= p < start + len(notice) + NEAR for p in key[t].get(r, ())):
+                labels[r].add(self.templates[t][0])
         return {
             "n_words": np.diff(s.bounds).tolist(),
             "n_base": n_base,

@@ -135,6 +135,15 @@ def test_license_scan_against_brute_force(spark):
     assert license_scan.judge(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_license_score_does_not_depend_on_copies(spark):
+    """A notice that a third of the rows carry still scores in a file whose key phrase is altered."""
+    notice = license_scan.TEMPLATES[2][2]
+    altered = notice.replace("source", "sauce")
+    texts = [prose(1, 80) + " " + altered] + [notice] * 40 + [prose(k, 60) for k in range(80)]
+    got = {r.doc_id: r for r in license_scan.judge(docs_of(spark, texts)).collect()}
+    assert got[0].score == pytest.approx(1 - 1 / len(notice.split())) and got[0].labels == "" and got[50].score == 0
+
+
 def brute_jaccard(texts):
     sets = []
     for t in texts:
