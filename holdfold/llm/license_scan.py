@@ -5,13 +5,13 @@ by inverse document frequency over *all* scanned documents (one counting pass; w
 to the driver is one number per template word).  A file's AT_MOST licence words of highest
 weight are looked up in the index of template positions; postings that agree on the
 relative position (file position minus template position) vote for an alignment; an
-alignment with enough votes names the template if one of its key phrases stands near.
-Every key phrase is itself indexed under its rarest word, whatever the file's other words,
-so that all its places are found.
+alignment with enough votes names the template if one of its key phrases stands near; a
+key phrase without such an alignment names nothing.  Every key phrase is itself indexed
+under its rarest word, whatever the file's other words, so that all its places are found.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased.  The
-score is the best share of a template's words at their places in an alignment, 1 where a
-key phrase stands.
+score is the best share of a template's words at their places in an alignment with enough
+votes, 1 where a base phrase stands.
 
 Defined results: null and empty texts have no words, no labels and score 0; rows with a
 null doc_id and repeated rows each get their row; an empty table gives an empty result.
@@ -163,15 +163,12 @@ class Index:
                 base_labels[r].add(label)
                 score[r] = 1.0
         key: list[dict[int, list[int]]] = []
-        for label, phrases, _ in self.templates:
+        for _, phrases, _ in self.templates:
             found = defaultdict(list)
             for phrase in phrases:
                 for p in self.places(w, s.row, phrase).tolist():
                     found[int(s.row[p])].append(p)
             key.append(found)
-            for r in found:
-                score[r] = 1.0
-                labels[r].add(label)
         for r, t, start in self.alignments(w, s.row):
             notice = self.templates[t][2]
             lo, hi = max(start, int(s.bounds[r])), min(start + len(notice), int(s.bounds[r + 1]))

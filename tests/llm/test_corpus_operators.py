@@ -135,6 +135,16 @@ def test_license_scan_against_brute_force(spark):
     assert license_scan.judge(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_license_labels_come_from_alignments(spark):
+    """Key phrases in passing are no notices; a notice has its label and the share of its words."""
+    by, gpl = license_scan.TEMPLATES[3][2], license_scan.TEMPLATES[7][2]
+    texts = [prose(1, 50) + " see cc by 4 0 and cc0 1 0 " + prose(2, 50), prose(3, 50) + " " + by + " " + prose(4, 50), prose(5, 50) + " the gnu general public license is long " + prose(6, 50), gpl, "cc by 4 0 " + prose(7, 30) + " " + by.replace("creative", "common")]
+    got = {r.doc_id: r for r in license_scan.judge(docs_of(spark, texts)).collect()}
+    assert (got[0].labels, got[0].score) == ("", 0) and (got[1].labels, got[1].score) == ("cc-by", 1)
+    assert got[2].score < 0.2 and (got[3].labels, got[3].score) == ("gpl", 1)
+    assert got[4].labels == "" and got[4].score == pytest.approx(1 - 1 / len(by.split()))
+
+
 def test_license_score_does_not_depend_on_copies(spark):
     """A notice that a third of the rows carry still scores in a file whose key phrase is altered."""
     notice = license_scan.TEMPLATES[2][2]
