@@ -7,15 +7,15 @@ grows with the corpus.  Nothing is pruned.
 
 A shard's file has two levels.  Level 1: the sorted 64-bit hashes of its words, their
 counts (as a running sum) and pointers to their successors, all three monotone and so
-Elias-Fano coded, and each word's back-off weight in 8 bits.  Level 2: successors, each a
-40-bit hash relative to its context's rank, which makes the whole level one monotone
-sequence, and each one's discounted probability in 8 bits.  Scoring maps the files into
-memory; a pair is found by the context's rank, its pointers, and a search for the
-successor among what the context has.
+Elias-Fano coded.  Level 2: successors, each a 40-bit hash relative to its context's rank,
+which makes the whole level one monotone sequence, and each one's count in 8 bits, those of
+MANY and more in a list beside them.  Scoring maps the files into memory; a pair is found by
+the context's rank, its pointers, and a search for the successor among what the context has.
+Files hold counts alone, so the discount can be that of all shards, known after the last one.
 
 Model: P(w|c) = max(n(c,w) - D, 0) / n(c) + b(c) * U(w), with b(c) = D * (different
-successors of c) / n(c), D = n1 / (n1 + 2 n2) from the shard's own pairs, b = 1 for
-contexts never seen, and U(w) = (n(w) + 1) / (N + V + 1), the base model.
+successors of c) / n(c), D = n1 / (n1 + 2 n2) from all training pairs (0.5
+without pairs of count 1 or 2), b = 1 for contexts never seen, and U(w) = (n(w) + 1) / (N + V + 1), the base model.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; after them comes one end token;
 the first word's context is a start mark, which isn't counted.  Defined results: a null or
@@ -51,16 +51,8 @@ FP_BITS = 40
 FP_SHIFT = U64(64 - FP_BITS)
 #: Tokens a task counts at once, bytes of text for which there is one shard.
 FLUSH, SHARD_BYTES = 2_000_000, 1 << 25
-#: 8-bit steps of log10 of a probability: 0 is 10**FLOOR, 255 is 1.
-FLOOR = -9.0
-
-
-def quantise(p: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.clip(np.rint((np.log10(p) / -FLOOR + 1) * 255), 0, 255).astype(np.uint8)
-
-
-LEVELS = 10 ** ((np.arange(256) / 255 - 1) * -FLOOR)
+#: Pair counts from here on are listed apart.
+MANY = 255
 
 
 def fold(doc_id: Column) -> Column:
@@ -156,14 +148,10 @@ def trie_bytes(words: np.ndarray, count: np.ndarray, key: np.ndarray, number: np
     """A shard's file."""
     owner = (key >> U64(FP_BITS)).astype(np.int64)
     pointers = np.searchsorted(owner, np.arange(len(words) + 1))
-    total = np.bincount(owner, number, len(words))
-    n1, n2 = int((number == 1).sum()), int((number == 2).sum())
-    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    back_off = np.where(total > 0, discount * np.diff(pointers) / np.maximum(total, 1), 1.0)
-    alpha = np.maximum(number - discount, 0) / np.maximum(total[owner], 1)
+    many = np.flatnonzero(number >= MANY)
     sequences = [EliasFano.build(x) for x in (words, np.cumsum(count), pointers, key)]
-    arrays = [a for s in sequences for a in s.parts()] + [quantise(back_off), quantise(alpha)]
-    head = {"n": [s.n for s in sequences], "width": [s.width for s in sequences], "arrays": []}
+    arrays = [a for s in sequences for a in s.parts()] + [np.minimum(number, MANY).astype(np.uint8), many, number[many]]
+    head = {"n": [s.n for s in sequences], "width": [s.width for s in sequences], "starts": int(number[count[owner] == 0].sum()), "arrays": []}
     at, body = 0, []
     for a in arrays:
         head["arrays"].append([str(a.dtype), len(a), at])
@@ -186,7 +174,8 @@ class Shard:
         arrays = [data[base + at : base + at + n * np.dtype(kind).itemsize].view(kind) for kind, n, at in head["arrays"]]
         for k, name in enumerate(_SEQUENCES):
             setattr(self, name, EliasFano(head["n"][k], head["width"][k], *arrays[4 * k : 4 * k + 4]))
-        self.back_off, self.alpha = arrays[-2:]
+        self.number, self.many, self.large = arrays[-3:]
+        self.starts = head["starts"]
 
     def count(self, rank: np.ndarray) -> np.ndarray:
         upto = self.counts.get(rank).astype(np.int64)
@@ -195,15 +184,25 @@ class Shard:
         before[some] = self.counts.get(rank[some] - 1).astype(np.int64)
         return upto - before
 
-    def pair(self, rank: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def total(self, rank: np.ndarray) -> np.ndarray:
+        """How often words of these ranks were contexts; every counted word but the end token is one each time, the start mark isn't counted."""
+        n = self.count(rank)
+        return np.where(n > 0, n, self.starts)
+
+    def pair(self, rank: np.ndarray, h: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
         """(discounted probability, back-off weight) of words after contexts of these ranks."""
-        first, end = self.pointers.get(rank), self.pointers.get(rank + 1)
-        alpha = np.zeros(len(rank))
+        first, end = (x.astype(np.int64) for x in (self.pointers.get(rank), self.pointers.get(rank + 1)))
+        alpha, weight = np.zeros(len(rank)), np.ones(len(rank))
         ask = np.flatnonzero(end > first)
+        total = self.total(rank[ask])
+        weight[ask] = discount * (end[ask] - first[ask]) / total
         at = self.successors.find((rank[ask].astype(U64) << U64(FP_BITS)) | (h[ask] >> FP_SHIFT))
-        hit = np.flatnonzero((at >= first[ask].astype(np.int64)) & (at < end[ask].astype(np.int64)))
-        alpha[ask[hit]] = LEVELS[self.alpha[at[hit]]]
-        return alpha, LEVELS[self.back_off[rank]]
+        hit = np.flatnonzero((at >= first[ask]) & (at < end[ask]))
+        number = self.number[at[hit]].astype(np.int64)
+        large = np.flatnonzero(number == MANY)
+        number[large] = self.large[np.searchsorted(self.many, at[hit[large]])]
+        alpha[ask[hit]] = np.maximum(number - discount, 0) / total[hit]
+        return alpha, weight
 
 
 @functools.lru_cache(maxsize=4096)
@@ -224,10 +223,10 @@ def open_shard(folder: str, name: str) -> Shard:
 
 
 class Model:
-    """The trie's files, by shard, and the totals of its training tokens."""
+    """The trie's files, by shard, the totals of its training tokens, and the discount of its pairs."""
 
-    def __init__(self, folder: str, names: list[str | None], n: int, v: int):
-        self.folder, self.names, self.n, self.v = folder, names, n, v
+    def __init__(self, folder: str, names: list[str | None], n: int, v: int, discount: float):
+        self.folder, self.names, self.n, self.v, self.discount = folder, names, n, v, discount
 
     def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(shard, rank or -1, count) of sorted word hashes."""
@@ -260,7 +259,7 @@ class Model:
             a, b = edges[k], edges[k + 1]
             ask = a + np.flatnonzero(rank[left[a:b]] >= 0)
             if name and len(ask):
-                alpha[ask], weight[ask] = open_shard(self.folder, name).pair(rank[left[ask]], words[right[ask]])
+                alpha[ask], weight[ask] = open_shard(self.folder, name).pair(rank[left[ask]], words[right[ask]], self.discount)
         logs = np.log10(alpha + weight * base[right])
         known = (count > 0)[place[:-1]]
         sums = lambda x: np.add.reduceat(x, bounds[:-1]) if len(bounds) > 1 else x
@@ -311,15 +310,17 @@ def build(training: DataFrame, shards: int = 0) -> Model:
             store.create_dir(base, recursive=True)
             with store.open_output_stream(f"{base}/{name}") as out:
                 out.write(trie_bytes(words, counts, key, number))
-            yield pa.RecordBatch.from_pylist([{"shard": k, "name": name, "n": int(counts.sum()), "v": int((counts > 0).sum())}], pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n", pa.int64()), ("v", pa.int64())]))
+            row = {"shard": k, "name": name, "n": int(counts.sum()), "v": int((counts > 0).sum()), "n1": int((number == 1).sum()), "n2": int((number == 2).sum())}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("name", pa.string()), *((c, pa.int64()) for c in ("n", "v", "n1", "n2"))]))
 
     blocks = training.select("text").mapInArrow(count, "shard int, block binary")
     dealt = blocks.repartitionById(shards, F.col("shard"))
-    manifest = scratch.write(dealt.mapInArrow(merge, "shard int, name string, n long, v long"), "manifest").collect()
+    manifest = scratch.write(dealt.mapInArrow(merge, "shard int, name string, n long, v long, n1 long, n2 long"), "manifest").collect()
     names: list[str | None] = [None] * shards
     for r in manifest:
         names[r.shard] = r.name
-    return Model(folder, names, sum(r.n for r in manifest), sum(r.v for r in manifest))
+    n, v, n1, n2 = (sum(r[c] for r in manifest) for c in ("n", "v", "n1", "n2"))
+    return Model(folder, names, n, v, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:

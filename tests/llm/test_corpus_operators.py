@@ -335,6 +335,39 @@ def test_lm_scoring_against_brute_force(spark):
     assert lm_scoring.judge(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shards", ["3", "40"])
+def test_lm_score_does_not_depend_on_shards(spark, shards):
+    """judge() against brute force with the discount of all pairs; one pair occurs more than 255 times."""
+    texts = [prose(k, 40 + k % 7, 60) for k in range(120)] + [None, "", "Zzz new", "often said " * 400]
+    token = [re.findall(r"[^\x20\x09-\x0D]+", t or "") + [None] for t in texts]
+    token = [[x and x.lower() for x in t] for t in token]
+    count, pairs, context, follow = Counter(), Counter(), Counter(), Counter()
+    for k, t in enumerate(token):
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            count.update(t)
+            pairs.update(zip(["<s>", *t[:-1]], t, strict=True))
+    for (c, _), x in pairs.items():
+        context[c] += x
+        follow[c] += 1
+    n, v = sum(count.values()), len(count)
+    n1, n2 = (sum(x == i for x in pairs.values()) for i in (1, 2))
+    d = n1 / (n1 + 2 * n2)
+    assert max(pairs.values()) > 255
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", shards)
+    try:
+        got = lm_scoring.judge(docs_of(spark, texts)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(texts)
+    for r in got:
+        total = 0.0
+        for c, w in zip(["<s>", *token[r.doc_id][:-1]], token[r.doc_id], strict=True):
+            u = (count[w] + 1) / (n + v + 1)
+            total += math.log10(max(pairs[c, w] - d, 0) / context[c] + d * follow[c] / context[c] * u if context[c] else u)
+        assert abs(r.score - total) < 1e-9 * max(1, abs(total))
+
+
 def test_shingle_sets():
     value, bounds = shingles(scan(pa.array(["a b c d e f", "a b", "b a", "", "a b c d e a b c d e"])))
     assert np.diff(bounds).tolist() == [2, 1, 1, 0, 6 - 1]
