@@ -6,8 +6,10 @@ step, so that the bits are balanced and lose little.  Every vector is then coded
 Codes are cut into TABLES substrings; each substring is stored under itself and all
 strings one bit away, so two vectors meet in a table if their substrings differ in at
 most two bits.  A pair is looked at once: in its first such table, under its smallest
-common key.  Pairs within RADIUS bits of each other are reranked by the cosine of the
-original vectors in double precision.
+common key.  Every pair that meets is reranked by the cosine of the original vectors in
+double precision, but for pairs that a bound proves to lie below the threshold: on any
+orthonormal axes, vectors are at most as far apart as they are in full, and AXES principal
+components in 8 bits, with their rounding allowed for, travel with the code.
 
 Equal vectors form a class first and meet as one.  A bucket that many vectors share is
 cut into chunks that are compared chunk against chunk.
@@ -34,21 +36,28 @@ from .components import connected_components
 from .scratch import Scratch
 
 THRESHOLD, SAMPLE, ROUNDS = 0.9, 8192, 40
-BITS, TABLES, RADIUS = 64, 4, 16
+BITS, TABLES, AXES = 64, 4, 16
 SUB = BITS // TABLES
 
 
 @dataclass
 class Coder:
-    """``plane``: centre and projection; a vector's code is the signs of (v/|v| - centre) @ plane."""
+    """A vector's code is the signs of (v/|v| - centre) @ plane; ``axes`` are orthonormal columns, AXES at most."""
 
     centre: np.ndarray
     plane: np.ndarray
+    axes: np.ndarray
 
     def code(self, unit: np.ndarray) -> np.ndarray:
         bits = (unit - self.centre) @ self.plane > 0
         return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
+    def sketch(self, unit: np.ndarray) -> np.ndarray:
+        """Components on the axes in steps of 1/127, eight to a 64-bit number, two numbers a vector."""
+        out = np.zeros((len(unit), AXES), dtype=np.int8)
+        out[:, : self.axes.shape[1]] = np.rint(np.clip(unit @ self.axes, -1, 1) * 127)
+        return out.view(np.int64)
+
 
 def learn(unit: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 5) -> Coder:
     """Iterative quantisation over unit vectors.
@@ -70,7 +79,7 @@ def learn(unit: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int =
     plane = axes @ rotation
     if d < bits:
         plane = np.concatenate([plane, rng.standard_normal((unit.shape[1], bits - d))], axis=1)
-    return Coder(centre, plane)
+    return Coder(centre, plane, axes[:, :AXES])
 
 
 def valid(embedding) -> np.ndarray | None:
@@ -94,8 +103,8 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Coder, int] | None:
 
 
 def encode(vectors: DataFrame, coder: Coder, dim: int) -> DataFrame:
-    """(vec_id, code, unit) of every row; code and unit vector are null where it can't link."""
-    schema = pa.schema([("vec_id", pa.int64()), ("code", pa.int64()), ("unit", pa.binary())])
+    """(vec_id, code, low, high, unit) of every row; code, sketch and unit vector are null where it can't link."""
+    schema = pa.schema([("vec_id", pa.int64()), ("code", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("unit", pa.binary())])
     shared = vectors.sparkSession.sparkContext.broadcast(coder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,13 +114,14 @@ def encode(vectors: DataFrame, coder: Coder, dim: int) -> DataFrame:
                 ids = part.column(0)
                 units = [valid(e) for e in part.column(1).to_pylist()]
                 good = [k for k, u in enumerate(units) if u is not None and len(u) == dim and ids[k].is_valid]
-                code, unit = [None] * len(units), [None] * len(units)
+                code, first, second, unit = ([None] * len(units) for _ in range(4))
                 if good:
-                    for k, c in zip(good, shared.value.code(np.stack([units[k] for k in good])).view(np.int64).tolist(), strict=True):
-                        code[k], unit[k] = c, units[k].tobytes()
-                yield pa.RecordBatch.from_arrays([ids, pa.array(code, pa.int64()), pa.array(unit, pa.binary())], schema=schema)
+                    stacked = np.stack([units[k] for k in good])
+                    for k, c, x in zip(good, shared.value.code(stacked).view(np.int64).tolist(), shared.value.sketch(stacked).tolist(), strict=True):
+                        code[k], (first[k], second[k]), unit[k] = c, x, units[k].tobytes()
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (code, first, second)), pa.array(unit, pa.binary())], schema=schema)
 
-    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, code long, unit binary")
+    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, code long, low long, high long, unit binary")
 
 
 def keys(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,24 +136,30 @@ def keys(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def probes(coded: DataFrame) -> DataFrame:
-    """(key, rep, code): one row for each key of each class."""
-    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("code", pa.int64())])
+    """(key, rep, code, low, high): one row for each key of each class."""
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "rep", "code", "low", "high")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, code = (batch.column(k).to_numpy() for k in (0, 1))
-            for low in range(0, len(rep), 4096):
-                k, row = keys(code[low : low + 4096].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(rep[low : low + 4096][row]), pa.array(code[low : low + 4096][row])], schema=schema)
+            columns = [c.to_numpy() for c in batch.columns]
+            for start in range(0, batch.num_rows, 4096):
+                part = [c[start : start + 4096] for c in columns]
+                k, row = keys(part[1].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(c[row]) for c in part)], schema=schema)
+
+    return coded.select("rep", "code", "low", "high").mapInArrow(run, "key long, rep long, code long, low long, high long")
+
 
-    return coded.select("rep", "code").mapInArrow(run, "key long, rep long, code long")
+def possible(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether vectors of these sketches can reach the threshold; never false for those that do."""
+    away = a.view(np.int8).astype(np.int16) - b.view(np.int8)
+    rounding = np.sqrt(AXES) + 1e-6  # each component is off by half a step at most, on both sides
+    return np.sqrt(np.einsum("ij,ij->i", away, away, dtype=np.int64)) <= 127 * np.sqrt(max(2 - 2 * threshold, 0)) + rounding
 
 
 def met(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
-    """Whether each pair of codes is to be looked at under ``key``, and lies within RADIUS bits."""
+    """Places of the pairs of codes that are to be looked at under ``key``."""
     x = a ^ b
-    near = np.flatnonzero(np.bitwise_count(x) <= RADIUS)
-    x, a, b = x[near], a[near], b[near]
     t = key >> SUB
     part = np.uint64((1 << SUB) - 1)
     mine = np.ones(len(x), dtype=bool)
@@ -154,13 +170,11 @@ def met(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
     apart = np.bitwise_count(own)
     smallest = np.where(apart == 2, np.minimum(u ^ one, v ^ one), np.minimum(u, v))
     mine &= smallest == np.uint64(key & ((1 << SUB) - 1))
-    out = np.zeros(len(near), dtype=bool)
-    out[mine] = True
-    return near[out]
+    return np.flatnonzero(mine)
 
 
-def candidates(probed: DataFrame, tasks: int) -> DataFrame:
-    """(a, b): pairs of classes, a < b, each once, that the tables bring together within RADIUS bits."""
+def candidates(probed: DataFrame, tasks: int, threshold: float) -> DataFrame:
+    """(a, b): pairs of classes, a < b, each once, that the tables bring together and that can reach the threshold."""
     dealt = deal(probed, "key", "rep", 2048)
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("part"), F.lit(tasks * 8)))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -168,6 +182,7 @@ def candidates(probed: DataFrame, tasks: int) -> DataFrame:
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, rep, code, side = (table[c].to_numpy() for c in ("key", "rep", "code", "side"))
         code = code.view(np.uint64)
+        sketch = np.column_stack([table[c].to_numpy() for c in ("low", "high")])
         text = table["part"].combine_chunks().dictionary_encode()
         part = text.indices.to_numpy()
         names = text.dictionary.to_pylist()
@@ -190,6 +205,7 @@ def candidates(probed: DataFrame, tasks: int) -> DataFrame:
                 if not len(i):
                     continue
                 hit = met(code[mine[i]], code[right[j]], k)
+                hit = hit[possible(sketch[mine[i[hit]]], sketch[right[j[hit]]], threshold)]
                 if len(hit):
                     x, y = rep[mine[i[hit]]], rep[right[j[hit]]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
@@ -198,7 +214,7 @@ def candidates(probed: DataFrame, tasks: int) -> DataFrame:
         found = list(run(table))
         return pa.Table.from_batches(found, schema=schema)
 
-    return dealt.select("task", "part", "side", "key", "rep", "code").groupBy("task").applyInArrow(grouped, "a long, b long")
+    return dealt.select("task", "part", "side", "key", "rep", "code", "low", "high").groupBy("task").applyInArrow(grouped, "a long, b long")
 
 
 def _upper(low: int, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,10 +251,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     coded = scratch.write(encode(vectors, *found).withColumn("class", F.md5("unit")), "coded")
     linking = coded.where("unit is not null")
-    by_class = scratch.write(linking.groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min("code").alias("code"), F.max("unit").alias("unit")), "classes")
+    by_class = scratch.write(linking.groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("code", "low", "high")), F.max("unit").alias("unit")), "classes")
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     probed = scratch.write(probes(by_class), "probes")
-    pairs = scratch.write(candidates(probed, tasks), "pairs")
+    pairs = scratch.write(candidates(probed, tasks, threshold), "pairs")
     links = scratch.write(reranked(pairs, by_class, threshold).select("a", "b"), "links")
     size = by_class.select("rep", "n")
     ends = links.join(size.withColumnRenamed("rep", "b"), "b").select(F.col("a").alias("rep"), "n")

@@ -218,6 +218,39 @@ def test_embedding_dedup(spark):
     assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(again).collect()) == [(1, 0, 1, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
 
 
+def test_embedding_pairs_that_meet_are_all_reranked():
+    """Every pair of codes with a substring at most two bits apart is looked at under one key alone, however many bits differ."""
+    rng = np.random.default_rng(11)
+    a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    b = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    near = np.uint64((1 << embedding_dedup.SUB) - 1)
+    b[:200] = (b[:200] & ~near) | ((a[:200] & near) ^ np.uint64(5))  # apart by two bits in the first substring, by any number beyond
+    looked = Counter()
+    for i in range(400):
+        both = set(embedding_dedup.keys(a[i : i + 1])[0].tolist()) & set(embedding_dedup.keys(b[i : i + 1])[0].tolist())
+        looked[i] = sum(len(embedding_dedup.met(a[i : i + 1], b[i : i + 1], k)) for k in both)
+        part = [((a[i] ^ b[i]) >> np.uint64(t * embedding_dedup.SUB)) & near for t in range(embedding_dedup.TABLES)]
+        assert looked[i] == int(any(np.bitwise_count(p) <= 2 for p in part))
+    assert all(looked[i] == 1 for i in range(200)) and np.bitwise_count(a[:200] ^ b[:200]).max() > 20
+
+
+def test_embedding_bound_keeps_every_link():
+    """No pair at or over the threshold is left out by the bound, also where vectors share a direction; most others are."""
+    rng = np.random.default_rng(12)
+    for shift, dim in ((0, 64), (1, 64), (0, 5)):
+        u = rng.normal(size=(3000, dim)) + shift
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        n = rng.normal(size=u.shape)
+        n -= (n * u).sum(axis=1)[:, None] * u
+        n /= np.linalg.norm(n, axis=1)[:, None]
+        c = rng.uniform(0.9, 0.92, len(u))[:, None]
+        near = c * u + np.sqrt(1 - c * c) * n
+        coder = embedding_dedup.learn(u)
+        link = (u * near).sum(axis=1) >= 0.9
+        assert embedding_dedup.possible(coder.sketch(u), coder.sketch(near), 0.9)[link].all()
+        assert dim < 64 or shift or embedding_dedup.possible(coder.sketch(u[1:]), coder.sketch(u[:-1]), 0.9).mean() < 0.1
+
+
 def test_decontamination(spark):
     item = prose(77, 40, 100_000)
     w = item.split()
