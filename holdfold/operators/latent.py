@@ -30,15 +30,17 @@ def pca(rows: DataFrame, row: str, item: str, value: str, k: int = 3) -> DataFra
     return pairs.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(solve, f"{item} {kind}, component int, loading double, share double")
 
 
-def nmf(rows: DataFrame, row: str, item: str, value: str, k: int = 4, steps: int = 200, seed: int = 1) -> DataFrame:
-    """(item, factor, loading, error): non-negative factors of the row-by-item shares, by multiplicative updates on the item Gram matrix.
+def nmf(rows: DataFrame, period: str, row: str, item: str, value: str, k: int = 4, steps: int = 200, seed: int = 1) -> DataFrame:
+    """(period, item, factor, loading, error): non-negative factors of each period's row-by-item shares, by multiplicative updates on the item Gram matrix.
 
     With V ~ WH, W follows from V and H by least squares, so the updates of H need V'V alone, which Spark sums up.
     """
-    pairs = rows.alias("a").join(rows.alias("b"), F.col(f"a.{row}") == F.col(f"b.{row}")).groupBy(F.col(f"a.{item}").alias("i"), F.col(f"b.{item}").alias("j")).agg(F.sum(F.col(f"a.{value}") * F.col(f"b.{value}")).alias("c"))
+    same = (F.col(f"a.{period}") == F.col(f"b.{period}")) & (F.col(f"a.{row}") == F.col(f"b.{row}"))
+    pairs = rows.alias("a").join(rows.alias("b"), same).groupBy(F.col(f"a.{period}").alias(period), F.col(f"a.{item}").alias("i"), F.col(f"b.{item}").alias("j")).agg(F.sum(F.col(f"a.{value}") * F.col(f"b.{value}")).alias("c"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf.pivot(index="i", columns="j", values="c").fillna(0.0).sort_index()
+        now = pdf[period].iloc[0]
         g = c[c.index].to_numpy()
         rng = np.random.default_rng(seed)
         h = rng.random((len(g), k)) + 0.1
@@ -46,10 +48,10 @@ def nmf(rows: DataFrame, row: str, item: str, value: str, k: int = 4, steps: int
             h *= 0.5 + 0.5 * (g @ h) / np.maximum(h @ (h.T @ h), 1e-12)
         error = float(np.linalg.norm(g - h @ h.T) / np.linalg.norm(g))
         order = np.argsort(-h.sum(axis=0))
-        return pd.DataFrame([(name, j, float(h[i, f]), error) for i, name in enumerate(c.index) for j, f in enumerate(order)], columns=[item, "factor", "loading", "error"])
+        return pd.DataFrame([(now, name, j, float(h[i, f]), error) for i, name in enumerate(c.index) for j, f in enumerate(order)], columns=[period, item, "factor", "loading", "error"])
 
-    kind = dict(rows.dtypes)[item]
-    return pairs.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(solve, f"{item} {kind}, factor int, loading double, error double")
+    kinds = dict(rows.dtypes)
+    return pairs.groupBy(period).applyInPandas(solve, f"{period} {kinds[period]}, {item} {kinds[item]}, factor int, loading double, error double")
 
 
 def ipca(rows: DataFrame, period: str, characteristics: list[str], ret: str, k: int = 2, steps: int = 200) -> DataFrame:

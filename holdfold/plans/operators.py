@@ -189,8 +189,8 @@ def flow_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def crowding_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Non-negative factors of the value shares of one quarter."""
-    return latent.nmf(relation(spark, sf_dir, "SELECT filer_id, instrument, w FROM numbered WHERE q = 12"), "filer_id", "instrument", "w")
+    """Non-negative factors of the value shares of each quarter."""
+    return latent.nmf(relation(spark, sf_dir, "SELECT q, filer_id, instrument, w FROM numbered"), "q", "filer_id", "instrument", "w")
 
 
 @query()

@@ -175,3 +175,14 @@ def test_tree_forecasts_use_the_past_alone(spark):
     assert set(out["q"]) == {6, 7} and out["forest"].abs().max() <= 1.0001
     assert (np.sign(out["boosted"]) == np.sign(out["x"])).mean() > 0.9
     assert latent.tree_walk_forward(spark.createDataFrame([], "q int, i int, x double, y double"), "q", ["x"], "y").count() == 0
+
+
+def test_nmf_has_every_period(spark):
+    """Each period has its own factors, those that it has alone."""
+    rng = np.random.default_rng(3)
+    rows = [(q, r, f"i{i}", float(rng.random() + (i % 2 == r % 2))) for q in (1, 2, 40) for r in range(12) for i in range(6)]
+    columns = "q long, r long, i string, w double"
+    got = {(x.q, x.i, x.factor): x.loading for x in latent.nmf(spark.createDataFrame(rows, columns), "q", "r", "i", "w", k=2).collect()}
+    assert len(got) == 3 * 6 * 2 and min(got.values()) >= 0
+    alone = latent.nmf(spark.createDataFrame([x for x in rows if x[0] == 40], columns), "q", "r", "i", "w", k=2).collect()
+    assert all(abs(got[40, x.i, x.factor] - x.loading) < 1e-6 for x in alone)
