@@ -19,7 +19,13 @@ def shared_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "holdfold-shared")
-    return root if "://" in root or root.startswith("file:") else "file://" + root
+    return qualified(spark, root)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system: of a bare one, the cluster's default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 class Scratch:

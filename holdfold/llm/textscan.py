@@ -35,18 +35,24 @@ NONSPACE = np.ones(256, dtype=bool)
 NONSPACE[32] = False
 NONSPACE[9:14] = False
 
-_powers = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
+#: Bytes that are hashed at once; the powers held by a worker cover as many and no more.
+PIECE = 1 << 18
+_powers: list[np.ndarray] = []
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            p = np.full(size, base, dtype=U64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _powers[k] = p
-    return _powers[0], _powers[1]
+    """The first ``n`` powers, and their inverses; only those of one piece are held."""
+    if _powers and n <= len(_powers[0]):
+        return _powers[0], _powers[1]
+    out = []
+    for base in (_BASE, _BASE_INV):
+        p = np.full(max(n, PIECE + 1024), base, dtype=U64)
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+        out.append(p)
+    if not _powers and n <= PIECE + 1024:
+        _powers.extend(out)
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,31 +97,56 @@ def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _border(raw: np.ndarray, chars: np.ndarray, at: int, offsets: np.ndarray) -> int:
+    """The first place from ``at`` on where no word goes on: the end, a row's border, or a byte of no word."""
+    row_end = int(offsets[np.searchsorted(offsets, at)])
+    while at < row_end:
+        outside = np.flatnonzero(~chars[raw[at : min(at + 4096, row_end)]])
+        if len(outside):
+            return at + int(outside[0])
+        at = min(at + 4096, row_end)
+    return row_end
+
+
 def scan(texts: pa.Array, chars: np.ndarray = ALNUM) -> Scan:
-    """All words of the rows, A-Z lower-cased; ``chars`` says which bytes belong to words."""
+    """All words of the rows, A-Z lower-cased; ``chars`` says which bytes belong to words.
+
+    The bytes are hashed in pieces that end where no word goes on, so beside the text itself
+    memory goes to its words (some 25 bytes each), however long a text is.
+    """
     raw, offsets = string_buffers(texts)
     n = len(raw)
     data = LOWER[raw]
-    inside = chars[raw]
-    before = np.zeros(n, dtype=bool)
-    before[1:] = inside[:-1]
-    first = offsets[:-1]
-    before[first[first < n]] = False
-    start = np.flatnonzero(inside & ~before)
-    after = np.zeros(n, dtype=bool)
-    after[:-1] = inside[1:]
-    last = offsets[1:]
-    after[last[last > 0] - 1] = False
-    end = np.flatnonzero(inside & ~after) + 1
+    starts, ends, hashes, at = [], [], [], 0
+    while at < n:
+        to = _border(raw, chars, at + PIECE, offsets) if at + PIECE < n else n
+        inside = chars[raw[at:to]]
+        edge = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to, "right")] - at
+        before = np.zeros(to - at + 1, dtype=bool)
+        before[1:] = inside
+        before[edge] = False
+        start = np.flatnonzero(inside & ~before[:-1])
+        before[:-2] = inside[1:]
+        before[-2:] = False
+        before[edge[edge > 0] - 1] = False
+        end = np.flatnonzero(inside & ~before[:-1]) + 1
+        power, inverse = _powers_to(to - at + 1)
+        total = np.empty(to - at + 1, dtype=U64)
+        total[0] = 0
+        np.add(data[at:to], U64(1), out=total[1:], dtype=U64)
+        total[1:] *= power[: to - at]
+        np.cumsum(total, out=total)
+        hashes.append(mix((total[end] - total[start]) * inverse[start]))
+        starts.append(start + at)
+        ends.append(end + at)
+        at = to
+    start, end, value = (np.concatenate(x) if x else np.zeros(0, dtype=kind) for x, kind in ((starts, np.int64), (ends, np.int64), (hashes, U64)))
     bounds = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-    power, inverse = _powers_to(n + 1)
-    total = np.zeros(n + 1, dtype=U64)
-    np.cumsum((data.astype(U64) + U64(1)) * power[:n], out=total[1:])
-    return Scan(data, start, end, row, mix((total[end] - total[start]) * inverse[start]), bounds)
+    return Scan(data, start, end, row, value, bounds)
 
 
-def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges with about ``most`` bytes each; a longer text stands alone."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     total = np.concatenate([[0], np.cumsum(lengths)])

@@ -11,32 +11,38 @@ is a calibrated logistic of its highest window, over all its windows.
 Since the model is linear, a word's part in the logit is the mean of one number per
 n-gram; workers get that one vector (1 << BITS numbers), nothing that grows with data.
 
-Training reads a bounded sample: MOST_DOCUMENTS labelled rows, half of each class where
-there are enough, in the order of a hash of doc_id, and MOST_WINDOWS windows of each.
-Scoring reads whole texts.
+Training reads a bounded sample: MOST_DOCUMENTS labelled ids, half of each class where
+there are enough, in the order of a hash of doc_id, one row of each id, and of that row's
+text MOST_WINDOWS windows, drawn where the row lies.  The calibration's documents, a fifth
+of the sample, are scored whole, and only their numbers come back.  Scoring reads whole texts.
 
 Defined results: a null or empty text, or one without words, scores as a window without
 evidence; rows with a null doc_id are scored and never held out; repeated rows each get
 a row; without labelled rows of both classes every score is the share of label 1 among
-them (0 without any); an empty table gives an empty result.
+them (0 without any); an empty table gives an empty result.  Other columns of any name are
+ignored by :func:`judge` and kept by :func:`clean`.  A text is scanned in pieces: a worker
+holds it, some 25 bytes for each of its words, and nothing larger, however long it is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .textscan import U64, Scan, _powers_to, by_row, mix, scan, slices
 
 BITS, WIDTH, WINDOW = 17, 8, 3
 SIZES = (3, 4, 5)
-MOST_DOCUMENTS, MOST_WINDOWS = 2000, 256
+MOST_DOCUMENTS, MOST_WINDOWS = 2000, 768
 SEED = 7
+#: Words whose part in the logit a worker remembers, and words whose n-grams it takes apart at once.
+REMEMBERED, AT_ONCE = 1 << 16, 1 << 13
 
 
 def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,12 +76,6 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return slot[order], word[order]
 
 
-def unique_words(s: Scan) -> tuple[np.ndarray, np.ndarray]:
-    """(a position of each different word, which of them each word is)."""
-    _, first, which = np.unique(s.hash, return_index=True, return_inverse=True)
-    return first, which
-
-
 @dataclass
 class Model:
     """``weight``: each slot's part in the logit; ``bias``; ``slope`` and ``offset`` of the calibration."""
@@ -84,17 +84,35 @@ class Model:
     bias: float
     slope: float
     offset: float
+    _seen: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, dtype=U64), np.zeros(0)), repr=False)
+
+    def parts(self, s: Scan) -> np.ndarray:
+        """Each word's part in the logit; those of up to REMEMBERED words are kept for the next call."""
+        words, first, which = np.unique(s.hash, return_index=True, return_inverse=True)
+        known, values = self._seen
+        at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+        old = known[at] == words if len(known) else np.zeros(len(words), dtype=bool)
+        own = np.empty(len(words))
+        own[old] = values[at[old]]
+        new = np.flatnonzero(~old)
+        for low in range(0, len(new), AT_ONCE):
+            some = new[low : low + AT_ONCE]
+            slot, word = features(s.data, s.start[first[some]], s.end[first[some]])
+            own[some] = np.bincount(word, weights=self.weight[slot], minlength=len(some)) / np.bincount(word, minlength=len(some))
+        if len(known) + len(new) <= REMEMBERED:
+            known, values = np.concatenate([known, words[new]]), np.concatenate([values, own[new]])
+            order = np.argsort(known)
+            self._seen = known[order], values[order]
+        elif len(words) <= REMEMBERED:
+            self._seen = words, own
+        return own[which]
 
     def highest(self, s: Scan) -> np.ndarray:
         """Each row's highest window logit; the bias for rows without words."""
         if not len(s.hash):
             return np.full(s.rows, self.bias)
-        first, which = unique_words(s)
-        slot, word = features(s.data, s.start[first], s.end[first])
-        own = np.bincount(word, weights=self.weight[slot], minlength=len(first)) / np.bincount(word, minlength=len(first))
-        value = own[which]
-        total = np.concatenate([[0.0], np.cumsum(value)])
-        left = np.arange(len(value))
+        total = np.concatenate([[0.0], np.cumsum(self.parts(s))])
+        left = np.arange(len(s.hash))
         right = np.minimum(left + WINDOW, s.bounds[1:][s.row])
         lone = s.bounds[:-1][s.row] == left
         mean = (total[right] - total[left]) / (right - left)
@@ -116,8 +134,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
 
 
-def train(texts: list[str | None], labels: list[int]) -> Model:
-    """The model from labelled texts; the same input gives the same model."""
+def train(texts: list[str | None], labels: list[int], steps: list[int] | None = None, highest: Callable[[Model, np.ndarray], np.ndarray] | None = None) -> Model:
+    """The model from labelled texts; the same input gives the same model.
+
+    ``steps``: how many words a text's windows lie apart, one as a rule, WINDOW where the text is a
+    row of drawn windows.  ``highest``: the highest window logits of the documents with these
+    numbers, for the calibration; by default those of ``texts``.
+    """
     y = np.asarray(labels, dtype=np.int64)
     share = float(y.mean()) if len(y) else 0.0
     if len(np.unique(y)) < 2:
@@ -131,9 +154,7 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
         s = scan(column.slice(low, high - low))
         for r in range(s.rows):
             lo, hi = s.bounds[r], s.bounds[r + 1]
-            starts = np.arange(lo, max(hi - WINDOW + 1, lo + (hi > lo)))
-            if len(starts) > MOST_WINDOWS * WINDOW:
-                starts = rng.choice(starts, MOST_WINDOWS * WINDOW, replace=False)
+            starts = np.arange(lo, max(hi - WINDOW + 1, lo + (hi > lo)), steps[low + r] if steps else 1)
             owner.append(np.full(len(starts), low + r))
             member.append(s.hash[np.stack([np.minimum(starts + k, hi - 1) for k in range(WINDOW)], axis=1)])
         mine = np.isin(s.hash, np.concatenate(member[-s.rows :]).ravel())
@@ -214,8 +235,11 @@ def train(texts: list[str | None], labels: list[int]) -> Model:
             epoch(chosen, y[owner[chosen]], 0.2, 1024)
     out = model()
     fit = np.flatnonzero(keep_out) if len(np.unique(y[keep_out])) == 2 else np.arange(len(y))
-    kept = column.take(pa.array(fit))
-    high = np.concatenate([out.highest(scan(kept.slice(a, b - a))) for a, b in slices(kept, 1 << 18)])
+    if highest is None:
+        kept = column.take(pa.array(fit))
+        high = np.concatenate([out.highest(scan(kept.slice(a, b - a))) for a, b in slices(kept)])
+    else:
+        high = highest(out, fit)
     out.slope, out.offset = _logistic(high, y[fit])
     return out
 
@@ -225,6 +249,16 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
+def drawn(text: str | None, doc_id: int) -> tuple[str | None, int]:
+    """(text, step) for training: the whole text, or MOST_WINDOWS of its windows one after the other."""
+    s = scan(pa.array([text], pa.string()))
+    n = len(s.hash) - WINDOW + 1
+    if n <= MOST_WINDOWS:
+        return text, 1
+    starts = np.sort(np.random.default_rng([SEED, doc_id & 0xFFFFFFFF]).choice(n, MOST_WINDOWS, replace=False))
+    return " ".join(s.word(i + k) for i in starts.tolist() for k in range(WINDOW)), WINDOW
+
+
 def learn(documents: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS) -> Model:
     """Trains on at most ``most`` labelled documents outside the held-out fold."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0))
@@ -233,25 +267,49 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = MOST_DOCUMENTS) -
     wanted = {r.doc_id: r.toxic for part in picked for r in part.collect()}
     if not wanted:
         return train([], [])
-    ids = documents.sparkSession.createDataFrame([(k,) for k in wanted], "doc_id long")
-    found = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()
-    found = sorted({r.doc_id: r.text for r in sorted(found, key=lambda r: (r.doc_id, r.text or ""))}.items())
-    return train([t for _, t in found], [wanted[k] for k, _ in found])
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "toxicity")
+    ids = spark.createDataFrame([(k,) for k in wanted], "doc_id long")
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
+    chosen = scratch.write(found, "chosen")
 
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [drawn(t, i) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in got], pa.string()), pa.array([k for _, k in got], pa.int32())], ["doc_id", "text", "step"])
 
-def score_documents(documents: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, score."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    sample = sorted(chosen.mapInArrow(draw, "doc_id long, text string, step int").collect(), key=lambda r: r.doc_id)
+    numbers = {r.doc_id: k for k, r in enumerate(sample)}
+
+    def highest(model: Model, fit: np.ndarray) -> np.ndarray:
+        scored = {r.doc_id: r.score for r in _mapped(chosen, model.highest).collect()}
+        of = {numbers[i]: x for i, x in scored.items()}
+        return np.array([of[int(k)] for k in fit])
+
+    try:
+        return train([r.text for r in sample], [wanted[r.doc_id] for r in sample], [r.step for r in sample], highest)
+    finally:
+        scratch.drop()
+
+
+def _mapped(documents: DataFrame, function: Callable[[Scan], np.ndarray]) -> DataFrame:
+    """Per row: doc_id, and ``function`` of its scanned text as ``score``."""
+    shared = documents.sparkSession.sparkContext.broadcast(function)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(shared.value.score(scan(texts.slice(a, b - a))))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(shared.value(scan(texts.slice(a, b - a))))], ["doc_id", "score"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def score_documents(documents: DataFrame, model: Model) -> DataFrame:
+    """Per row: doc_id, score."""
+    return _mapped(documents, model.score)
+
+
 def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
     scored = score_documents(documents, learn(documents, labels))
