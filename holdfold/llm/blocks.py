@@ -1,8 +1,9 @@
 """Comparing all members of a group without one task holding the group.
 
-Groups are cut into chunks of about SIZE members, and each pair of chunks is a task of
-its own; small groups share tasks.  A member is copied once per chunk of its group, and
-results leave a task as counts and spanning edges, never as all pairs.
+Groups are cut into chunks of about SIZE members, or fewer where members are heavy, and each
+pair of chunks is a task of its own; small groups share tasks, as many as their weight asks
+for.  A member is copied once per chunk of its group, and results leave a task as counts and
+spanning edges, never as all pairs.
 """
 
 from __future__ import annotations
@@ -11,22 +12,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIZE = 1024
+#: Members, and their weight (numbers of 8 bytes), in a chunk.
+SIZE, HEAVY = 512, 1 << 20
 
 
-def deal(members: DataFrame, group: str, member: str, size: int = SIZE) -> DataFrame:
-    """``members`` with ``part`` (string, what to compare within) and ``side``.
+def deal(members: DataFrame, group: str, member: str, size: int = SIZE, weight: str | None = None, tasks: int = 1) -> DataFrame:
+    """``members`` with ``part`` (string, what to compare within), ``side`` and ``task`` (long, what to group by).
 
     Where a part pairs two chunks (:func:`crossing`), only members of different sides are compared.
+    ``weight``: a column of the members' weights; ``tasks``: over how many tasks whole groups are spread.
     """
-    sizes = members.groupBy(group).agg(F.count("*").alias("_n"))
+    heavy = F.ceil(F.sum(weight) / HEAVY) if weight else F.lit(1)
+    sizes = members.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / size), heavy).cast("int").alias("_chunks"))
     rows = members.join(sizes, group)
-    chunks = F.ceil(F.col("_n") / size).cast("int")
+    chunks = F.col("_chunks")
     chunk = F.pmod(F.xxhash64(F.lit(17), member), chunks).cast("int")
     pair = lambda k: F.struct(F.least(chunk, k).alias("a"), F.greatest(chunk, k).alias("b"), F.when(chunk <= k, 0).otherwise(1).alias("side"))
-    rows = rows.withColumn("_chunks", chunks).withColumn("_pair", F.explode(F.when(chunks <= 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side")))).otherwise(F.transform(F.sequence(F.lit(0), chunks - 1), pair))))
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side")))
+    rows = rows.withColumn("_pair", F.explode(F.when(chunks <= 1, whole).otherwise(F.transform(F.sequence(F.lit(0), chunks - 1), pair))))
     part = F.concat_ws("/", F.col(group).cast("string"), F.col("_pair.a").cast("string"), F.col("_pair.b").cast("string"))
-    return rows.withColumns({"part": part, "side": F.col("_pair.side")}).drop("_pair", "_chunks", "_n")
+    own = F.xxhash64("part")
+    task = F.when(chunks <= 1, F.pmod(own, F.lit(tasks))).otherwise(own)
+    return rows.withColumns({"part": part, "side": F.col("_pair.side")}).withColumn("task", task).drop("_pair", "_chunks")
 
 
 def crossing(part: str) -> bool:

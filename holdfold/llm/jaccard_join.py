@@ -9,9 +9,13 @@ spanning edges, not pairs.
 
 Defined results: n-grams are runs of five words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``,
 A-Z lower-cased); a document with fewer words has one n-gram, all its words; one without
-words, null texts included, links with nothing and is kept.  A row with a null doc_id is
-judged under an id of its own, a negative number made from its text, and returned with a
-null doc_id.  Repeated rows are copies of each other.  An empty table gives an empty result.
+words, null texts included, links with nothing and is kept.  What links is a row's text:
+rows of one doc_id with different texts belong to different classes and keep apart.  A row
+with a null doc_id is judged under an id of its own, a negative number made from its text,
+and returned with a null doc_id.  Repeated rows are copies of each other.  An empty table
+gives an empty result.  Further columns, whatever their names, are ignored by :func:`classes`
+and kept by :func:`representatives`.  Long texts are scanned in pieces; a worker holds a
+text and its n-gram hashes.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import crossing, deal, spanning
+from .blocks import HEAVY, crossing, deal, spanning
 from .components import connected_components
 from .scratch import Scratch
 from .textscan import U64, by_row, mix, scan, shingles, slices
@@ -51,17 +55,22 @@ def own_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), -F.shiftrightunsigned(F.xxhash64("text"), 2) - 1)
 
 
+def text_key() -> Column:
+    """Tells rows of one id apart: equal for equal texts."""
+    return F.xxhash64("text")
+
+
 def signatures(documents: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """(id, doc_id, class, bands): per document, its n-gram set's 128-bit hash and band hashes; null class without words."""
+    """(id, key, doc_id, class, bands): per row, its n-gram set's 128-bit hash and band hashes; null class without words."""
     bands, rows = bands_and_rows(threshold)
     rng = np.random.default_rng(20)
     odd = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * U64(2) + U64(1)
-    schema = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, given, texts = batch.columns
-            for a, b in slices(texts, 1 << 20):
+            *given, texts = batch.columns
+            for a, b in slices(texts):
                 value, bounds = shingles(scan(texts.slice(a, b - a)), words)
                 n = b - a
                 full = np.diff(bounds) > 0
@@ -77,26 +86,26 @@ def signatures(documents: DataFrame, threshold: float = THRESHOLD, words: int =
                 name = [key[r].tobytes() if full[r] else None for r in range(n)]
                 flat = pa.array(hashed.view(np.int64).ravel())
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, n), given.slice(a, n), pa.array(name, pa.binary()), listed], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(x.slice(a, n) for x in given), pa.array(name, pa.binary()), listed], schema=schema)
 
     doc_id = F.col("doc_id").cast("long")
     own = own_id()
-    return documents.select(own.alias("id"), doc_id.alias("doc_id"), "text").mapInArrow(run, "id long, doc_id long, class binary, bands array<long>")
+    return documents.select(own.alias("id"), text_key().alias("key"), doc_id.alias("doc_id"), "text").mapInArrow(run, "id long, key long, doc_id long, class binary, bands array<long>")
 
 
 def n_gram_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """``rows`` (id, n, part, text) with the text replaced by its sorted n-gram hashes ``grams``."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("part", pa.int64()), ("grams", pa.list_(pa.int64()))])
+    """``rows`` (id, n, grp, text) with the text replaced by its sorted n-gram hashes ``grams``."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("grp", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, part, texts = batch.columns
+            *given, texts = batch.columns
             for a, b in slices(texts):
                 value, bounds = shingles(scan(texts.slice(a, b - a)), words)
                 listed = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([x.slice(a, b - a) for x in (ids, n, part)] + [listed], schema=schema)
+                yield pa.RecordBatch.from_arrays([x.slice(a, b - a) for x in given] + [listed], schema=schema)
 
-    return rows.select("id", "n", "part", "text").mapInArrow(run, "id long, n long, part long, grams array<long>")
+    return rows.select("id", "n", "grp", "text").mapInArrow(run, "id long, n long, grp long, grams array<long>")
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, threshold: float, width: int = 4096) -> np.ndarray:
@@ -152,50 +161,72 @@ def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return members.groupBy("task").applyInArrow(run, "id long, links long, other long")
 
 
-def classes(documents: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """Per row: _id (the id it is judged under), doc_id, class_id (smallest id with the same n-gram set), component_id (smallest reachable id), n_links, kept.
+def judged(documents: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """Per row: id and key (what it is judged under), doc_id, class_id, component_id, links, and lead: whether it stands for its component.
 
-    n_links counts the other rows linked directly, those of the same class included; kept: the row has its component's smallest id.
+    A component's lead is the (id, key) that is smallest in it; rows without words are leads of their own.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard")
     signed = scratch.write(signatures(documents, threshold, words), "signatures")
-    by_class = signed.where("class is not null").groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    by_class = scratch.write(by_class, "classes")
-    reps = signed.where("class is not null").select("id", "class", "bands").join(by_class, "class").where("id = rep").select("rep", "bands")
-    met = reps.select("rep", F.explode("bands").alias("band")).distinct()
-    buckets = met.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
-    edges = met.join(buckets.select("band", "least"), "band").where("rep <> least").select(F.col("least").alias("src"), F.col("rep").alias("dst")).distinct()
+    full = signed.where("class is not null")
+    by_class = full.groupBy("class").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("n"))
+    by_class = scratch.write(by_class.withColumn("node", F.monotonically_increasing_id()), "classes")
+    first = by_class.select("node", "n", F.col("first.id").alias("id"), F.col("first.key").alias("key"))
+    met = full.select("id", "key", F.explode("bands").alias("band")).join(first, ["id", "key"]).select("node", "band").distinct()
+    met = scratch.write(met, "bands")
+    buckets = met.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
+    edges = met.join(buckets.select("band", "least"), "band").where("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()
     candidates = connected_components(edges, scratch, "candidates")
-    members = candidates.join(by_class, candidates.node == by_class.rep).select(F.col("node").alias("id"), "n", F.col("component").alias("part"))
-    own = own_id()
-    texts = documents.select(own.alias("id"), "text").join(members, "id")
-    sets = scratch.write(n_gram_sets(texts, words), "sets")
-    dealt = deal(sets.withColumnRenamed("part", "grp"), "grp", "id")
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.withColumn("task", F.when(F.col("part").endswith("/0/0"), F.pmod(F.xxhash64("part"), F.lit(tasks * 4))).otherwise(F.xxhash64("part")))
-    checked = scratch.write(verify(dealt, threshold), "checked")
+    scratch.drop("bands")
+    members = candidates.join(first, "node").select("id", "key", "node", "n", F.col("component").alias("grp"))
+    texts = documents.select(own_id().alias("id"), text_key().alias("key"), "text").join(members, ["id", "key"])
+    texts = texts.groupBy("id", "key").agg(*(F.first(c).alias(c) for c in ("node", "n", "grp", "text")))
+    sets = scratch.write(n_gram_sets(texts.select(F.col("node").alias("id"), "n", "grp", "text"), words).withColumn("weight", F.size("grams")), "sets")
+    weight = sets.agg(F.sum("weight")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, weight // HEAVY)
+    checked = scratch.write(verify(deal(sets, "grp", "id", weight="weight", tasks=tasks), threshold), "checked")
+    scratch.drop("sets")
     groups = connected_components(checked.select(F.col("id").alias("src"), F.col("other").alias("dst")), scratch, "groups")
-    links = checked.groupBy("id").agg(F.sum("links").alias("links"))
-    found = by_class.join(links, by_class.rep == links.id, "left").drop("id").join(groups, F.col("rep") == groups.node, "left")
-    found = found.select("class", "rep", F.coalesce("component", "rep").alias("component"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = signed.select("id", "doc_id", "class").join(found, "class", "left")
-    component = F.coalesce("component", "id")
+    links = checked.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "node")
+    leads = groups.join(by_class.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("lead"))
+    found = by_class.join(links, "node", "left").join(groups.join(leads, "component").select("node", "lead"), "node", "left")
+    found = found.select("class", "first", F.coalesce("lead", "first").alias("lead"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    out = signed.select("id", "key", "doc_id", "class").join(found, "class", "left")
     return out.select(
-        F.col("id").alias("_id"), "doc_id", F.coalesce("rep", "id").alias("class_id"), component.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), (F.col("id") == component).alias("kept")
+        "id",
+        "key",
+        "doc_id",
+        F.coalesce("first.id", "id").alias("class_id"),
+        F.coalesce("lead.id", "id").alias("component_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+        F.coalesce((F.col("lead.id") == F.col("id")) & (F.col("lead.key") == F.col("key")), F.lit(True)).alias("lead"),
+        F.col("class").isNull().alias("bare"),
     )
 
 
+def classes(documents: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """Per row: doc_id, class_id (smallest id with the same n-gram set), component_id (smallest reachable id), n_links, kept.
+
+    n_links counts the other rows linked directly, those of the same class included; kept: the row has its component's smallest id.
+    """
+    rows = judged(documents.select("doc_id", "text"), threshold, words)
+    return rows.select("doc_id", "class_id", "component_id", F.col("links").alias("n_links"), (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 def representatives(documents: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """The rows of ``documents``, all their columns, that are kept; of rows with one id, one."""
+    """The rows of ``documents``, all their columns: of each component one, and all rows without words."""
     scratch = Scratch(documents.sparkSession, "kept")
-    own = own_id()
-    found = classes(documents.select("doc_id", "text"), threshold, words)
-    by_id = found.select(F.col("_id"), "kept").groupBy("_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    odd = scratch.write(by_id.where("n > 1 or not kept"), "odd")
-    rows = documents.withColumn("_id", own)
-    out = rows.join(odd.select("_id"), "_id", "left_anti").drop("_id")
-    again = odd.where("kept").select("_id")
+    rows = judged(documents.select("doc_id", "text"), threshold, words).where("not bare")
+    spare = lambda name: next(n for k in range(len(documents.columns) + 1) if (n := name + "_" * k) not in documents.columns)
+    own, key, whole = spare("own_id"), spare("text_key"), spare("row")
+    by_key = rows.groupBy("id", "key").agg(F.count("*").alias("n"), F.max("lead").alias("lead"))
+    odd = scratch.write(by_key.where("n > 1 or not lead").select(F.col("id").alias(own), F.col("key").alias(key), "lead"), "odd")
+    given = documents.withColumns({own: own_id(), key: text_key()})
+    out = given.join(odd.select(own, key), [own, key], "left_anti").drop(own, key)
+    again = odd.where("lead").select(own, key)
     if again.limit(1).count():
-        out = out.unionByName(rows.join(again, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id"))
+        hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in documents.schema if f.dataType.typeName() != "map"])
+        of_equal = given.join(again, [own, key], "left_semi").groupBy(own, key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in documents.columns]), hashed).alias(whole))
+        out = out.unionByName(of_equal.select(f"{whole}.*"))
     return out

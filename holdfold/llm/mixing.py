@@ -9,19 +9,25 @@ Sampling: every document is taken ``whole`` times, the whole part of target / si
 rest of the target is a seeded sample of further documents.  A document's mark is a hash
 of its id, text and source; a source takes the marks up to a cut such that the next would
 overshoot, then, in FILLS further passes, those of the remaining documents that still
-fit.  A cut is found from a histogram of marks and a running sum within one bucket of it,
-so no source, however large, is gathered in one task.  The decision is a function of a
-row and its source's few numbers.
+fit.  Equal rows share a mark and are told apart by their place in the table of sizes, so a
+cut may go through them; as they are equal, the mixture is the same whichever are taken.
+A cut is found from sums by histogram bucket of marks, then by mark, then by partition of
+the table, then by place, so no source and no group of equal rows is gathered in one task.
+Sizes are counted once and written, with the kept columns, as the table of sizes.
 
-The table of sources is ordered in one task; it has one row per distinct source.
+The table of sources is ordered in one task; it has one row per distinct source (some 50
+bytes, and sorting spills).
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
-the order; equal rows (id, text and source) are taken alike; sources without words have
-target 0 and nothing taken; an empty table gives an empty result.
+the order; equal rows (id, text and source) are told apart by place alone; sources without
+words have target 0 and nothing taken; an empty table gives an empty result.  Columns of the
+input named like those added (size, source_size, target, copies, taken; repeat in
+:func:`sample`) are replaced.  A text is counted where it lies and held once.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,65 +65,82 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float
     return listed.select("sid", "source", "source_size", "weight", target.alias("target"))
 
 
+def _edge(sums: DataFrame, want: DataFrame, keys: list[str], by: str) -> tuple[DataFrame, DataFrame]:
+    """Of ``sums`` (keys, by, n), added up in the order of ``by``: (keys, last, below) of what stays within ``want`` (keys, left), and (keys, by, left) of what comes next."""
+    upto = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    total = sums.withColumn("total", F.sum("n").over(upto)).join(want, keys)
+    within = total.where("total <= left").groupBy(*keys).agg(F.max(by).alias("last"))
+    after = total.where("total > left").groupBy(*keys).agg(F.min(F.struct(by, (F.col("left") - (F.col("total") - F.col("n"))).alias("left"))).alias("next"))
+    return within, after.select(*keys, f"next.{by}", "next.left")
+
+
 def _cuts(marks: DataFrame, want: DataFrame) -> DataFrame:
-    """(sid, cut): the largest mark up to which the sums of ``marks`` (sid, mark, size) stay within ``want`` (sid, left)."""
-    marks = marks.withColumn("bucket", F.shiftright("mark", 63 - _BUCKET_BITS))
-    upto = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = marks.groupBy("sid", "bucket").agg(F.sum("size").alias("n"), F.max("mark").alias("high"))
-    sums = sums.withColumn("total", F.sum("n").over(upto)).join(want, "sid")
-    full = sums.where("total <= left").groupBy("sid").agg(F.max("high").alias("cut"), F.max("total").alias("below"))
-    first = sums.where("total > left").groupBy("sid").agg(F.min("bucket").alias("bucket"))
-    edge = first.join(full, "sid", "left").join(want, "sid").select("sid", "bucket", F.coalesce("below", F.lit(0)).alias("below"), "left")
-    running = Window.partitionBy("sid").orderBy("mark").rowsBetween(Window.unboundedPreceding, 0)
-    inner = marks.join(edge, ["sid", "bucket"]).groupBy("sid", "mark").agg(F.sum("size").alias("n"), F.first("below").alias("below"), F.first("left").alias("left"))
-    inner = inner.withColumn("total", F.col("below") + F.sum("n").over(running)).where("total <= left").groupBy("sid").agg(F.max("mark").alias("cut"))
-    return full.select("sid", "cut").union(inner).groupBy("sid").agg(F.max("cut").alias("cut"))
-
-
-def plan(documents: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = MAX_EPOCHS, total: float = TOTAL, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
-    """One row per source: source, source_size, target, whole, and cuts, an array of (limit, cut)."""
-    scratch = scratch or Scratch(documents.sparkSession, "mixing")
-    rows = scratch.write(documents.select("source", size_of(F.col("text")).alias("size"), mark_of(seed).alias("mark")), "rows")
+    """(sid, cut): the largest (mark, place) up to which the sums of ``marks`` (sid, mark, place, size) stay within ``want`` (sid, left)."""
+    marks = marks.withColumns({"bucket": F.shiftright("mark", 63 - _BUCKET_BITS), "part": F.shiftright("place", 33)})
+    buckets, edge = _edge(marks.groupBy("sid", "bucket").agg(F.sum("size").alias("n")), want, ["sid"], "bucket")
+    inside = marks.join(edge.drop("left"), ["sid", "bucket"])
+    whole, tied = _edge(inside.groupBy("sid", "mark").agg(F.sum("size").alias("n")), edge.drop("bucket"), ["sid"], "mark")
+    equal = inside.join(tied.drop("left"), ["sid", "mark"])
+    parts, last = _edge(equal.groupBy("sid", "part").agg(F.sum("size").alias("n")), tied.drop("mark"), ["sid"], "part")
+    rows, _ = _edge(equal.join(last.drop("left"), ["sid", "part"]).select("sid", "place", F.col("size").alias("n")), last.drop("part"), ["sid"], "place")
+    most = F.lit((1 << 63) - 1)
+    mark = tied.select("sid", "mark")
+    cut = lambda mark, place: F.struct(mark.alias("mark"), place.alias("place")).alias("cut")
+    found = [
+        buckets.select("sid", cut(F.shiftleft(F.col("last") + 1, 63 - _BUCKET_BITS) - 1, most)),
+        whole.select("sid", cut(F.col("last"), most)),
+        parts.join(mark, "sid").select("sid", cut(F.col("mark"), F.shiftleft(F.col("last") + 1, 33) - 1)),
+        rows.join(mark, "sid").select("sid", cut(F.col("mark"), F.col("last"))),
+    ]
+    return functools.reduce(DataFrame.union, found).groupBy("sid").agg(F.max("cut").alias("cut"))
+
+
+def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = MAX_EPOCHS, total: float = TOTAL, scratch: Scratch | None = None) -> DataFrame:
+    """Of ``rows`` (source, size, mark, place), one row per source: source, source_size, target, whole, and cuts, an array of (limit, mark, place)."""
+    scratch = scratch or Scratch(rows.sparkSession, "mixing")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs, total)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
-    none = F.array().cast("array<struct<limit:double,cut:bigint>>")
+    none = F.array().cast("array<struct<limit:double,mark:bigint,place:bigint>>")
     sources = scratch.write(sources.withColumn("whole", whole).withColumns({"left": F.col("target") - F.col("whole") * F.col("source_size"), "cuts": none}), "sources-0")
     slim = sources.select("sid", F.col("source").alias("_source"))
-    rows = scratch.write(rows.join(slim, F.col("source").eqNullSafe(F.col("_source"))).select("sid", "size", "mark").where("size > 0"), "marks")
+    marks = scratch.write(rows.select("source", "size", "mark", "place").join(slim, F.col("source").eqNullSafe(F.col("_source"))).select("sid", "size", "mark", "place").where("size > 0"), "marks")
     for k in range(FILLS + 1):
         state = sources.select("sid", "left", "cuts")
-        open_rows = rows.join(state, "sid").where((F.col("size") <= F.col("left") + 1e-6) & ~extra())
-        cuts = _cuts(open_rows.select("sid", "mark", "size"), sources.select("sid", (F.col("left") + 1e-6).alias("left")))
+        open_rows = marks.join(state, "sid").where((F.col("size") <= F.col("left") + 1e-6) & ~extra())
+        cuts = _cuts(open_rows.select("sid", "mark", "place", "size"), sources.select("sid", (F.col("left") + 1e-6).alias("left")))
         cuts = scratch.write(cuts, f"cuts-{k}")
-        taken = open_rows.join(cuts, "sid").where("mark <= cut").groupBy("sid").agg(F.sum("size").alias("took"))
-        added = F.when(F.col("cut").isNotNull(), F.array(F.struct((F.col("left") + 1e-6).alias("limit"), F.col("cut")))).otherwise(none)
+        taken = open_rows.join(cuts, "sid").where(F.struct("mark", "place") <= F.col("cut")).groupBy("sid").agg(F.sum("size").alias("took"))
+        added = F.when(F.col("cut").isNotNull(), F.array(F.struct((F.col("left") + 1e-6).alias("limit"), "cut.mark", "cut.place"))).otherwise(none)
         sources = sources.join(cuts, "sid", "left").join(taken, "sid", "left")
         sources = sources.withColumns({"cuts": F.concat("cuts", added), "left": F.col("left") - F.coalesce("took", F.lit(0))}).drop("cut", "took")
         sources = scratch.write(sources, f"sources-{k + 1}")
-    scratch.drop("rows")
+        scratch.drop(f"cuts-{k}")
+        scratch.drop(f"sources-{k}")
     scratch.drop("marks")
     return sources.drop("left")
 
 
 def extra() -> Column:
-    """Whether a row with ``size`` and ``mark`` is sampled by its source's ``cuts``."""
-    return F.exists("cuts", lambda c: (F.col("size") <= c["limit"]) & (F.col("mark") <= c["cut"]))
+    """Whether a row with ``size``, ``mark`` and ``place`` is sampled by its source's ``cuts``."""
+    return F.exists("cuts", lambda c: (F.col("size") <= c["limit"]) & ((F.col("mark") < c["mark"]) | ((F.col("mark") == c["mark"]) & (F.col("place") <= c["place"]))))
+
+
+ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
-def mixed(documents: DataFrame, seed: int = SEED, **given) -> DataFrame:
-    """``documents``, all their columns, with size, source_size, target, copies and taken (words)."""
-    names = documents.columns
-    sources = plan(documents, seed=seed, **given).select(F.col("source").alias("_source"), "source_size", "target", "whole", "cuts")
-    sources = sources.select("_source", *[F.col(c).alias(f"_{c}") for c in sources.columns[1:]])
-    rows = documents.withColumns({"_size": size_of(F.col("text")), "_mark": mark_of(seed)}).join(sources, F.col("source").eqNullSafe(F.col("_source")))
-    sampled = F.exists("_cuts", lambda c: (F.col("_size") <= c["limit"]) & (F.col("_mark") <= c["cut"]) & (F.col("_size") > 0))
-    rows = rows.withColumn("_copies", F.col("_whole") + sampled.cast("long"))
-    given_columns = [F.col(c) for c in names if c not in ("size", "source_size", "target", "copies", "taken")]
-    return rows.select(*given_columns, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"), (F.col("_size") * F.col("_copies")).alias("taken"))
+def mixed(documents: DataFrame, seed: int = SEED, keep: Sequence[str] | None = None, **given) -> DataFrame:
+    """``documents``, all their columns or those of ``keep``, with size, source_size, target, copies and taken (words)."""
+    scratch = Scratch(documents.sparkSession, "mixing")
+    kept = [c for c in (documents.columns if keep is None else keep) if c not in ADDED]
+    sized = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "source", size_of(F.col("text")).alias("size"), mark_of(seed).alias("mark"), F.monotonically_increasing_id().alias("place"))
+    rows = scratch.write(sized, "sizes")
+    sources = plan(rows, scratch=scratch, **given).select(F.col("source").alias("_source"), "source_size", "target", "whole", "cuts")
+    found = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", F.col("whole") + (extra() & (F.col("size") > 0)).cast("long"))
+    return found.withColumn("taken", F.col("size") * F.col("copies")).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *ADDED)
 
 
 def sample(documents: DataFrame, **given) -> DataFrame:
-    """The mixture itself: each document as often as it is taken, with ``repeat`` from 1."""
-    names = documents.columns
-    rows = mixed(documents, **given).where("copies > 0")
-    return rows.select(*names, "taken", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("repeat"))
+    """The mixture itself: each document as often as it is taken, with ``taken`` and with ``repeat`` from 1."""
+    names = [c for c in documents.columns if c not in ("taken", "repeat")]
+    rows = mixed(documents.select(*[F.col(f"`{c}`") for c in names]).withColumn("_given", F.struct(*[F.col(f"`{c}`") for c in names])), keep=["_given"], **given).where("copies > 0")
+    return rows.select(*[F.col(f"_given.`{c}`").alias(c) for c in names], "taken", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("repeat"))

@@ -36,7 +36,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.classes(table(spark, sf_dir, "documents")).drop("_id")
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.mixed(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,8 +173,9 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch):
             w[i] = f"n{k}"
         texts.append(" ".join(w))
     near = brute_jaccard(texts)
-    for size in (1024, 8):  # 8: the group is cut into chunks
-        monkeypatch.setattr("holdfold.llm.blocks.deal.__defaults__", (size,))
+    for size, heavy in ((512, 1 << 20), (8, 1 << 20), (512, 3000)):  # the group is cut into chunks, by members or weight
+        monkeypatch.setattr("holdfold.llm.blocks.deal.__defaults__", (size, None, 1))
+        monkeypatch.setattr("holdfold.llm.blocks.HEAVY", heavy)
         rows = {r.doc_id: r for r in jaccard_join.classes(docs_of(spark, texts).withColumn("class", F.lit(0))).collect()}
         degree = Counter(x for pair in near for x in pair)
         assert [rows[k].n_links for k in range(len(texts))] == [degree[k] for k in range(len(texts))]
@@ -184,10 +185,37 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch):
                 parent[i] = parent[j] = min(parent[i], parent[j])
         assert [rows[k].component_id for k in range(len(texts))] == parent
     kept = jaccard_join.representatives(docs_of(spark, texts).union(docs_of(spark, texts)))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(parent)) and kept.columns == docs_of(spark, texts).columns
+    bare = [k for k, t in enumerate(texts) if not words(t)]  # rows without words are copies of nothing
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([*set(parent), *bare]) and kept.columns == docs_of(spark, texts).columns
     assert jaccard_join.classes(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_jaccard_join_tells_rows_of_one_id_apart(spark):
+    """Rows of one id with different texts keep apart; no text is lost, whatever ids repeat."""
+    a, b = prose(1, 60), prose(2, 60)
+    df = spark.createDataFrame([(1, a, "x", 9), (1, b, "y", 8), (2, a, "x", 7), (3, b, "y", 6)], "doc_id long, text string, own_id string, text_key int")
+    assert sorted(tuple(r) for r in jaccard_join.classes(df).collect()) == [(1, 1, 1, 1, True), (1, 1, 1, 1, True), (2, 1, 1, 1, False), (3, 1, 1, 1, False)]
+    assert sorted(tuple(r) for r in jaccard_join.representatives(df).collect()) == sorted([(1, a, "x", 9), (1, b, "y", 8)])
+    rng = np.random.default_rng(3)
+    texts, ids = [], []
+    for k in range(120):
+        w = prose(k // 6, 60).split()
+        w[int(rng.integers(60))] = f"n{k % 4}"
+        texts.append(" ".join(w))
+        ids.append(int(rng.integers(40)))
+    near = brute_jaccard(texts)
+    rows = [*zip(ids, texts, strict=True)]
+    got = sorted((r.doc_id, r.n_links) for r in jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    degree = Counter(x for pair in near for x in pair)
+    assert got == sorted((ids[k], degree[k]) for k in range(120))
+    kept = [r.text for r in jaccard_join.representatives(spark.createDataFrame(rows * 2, "doc_id long, text string")).collect()]
+    parent = list(range(120))
+    for _ in texts:
+        for i, j in near:
+            parent[i] = parent[j] = min(parent[i], parent[j])
+    assert len(kept) == len(set(parent)) == len({parent[texts.index(t)] for t in kept})
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f", 1), (None, "a b c d e f", 1), (None, "z", 1), (4, "a b c d e f", 1)], "doc_id long, text string, extra int")
     rows = jaccard_join.classes(df).collect()
@@ -269,8 +297,9 @@ def test_mixing(spark):
     texts = [None if k == 5 else prose(k, int(rng.integers(1, 200))) for k in range(600)]
     sources = [["b", "a", None, "c", "ä"][k % 5] if k % 3 else "hot" for k in range(600)]
     docs = docs_of(spark, texts, sources)
-    docs = docs.union(docs.where("doc_id < 3")).withColumn("size", F.lit("clash"))
-    out = mixing.mixed(docs.drop("size")).collect()
+    docs = docs.union(docs.where("doc_id < 3")).withColumns({"size": F.lit("clash"), "taken": F.lit("clash"), "mark": F.lit("clash"), "place": F.lit("clash")})
+    out = mixing.mixed(docs).collect()
+    assert "clash" not in {out[0]["size"], out[0].taken} and out[0].mark == out[0].place == "clash"
     size = Counter()
     for r in out:
         size[r.source] += r.size
@@ -293,10 +322,24 @@ def test_mixing(spark):
         taken[r.source] += r.taken
         assert abs(r.target - target[r.source]) < 1e-6 * max(1, target[r.source]) and r.source_size == size[r.source] and r.taken <= 3 * r.size
     assert all(abs(taken[s] - target[s]) <= max(0.05 * target[s], 10) for s in size)
-    again = mixing.mixed(docs.drop("size")).collect()
+    again = mixing.mixed(docs.repartition(7), keep=["doc_id"]).collect()
     assert Counter((r.doc_id, r.taken) for r in out) == Counter((r.doc_id, r.taken) for r in again)
     assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.mixed(docs_of(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0
-    assert mixing.sample(docs.drop("size")).agg(F.count("*")).first()[0] == sum(r.copies for r in out)
+    drawn = mixing.sample(docs.withColumn("repeat", F.lit("clash")))
+    assert drawn.count() == sum(r.copies for r in out) and drawn.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "mark", "place", "taken", "repeat"]
+
+
+def test_mixing_splits_equal_rows(spark):
+    """A cut goes through equal rows: no more words are missing than one row has."""
+    same = prose(1, 50)
+    rows = [(1, same, "a")] * 40 + [(k, prose(k, 50), "b") for k in range(2, 46)] + [(k, "x", "c") for k in range(100, 104)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mixed(docs, weights=(5, 3, 2)).collect()
+    for name in "ab":
+        mine = [r for r in out if r.source == name]
+        assert 0 <= mine[0].target - sum(r.taken for r in mine) < 50 and mine[0].target % mine[0].source_size > 50
+    again = mixing.mixed(docs.repartition(3), weights=(5, 3, 2)).collect()
+    assert Counter((r.doc_id, r.taken) for r in out) == Counter((r.doc_id, r.taken) for r in again)
 
 
 def brute_spans(t):
