@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -279,19 +280,72 @@ def test_embedding_bound_keeps_every_link():
         assert dim < 64 or shift or embedding_dedup.possible(coder.sketch(u[1:]), coder.sketch(u[:-1]), 0.9).mean() < 0.1
 
 
+def brute_overlap(doc, item):
+    """The most equal words of a segment, on any diagonal, that has enough of them; None without."""
+    best = None
+    need = min(13, -(-4 * len(item) // 5))
+    for d in range(-len(item) + 1, len(doc)):
+        same = [doc[d + j] == item[j] if 0 <= d + j < len(doc) else None for j in range(len(item))]
+        for a in range(len(item)):
+            n = 0
+            for b in range(a, len(item)):
+                if same[b] is None:
+                    if n:
+                        break
+                    continue
+                n += same[b]
+                if same[a] and n >= need and 5 * n >= 4 * (b - a + 1):
+                    best = max(best or 0, n)
+    return best
+
+
 def test_decontamination(spark):
     item = prose(77, 40, 100_000)
     w = item.split()
     swapped = " ".join("x" if k % 9 == 4 else x for k, x in enumerate(w))
-    texts = [prose(1, 200) + " " + item + " " + prose(2, 50), swapped, " ".join(w[:9]), " ".join(w[10:26]), prose(3, 3000), None, "", "one two three four five six", " ".join("y" if k % 2 else x for k, x in enumerate(w))]
-    bench = spark.createDataFrame([(0, item), (1, None), (2, ""), (3, "One two, three four five six!"), (0, item), (4, "a b")], "item_id long, text string")
-    docs = docs_of(spark, texts)
+    texts = [prose(1, 200) + " " + item + " " + prose(2, 50), swapped, " ".join(w[:9]), " ".join(w[10:26]), prose(3, 3000), None, "", "one two three four five six", " ".join("y" if k % 2 else x for k, x in enumerate(w)), "and a b too"]
+    bench = spark.createDataFrame([(0, item, "x"), (1, None, "x"), (2, "", "x"), (3, "One two, three four five six!", "x"), (0, item, "y"), (4, "a b", "x"), (None, "THREE four", "x")], "item_id long, text string, doc_id string")
+    docs = docs_of(spark, texts).withColumns({"item_id": F.lit("clash"), "n_same": F.lit("clash")})
     got = {(r.doc_id, r.item_id) for r in decontamination.overlaps(docs, bench).collect()}
-    assert got == {(0, 0), (1, 0), (3, 0), (7, 3)}
-    assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [2, 4, 5, 6, 8]
+    assert got == {(0, 0), (1, 0), (3, 0), (7, 3), (7, -1), (9, 4)} and decontamination.overlaps(docs, bench).count() == 6
+    kept = decontamination.clean(docs, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6, 8, 9] and kept.columns == docs.columns
     assert decontamination.overlaps(docs.limit(0), bench).count() == 0 and decontamination.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_against_brute_force():
+    """Items of every length up to 20 words, with substitutions, cut at edges, in texts of few different words."""
+    rng = np.random.default_rng(9)
+    found = wanted = 0
+    for round_ in range(60):
+        vocabulary = [3, 30, 500][round_ % 3]
+        items = [[f"v{x}" for x in rng.integers(0, vocabulary, n)] for n in rng.integers(1, 21, 6)]
+        docs = []
+        for item in items:
+            other = [f"v{x}" if vocabulary < 100 else f"u{x}" for x in rng.integers(0, vocabulary, 12)]
+            copy = list(item)
+            for k in rng.integers(0, len(copy), rng.integers(0, 4)):
+                copy[k] = "sub"
+            docs.append(other[:6] * int(rng.integers(2)) + copy[int(rng.integers(2)) :] + other[6:] * int(rng.integers(2)))
+        index = decontamination.Index([(k, " ".join(x)) for k, x in enumerate(items)])
+        got = {(h.row, h.item_id): h for h in index.find(scan(pa.array([" ".join(x) for x in docs])))}
+        for (r, i), h in got.items():
+            assert sum(docs[r][h.doc_start + k] == items[i][h.item_start + k] for k in range(h.n_words)) == h.n_same
+        for r, i in itertools.product(range(6), range(6)):
+            best = brute_overlap(docs[r], items[i])
+            wanted += best is not None
+            found += (r, i) in got
+            assert ((r, i) in got) == (best is not None) and (best is None or got[r, i].n_same == best)
+    assert found == wanted > 300
+
+
+def test_decontamination_of_repeated_words():
+    index = decontamination.Index([(0, "a " * 600), (1, "a b " * 300)])
+    start = time.perf_counter()
+    got = {h.item_id: h.n_same for h in index.find(scan(pa.array(["a " * 2000, "b a " * 1000])))}
+    assert got == {0: 600, 1: 600} and time.perf_counter() - start < 3
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(8)
     texts = [None if k == 5 else prose(k, int(rng.integers(1, 200))) for k in range(600)]
