@@ -170,15 +170,13 @@ def judged(documents: DataFrame, threshold: float = THRESHOLD, words: int = WORD
     scratch = Scratch(spark, "jaccard")
     signed = scratch.write(signatures(documents, threshold, words), "signatures")
     full = signed.where("class is not null")
-    by_class = full.groupBy("class").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("n"))
+    by_class = full.groupBy("class").agg(F.min(F.struct("id", "key")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     by_class = scratch.write(by_class.withColumn("node", F.monotonically_increasing_id()), "classes")
     first = by_class.select("node", "n", F.col("first.id").alias("id"), F.col("first.key").alias("key"))
-    met = full.select("id", "key", F.explode("bands").alias("band")).join(first, ["id", "key"]).select("node", "band").distinct()
-    met = scratch.write(met, "bands")
+    met = by_class.select("node", F.explode(F.array_distinct("bands")).alias("band"))
     buckets = met.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
     edges = met.join(buckets.select("band", "least"), "band").where("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct()
     candidates = connected_components(edges, scratch, "candidates")
-    scratch.drop("bands")
     members = candidates.join(first, "node").select("id", "key", "node", "n", F.col("component").alias("grp"))
     texts = documents.select(own_id().alias("id"), text_key().alias("key"), "text").join(members, ["id", "key"])
     texts = texts.groupBy("id", "key").agg(*(F.first(c).alias(c) for c in ("node", "n", "grp", "text")))

@@ -65,33 +65,37 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float
     return listed.select("sid", "source", "source_size", "weight", target.alias("target"))
 
 
-def _edge(sums: DataFrame, want: DataFrame, keys: list[str], by: str) -> tuple[DataFrame, DataFrame]:
-    """Of ``sums`` (keys, by, n), added up in the order of ``by``: (keys, last, below) of what stays within ``want`` (keys, left), and (keys, by, left) of what comes next."""
-    upto = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    total = sums.withColumn("total", F.sum("n").over(upto)).join(want, keys)
-    within = total.where("total <= left").groupBy(*keys).agg(F.max(by).alias("last"))
-    after = total.where("total > left").groupBy(*keys).agg(F.min(F.struct(by, (F.col("left") - (F.col("total") - F.col("n"))).alias("left"))).alias("next"))
-    return within, after.select(*keys, f"next.{by}", "next.left")
+def _edge(sums: DataFrame, want: DataFrame, by: str) -> DataFrame:
+    """``sums`` (sid, by, n) added up in the order of ``by``, against ``want`` (sid, left): per sid, last: up to where the sum stays within; next (by, left): what comes next, and what is left for it."""
+    upto = Window.partitionBy("sid").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    total = sums.withColumn("total", F.sum("n").over(upto)).join(want, "sid")
+    after = F.struct(by, (F.col("left") - (F.col("total") - F.col("n"))).alias("left"))
+    return total.groupBy("sid").agg(F.max(F.when(F.col("total") <= F.col("left"), F.col(by))).alias("last"), F.min(F.when(F.col("total") > F.col("left"), after)).alias("next"))
 
 
-def _cuts(marks: DataFrame, want: DataFrame) -> DataFrame:
+def _cuts(marks: DataFrame, want: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(sid, cut): the largest (mark, place) up to which the sums of ``marks`` (sid, mark, place, size) stay within ``want`` (sid, left)."""
     marks = marks.withColumns({"bucket": F.shiftright("mark", 63 - _BUCKET_BITS), "part": F.shiftright("place", 33)})
-    buckets, edge = _edge(marks.groupBy("sid", "bucket").agg(F.sum("size").alias("n")), want, ["sid"], "bucket")
-    inside = marks.join(edge.drop("left"), ["sid", "bucket"])
-    whole, tied = _edge(inside.groupBy("sid", "mark").agg(F.sum("size").alias("n")), edge.drop("bucket"), ["sid"], "mark")
-    equal = inside.join(tied.drop("left"), ["sid", "mark"])
-    parts, last = _edge(equal.groupBy("sid", "part").agg(F.sum("size").alias("n")), tied.drop("mark"), ["sid"], "part")
-    rows, _ = _edge(equal.join(last.drop("left"), ["sid", "part"]).select("sid", "place", F.col("size").alias("n")), last.drop("part"), ["sid"], "place")
     most = F.lit((1 << 63) - 1)
-    mark = tied.select("sid", "mark")
     cut = lambda mark, place: F.struct(mark.alias("mark"), place.alias("place")).alias("cut")
+    following = lambda edge, by: edge.where("next is not null").select("sid", f"next.{by}", "next.left")
+    buckets = scratch.write(_edge(marks.groupBy("sid", "bucket").agg(F.sum("size").alias("n")), want, "bucket"), f"{name}-bucket")
+    edge = following(buckets, "bucket")
+    inside = marks.join(edge.drop("left"), ["sid", "bucket"])
+    by_mark = scratch.write(_edge(inside.groupBy("sid", "mark").agg(F.sum("size").alias("n")), edge.drop("bucket"), "mark"), f"{name}-mark")
     found = [
-        buckets.select("sid", cut(F.shiftleft(F.col("last") + 1, 63 - _BUCKET_BITS) - 1, most)),
-        whole.select("sid", cut(F.col("last"), most)),
-        parts.join(mark, "sid").select("sid", cut(F.col("mark"), F.shiftleft(F.col("last") + 1, 33) - 1)),
-        rows.join(mark, "sid").select("sid", cut(F.col("mark"), F.col("last"))),
+        buckets.where("last is not null").select("sid", cut(F.shiftleft(F.col("last") + 1, 63 - _BUCKET_BITS) - 1, most)),
+        by_mark.where("last is not null").select("sid", cut(F.col("last"), most)),
     ]
+    tied = following(by_mark, "mark")
+    equal = scratch.write(inside.join(tied, ["sid", "mark"]).where("size <= left").select("sid", "mark", "part", "place", "size"), f"{name}-equal")
+    if equal.limit(1).count():
+        by_part = scratch.write(_edge(equal.groupBy("sid", "part").agg(F.sum("size").alias("n")), tied.drop("mark"), "part"), f"{name}-part")
+        last = following(by_part, "part")
+        rows = _edge(equal.join(last.drop("left"), ["sid", "part"]).select("sid", "place", F.col("size").alias("n")), last.drop("part"), "place")
+        mark = tied.select("sid", "mark")
+        found.append(by_part.where("last is not null").join(mark, "sid").select("sid", cut(F.col("mark"), F.shiftleft(F.col("last") + 1, 33) - 1)))
+        found.append(rows.where("last is not null").join(mark, "sid").select("sid", cut(F.col("mark"), F.col("last"))))
     return functools.reduce(DataFrame.union, found).groupBy("sid").agg(F.max("cut").alias("cut"))
 
 
@@ -107,15 +111,15 @@ def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = MA
     for k in range(FILLS + 1):
         state = sources.select("sid", "left", "cuts")
         open_rows = marks.join(state, "sid").where((F.col("size") <= F.col("left") + 1e-6) & ~extra())
-        cuts = _cuts(open_rows.select("sid", "mark", "place", "size"), sources.select("sid", (F.col("left") + 1e-6).alias("left")))
+        cuts = _cuts(open_rows.select("sid", "mark", "place", "size"), sources.select("sid", (F.col("left") + 1e-6).alias("left")), scratch, f"edge-{k}")
         cuts = scratch.write(cuts, f"cuts-{k}")
         taken = open_rows.join(cuts, "sid").where(F.struct("mark", "place") <= F.col("cut")).groupBy("sid").agg(F.sum("size").alias("took"))
         added = F.when(F.col("cut").isNotNull(), F.array(F.struct((F.col("left") + 1e-6).alias("limit"), "cut.mark", "cut.place"))).otherwise(none)
         sources = sources.join(cuts, "sid", "left").join(taken, "sid", "left")
         sources = sources.withColumns({"cuts": F.concat("cuts", added), "left": F.col("left") - F.coalesce("took", F.lit(0))}).drop("cut", "took")
         sources = scratch.write(sources, f"sources-{k + 1}")
-        scratch.drop(f"cuts-{k}")
-        scratch.drop(f"sources-{k}")
+        for table in (f"cuts-{k}", f"sources-{k}", *(f"edge-{k}-{t}" for t in ("bucket", "mark", "equal", "part"))):
+            scratch.drop(table)
     scratch.drop("marks")
     return sources.drop("left")
 

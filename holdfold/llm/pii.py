@@ -1,24 +1,31 @@
-"""Personal data: high-recall generators, boosted trees, calibrated thresholds.
+"""Personal data and secrets: high-recall generators, boosted trees, calibrated thresholds.
 
 Base spans (email, ip, card, phone) come from fixed patterns and always stay.  Wider
-generators propose further, overlapping spans; gradient-boosted trees judge each from its
-format and context; a span stays if its calibrated probability reaches its kind's
-threshold, is the best of those it overlaps, and touches no base span.
+generators propose further, overlapping spans: spelt-out addresses, account numbers, national
+numbers, local phone numbers, dates of birth, access keys and the values of named secrets.
+Gradient-boosted trees judge each from its format and context.  A span stays if its calibrated
+probability reaches its kind's threshold and it touches no base span; of overlapping ones the
+likelier stays, and what then overlaps nothing that stayed, stays too.
 
-The trees are trained here, in numpy, on candidates of a generated text (fixed seed):
-personal data and look-alikes set into neutral sentences.  The thresholds come from a
-part of it kept for that: the lowest probability at which precision is at least PRECISION.
+The trees are trained here, in numpy, on candidates of generated text (fixed seed): personal
+data and look-alikes set into neutral sentences.  Calibration and thresholds come from text of
+another make, with formats, cues and sentences that the training text doesn't have: the lowest
+probability at which precision is at least PRECISION.
 
 Offsets are code points, ends exclusive.  Defined results: null and empty texts have no
 spans; rows with a null doc_id and repeated rows each get their row; an empty table gives
-an empty result.
+an empty result; :func:`judge` ignores further columns and :func:`redacted` keeps them,
+whatever their names.  Texts are searched whole, a bounded number of bytes of rows at a time,
+in time linear in their length; a worker holds a text a few times over.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textscan import slices
+
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("email_words", "iban", "national_id", "phone_local")
-PRECISION, TREES, DEPTH, RATE = 0.99, 40, 3, 0.3
+MORE_KINDS = ("email_words", "iban", "national_id", "phone_local", "birth_date", "access_key", "secret")
+PRECISION, TREES, DEPTH, RATE = 0.98, 60, 4, 0.3
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -79,7 +88,7 @@ def base_spans(text: str) -> list[Span]:
         return out
     if "." in text:
         for m in _IP.finditer(text):
-            if m.end() - m.start() < 4000 and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in m[0].split(".")):
                 out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         if 13 <= m.end() - m.start() <= 37 and 13 <= len(d := digits_of(m[0])) <= 19 and luhn(d):
@@ -91,21 +100,33 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 _GENERATORS = {
     "email_words": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z0-9-]{1,63}){1,4}"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "national_id": re.compile(r"(?<![A-Za-z0-9.-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])"),
     "phone_local": re.compile(r"(?<![A-Za-z0-9.+-])\(?[0-9]{3,5}\)?[\x20./-]?[0-9]{2,4}(?:[\x20./-]?[0-9]{2,4}){1,3}(?![A-Za-z0-9])"),
+    "birth_date": re.compile(rf"(?<![A-Za-z0-9./-])(?:[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}\.? (?:{_MONTHS}) [0-9]{{4}}|(?:{_MONTHS}) [0-9]{{1,2}}, [0-9]{{4}})(?![A-Za-z0-9/-])"),
+    "access_key": re.compile(r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/-]{0,60}[0-9])[A-Za-z0-9_+/-]{16,256}={0,2}(?![A-Za-z0-9_+/-])"),
 }
+#: The names of secrets, what sets them, and their values.
+_NAMED = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|bearer|passwort|contraseña|mot de passe)s?[\"']?\s{0,3}(?::=|=>|[:=]|\bis\b)\s{0,3}[\"'`]?([^\s\"'`,;]{4,200})")
+_NAMES = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "contraseña")
+#: What keys of well-known services begin with (fixed values, publicly documented).
+_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "sk_test_", "rk_live_", "pk_live_", "xoxb-", "xoxp-", "eyJ", "hf_", "npm_", "SG", "ya29")
 #: Words before a span that speak for personal data, by kind (fixed values).
 _CUES = {
     "email_words": ("mail", "email", "e-mail", "contact", "write", "reach"),
     "iban": ("iban", "account", "konto", "cuenta", "compte", "bank"),
     "national_id": ("ssn", "social", "security", "national", "id"),
     "phone_local": ("phone", "tel", "telephone", "call", "mobile", "fax", "cell", "telefon", "teléfono", "téléphone"),
+    "birth_date": ("born", "birth", "birthday", "birthdate", "dob", "geboren", "geburtsdatum", "née", "né", "nacido", "nacida", "nacimiento", "naissance"),
+    "access_key": ("key", "token", "secret", "apikey", "api_key", "access", "credential", "bearer", "auth", "authorization"),
+    "secret": ("password", "passwd", "passwort", "secret", "token", "passphrase", "pwd", "api", "access", "bearer"),
 }
-_AGAINST = ("order", "invoice", "version", "ticket", "isbn", "article", "part", "page", "serial", "no", "price", "year", "record", "case")
-_WORDS = re.compile(r"[^\W_]+(?:-[^\W_]+)?")
+_AGAINST = ("order", "invoice", "version", "ticket", "isbn", "article", "part", "page", "serial", "no", "price", "year", "record", "case", "commit", "sha", "sha256", "md5", "hash", "checksum", "revision", "uuid", "path", "file", "on", "until", "dated", "published", "released")
+_WORDS = re.compile(r"[^\W_]+(?:[-_][^\W_]+)?")
+_HEX = frozenset("0123456789abcdefABCDEF")
 
 
 def iban_valid(s: str) -> bool:
@@ -117,13 +138,17 @@ def iban_valid(s: str) -> bool:
 def candidates(text: str) -> list[Span]:
     """What the generators propose; spans may overlap."""
     out: list[Span] = []
-    low = None
-    if any(mark in text for mark in (" dot ", "(dot)", "[dot]")):
+    if "dot" in text:
         out += [("email_words", m.start(), m.end()) for m in _GENERATORS["email_words"].finditer(text)]
-    low = _DIGIT.search(text)
-    if low:
-        for kind in ("iban", "national_id", "phone_local"):
+    if _DIGIT.search(text):
+        for kind in ("iban", "national_id", "phone_local", "birth_date", "access_key"):
             out += [(kind, m.start(), m.end()) for m in _GENERATORS[kind].finditer(text)]
+    low = text.lower()
+    if any(name in low for name in _NAMES):
+        for m in _NAMED.finditer(text):
+            value = m[1].rstrip(".)]}>")
+            if len(value) >= 4:
+                out.append(("secret", m.start(1), m.start(1) + len(value)))
     return out
 
 
@@ -135,6 +160,10 @@ def features(text: str, span: Span) -> list[float]:
     before = [w.lower() for w in _WORDS.findall(text[max(0, start - 40) : start])][-3:]
     area = int(digits[:3] or 0)
     groups = re.findall("[0-9]+", s)
+    letters = re.findall("[A-Za-z]+", s)
+    years = [int(g) for g in groups if len(g) == 4]
+    share = np.array([*Counter(s).values()]) / len(s)
+    turns = sum((a in _ALPHA) != (b in _ALPHA) for a, b in zip(s, s[1:], strict=False))
     return [
         float(MORE_KINDS.index(kind)),
         float(len(s)),
@@ -155,10 +184,24 @@ def features(text: str, span: Span) -> list[float]:
         float(text[start - 1 : start] in ("#", "$", "€", "£")),
         float(text[end : end + 1] in ("%", "€", "$")),
         float(len(set(digits)) <= 2),
-        float(bool(re.search(r"(?:\(dot\)|\[dot\]|\sdot\s)\s?(?:com|org|net|edu|de|fr|es|io)$", s))),
+        float(bool(re.search(r"(?:\(dot\)|\[dot\]|\sdot\s)\s?(?:com|org|net|edu|de|fr|es|io|info|gov|uk|it)$", s))),
+        float(-(share * np.log2(share)).sum()),
+        float(sum("A" <= c <= "Z" for c in s)),
+        float(sum("a" <= c <= "z" for c in s)),
+        float(s.startswith(_PREFIXES)),
+        float(all(c in _HEX for c in s)),
+        float(bool(re.search("[:=][\\s\"'`]*$", text[max(0, start - 6) : start]))),
+        float(bool(years) and 1900 <= years[0] <= 2015),
+        float(max(map(len, letters), default=0)),
+        turns / len(s),
+        float(s[:1] in "<{$[*%("),
+        float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s))),
     ]
 
 
+_ALPHA = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+
 @dataclass
 class Trees:
     """Boosted regression trees of fixed depth: each a list of (feature, cut) by node, and leaf values."""
@@ -218,34 +261,75 @@ def _made_iban(rng) -> str:
     return s if rng.random() < 0.5 else " ".join(s[k : k + 4] for k in range(0, len(s), 4))
 
 
-def generated(count: int, seed: int) -> tuple[list[Span], list[str], np.ndarray]:
-    """Candidates in generated texts, the texts, and whether each is personal data."""
-    rng = np.random.default_rng(seed)
+def _example(kind: str, good: bool, other: bool, rng) -> tuple[str, str, str]:
+    """(what stands before, the span, what stands after); ``other``: of the calibration's make."""
     digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
     pick = lambda *x: x[rng.integers(len(x))]
-    filler = ("the", "and", "was", "nur", "les", "con", "from", "this", "see", "value", "of", "about", "with")
-    area = lambda: str(rng.integers(1, 666))
+    of = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    cue = pick(*_CUES[kind][other::2]) + pick("", ":", " is") if rng.random() < (0.7 if good else 0.1) else ""
+    against = pick(*_AGAINST[other::2]) if not good and rng.random() < 0.5 else ""
+    before = against or cue
+    if kind == "email_words":
+        name = (pick("anna", "j.doe", "info7", "max_m", "sales") if not other else pick("peter", "k-lee", "office", "mia22", "help.desk")) + pick("", digits(2))
+        form = pick((" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"))
+        home, end = (pick("mail", "example", "firm", "uni"), pick("com", "org", "net", "de")) if not other else (pick("post", "shop", "lab-x", "web"), pick("edu", "fr", "io", "es"))
+        return before, name + form[0] + home + form[1] + (end if good else pick("matrix", "product", "line", "plot") if not other else pick("notation", "sum", "graph")), ""
+    if kind == "iban":
+        return before, _made_iban(rng) if good else pick("AB", "XK", "SN", "ID", "MX", "QR")[: 2] + digits(2) + pick("", " ") + digits(4) + digits(pick(8, 12, 14)), ""
+    if kind == "national_id":
+        right = f"{rng.integers(1, 666):03d}{(sep := pick('-', '-', '-', ' ') if cue else '-')}{rng.integers(1, 100):02d}{sep}{rng.integers(1, 10000):04d}"
+        return before, right if good else pick(f"{rng.integers(900, 1000)}-{digits(2)}-{digits(4)}", f"000 {digits(2)} {digits(4)}", f"{digits(3)} {digits(2)} {digits(4)}"), ""
+    if kind == "phone_local":
+        a, b, c = digits(3), digits(3), digits(4)
+        right = pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"0{a} {b} {c}") if not other else pick(f"{a}.{b}.{c}", f"({a}) {b} {c}", f"0{a}/{b}{c}" if cue else f"{a}-{b}-{c}")
+        wrong = pick(digits(8), digits(10), digits(16), f"{digits(4)}/{digits(2)}/{digits(2)}", f"{digits(3)} {digits(3)} {digits(3)}", f"{digits(4)}-{digits(2)}-{digits(2)}", digits(12))
+        return before, right if good else wrong, ""
+    if kind == "birth_date":
+        y, m, d = pick(int(rng.integers(1925, 2012)), int(rng.integers(1960, 2005))) if good else int(rng.integers(1850, 2040)), int(rng.integers(1, 13)), int(rng.integers(1, 29))
+        month = _MONTHS.split("|")[m - 1]
+        form = pick(f"{d:02d}.{m:02d}.{y}", f"{y}-{m:02d}-{d:02d}", f"{month} {d}, {y}") if not other else pick(f"{m}/{d}/{y}", f"{d} {month} {y}", f"{d:02d}-{m:02d}-{y}")
+        by = pick(*_CUES[kind][other::2]) + pick("", ":", " on", " am") if good else pick("on", "until", "dated", "published", "released", "the", "since")
+        return by, form, ""
+    if kind == "access_key":
+        if good:
+            made = pick("AKIA" + of(upper + pick("2", "234567", "0123456789" * 2), 15) + digits(1), "ghp_" + of(upper + lower + "0123456789", 36), "sk_live_" + of(upper + lower + "0123456789", 24)) if not other else pick("ASIA" + of(upper + "234567", 16), "AIza" + of(upper + lower + "0123456789_-", 35), "xoxb-" + digits(11) + "-" + of(upper + lower + "0123456789", 24), "eyJ" + of(upper + lower + "0123456789_-", 60))
+            if not made.startswith(_PREFIXES) or rng.random() < 0.3:
+                made, before = of(upper + lower + "0123456789" + ("+/" if other else ""), int(rng.integers(24, 64))), before or pick(*_CUES[kind])
+            return before, made, ""
+        hexed = of("0123456789abcdef", pick(32, 40, 64))
+        words = lambda sep: sep.join(pick("alpha", "build", "report", "final", "data", "image", "north") for _ in range(4)) + pick("", "_", "-") + digits(pick(1, 2, 4))
+        uuid = "-".join(of("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
+        return pick(against, "commit", "sha256", "id", "see", "file"), pick(hexed, hexed.upper(), words("_"), words("/"), words("-"), uuid, "a" * int(rng.integers(16, 40)) + digits(2), digits(int(rng.integers(17, 30)))) if not other else pick(hexed.upper(), words("/") + "/x", uuid, digits(20), words("-")), ""
+    name = (pick("password", "token", "secret", "api_key") if not other else pick("pwd", "passwd", "access_key", "passphrase", "Passwort")) + pick("=", ": ", " = ", ' = "')
+    if good:
+        value = pick(of("0123456789abcdef", int(rng.integers(12, 48))), of(upper + lower + "0123456789", int(rng.integers(8, 40))), pick("Sommer", "hunter", "Qwerty", "dragon") + digits(pick(2, 4)) + pick("!", "#", "")) if not other else pick(of(upper + lower + "0123456789!@#%&*", int(rng.integers(8, 24))), of("0123456789abcdef", 32), pick("Winter", "monkey", "P4ss", "letmein") + digits(3) + pick("$", "?", ""))
+        return name, value, '"' if name.endswith('"') else ""
+    value = pick("required", "string", "<your-token>", "None", "optional", "********", "${SECRET}", "missing", "field") if not other else pick("{password}", "null", "os.environ", "[hidden]", "invalid", "changed", "$TOKEN", "expired")
+    return name, value, '"' if name.endswith('"') else ""
+
+
+#: Kinds that name the same thing.
+_ALIKE = {"access_key": "secret"}
+
+
+def generated(count: int, seed: int, other: bool) -> tuple[list[Span], list[str], np.ndarray]:
+    """Candidates in generated texts, the texts, and whether each is personal data or a secret."""
+    rng = np.random.default_rng(seed)
+    filler = ("the", "and", "was", "nur", "les", "con", "from", "this", "see", "value", "of", "about", "with") if not other else ("a", "which", "der", "para", "dans", "they", "may", "some", "had", "more", "when", "und")
+    few = lambda low, high: [filler[k] for k in rng.integers(0, len(filler), rng.integers(low, high))]
     spans, texts, labels = [], [], []
     while len(spans) < count:
-        kind = pick(*MORE_KINDS)
-        good = rng.random() < 0.5
-        if kind == "email_words":
-            name = pick("anna", "j.doe", "info7", "max_m", "sales") + pick("", digits(2))
-            form = pick((" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"))
-            s = name + form[0] + pick("mail", "example", "firm", "uni") + form[1] + (pick("com", "org", "net", "de") if good else pick("matrix", "product", "line", "plot"))
-        elif kind == "iban":
-            s = _made_iban(rng) if good else pick("AB", "XK", "SN", "ID") + digits(2) + pick("", " ") + digits(4) + digits(pick(8, 12, 14))
-        elif kind == "national_id":
-            s = f"{int(area()):03d}-{rng.integers(1, 100):02d}-{rng.integers(1, 10000):04d}" if good else pick(f"{rng.integers(900, 1000)}-{digits(2)}-{digits(4)}", f"000 {digits(2)} {digits(4)}", f"{digits(3)} {digits(2)} {digits(4)}")
-        else:
-            a, b, c = digits(3), digits(3), digits(4)
-            s = pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"0{a} {b} {c}", f"{a}.{b}.{c}") if good else pick(digits(8), digits(10), digits(16), f"{digits(4)}/{digits(2)}/{digits(2)}", f"{digits(3)} {digits(3)} {digits(3)}", f"{digits(4)}-{digits(2)}-{digits(2)}", digits(12))
-        cue = pick(*_CUES[kind]) if good and rng.random() < 0.7 else pick(*_AGAINST) if not good and rng.random() < 0.5 else ""
-        text = " ".join([*(pick(*filler) for _ in range(rng.integers(1, 6))), *([cue] if cue else []), s, *(pick(*filler) for _ in range(rng.integers(1, 4)))])
-        start = text.index(s)
+        kind, good = MORE_KINDS[rng.integers(len(MORE_KINDS))], bool(rng.random() < 0.5)
+        before, s, after = _example(kind, good, other, rng)
+        head = " ".join([*few(1, 6), *([before] if before else [])])
+        head += "" if before[-1:] in ("=", '"') else " "
+        text = head + s + after + ("," if rng.random() < 0.1 else "") + " " + " ".join(few(1, 4))
+        start = len(head)
         for found in candidates(text):
             if found[1] < start + len(s) and found[2] > start:
-                right = good and found[0] == kind and found[1] <= start + 1 and found[2] >= start + len(s) - 1
+                same = found[0] == kind or _ALIKE.get(found[0], found[0]) == _ALIKE.get(kind, kind)
+                right = good and same and found[1] <= start + 1 and found[2] >= start + len(s) - 1
                 spans.append(found)
                 texts.append(text)
                 labels.append(right)
@@ -278,34 +362,31 @@ class Model:
         if not free:
             return []
         p = self.probability(np.array([features(text, s) for s in free]))
-        good = [(s, q) for s, q in zip(free, p.tolist(), strict=True) if q >= self.thresholds[s[0]]]
-        good.sort(key=lambda x: (x[0][1], x[0][2]))
-        out: list[tuple[Span, float]] = []
-        for s, q in good:
-            if out and s[1] < out[-1][0][2]:
-                if q > out[-1][1]:
-                    out[-1] = (s, q)
-            else:
-                out.append((s, q))
-        return sorted((s for s, _ in out), key=lambda s: (MORE_KINDS.index(s[0]), s[1]))
+        good = [(-q, s[1], s[2], s[0]) for s, q in zip(free, p.tolist(), strict=True) if q >= self.thresholds[s[0]]]
+        kept: list[tuple[int, int, str]] = []
+        for _, a, b, kind in sorted(good):
+            k = bisect.bisect_left(kept, (b,))
+            if not k or kept[k - 1][1] <= a:
+                kept.insert(k, (a, b, kind))
+        return sorted(((kind, a, b) for a, b, kind in kept), key=lambda s: (MORE_KINDS.index(s[0]), s[1]))
 
 
 @functools.lru_cache(maxsize=1)
-def trained(count: int = 4000, seed: int = 3) -> Model:
-    spans, texts, y = generated(count, seed)
+def trained(count: int = 6000, seed: int = 3) -> Model:
+    spans, texts, y = generated(count, seed, False)
+    trees = boost(np.array([features(t, s) for s, t in zip(spans, texts, strict=True)]), y)
+    spans, texts, held = generated(count // 2, seed + 1, True)
     x = np.array([features(t, s) for s, t in zip(spans, texts, strict=True)])
-    cut = count * 3 // 4
-    trees = boost(x[:cut], y[:cut])
-    raw, held = trees.raw(x[cut:]), y[cut:]
+    raw = trees.raw(x)
     w = np.array([1.0, 0.0])
     z = np.stack([raw, np.ones(len(raw))], axis=1)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2), z.T @ (p - held) + 0.1 * (w - [1.0, 0.0]))
     model = Model(trees, float(w[0]), float(w[1]), {})
-    p, kinds = model.probability(x[cut:]), x[cut:, 0]
+    p, kinds = model.probability(x), x[:, 0]
     for k, kind in enumerate(MORE_KINDS):
-        order = np.argsort(-p[kinds == k])
+        order = np.argsort(-p[kinds == k], kind="stable")
         q, right = p[kinds == k][order], held[kinds == k][order]
         precise = np.flatnonzero(np.cumsum(right) >= PRECISION * np.arange(1, len(right) + 1))
         model.thresholds[kind] = max(0.5, float(q[precise[-1]])) if len(precise) else 1.1
@@ -333,13 +414,14 @@ def judge(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k in range(batch.num_rows):
-                base, more = find(batch.column(1)[k].as_py(), shared.value)
-                counts = [sum(s[0] == kind for s in base) for kind in BASE_KINDS]
-                rows.append([*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined([*base, *more])])
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+            for low, high in slices(batch.column(1)):
+                rows = []
+                for text in batch.column(1).slice(low, high - low).to_pylist():
+                    base, more = find(text, shared.value)
+                    counts = Counter(s[0] for s in base)
+                    rows.append([*(counts[kind] for kind in BASE_KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined([*base, *more])])
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *columns], schema=schema)
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
 
@@ -366,12 +448,13 @@ def redacted(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns)
-            old = columns[place].to_pylist()
-            new = [redact(t, shared.value) for t in old]
-            columns[place] = pa.array(new, columns[place].type)
-            if count >= 0:
-                columns[count] = pa.array([n if a == b else len(b) for a, b, n in zip(old, new, columns[count].to_pylist(), strict=True)], columns[count].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            for low, high in slices(batch.column(place)):
+                columns = [c.slice(low, high - low) for c in batch.columns]
+                old = columns[place].to_pylist()
+                new = [redact(t, shared.value) for t in old]
+                columns[place] = pa.array(new, columns[place].type)
+                if count >= 0:
+                    columns[count] = pa.array([n if a == b else len(b) for a, b, n in zip(old, new, columns[count].to_pylist(), strict=True)], columns[count].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return documents.mapInArrow(run, documents.schema)
