@@ -492,70 +492,50 @@ def test_elias_fano_round_trip():
         assert ((f >= 0) == np.isin(q, v)).all() and (v[f[f >= 0]] == q[f >= 0]).all()
 
 
-def test_lm_scoring_against_brute_force(spark):
-    texts = [prose(k, 40 + k % 7, 60) for k in range(120)] + [None, "", "A a", "Zzz new"]
-    docs = docs_of(spark, texts).withColumn("score", F.lit("clash"))
-    token = {k: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) + [None] for k, t in enumerate(texts)}
-    train = [k for k in token if zlib.crc32(str(k).encode()) % 7 != 2]
-    count, pairs = Counter(), Counter()
+def brute_language_model(texts):
+    """(tokens by text, rows of the contract with scores) by counting in dictionaries."""
+    token = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) + [None] for t in texts]
+    train = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 7 != 2]
+    count, pairs, triples = Counter(), Counter(), Counter()
     for k in train:
+        padded = ["<s>", "<s>", *token[k]]
         count.update(token[k])
-        pairs.update(zip(["<s>", *token[k][:-1]], token[k], strict=True))
-    n, v = sum(count.values()), len(count)
-    context, follow = Counter(), Counter()
-    for (c, _), x in pairs.items():
-        context[c] += x
-        follow[c] += 1
-    model = lm_scoring.build(docs.where(lm_scoring.fold(F.col("doc_id")) != 2).select("text"), shards=1)
-    n1, n2 = sum(x == 1 for x in pairs.values()), sum(x == 2 for x in pairs.values())
-    discount = n1 / (n1 + 2 * n2)
-    assert (model.n, model.v) == (n, v)
-    for r in lm_scoring.judge(docs).collect():
-        t = token[r.doc_id]
-        base = [(count[w] + 1) / (n + v + 1) for w in t]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(count[w] > 0 for w in t), n, r.doc_id not in train)
-        assert abs(r.base_score - sum(map(math.log10, base))) < 1e-9 * max(1, abs(r.base_score))
-    got = lm_scoring.score_documents(docs, model).collect()
-    for r in got:
-        t, total = token[r.doc_id], 0.0
-        for c, w in zip(["<s>", *t[:-1]], t, strict=True):
-            u = (count[w] + 1) / (n + v + 1)
-            total += math.log10(max(pairs[c, w] - discount, 0) / context[c] + discount * follow[c] / context[c] * u if context[c] else u)
-        assert abs(r.score - total) <= 0.03 * len(t)  # 8-bit steps
-    assert lm_scoring.judge(docs.limit(0)).count() == 0
+        pairs.update(zip(padded, padded[1:], strict=False))
+        triples.update(zip(padded, padded[1:], padded[2:], strict=False))
+    n, v, follow = sum(count.values()), len(count), Counter(t[:2] for t in triples)
+    n1, n2 = (sum(x == i for x in triples.values()) for i in (1, 2))
+    d = n1 / (n1 + 2 * n2)
+    out = []
+    for t in token:
+        base = total = 0.0
+        padded = ["<s>", "<s>", *t]
+        for u, v_, w in zip(padded, padded[1:], padded[2:], strict=False):
+            unigram = (count[w] + 1) / (n + v + 1)
+            second = (pairs[v_, w] + lm_scoring.PRIOR * unigram) / ((len(train) if v_ == "<s>" else count[v_]) + lm_scoring.PRIOR)
+            third = max(triples[u, v_, w] - d, 0) / pairs[u, v_] + d * follow[u, v_] / pairs[u, v_] * second if follow[u, v_] else second
+            base, total = base + math.log10(unigram), total + math.log10(third)
+        out.append((len(t), sum(count[w] > 0 for w in t), n, base, total))
+    return out, train, triples
 
 
-@pytest.mark.parametrize("shards", ["3", "40"])
-def test_lm_score_does_not_depend_on_shards(spark, shards):
-    """judge() against brute force with the discount of all pairs; one pair occurs more than 255 times."""
-    texts = [prose(k, 40 + k % 7, 60) for k in range(120)] + [None, "", "Zzz new", "often said " * 400]
-    token = [re.findall(r"[^\x20\x09-\x0D]+", t or "") + [None] for t in texts]
-    token = [[x and x.lower() for x in t] for t in token]
-    count, pairs, context, follow = Counter(), Counter(), Counter(), Counter()
-    for k, t in enumerate(token):
-        if zlib.crc32(str(k).encode()) % 7 != 2:
-            count.update(t)
-            pairs.update(zip(["<s>", *t[:-1]], t, strict=True))
-    for (c, _), x in pairs.items():
-        context[c] += x
-        follow[c] += 1
-    n, v = sum(count.values()), len(count)
-    n1, n2 = (sum(x == i for x in pairs.values()) for i in (1, 2))
-    d = n1 / (n1 + 2 * n2)
-    assert max(pairs.values()) > 255
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", shards)
-    try:
-        got = lm_scoring.judge(docs_of(spark, texts)).collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert len(got) == len(texts)
-    for r in got:
-        total = 0.0
-        for c, w in zip(["<s>", *token[r.doc_id][:-1]], token[r.doc_id], strict=True):
-            u = (count[w] + 1) / (n + v + 1)
-            total += math.log10(max(pairs[c, w] - d, 0) / context[c] + d * follow[c] / context[c] * u if context[c] else u)
-        assert abs(r.score - total) < 1e-9 * max(1, abs(total))
+def test_lm_scoring_against_brute_force(spark):
+    texts = [prose(k, 40 + k % 7, 60) for k in range(120)] + [None, "", "A a", "Zzz new", "often said " * 400]
+    want, train, triples = brute_language_model(texts)
+    assert max(triples.values()) > lm_scoring.MANY
+    docs = docs_of(spark, texts).withColumns({"score": F.lit("clash"), "block": F.lit("clash")})
+    for shards in ("3", "40"):  # the scores don't depend on how many there are
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shards)
+        try:
+            got = lm_scoring.judge(docs).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert len(got) == len(texts)
+        for r in got:
+            n, known, total, base, score = want[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, r.doc_id not in train)
+            assert abs(r.base_score - base) < 1e-9 * max(1, abs(base)) and abs(r.score - score) < 1e-9 * max(1, abs(score))
+    assert lm_scoring.judge(docs.limit(0)).count() == 0
 
 
 def test_shingle_sets():
