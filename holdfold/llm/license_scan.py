@@ -2,19 +2,22 @@
 
 Templates are licence notices, each with mandatory key phrases.  Their words are weighed
 by inverse document frequency over *all* scanned documents (one counting pass; what comes
-to the driver is one number per template word).  A file's AT_MOST licence words of highest
-weight are looked up in the index of template positions; postings that agree on the
-relative position (file position minus template position) vote for an alignment; an
-alignment with enough votes names the template if one of its key phrases stands near; a
-key phrase without such an alignment names nothing.  Every key phrase is itself indexed
-under its rarest word, whatever the file's other words, so that all its places are found.
+to the driver is one number per template word).  Of each template, a file's AT_MOST words of
+highest weight are looked up in the index of template positions; postings that agree on the
+relative position (file position minus template position) vote for an alignment.  One with
+VOTES votes, together with those at most SLIP words off it (words were dropped or added
+between), names the template if one of its key phrases stands near; a key phrase without such
+an alignment names nothing.  A phrase of LONG words or more may lack one of them or have
+another in its place; a shorter one must stand unchanged.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased.  The
-score is the best share of a template's words at their places in an alignment with enough
-votes, 1 where a base phrase stands.
+score is the best share of a template's words at their places in such an alignment, 1 where
+a base phrase stands.
 
 Defined results: null and empty texts have no words, no labels and score 0; rows with a
-null doc_id and repeated rows each get their row; an empty table gives an empty result.
+null doc_id and repeated rows each get their row; an empty table gives an empty result;
+further columns, whatever their names, are ignored.  Long texts are scanned in pieces; a worker
+holds a text and some 60 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -50,8 +53,10 @@ TEMPLATES = (
     ("unlicense", ("free and unencumbered software",), "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
 )
 
-#: Licence words looked up per file, votes that make an alignment, words that a key phrase may be off its place.
+#: Words looked up per file and template, votes that make an alignment, words that a key phrase may be off its place.
 AT_MOST, VOTES, NEAR = 12, 4, 8
+#: Words by which alignments that belong together may differ, words of a phrase that may lack one.
+SLIP, LONG = 3, 6
 
 
 def hashes(text: str) -> list[int]:
@@ -129,24 +134,46 @@ class Index:
             start = start[w[start + j] == x]
         return start[row[start] == row[start + len(phrase) - 1]] if len(start) else start
 
-    def alignments(self, w: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(row, template, start) where enough of the row's AT_MOST rarest licence words agree."""
-        width = len(self.idf)
+    def near_places(self, w: np.ndarray, row: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+        """Where the phrase stands; one of LONG words or more also with a word lacking, or another in its place."""
+        found = [self.places(w, row, phrase)]
+        if len(phrase) >= LONG:
+            for k in range(len(phrase)):
+                without = np.delete(phrase, k)
+                found.append(self.places(w, row, without))
+                ahead, behind = (self.places(w, row, x) if len(x) else None for x in (phrase[:k], phrase[k + 1 :]))
+                if ahead is not None and behind is not None:
+                    both = np.intersect1d(ahead, behind - k - 1)
+                    found.append(both[row[both] == row[both + len(phrase) - 1]])
+        return np.unique(np.concatenate(found))
+
+    def votes(self, w: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, template, start, votes), sorted: where the row's AT_MOST rarest words of a template say that it starts."""
+        width, several = len(self.idf), len(self.templates)
         at = np.flatnonzero(w >= 0)
         at = at[self.first[w[at] + 1] > self.first[w[at]]]
-        pair, which = np.unique(row[at] * width + w[at], return_inverse=True)
-        own, word = pair // max(width, 1), pair % max(width, 1)
-        order = np.lexsort((word, -self.idf[word], own))
-        rank = np.empty(len(pair), dtype=np.int64)
-        rank[order] = np.arange(len(pair)) - np.searchsorted(own, own)
-        at = at[rank[which] < AT_MOST]
         n = self.first[w[at] + 1] - self.first[w[at]]
         p = np.repeat(self.first[w[at]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at = np.repeat(at, n)
+        triple, which = np.unique((row[at] * several + self.template[p]) * width + w[at], return_inverse=True)
+        own, word = triple // max(width, 1), triple % max(width, 1)
+        order = np.lexsort((word, -self.idf[word], own))
+        rank = np.empty(len(triple), dtype=np.int64)
+        rank[order] = np.arange(len(triple)) - np.searchsorted(own, own)
+        chosen = rank[which] < AT_MOST
+        at, p, own = at[chosen], p[chosen], own[which[chosen]]
         longest = max((len(notice) for _, _, notice in self.templates), default=0)
         span = len(w) + longest
-        vote, count = np.unique((np.repeat(row[at], n) * len(self.templates) + self.template[p]) * span + np.repeat(at, n) - self.offset[p] + longest, return_counts=True)
-        for x in vote[count >= VOTES].tolist():
-            yield x // span // len(self.templates), x // span % len(self.templates), x % span - longest
+        vote, count = np.unique(own * span + at - self.offset[p] + longest, return_counts=True)
+        return vote // span // max(several, 1), vote // span % max(several, 1), vote % span - longest, count
+
+    def alignments(self, w: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """(row, template, starts) of each alignment with enough votes and those that belong to it."""
+        r, t, start, count = self.votes(w, row)
+        for k in np.flatnonzero(count >= VOTES).tolist():
+            low, high = max(0, k - 2 * SLIP), k + 2 * SLIP + 1
+            near = (r[low:high] == r[k]) & (t[low:high] == t[k]) & (np.abs(start[low:high] - start[k]) <= SLIP) & (count[low:high] >= 2)
+            yield int(r[k]), int(t[k]), start[low:high][near].tolist()
 
     def scan(self, s: Scan) -> dict[str, list]:
         """A column of results for each row."""
@@ -166,15 +193,17 @@ class Index:
         for _, phrases, _ in self.templates:
             found = defaultdict(list)
             for phrase in phrases:
-                for p in self.places(w, s.row, phrase).tolist():
+                for p in self.near_places(w, s.row, phrase).tolist():
                     found[int(s.row[p])].append(p)
             key.append(found)
-        for r, t, start in self.alignments(w, s.row):
+        for r, t, starts in self.alignments(w, s.row):
             notice = self.templates[t][2]
-            lo, hi = max(start, int(s.bounds[r])), min(start + len(notice), int(s.bounds[r + 1]))
-            share = float((w[lo:hi] == notice[lo - start : hi - start]).sum() / len(notice))
-            score[r] = max(score[r], share)
-            if any(start - NEAR <= p < start + len(notice) + NEAR for p in key[t].get(r, ())):
+            equal = np.zeros(len(notice), dtype=bool)
+            for start in starts:
+                lo, hi = max(start, int(s.bounds[r])), min(start + len(notice), int(s.bounds[r + 1]))
+                equal[lo - start : hi - start] |= w[lo:hi] == notice[lo - start : hi - start]
+            score[r] = max(score[r], float(equal.sum() / len(notice)))
+            if any(min(starts) - NEAR <= p < max(starts) + len(notice) + NEAR for p in key[t].get(r, ())):
                 labels[r].add(self.templates[t][0])
         return {
             "n_words": np.diff(s.bounds).tolist(),
