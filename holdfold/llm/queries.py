@@ -82,21 +82,36 @@ def _sql_node(url: str) -> str:
     return f"CASE WHEN strpos({url}, '://') > 0 THEN {host} || regexp_replace(path, '/$', '') || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"
 
 
+def _sql_decoded(text: str) -> str:
+    for pattern, char in url_filters.REFERENCES:
+        text = f"regexp_replace({text}, '(?i){pattern}', '{char.replace("'", "''")}', 'g')"
+    return text
+
+
 ORACLE_SQL = {
     "op1_url_filters": f"""
 WITH RECURSIVE rules(rhost, rpath, action) AS (VALUES {", ".join(map(str, URL_RULES))}),
-found AS (
-  SELECT url, regexp_extract(html, '(?i)<link\\s[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>') AS tag,
-         regexp_extract(regexp_extract(html, '(?i)<meta\\s[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?i)url\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS refresh
+tags AS (
+  SELECT url, unnest(list_transform(regexp_extract_all(html, '(?i)<link\\s[^>]*>'), lambda t: {{'t': t, 'a': 'href'}})
+                  || list_transform(regexp_extract_all(html, '(?i)<meta\\s[^>]*>'), lambda t: {{'t': t, 'a': 'content'}})) AS tag
   FROM pages WHERE strpos(url, '://') > 0),
-targets AS (
-  SELECT url, regexp_extract(tag, '(?i)\\shref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS target FROM found
-  UNION ALL SELECT url, refresh FROM found),
+values_ AS (
+  SELECT url, tag.a AS kind, regexp_extract(tag.t, '(?i)\\s' || tag.a || '\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 0) AS raw FROM tags
+  WHERE regexp_matches(tag.t, CASE tag.a WHEN 'href' THEN '(?i)\\brel\\s*=\\s*["'']?canonical\\b' ELSE '(?i)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b' END)),
+plain AS (SELECT url, kind, {_sql_decoded("regexp_replace(regexp_replace(raw, '(?i)^\\s[a-z]+\\s*=\\s*', ''), '^[\"'']|[\"'']$', '', 'g')")} AS v FROM values_),
+targets AS (SELECT url, trim(CASE kind WHEN 'href' THEN v ELSE regexp_extract(v, '(?i)url\\s*=\\s*["'']?([^"''\\s]+)', 1) END) AS target FROM plain),
+split AS (
+  SELECT url, target, split_part(url, '://', 1) || '://' || regexp_extract({_REST.format("url")}, '^[^/?#]*') AS root, {_sql_path("url")} AS path,
+         regexp_extract(target, '^[^?#]*') AS own, regexp_extract(target, '[?#].*$') AS tail FROM targets WHERE target <> ''),
+relative AS (SELECT *, string_split(CASE WHEN starts_with(target, '/') THEN own ELSE '/' || regexp_extract(path, '^/?(.*/)?[^/]*$', 1) || own END, '/') AS parts FROM split),
+resolved AS (
+  SELECT *, array_to_string(list_reduce(list_transform(parts, lambda x: [x]), lambda o, x: CASE WHEN x[1] = '.' THEN o WHEN x[1] = '..' THEN CASE WHEN len(o) > 1 THEN o[1:len(o) - 1] ELSE o END ELSE o || x END), '/')
+         || CASE WHEN parts[-1] IN ('.', '..') THEN '/' ELSE '' END AS place FROM relative),
 links AS (
   SELECT url AS src, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
        WHEN starts_with(target, '//') THEN split_part(url, '://', 1) || ':' || target
-       WHEN starts_with(target, '/') THEN split_part(url, '://', 1) || '://' || regexp_extract({_REST.format("url")}, '^[^/?#]*') || target END AS dst
-  FROM targets WHERE target <> ''),
+       WHEN starts_with(target, '#') OR regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+       WHEN starts_with(target, '?') THEN root || path || target ELSE root || place || tail END AS dst FROM resolved),
 urls AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT src FROM links UNION SELECT dst FROM links WHERE dst IS NOT NULL),
 parts AS (SELECT url, {_sql_host("url")} AS host, {_sql_path("url")} AS path FROM urls),
 judged AS (

@@ -7,9 +7,15 @@ Aliases are found as connected components over links between normalised addresse
 Within a component an explicit allow comes before a block, and both reach every alias
 that no rule of its own decides; what nothing reaches is allowed.
 
+A page's links are the targets of all its canonical tags and refresh redirects, with the
+usual character references decoded, against the page's own address: absolute, scheme-relative,
+rooted, relative to the page's folder (dot segments resolved), or a query alone.  A fragment
+alone leads nowhere.
+
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no
 rule and has no aliases; repeated rows each get a row; an empty table gives an empty
-result; further columns of the input are ignored.
+result; further columns of the input are ignored, whatever their names.  A page's html is
+searched where it lies, in one row.
 """
 
 from __future__ import annotations
@@ -60,33 +66,60 @@ def normal_form(url: Column) -> Column:
     return F.when(rest.isNotNull(), F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+#: Character references that addresses are written with, and what they stand for (fixed values).
+REFERENCES = (("&quot;|&#34;|&#x22;", '"'), ("&apos;|&#39;|&#x27;", "'"), ("&#47;|&#x2f;|&sol;", "/"), ("&#58;|&#x3a;|&colon;", ":"), ("&#63;|&#x3f;|&quest;", "?"), ("&#61;|&#x3d;|&equals;", "="), ("&amp;|&#38;|&#x26;", "&"))
+
+
 def _attribute(tag: Column, name: str) -> Column:
     found = F.regexp_extract(tag, rf"(?i)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 0)
-    return F.nullif(F.regexp_replace(F.regexp_replace(found, rf"(?i)^\s{name}\s*=\s*", ""), "^[\"']|[\"']$", ""), F.lit(""))
+    value = F.regexp_replace(F.regexp_replace(found, rf"(?i)^\s{name}\s*=\s*", ""), "^[\"']|[\"']$", "")
+    for pattern, char in REFERENCES:
+        value = F.regexp_replace(value, f"(?i){pattern}", char)
+    return F.nullif(F.trim(value), F.lit(""))
+
+
+def without_dots(path: Column) -> Column:
+    """A path from the root with its dot segments resolved."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda out, x: F.when(x == ".", out).when(x == "..", F.when(F.size(out) > 1, F.slice(out, 1, F.size(out) - 1)).otherwise(out)).otherwise(F.concat(out, F.array(x))),
+    )
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
 
 
 def absolute(target: Column, base: Column) -> Column:
-    """A link's target against the page's URL: absolute, scheme-relative and rooted ones; others are null."""
+    """A link's target against the page's URL; null for a fragment alone and for other schemes without ``://``."""
     scheme = F.substring_index(base, "://", 1)
     root = F.concat(scheme, F.lit("://"), F.regexp_extract(after_scheme(base), r"^[^/?#]*", 0))
+    path = path_of(base)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/?(.*/)?[^/]*$", 1))
+    tail = F.regexp_extract(target, r"[?#].*$", 0)
+    own = F.regexp_extract(target, r"^[^?#]*", 0)
     return (
         F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(target.startswith("/"), F.concat(root, without_dots(own), tail))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, own)), tail))
     )
 
 
 def links_of(html: Column) -> Column:
-    """Targets of canonical links and of refresh redirects in a page, as an array without nulls."""
-    canonical = _attribute(F.regexp_extract(html, r"(?i)<link\s(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*>", 0), "href")
-    refresh = _attribute(F.regexp_extract(html, r"(?i)<meta\s(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*>", 0), "content")
-    refresh = F.nullif(F.regexp_extract(refresh, r"(?i)url\s*=\s*[\"']?([^\"'\s]+)", 1), F.lit(""))
-    return F.array_compact(F.array(canonical, refresh))
+    """Targets of all canonical links and refresh redirects in a page, as an array without nulls."""
+    canonical = F.regexp_extract_all(html, F.lit(r"(?i)<link\s(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*>"), F.lit(0))
+    refresh = F.regexp_extract_all(html, F.lit(r"(?i)<meta\s(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*>"), F.lit(0))
+    of_refresh = lambda tag: F.nullif(F.regexp_extract(_attribute(tag, "content"), r"(?i)url\s*=\s*[\"']?([^\"'\s]+)", 1), F.lit(""))
+    return F.array_distinct(F.array_compact(F.concat(F.transform(canonical, lambda tag: _attribute(tag, "href")), F.transform(refresh, of_refresh))))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(src, dst) URLs that the pages themselves declare equal or redirect to."""
-    found = pages.where(F.col("url").contains("://")).select("url", F.explode(links_of(F.col("html"))).alias("to"))
+    tagged = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)\b(?:canonical|refresh)\b"))
+    found = tagged.select("url", F.explode(links_of(F.col("html"))).alias("to"))
     return found.select(F.col("url").alias("src"), absolute(F.col("to"), F.col("url")).alias("dst")).where("dst is not null")
 
 
@@ -156,6 +189,7 @@ def judge(pages: DataFrame, rules, redirects: DataFrame | None = None, default:
         flagged = by_node.union(linked).groupBy("node").agg(F.max("allows").alias("allows"), F.max("blocks").alias("blocks"))
     else:
         flagged = seen.groupBy("node").agg(*flags)
-    out = rows.join(flagged, "node", "left")
+    alone = F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))  # meets nothing, and no two meet in one task
+    out = rows.withColumn("node", F.coalesce("node", alone)).join(flagged, "node", "left")
     verdict = F.coalesce("action", F.when(F.col("allows"), "allow").when(F.col("blocks"), "block"), F.lit(default))
     return out.select("page_id", "url", "host", "path", "rule", verdict.alias("verdict"))

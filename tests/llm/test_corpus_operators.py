@@ -5,15 +5,17 @@ import itertools
 import math
 import re
 import time
+import urllib.parse
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from holdfold.llm import decontamination, embedding_dedup, jaccard_join, license_scan, lm_scoring, mixing, pii, toxicity, url_filters, warc
+from holdfold.llm import decontamination, embedding_dedup, jaccard_join, license_scan, lm_scoring, mixing, pii, queries, toxicity, url_filters, warc
 from holdfold.llm.components import connected_components
 from holdfold.llm.elias_fano import EliasFano
 from holdfold.llm.queries import URL_RULES
@@ -73,6 +75,28 @@ def test_url_filters(spark):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(pages, as_table).collect()} == got
 
 
+def test_url_links_against_url_library(spark):
+    """Targets as the standard library joins them; blocks travel along relative, second and encoded links."""
+    base = ["http://a.b/c/d.html?x=1", "http://a.b", "https://a.b/c/d/", "http://a.b/c/d/e?q#f"]
+    target = ["e.html", "?id=2", "../x/y", "./z", "../../../up", "/r/../s?k=v", "//h.i/j", "ftp://k/l", "m/n/..", "g?a=b/../c#d"]
+    df = spark.createDataFrame([(b, t) for b in base for t in target], "b string, t string")
+    for r in df.select("b", "t", url_filters.absolute(F.col("t"), F.col("b")).alias("got")).collect():
+        want = urllib.parse.urljoin(r.b, r.t)
+        assert r.got.removesuffix("/") == want.removesuffix("/"), (r.b, r.t)
+    tag = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://p.com/d/a.html", tag.format("blocked.html")), (2, "http://p.com/d/blocked.html", tag.format("http://x.net/p?a=1&amp;b=2")),
+        (3, "http://q.com/z", tag.format("#top") + tag.format("http://x.net/p?a=1&b=2")), (4, "http://r.com/a?id=1", tag.format("?id=2")), (5, "http://r.com/a?id=2", "<META content='0;URL=//y.net/' http-equiv=refresh>"),
+        (6, "http://s.com/", "<link rel=stylesheet href=//x.net/p>"), (7, None, None), (8, None, tag.format("x")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filters.judge(pages, URL_RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow"}
+    con = duckdb.connect()
+    con.register("pages", pa.Table.from_pylist([dict(zip(("page_id", "url", "html"), r, strict=True)) for r in rows], pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])))
+    assert {r[0]: r[4] for r in con.sql(queries.ORACLE_SQL["op1_url_filters"]).fetchall()} == got
+
+
 def test_warc(spark):
     long = "é" * 200
     rows = [(3, "u", long), (1, "u\r\nx: y", long), (2, None, "short"), (5, "u", "short"), (4, "u", None), (None, "u", long), (1, "u", long), (6, "u", prose(1, 60_000))]
