@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Members, and their weight (numbers of 8 bytes), in a chunk.
-SIZE, HEAVY = 512, 1 << 20
+SIZE, HEAVY = 1024, 1 << 21
 
 
 def deal(members: DataFrame, group: str, member: str, size: int = SIZE, weight: str | None = None, tasks: int = 1) -> DataFrame:
@@ -45,10 +45,10 @@ def crossing(part: str) -> bool:
 def spanning(near: np.ndarray) -> np.ndarray:
     """For a symmetric boolean matrix: each member's smallest connected member."""
     n = len(near)
-    label = np.arange(n)
+    label = np.arange(n, dtype=np.int32)
     reach = near | np.eye(n, dtype=bool)
     while True:
-        low = np.where(reach, label[None, :], n).min(axis=1)
+        low = np.where(reach, label[None, :], np.int32(n)).min(axis=1)
         low = np.minimum(low, low[low])
         if (low == label).all():
             return label

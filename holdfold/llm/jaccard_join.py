@@ -108,29 +108,27 @@ def n_gram_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.select("id", "n", "grp", "text").mapInArrow(run, "id long, n long, grp long, grams array<long>")
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray, threshold: float, width: int = 4096) -> np.ndarray:
-    """Boolean matrix of the pairs at the threshold; pairs within side 1 are left out."""
-    m = len(sets)
-    size = np.array([len(x) for x in sets], dtype=np.int64)
-    owner = np.repeat(np.arange(m), size)
-    _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float, width: int = 2048) -> np.ndarray:
+    """Boolean matrix of the pairs, of a set on the left and one on the right, that reach the threshold."""
+    m, n = len(left), len(right)
+    size = np.array([len(x) for x in [*left, *right]], dtype=np.int64)
+    owner = np.repeat(np.arange(m + n), size)
+    _, gram, count = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
     shared = count[gram] > 1
     gram, owner = gram[shared], owner[shared]
-    _, gram = np.unique(gram, return_inverse=True)
-    common = np.zeros((m, m), dtype=np.float32)
     order = np.argsort(gram, kind="stable")
     gram, owner = gram[order], owner[order]
+    gram = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]])) if len(gram) else gram
+    common = np.zeros((m, n), dtype=np.float32)
     for low in range(0, int(gram[-1]) + 1 if len(gram) else 0, width):
         a, b = np.searchsorted(gram, [low, low + width])
-        part = np.zeros((m, width), dtype=np.float32)
+        part = np.zeros((m + n, width), dtype=np.float32)
         part[owner[a:b], gram[a:b] - low] = 1
-        common += part @ part.T
-    common = common.astype(np.float64)
-    out = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
-    out &= common > 0
-    np.fill_diagonal(out, False)
-    far = side == 1
-    out[np.ix_(far, far)] = False
+        common += part[:m] @ part[m:].T
+    out = np.zeros((m, n), dtype=bool)
+    for low in range(0, m, 256):
+        c = common[low : low + 256].astype(np.float64)
+        out[low : low + 256] = (c > 0) & (c >= threshold * (size[low : min(low + 256, m), None] + size[None, m:] - c) - 1e-9)
     return out
 
 
@@ -139,23 +137,31 @@ def verify(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        part = np.asarray(table["part"].to_pylist())
+        text = table["part"].combine_chunks().dictionary_encode()
+        part, names = text.indices.to_numpy(), text.dictionary.to_pylist()
         ids, n, side = (table[c].to_numpy() for c in ("id", "n", "side"))
         grams = table["grams"].combine_chunks()
         flat, bounds = grams.values.to_numpy(), grams.offsets.to_numpy()
         out = []
         order = np.argsort(part, kind="stable")
         for rows in np.split(order, np.flatnonzero(part[order][1:] != part[order][:-1]) + 1):
-            rows = rows[np.unique(ids[rows], return_index=True)[1]]
             if len(rows) < 2:
                 continue
-            near = linked([flat[bounds[r] : bounds[r + 1]] for r in rows], side[rows], threshold)
-            if crossing(part[rows[0]]):
-                near[np.ix_(side[rows] == 0, side[rows] == 0)] = False
+            crosses = crossing(names[part[rows[0]]])
+            left, right = (rows[side[rows] == 0], rows[side[rows] == 1]) if crosses else (rows, rows)
+            if not len(left) or not len(right):
+                continue
+            sets = lambda of: [flat[bounds[r] : bounds[r + 1]] for r in of]
+            near = linked(sets(left), sets(right), threshold)
+            if crosses:
+                rows, between = np.concatenate([left, right]), near
+                near = np.zeros((len(rows), len(rows)), dtype=bool)
+                near[: len(left), len(left) :], near[len(left) :, : len(left)] = between, between.T
+            else:
+                np.fill_diagonal(near, False)
             low = spanning(near)
-            for k, r in enumerate(rows):
-                if near[k].any():
-                    out.append((ids[r], int(n[rows[near[k]]].sum()), ids[rows[low[k]]]))
+            for k in np.flatnonzero(near.any(axis=1)).tolist():
+                out.append((ids[rows[k]], int(n[rows[near[k]]].sum()), ids[rows[low[k]]]))
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, schema=schema)
 
     return members.groupBy("task").applyInArrow(run, "id long, links long, other long")

@@ -8,8 +8,7 @@ is capped if its cap is at most its share of what the sources before it leave.
 Sampling: every document is taken ``whole`` times, the whole part of target / size; the
 rest of the target is a seeded sample of further documents.  A document's mark is a hash
 of its id, text and source; a source takes the marks up to a cut such that the next would
-overshoot, then, in FILLS further passes, those of the remaining documents that still
-fit.  Equal rows share a mark and are told apart by their place in the table of sizes, so a
+overshoot, then, FILLS times, the largest of the remaining documents that still fits.  Equal rows share a mark and are told apart by their place in the table of sizes, so a
 cut may go through them; as they are equal, the mixture is the same whichever are taken.
 A cut is found from sums by histogram bucket of marks, then by mark, then by partition of
 the table, then by place, so no source and no group of equal rows is gathered in one task.
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-WEIGHTS, MAX_EPOCHS, TOTAL, SEED, FILLS = (5, 2, 1), 3, 1.0, 11, 3
+WEIGHTS, MAX_EPOCHS, TOTAL, SEED, FILLS = (5, 2, 1), 3, 1.0, 11, 2
 _BUCKET_BITS = 12
 
 
@@ -73,24 +72,24 @@ def _edge(sums: DataFrame, want: DataFrame, by: str) -> DataFrame:
     return total.groupBy("sid").agg(F.max(F.when(F.col("total") <= F.col("left"), F.col(by))).alias("last"), F.min(F.when(F.col("total") > F.col("left"), after)).alias("next"))
 
 
-def _cuts(marks: DataFrame, want: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _cuts(marks: DataFrame, want: DataFrame, scratch: Scratch) -> DataFrame:
     """(sid, cut): the largest (mark, place) up to which the sums of ``marks`` (sid, mark, place, size) stay within ``want`` (sid, left)."""
     marks = marks.withColumns({"bucket": F.shiftright("mark", 63 - _BUCKET_BITS), "part": F.shiftright("place", 33)})
     most = F.lit((1 << 63) - 1)
     cut = lambda mark, place: F.struct(mark.alias("mark"), place.alias("place")).alias("cut")
     following = lambda edge, by: edge.where("next is not null").select("sid", f"next.{by}", "next.left")
-    buckets = scratch.write(_edge(marks.groupBy("sid", "bucket").agg(F.sum("size").alias("n")), want, "bucket"), f"{name}-bucket")
+    buckets = scratch.write(_edge(marks.groupBy("sid", "bucket").agg(F.sum("size").alias("n")), want, "bucket"), "edge-bucket")
     edge = following(buckets, "bucket")
     inside = marks.join(edge.drop("left"), ["sid", "bucket"])
-    by_mark = scratch.write(_edge(inside.groupBy("sid", "mark").agg(F.sum("size").alias("n")), edge.drop("bucket"), "mark"), f"{name}-mark")
+    by_mark = scratch.write(_edge(inside.groupBy("sid", "mark").agg(F.sum("size").alias("n")), edge.drop("bucket"), "mark"), "edge-mark")
     found = [
         buckets.where("last is not null").select("sid", cut(F.shiftleft(F.col("last") + 1, 63 - _BUCKET_BITS) - 1, most)),
         by_mark.where("last is not null").select("sid", cut(F.col("last"), most)),
     ]
     tied = following(by_mark, "mark")
-    equal = scratch.write(inside.join(tied, ["sid", "mark"]).where("size <= left").select("sid", "mark", "part", "place", "size"), f"{name}-equal")
+    equal = scratch.write(inside.join(tied, ["sid", "mark"]).where("size <= left").select("sid", "mark", "part", "place", "size"), "edge-equal")
     if equal.limit(1).count():
-        by_part = scratch.write(_edge(equal.groupBy("sid", "part").agg(F.sum("size").alias("n")), tied.drop("mark"), "part"), f"{name}-part")
+        by_part = scratch.write(_edge(equal.groupBy("sid", "part").agg(F.sum("size").alias("n")), tied.drop("mark"), "part"), "edge-part")
         last = following(by_part, "part")
         rows = _edge(equal.join(last.drop("left"), ["sid", "part"]).select("sid", "place", F.col("size").alias("n")), last.drop("part"), "place")
         mark = tied.select("sid", "mark")
@@ -100,33 +99,36 @@ def _cuts(marks: DataFrame, want: DataFrame, scratch: Scratch, name: str) -> Dat
 
 
 def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = MAX_EPOCHS, total: float = TOTAL, scratch: Scratch | None = None) -> DataFrame:
-    """Of ``rows`` (source, size, mark, place), one row per source: source, source_size, target, whole, and cuts, an array of (limit, mark, place)."""
+    """Of ``rows`` (source, size, mark, place), one row per source: source, source_size, target, whole, limit, cut, the last (mark, place) sampled of rows no larger than limit, and fills, an array of further ones."""
     scratch = scratch or Scratch(rows.sparkSession, "mixing")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs, total)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
-    none = F.array().cast("array<struct<limit:double,mark:bigint,place:bigint>>")
-    sources = scratch.write(sources.withColumn("whole", whole).withColumns({"left": F.col("target") - F.col("whole") * F.col("source_size"), "cuts": none}), "sources-0")
-    slim = sources.select("sid", F.col("source").alias("_source"))
-    marks = scratch.write(rows.select("source", "size", "mark", "place").join(slim, F.col("source").eqNullSafe(F.col("_source"))).select("sid", "size", "mark", "place").where("size > 0"), "marks")
-    for k in range(FILLS + 1):
-        state = sources.select("sid", "left", "cuts")
-        open_rows = marks.join(state, "sid").where((F.col("size") <= F.col("left") + 1e-6) & ~extra())
-        cuts = _cuts(open_rows.select("sid", "mark", "place", "size"), sources.select("sid", (F.col("left") + 1e-6).alias("left")), scratch, f"edge-{k}")
-        cuts = scratch.write(cuts, f"cuts-{k}")
-        taken = open_rows.join(cuts, "sid").where(F.struct("mark", "place") <= F.col("cut")).groupBy("sid").agg(F.sum("size").alias("took"))
-        added = F.when(F.col("cut").isNotNull(), F.array(F.struct((F.col("left") + 1e-6).alias("limit"), "cut.mark", "cut.place"))).otherwise(none)
-        sources = sources.join(cuts, "sid", "left").join(taken, "sid", "left")
-        sources = sources.withColumns({"cuts": F.concat("cuts", added), "left": F.col("left") - F.coalesce("took", F.lit(0))}).drop("cut", "took")
-        sources = scratch.write(sources, f"sources-{k + 1}")
-        for table in (f"cuts-{k}", f"sources-{k}", *(f"edge-{k}-{t}" for t in ("bucket", "mark", "equal", "part"))):
-            scratch.drop(table)
-    scratch.drop("marks")
-    return sources.drop("left")
+    sources = scratch.write(sources.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size") + 1e-6), "sources")
+    slim = sources.select("sid", "left", F.col("source").alias("_source"))
+    near = rows.select("source", "size", "mark", "place").join(slim, F.col("source").eqNullSafe(F.col("_source"))).where("size > 0 and size <= left")
+    marks = scratch.write(near.select("sid", "size", "mark", "place"), "marks")
+    cuts = scratch.write(_cuts(marks, sources.select("sid", "left"), scratch), "cuts")
+    place = F.struct("mark", "place")
+    taken = marks.join(cuts, "sid").where(place <= F.col("cut")).groupBy("sid").agg(F.sum("size").alias("took"))
+    none = F.array().cast("array<struct<mark:bigint,place:bigint>>")
+    state = sources.select("sid", "left").join(cuts, "sid", "left").join(taken, "sid", "left")
+    state = scratch.write(state.select("sid", (F.col("left") - F.coalesce("took", F.lit(0))).alias("left"), "cut", none.alias("fills")), "state-0")
+    for k in range(FILLS):
+        untaken = (F.col("cut").isNull() | (place > F.col("cut"))) & ~F.array_contains("fills", place)
+        fits = marks.join(state, "sid").where((F.col("size") <= F.col("left")) & untaken)
+        best = fits.groupBy("sid").agg(F.max(F.struct("size", "mark", "place")).alias("best"))
+        added = F.when(F.col("best").isNotNull(), F.array(F.struct("best.mark", "best.place"))).otherwise(none)
+        state = state.join(best, "sid", "left").select("sid", (F.col("left") - F.coalesce("best.size", F.lit(0))).alias("left"), "cut", F.concat("fills", added).alias("fills"))
+        state = scratch.write(state, f"state-{k + 1}")
+    for table in ("marks", "cuts", "edge-bucket", "edge-mark", "edge-equal", "edge-part", *(f"state-{k}" for k in range(FILLS))):
+        scratch.drop(table)
+    return sources.withColumnRenamed("left", "limit").join(state.drop("left"), "sid", "left")
 
 
 def extra() -> Column:
-    """Whether a row with ``size``, ``mark`` and ``place`` is sampled by its source's ``cuts``."""
-    return F.exists("cuts", lambda c: (F.col("size") <= c["limit"]) & ((F.col("mark") < c["mark"]) | ((F.col("mark") == c["mark"]) & (F.col("place") <= c["place"]))))
+    """Whether a row with ``size``, ``mark`` and ``place`` is sampled by its source's ``limit``, ``cut`` and ``fills``."""
+    place = F.struct("mark", "place")
+    return (F.col("size") > 0) & (F.coalesce((place <= F.col("cut")) & (F.col("size") <= F.col("limit")), F.lit(False)) | F.coalesce(F.array_contains("fills", place), F.lit(False)))
 
 
 ADDED = ("size", "source_size", "target", "copies", "taken")
@@ -138,8 +140,8 @@ def mixed(documents: DataFrame, seed: int = SEED, keep: Sequence[str] | None = N
     kept = [c for c in (documents.columns if keep is None else keep) if c not in ADDED]
     sized = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "source", size_of(F.col("text")).alias("size"), mark_of(seed).alias("mark"), F.monotonically_increasing_id().alias("place"))
     rows = scratch.write(sized, "sizes")
-    sources = plan(rows, scratch=scratch, **given).select(F.col("source").alias("_source"), "source_size", "target", "whole", "cuts")
-    found = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", F.col("whole") + (extra() & (F.col("size") > 0)).cast("long"))
+    sources = plan(rows, scratch=scratch, **given).select(F.col("source").alias("_source"), "source_size", "target", "whole", "limit", "cut", "fills")
+    found = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", F.col("whole") + extra().cast("long"))
     return found.withColumn("taken", F.col("size") * F.col("copies")).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *ADDED)
 
 

@@ -264,7 +264,7 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch):
             w[i] = f"n{k}"
         texts.append(" ".join(w))
     near = brute_jaccard(texts)
-    for size, heavy in ((512, 1 << 20), (8, 1 << 20), (512, 3000)):  # the group is cut into chunks, by members or weight
+    for size, heavy in ((1024, 1 << 21), (8, 1 << 21), (1024, 3000)):  # the group is cut into chunks, by members or weight
         monkeypatch.setattr("holdfold.llm.blocks.deal.__defaults__", (size, None, 1))
         monkeypatch.setattr("holdfold.llm.blocks.HEAVY", heavy)
         rows = {r.doc_id: r for r in jaccard_join.classes(docs_of(spark, texts).withColumn("class", F.lit(0))).collect()}
@@ -337,20 +337,62 @@ def test_embedding_dedup(spark):
     assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(again).collect()) == [(1, 0, 1, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
 
 
-def test_embedding_pairs_that_meet_are_all_reranked():
+def exact_links(rows):
+    """(sorted (vec_id, n_links, component_id) of all rows, number of links) by comparing all pairs of one length."""
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    near = [{j for j, y in enumerate(unit) if j != i and len(x) == len(y) and x @ y >= embedding_dedup.THRESHOLD} for i, x in enumerate(unit)]
+    label = list(range(len(rows)))
+    for _ in rows:
+        label = [min([label[i], *(label[j] for j in near[i])]) for i in range(len(rows))]
+    lead = {c: min(rows[i][0] for i in range(len(rows)) if label[i] == c) for c in set(label)}
+    return sorted((rows[i][0], len(near[i]), lead[label[i]]) for i in range(len(rows))), sum(map(len, near))
+
+
+@pytest.mark.parametrize("light", [128, 4])
+def test_embedding_dedup_of_all_lengths_against_brute_force(spark, monkeypatch, light):
+    """Lengths that the sample has plenty or a pair of; a group of near-equal vectors; repeated ids; full buckets cut into chunks."""
+    monkeypatch.setattr(embedding_dedup, "LIGHT", light)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 16)
+    rng = np.random.default_rng(2)
+    rows = [(k % 150, [float(x) for x in rng.normal(size=32)]) for k in range(200)]
+    centre = rng.normal(size=32)
+    rows += [(1000 + k, [float(x) for x in centre + rng.normal(size=32) * 0.1]) for k in range(60)]
+    for dim in (3, 5):
+        v = rng.normal(size=dim)
+        rows += [(2000 + 10 * dim + k, [float(x) for x in v + rng.normal(size=dim) * 0.02]) for k in range(3)]
+    want, n = exact_links(rows)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert n > 3000 and got == want
+
+
+def test_embedding_pairs_that_meet_are_looked_at_once():
     """Every pair of codes with a substring at most two bits apart is looked at under one key alone, however many bits differ."""
     rng = np.random.default_rng(11)
-    a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
-    b = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
-    near = np.uint64((1 << embedding_dedup.SUB) - 1)
-    b[:200] = (b[:200] & ~near) | ((a[:200] & near) ^ np.uint64(5))  # apart by two bits in the first substring, by any number beyond
-    looked = Counter()
+    width, tables = 16, 4
+    a, b = (rng.integers(0, 1 << width, (400, tables)).astype(np.uint32) for _ in range(2))
+    b[:200, 0] = a[:200, 0] ^ 5
+    b[:50, 0] = a[:50, 0]
+    dim = np.full(1, 64)
     for i in range(400):
-        both = set(embedding_dedup.keys(a[i : i + 1])[0].tolist()) & set(embedding_dedup.keys(b[i : i + 1])[0].tolist())
-        looked[i] = sum(len(embedding_dedup.met(a[i : i + 1], b[i : i + 1], k)) for k in both)
-        part = [((a[i] ^ b[i]) >> np.uint64(t * embedding_dedup.SUB)) & near for t in range(embedding_dedup.TABLES)]
-        assert looked[i] == int(any(np.bitwise_count(p) <= 2 for p in part))
-    assert all(looked[i] == 1 for i in range(200)) and np.bitwise_count(a[:200] ^ b[:200]).max() > 20
+        both = set(embedding_dedup.keys(a[i : i + 1], width, dim)[0].tolist()) & set(embedding_dedup.keys(b[i : i + 1], width, dim)[0].tolist())
+        looked = sum(int(embedding_dedup.met(a[i : i + 1], b[i : i + 1], np.array([k]))[0]) for k in both)
+        assert looked == int((np.bitwise_count(a[i] ^ b[i]) <= 2).any()) and (i >= 200 or looked == 1)
+
+
+def test_embedding_recall_by_cosine():
+    """Pairs at cosines from 0.9 on, around zero and sharing a direction, meet in the tables that the sample asks for."""
+    rng = np.random.default_rng(13)
+    for shift in (0.0, 1.0):
+        u = rng.normal(size=(4000, 64)) + shift
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        coder = embedding_dedup.learn(u, 16, embedding_dedup.TABLES[1])
+        tables = int(np.argmax(embedding_dedup.meeting(coder, u[:2048], 0.9) >= embedding_dedup.RECALL)) + 1
+        n = rng.normal(size=u.shape)
+        n -= (n * u).sum(axis=1)[:, None] * u
+        n /= np.linalg.norm(n, axis=1)[:, None]
+        for c, least in ((0.9, 0.97), (0.92, 0.98), (0.95, 0.99)):
+            near = np.bitwise_count(coder.code(u) ^ coder.code(c * u + math.sqrt(1 - c * c) * n))[:, :tables] <= 2
+            assert near.any(axis=1).mean() >= least
 
 
 def test_embedding_bound_keeps_every_link():
@@ -473,6 +515,16 @@ def test_mixing(spark):
     assert drawn.count() == sum(r.copies for r in out) and drawn.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "mark", "place", "taken", "repeat"]
 
 
+def test_mixing_leaves_out_what_does_not_fit(spark):
+    """A document larger than what a source may still take isn't sampled, wherever its mark lies; no source passes its target."""
+    rows = [(k, prose(k, 900 if k % 7 == 0 else 10), "a" if k % 2 else "b") for k in range(300)]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1000)).collect()
+    taken = Counter()
+    for r in out:
+        taken[r.source] += r.taken
+    assert all(0 <= r.target - taken[r.source] + 1e-6 < 900 for r in out) and all(abs(r.target - taken[r.source]) < 10 for r in out)
+
+
 def test_mixing_splits_equal_rows(spark):
     """A cut goes through equal rows: no more words are missing than one row has."""
     same = prose(1, 50)
