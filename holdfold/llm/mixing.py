@@ -8,7 +8,8 @@ is capped if its cap is at most its share of what the sources before it leave.
 Sampling: every document is taken ``whole`` times, the whole part of target / size; the
 rest of the target is a seeded sample of further documents.  A document's mark is a hash
 of its id, text and source; a source takes the marks up to a cut such that the next would
-overshoot, then, FILLS times, the largest of the remaining documents that still fits.  Equal rows share a mark and are told apart by their place in the table of sizes, so a
+overshoot, once more so (CUTS) of the remaining documents that still fit, and then, FILLS
+times, the largest that still fits.  Equal rows share a mark and are told apart by their place in the table of sizes, so a
 cut may go through them; as they are equal, the mixture is the same whichever are taken.
 A cut is found from sums by histogram bucket of marks, then by mark, then by partition of
 the table, then by place, so no source and no group of equal rows is gathered in one task.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-WEIGHTS, MAX_EPOCHS, TOTAL, SEED, FILLS = (5, 2, 1), 3, 1.0, 11, 2
+WEIGHTS, MAX_EPOCHS, TOTAL, SEED, CUTS, FILLS = (5, 2, 1), 3, 1.0, 11, 2, 1
 _BUCKET_BITS = 12
 
 
@@ -98,37 +99,44 @@ def _cuts(marks: DataFrame, want: DataFrame, scratch: Scratch) -> DataFrame:
     return functools.reduce(DataFrame.union, found).groupBy("sid").agg(F.max("cut").alias("cut"))
 
 
+_CUT = "array<struct<limit:double,mark:bigint,place:bigint>>"
+_FILL = "array<struct<mark:bigint,place:bigint>>"
+
+
 def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = MAX_EPOCHS, total: float = TOTAL, scratch: Scratch | None = None) -> DataFrame:
-    """Of ``rows`` (source, size, mark, place), one row per source: source, source_size, target, whole, limit, cut, the last (mark, place) sampled of rows no larger than limit, and fills, an array of further ones."""
+    """Of ``rows`` (source, size, mark, place), one row per source: source, source_size, target, whole, cuts, an array of the last (mark, place) sampled of rows up to a limit, and fills, an array of single ones."""
     scratch = scratch or Scratch(rows.sparkSession, "mixing")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs, total)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
-    sources = scratch.write(sources.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size") + 1e-6), "sources")
+    left = F.col("target") - F.col("whole") * F.col("source_size") + 1e-6
+    sources = scratch.write(sources.withColumn("whole", whole).withColumns({"left": left, "cuts": F.array().cast(_CUT), "fills": F.array().cast(_FILL)}), "sources")
     slim = sources.select("sid", "left", F.col("source").alias("_source"))
     near = rows.select("source", "size", "mark", "place").join(slim, F.col("source").eqNullSafe(F.col("_source"))).where("size > 0 and size <= left")
     marks = scratch.write(near.select("sid", "size", "mark", "place"), "marks")
-    cuts = scratch.write(_cuts(marks, sources.select("sid", "left"), scratch), "cuts")
+    state = sources.select("sid", "left", "cuts", "fills")
     place = F.struct("mark", "place")
-    taken = marks.join(cuts, "sid").where(place <= F.col("cut")).groupBy("sid").agg(F.sum("size").alias("took"))
-    none = F.array().cast("array<struct<mark:bigint,place:bigint>>")
-    state = sources.select("sid", "left").join(cuts, "sid", "left").join(taken, "sid", "left")
-    state = scratch.write(state.select("sid", (F.col("left") - F.coalesce("took", F.lit(0))).alias("left"), "cut", none.alias("fills")), "state-0")
-    for k in range(FILLS):
-        untaken = (F.col("cut").isNull() | (place > F.col("cut"))) & ~F.array_contains("fills", place)
-        fits = marks.join(state, "sid").where((F.col("size") <= F.col("left")) & untaken)
-        best = fits.groupBy("sid").agg(F.max(F.struct("size", "mark", "place")).alias("best"))
-        added = F.when(F.col("best").isNotNull(), F.array(F.struct("best.mark", "best.place"))).otherwise(none)
-        state = state.join(best, "sid", "left").select("sid", (F.col("left") - F.coalesce("best.size", F.lit(0))).alias("left"), "cut", F.concat("fills", added).alias("fills"))
-        state = scratch.write(state, f"state-{k + 1}")
-    for table in ("marks", "cuts", "edge-bucket", "edge-mark", "edge-equal", "edge-part", *(f"state-{k}" for k in range(FILLS))):
+    for k in range(CUTS + FILLS):
+        fits = marks.join(state, "sid").where((F.col("size") <= F.col("left")) & ~extra())
+        if k < CUTS:
+            found = scratch.write(_cuts(fits.select("sid", "mark", "place", "size"), state.select("sid", "left"), scratch), f"found-{k}")
+            took = fits.join(found, "sid").where(place <= F.col("cut")).groupBy("sid").agg(F.sum("size").alias("took"))
+            joined = state.join(found, "sid", "left").join(took, "sid", "left")
+            added = F.when(F.col("cut").isNotNull(), F.array(F.struct(F.col("left").alias("limit"), "cut.mark", "cut.place"))).otherwise(F.array().cast(_CUT))
+            state = joined.select("sid", (F.col("left") - F.coalesce("took", F.lit(0))).alias("left"), F.concat("cuts", added).alias("cuts"), "fills")
+        else:
+            joined = state.join(fits.groupBy("sid").agg(F.max(F.struct("size", "mark", "place")).alias("best")), "sid", "left")
+            added = F.when(F.col("best").isNotNull(), F.array(F.struct("best.mark", "best.place"))).otherwise(F.array().cast(_FILL))
+            state = joined.select("sid", (F.col("left") - F.coalesce("best.size", F.lit(0))).alias("left"), "cuts", F.concat("fills", added).alias("fills"))
+        state = scratch.write(state, f"state-{k}")
+    for table in ("marks", "edge-bucket", "edge-mark", "edge-equal", "edge-part", *(f"found-{k}" for k in range(CUTS)), *(f"state-{k}" for k in range(CUTS + FILLS - 1))):
         scratch.drop(table)
-    return sources.withColumnRenamed("left", "limit").join(state.drop("left"), "sid", "left")
+    return sources.drop("left", "cuts", "fills").join(state.drop("left"), "sid")
 
 
 def extra() -> Column:
-    """Whether a row with ``size``, ``mark`` and ``place`` is sampled by its source's ``limit``, ``cut`` and ``fills``."""
-    place = F.struct("mark", "place")
-    return (F.col("size") > 0) & (F.coalesce((place <= F.col("cut")) & (F.col("size") <= F.col("limit")), F.lit(False)) | F.coalesce(F.array_contains("fills", place), F.lit(False)))
+    """Whether a row with ``size``, ``mark`` and ``place`` is sampled by its source's ``cuts`` or ``fills``."""
+    cut = F.exists("cuts", lambda c: (F.col("size") <= c["limit"]) & ((F.col("mark") < c["mark"]) | ((F.col("mark") == c["mark"]) & (F.col("place") <= c["place"]))))
+    return (F.col("size") > 0) & (cut | F.exists("fills", lambda c: (F.col("mark") == c["mark"]) & (F.col("place") == c["place"])))
 
 
 ADDED = ("size", "source_size", "target", "copies", "taken")
@@ -140,7 +148,7 @@ def mixed(documents: DataFrame, seed: int = SEED, keep: Sequence[str] | None = N
     kept = [c for c in (documents.columns if keep is None else keep) if c not in ADDED]
     sized = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "source", size_of(F.col("text")).alias("size"), mark_of(seed).alias("mark"), F.monotonically_increasing_id().alias("place"))
     rows = scratch.write(sized, "sizes")
-    sources = plan(rows, scratch=scratch, **given).select(F.col("source").alias("_source"), "source_size", "target", "whole", "limit", "cut", "fills")
+    sources = plan(rows, scratch=scratch, **given).select(F.col("source").alias("_source"), "source_size", "target", "whole", "cuts", "fills")
     found = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", F.col("whole") + extra().cast("long"))
     return found.withColumn("taken", F.col("size") * F.col("copies")).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *ADDED)
 
