@@ -6,8 +6,9 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only in local mode, where that is unset, a temporary folder."""
+    """``spark.checkpoint.dir``, a bare path on the default file system; only in local mode, where that is unset, a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return root or "file:///tmp/holdfold-shared"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root or "file:///tmp/holdfold-shared")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()

@@ -129,10 +129,10 @@ def register(spark: SparkSession, sf_dir: str) -> None:
 
 def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from .domain import with_domain
+        from .domain import over_files
 
         register(spark, sf_dir)
-        return spark.sql(with_domain(Spark(), PLANS[name](Spark())))
+        return over_files(spark, sf_dir).run(name)
 
     query.__name__ = name
     return query

@@ -10,20 +10,50 @@ quarters     the periods in order, numbered
 prices       daily price, volume, return per instrument
 market       per instrument and period: last price, median dollar volume, volatility, cap
 moves        positions against the previous quarter (full outer), with prices
+
+Relations that many plans read are written once, as Parquet, and read from there
+(:class:`Domain`); books and moves are partitioned by quarter, so a plan of one quarter reads
+its files alone.  In DuckDB's dialect the relations stay the plain definitions, so what is
+stored, and the arithmetic that takes the place of range joins, is checked against them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 
-from .dialect import Spark
+from ..operators.storage import shared_folder
+from .dialect import DuckDB, Spark
 
 LAG, FILERS = 60, 100
 #: Number of a period, 1 for the last quarter of 1994: arithmetic, so that no window over all periods is needed.
 QUARTER = "CAST(year(period_end) * 4 + quarter(period_end) - 7979 AS BIGINT)"
 
 
+#: What is written once, and the column that it is partitioned by; later ones read earlier ones.
+STORED = {"holdings": None, "folded": None, "numbered": "q", "quarters": None, "prices": None, "market": None, "moves": "q"}
+
+
 def relations(d: Spark) -> dict[str, str]:
+    """The relations' definitions, each after those that it reads."""
+    found = _plain(d)
+    if isinstance(d, DuckDB):
+        return found
+    start = "CAST(date_trunc('quarter', day) AS DATE)"
+    ends = " UNION ALL ".join(f"SELECT *, {d.plus(d.months(start, 3 * k), -1)} AS period_end FROM prices" for k in (1, 2))
+    found["market"] = f"""SELECT period_end, instrument, max_by(price, day) AS price, {d.quantile("dollars", 0.5)} AS adv, stddev_samp(ret) AS vol, max_by(price, day) * sum(volume) AS cap
+  FROM quarters JOIN ({ends}) p USING (period_end) WHERE day > {d.plus("period_end", -92)} GROUP BY period_end, instrument"""
+    found["books"] = "SELECT period_end, filer_id, instrument, shares, value, w, book FROM numbered"
+    found["numbered"] = f"""SELECT *, value / sum(value) OVER (PARTITION BY period_end, filer_id) AS w, sum(value) OVER (PARTITION BY period_end, filer_id) AS book, {QUARTER} AS q FROM panel"""
+    order = ["revisions", "holdings", "visible", "folded", "panel", "numbered", "books"]
+    return {name: found[name] for name in order} | {name: sql for name, sql in found.items() if name not in order}
+
+
+def _plain(d: Spark) -> dict[str, str]:
     t = d.table
     return {
         "revisions": f"""SELECT o_orderkey AS accession, o_custkey AS cik, o_custkey % {FILERS} AS filer_id, CAST(o_orderdate AS DATE) AS known,
@@ -52,9 +82,9 @@ def relations(d: Spark) -> dict[str, str]:
     }
 
 
-def with_domain(d: Spark, body: str) -> str:
-    """``body`` with a WITH clause of the relations that it needs, directly or through others."""
-    known = relations(d)
+def with_domain(d: Spark, body: str, views: Mapping[str, str] | None = None) -> str:
+    """``body`` with a WITH clause of the relations that it needs, directly or through others; those of ``views`` are read from these."""
+    known = relations(d) | {name: f"SELECT * FROM {view}" for name, view in (views or {}).items()}
     need: list[str] = []
 
     def add(text: str) -> None:
@@ -70,3 +100,64 @@ def with_domain(d: Spark, body: str) -> str:
     ctes = ",\n".join(f"{n} AS ({known[n]})" for n in ordered)
     body = body.strip()
     return f"WITH RECURSIVE {ctes},\n{body[len('WITH RECURSIVE') :]}" if body.startswith("WITH RECURSIVE") else f"WITH {ctes},\n{body[4:]}" if body.startswith("WITH") else f"WITH {ctes}\n{body}"
+
+
+class Domain:
+    """The domain over some tables: plans run on it, and what they share is written once.
+
+    ``given``: relations that the caller has, by the names above (revisions and holdings will
+    do; prices, where there are, for what reads the market).  ``key`` names the store; with the
+    same key, a store that is there already is read.  It lies in the folder that executors share.
+    """
+
+    def __init__(self, spark: SparkSession, given: Mapping[str, DataFrame] | None = None, key: str | None = None):
+        self.spark, self.key = spark, key or uuid.uuid4().hex[:16]
+        self.views: dict[str, str] = {}
+        for name, rows in (given or {}).items():
+            self._view(name, rows)
+
+    def _view(self, name: str, rows: DataFrame) -> None:
+        self.views[name] = f"hf_{self.key}_{name}"
+        rows.createOrReplaceTempView(self.views[name])
+
+    def sql(self, body: str) -> DataFrame:
+        """The rows of a SELECT over the relations."""
+        needed = with_domain(Spark(), body, self.views)
+        for name, by in STORED.items():
+            if name not in self.views and re.search(rf"(?m)(?:^|\bWITH(?: RECURSIVE)? ){name} AS \(", needed):
+                self._store(name, by)
+        return self.spark.sql(with_domain(Spark(), body, self.views))
+
+    def run(self, name: str) -> DataFrame:
+        """A plan by its name."""
+        from .dialect import PLANS
+
+        return self.sql(PLANS[name](Spark()))
+
+    def _store(self, name: str, by: str | None) -> None:
+        path = f"{shared_folder(self.spark)}/store-{self.key}/{name}"
+        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        schema = None
+        if not fs.exists(fs_path(f"{path}/_SUCCESS")):
+            rows = self.sql(f"SELECT * FROM ({relations(Spark())[name]}) r")
+            schema = rows.schema
+            made = f"{path}-{uuid.uuid4().hex}"
+            writer = (rows.hint("rebalance", by) if by else rows).write
+            (writer.partitionBy(by) if by else writer).parquet(made)
+            self.spark.createDataFrame([], schema).write.parquet(f"{made}/_columns")
+            if not fs.rename(fs_path(made), fs_path(path)):
+                fs.delete(fs_path(made), True)  # another session was first
+        schema = schema or self.spark.read.parquet(f"{path}/_columns").schema
+        self._view(name, self.spark.read.schema(schema).parquet(path))
+
+
+def over_files(spark: SparkSession, sf_dir: str) -> Domain:
+    """The domain over the tables of a folder; its store is known by the names, sizes and times of the files."""
+    jvm = spark.sparkContext._jvm
+    said = []
+    for name in ("orders", "lineitem", "part"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        said += sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(path))
+    return Domain(spark, key=hashlib.md5("\n".join([str(relations(Spark())), *said]).encode()).hexdigest()[:16])

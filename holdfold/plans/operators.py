@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     dialect.register(spark, sf_dir)
-    return spark.sql(domain.with_domain(Spark(), sql))
+    return domain.over_files(spark, sf_dir).sql(sql)
 
 
 def oracle(sql: str) -> str:
