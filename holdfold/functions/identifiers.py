@@ -30,16 +30,23 @@ def valid_identifier(x: Column) -> Column:
 
 
 def repair_identifier(raw: Column) -> Column:
-    """struct(fixed, action): ok, padded, appended or rejected."""
-    x = F.regexp_replace(F.upper(F.trim(raw)), "[^0-9A-Z*@#]", "")
+    """struct(fixed, action) of an identifier without blanks and dashes, in capitals.
+
+    ok: valid as it stands; padded: valid with the zeros that were lost in front; appended_check:
+    eight characters, which get their check digit; recovered: nine whose check digit is wrong,
+    so the body is kept and gets another; invalid otherwise.
+    """
+    x = F.regexp_replace(F.upper(F.trim(raw)), "[ -]", "")
+    shaped = lambda n: x.rlike(f"^[0-9A-Z*@#]{{{n}}}$")
     padded = F.lpad(x, 9, "0")
-    short = F.lpad(x, 8, "0")
-    appended = F.concat(short, check_digit(short).cast("string"))
+    checked = F.concat(F.substring(x, 1, 8), check_digit(x).cast("string"))
+    found = lambda fixed, action: F.struct(fixed.alias("fixed"), F.lit(action).alias("action"))
     return (
-        F.when(valid_identifier(x), F.struct(x.alias("fixed"), F.lit("ok").alias("action")))
-        .when((F.length(x) < 9) & valid_identifier(padded), F.struct(padded.alias("fixed"), F.lit("padded").alias("action")))
-        .when((F.length(x) <= 8) & (F.length(x) >= 6) & appended.isNotNull(), F.struct(appended.alias("fixed"), F.lit("appended").alias("action")))
-        .otherwise(F.struct(F.lit(None).cast("string").alias("fixed"), F.lit("rejected").alias("action")))
+        F.when(valid_identifier(x), found(x, "ok"))
+        .when((x != "") & (F.length(x) < 9) & valid_identifier(padded), found(padded, "padded"))
+        .when(shaped(8), found(checked, "appended_check"))
+        .when(shaped(9), found(checked, "recovered"))
+        .otherwise(found(F.lit(None).cast("string"), "invalid"))
     )
 
 

@@ -35,21 +35,21 @@ def groups(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return labels
 
 
-def centrality(weights: DataFrame, rounds: int = 12) -> DataFrame:
-    """(row, centrality) of the overlap matrix XX' without its diagonal, by power iteration.
+def centrality(weights: DataFrame, rounds: int = 12, by: str | None = None) -> DataFrame:
+    """([by,] row, centrality) of the overlap matrix XX' without its diagonal, by power iteration, all values of ``by`` at once.
 
     ``weights`` has row, item and w.  Each step is two aggregations of the sparse triples:
     t = X'v, then v = Xt - own * v; the matrix of pairs is never formed.
     """
     _checkpoints(weights.sparkSession)
-    weights = weights.checkpoint()
-    own = weights.groupBy("row").agg(F.sum(F.col("w") * F.col("w")).alias("own")).checkpoint()
-    v = own.select("row", F.lit(1.0).alias("v"))
+    keys = [by] if by else []
+    weights = weights.select(*keys, "row", "item", "w").checkpoint()
+    own = weights.groupBy(*keys, "row").agg(F.sum(F.col("w") * F.col("w")).alias("own")).checkpoint()
+    v = own.select(*keys, "row", F.lit(1.0).alias("v"))
     for _ in range(rounds):
-        t = weights.join(v, "row").groupBy("item").agg(F.sum(F.col("w") * F.col("v")).alias("t"))
-        u = weights.join(t, "item").groupBy("row").agg(F.sum(F.col("w") * F.col("t")).alias("u"))
-        new = u.join(v, "row").join(own, "row").select("row", (F.col("u") - F.col("own") * F.col("v")).alias("v"))
-        new = new.checkpoint()
-        norm = new.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0] or 1.0
-        v = new.select("row", (F.col("v") / norm).alias("v"))
+        t = weights.join(v, [*keys, "row"]).groupBy(*keys, "item").agg(F.sum(F.col("w") * F.col("v")).alias("t"))
+        u = weights.join(t, [*keys, "item"]).groupBy(*keys, "row").agg(F.sum(F.col("w") * F.col("t")).alias("u"))
+        new = u.join(v, [*keys, "row"]).join(own, [*keys, "row"]).select(*keys, "row", (F.col("u") - F.col("own") * F.col("v")).alias("v")).checkpoint()
+        norm = new.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+        v = (new.join(norm, keys) if keys else new.crossJoin(F.broadcast(norm))).select(*keys, "row", F.coalesce(F.try_divide("v", "norm"), F.lit(0.0)).alias("v"))
     return v.withColumnRenamed("v", "centrality")

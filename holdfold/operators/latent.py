@@ -30,28 +30,74 @@ def pca(rows: DataFrame, row: str, item: str, value: str, k: int = 3) -> DataFra
     return pairs.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(solve, f"{item} {kind}, component int, loading double, share double")
 
 
-def nmf(rows: DataFrame, period: str, row: str, item: str, value: str, k: int = 4, steps: int = 200, seed: int = 1) -> DataFrame:
-    """(period, item, factor, loading, error): non-negative factors of each period's row-by-item shares, by multiplicative updates on the item Gram matrix.
-
-    With V ~ WH, W follows from V and H by least squares, so the updates of H need V'V alone, which Spark sums up.
+def _start(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative start from the singular vectors' positive or negative parts, whichever are larger, zeros at the mean."""
+    u, s, wt = np.linalg.svd(v, full_matrices=False)
+    w, h = np.zeros((len(v), k)), np.zeros((k, v.shape[1]))
+    for j in range(min(k, len(s))):
+        parts = [(np.maximum(sign * u[:, j], 0), np.maximum(sign * wt[j], 0)) for sign in (1, -1)]
+        a, b = max(parts, key=lambda x: np.linalg.norm(x[0]) * np.linalg.norm(x[1]))
+        na, nb = np.linalg.norm(a), np.linalg.norm(b)
+        if na > 0 and nb > 0:
+            w[:, j], h[j] = np.sqrt(s[j] * na * nb) * a / na, np.sqrt(s[j] * na * nb) * b / nb
+    mean = v.mean()
+    w[w == 0], h[h == 0] = mean, mean
+    return w, h
+
+
+def factorise(v: np.ndarray, k: int, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """(W, H), both non-negative, that bring WH near V by multiplicative updates of the squared error."""
+    w, h = _start(v, k)
+    for _ in range(steps):
+        h *= (w.T @ v) / np.maximum(w.T @ w @ h, 1e-12)
+        w *= (v @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)
+    return w, h
+
+
+def heldout_error(v: np.ndarray, k: int, steps: int = 200, seed: int = 7) -> float:
+    """Relative error of a fifth of the rows, projected on factors of the others."""
+    order = np.random.default_rng(seed).permutation(len(v))
+    cut = int(0.8 * len(v))
+    _, h = factorise(v[order[:cut]], k, steps)
+    rest = v[order[cut:]]
+    w = np.full((len(rest), k), max(rest.mean(), 1e-6))
+    for _ in range(steps):
+        w *= (rest @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)
+    return float(np.linalg.norm(rest - w @ h) / max(np.linalg.norm(rest), 1e-12))
+
+
+def nmf(rows: DataFrame, period: str, row: str, item: str, value: str, k: int | None = None, grid: tuple[int, ...] = (2, 3, 4, 6, 8), first: int = 8, steps: int = 200) -> DataFrame:
+    """(period, item, factor, loading, row_weight, error): non-negative factors of each period's row-by-item shares.
+
+    Without ``k``, their number is the smallest of ``grid`` whose held-out error, meant over the
+    ``first`` periods, is within a fiftieth of the best.  Each period is one task, which holds its
+    matrix: rows times items times 8 bytes.  row_weight is the factor's sum over rows.
     """
-    same = (F.col(f"a.{period}") == F.col(f"b.{period}")) & (F.col(f"a.{row}") == F.col(f"b.{row}"))
-    pairs = rows.alias("a").join(rows.alias("b"), same).groupBy(F.col(f"a.{period}").alias(period), F.col(f"a.{item}").alias("i"), F.col(f"b.{item}").alias("j")).agg(F.sum(F.col(f"a.{value}") * F.col(f"b.{value}")).alias("c"))
+    kinds = dict(rows.dtypes)
+    slim = rows.groupBy(period, row, item).agg(F.sum(value).alias(value))
+
+    def matrix(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.pivot(index=row, columns=item, values=value).fillna(0.0).sort_index().sort_index(axis=1)
+
+    if k is None:
+        early = slim.select(period).distinct().orderBy(period).limit(first)
+
+        def errors(pdf: pd.DataFrame) -> pd.DataFrame:
+            v = matrix(pdf).to_numpy()
+            return pd.DataFrame([(j, heldout_error(v, j, steps)) for j in grid if len(v) >= 5 and j <= min(v.shape)], columns=["k", "error"])
+
+        found = {r.k: r.error for r in slim.join(F.broadcast(early), period).groupBy(period).applyInPandas(errors, "k int, error double").groupBy("k").agg(F.avg("error").alias("error")).collect()}
+        k = min((j for j, e in found.items() if e <= 1.02 * min(found.values())), default=grid[0])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pdf.pivot(index="i", columns="j", values="c").fillna(0.0).sort_index()
-        now = pdf[period].iloc[0]
-        g = c[c.index].to_numpy()
-        rng = np.random.default_rng(seed)
-        h = rng.random((len(g), k)) + 0.1
-        for _ in range(steps):  # symmetric factors of V'V keep the loadings non-negative
-            h *= 0.5 + 0.5 * (g @ h) / np.maximum(h @ (h.T @ h), 1e-12)
-        error = float(np.linalg.norm(g - h @ h.T) / np.linalg.norm(g))
-        order = np.argsort(-h.sum(axis=0))
-        return pd.DataFrame([(now, name, j, float(h[i, f]), error) for i, name in enumerate(c.index) for j, f in enumerate(order)], columns=[period, item, "factor", "loading", "error"])
+        v = matrix(pdf)
+        w, h = factorise(v.to_numpy(), min(k, *v.shape), steps)
+        error = float(np.linalg.norm(v.to_numpy() - w @ h) / max(np.linalg.norm(v.to_numpy()), 1e-12))
+        order = np.argsort(-h.sum(axis=1), kind="stable")
+        out = [(pdf[period].iloc[0], name, j, float(h[f, i]), float(w[:, f].sum()), error) for i, name in enumerate(v.columns) for j, f in enumerate(order)]
+        return pd.DataFrame(out, columns=[period, item, "factor", "loading", "row_weight", "error"])
 
-    kinds = dict(rows.dtypes)
-    return pairs.groupBy(period).applyInPandas(solve, f"{period} {kinds[period]}, {item} {kinds[item]}, factor int, loading double, error double")
+    return slim.groupBy(period).applyInPandas(solve, f"{period} {kinds[period]}, {item} {kinds[item]}, factor int, loading double, row_weight double, error double")
 
 
 def ipca(rows: DataFrame, period: str, characteristics: list[str], ret: str, k: int = 2, steps: int = 200) -> DataFrame:
@@ -160,24 +206,28 @@ def ica(rows: DataFrame, row: str, item: str, value: str, k: int = 4, steps: int
     return scores.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(solve, f"{row} {kind_}, component int, source double, kurtosis double, ar1 double, kind string")
 
 
-def gls_weights(rows: DataFrame, row: str, item: str, value: str, shrink: float = 0.25) -> DataFrame:
-    """(row, weight): C⁻¹1 for the rows' cosines C, shrunk to the identity by ``shrink``.
+def gls_weights(rows: DataFrame, row: str, item: str, value: str, shrink: float = 0.25, by: str = "one") -> DataFrame:
+    """(by, row, weight): C⁻¹1 for the rows' cosines C within each ``by``, shrunk to the identity by ``shrink``.
 
     With unit rows U, C = UU', so the inverse needs only the items' Gram matrix U'U, solved in
-    one task; rows, however many, stay distributed.  Rows of zeros have no weight.
+    one task per ``by``; rows, however many, stay distributed.  Rows of zeros have no weight.
     """
-    norm = rows.groupBy(row).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_n")).where("_n > 0")
-    unit = rows.join(norm, row).select(row, item, (F.col(value) / F.col("_n")).alias("u")).where("u <> 0")
-    pairs = unit.alias("a").join(unit.alias("b"), F.col(f"a.{row}") == F.col(f"b.{row}")).groupBy(F.col(f"a.{item}").alias("i"), F.col(f"b.{item}").alias("j")).agg(F.sum(F.col("a.u") * F.col("b.u")).alias("c"), F.sum(F.when(F.col(f"a.{item}") == F.col(f"b.{item}"), F.col("a.u"))).alias("s"))
+    rows = rows if by in rows.columns else rows.withColumn(by, F.lit(1))
+    norm = rows.groupBy(by, row).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_n")).where("_n > 0")
+    unit = rows.join(norm, [by, row]).select(by, row, item, (F.col(value) / F.col("_n")).alias("u")).where("u <> 0")
+    same = (F.col(f"a.{row}") == F.col(f"b.{row}")) & (F.col(f"a.{by}") == F.col(f"b.{by}"))
+    pairs = unit.alias("a").join(unit.alias("b"), same).groupBy(F.col(f"a.{by}").alias(by), F.col(f"a.{item}").alias("i"), F.col(f"b.{item}").alias("j"))
+    pairs = pairs.agg(F.sum(F.col("a.u") * F.col("b.u")).alias("c"), F.sum(F.when(F.col(f"a.{item}") == F.col(f"b.{item}"), F.col("a.u"))).alias("s"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         c = pdf.pivot(index="i", columns="j", values="c").fillna(0.0).sort_index()
         c = c[c.index]
         s = pdf[pdf["i"] == pdf["j"]].set_index("i")["s"].reindex(c.index).to_numpy(dtype=float)
-        return pd.DataFrame({item: c.index, "_x": np.linalg.solve(c.to_numpy() + shrink / (1 - shrink) * np.eye(len(c)), s)})
+        return pd.DataFrame({by: pdf[by].iloc[0], item: c.index, "_x": np.linalg.solve(c.to_numpy() + shrink / (1 - shrink) * np.eye(len(c)), s)})
 
-    x = pairs.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(solve, f"{item} {dict(rows.dtypes)[item]}, _x double")
-    return unit.join(x, item).groupBy(row).agg(((1 - F.sum(F.col("u") * F.col("_x"))) / shrink).alias("weight"))
+    kinds = dict(rows.dtypes)
+    x = pairs.groupBy(by).applyInPandas(solve, f"{by} {kinds[by]}, {item} {kinds[item]}, _x double")
+    return unit.join(x, [by, item]).groupBy(by, row).agg(((1 - F.sum(F.col("u") * F.col("_x"))) / shrink).alias("weight"))
 
 
 def tree_walk_forward(rows: DataFrame, period: str, xs: list[str], y: str, refit: int = 8, seed: int = 1) -> DataFrame:
@@ -206,8 +256,8 @@ def tree_walk_forward(rows: DataFrame, period: str, xs: list[str], y: str, refit
     return out.drop("_x").withColumn("ensemble", (pct_rank(F.col("forest"), [period]) + pct_rank(F.col("boosted"), [period])) / 2)
 
 
-def correlation_groups(rows: DataFrame, row: str, item: str, value: str, threshold: float = 0.5) -> DataFrame:
-    """(item, group, weight): items joined greedily while their mean correlation is ``threshold`` or more; within a group weights follow positive Sharpe ratios.
+def correlation_groups(rows: DataFrame, row: str, item: str, value: str, number: int = 4) -> DataFrame:
+    """(item, group, weight): items joined greedily by the highest mean correlation until ``number`` groups are left; within a group weights follow positive Sharpe ratios.
 
     Correlations and Sharpe ratios come from Spark; one task holds a number per pair of items.
     """
@@ -220,10 +270,8 @@ def correlation_groups(rows: DataFrame, row: str, item: str, value: str, thresho
         c = c[c.index]
         m, s = c.to_numpy(), pdf.groupby("i")["s"].first().reindex(c.index).fillna(0.0).clip(lower=0).to_numpy()
         groups = [[k] for k in range(len(m))]
-        while len(groups) > 1:
-            mean, a, b = max((m[np.ix_(g, h)].mean(), -i, -j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
-            if mean < threshold:
-                break
+        while len(groups) > max(number, 1):
+            _, a, b = max((m[np.ix_(g, h)].mean(), -i, -j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
             groups[-a] += groups.pop(-b)
         return pd.DataFrame([(c.index[k], n, float(s[k] / s[g].sum()) if s[g].sum() > 0 else 1.0 / len(g)) for n, g in enumerate(groups) for k in g], columns=[item, "group", "weight"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .dialect import Spark, plan
+from .dialect import DuckDB, Spark, plan
 
 
 def pct_rank(x: str, by: str) -> str:
@@ -31,25 +31,27 @@ SELECT q, instrument, round({pct_rank("s", "q")}, 6) AS pct, {bins(d, "rn", "n",
 round((ws - avg(ws) OVER (PARTITION BY q)) / nullif(stddev_pop(ws) OVER (PARTITION BY q), 0), 5) AS z0, round((ws - avg(ws) OVER (PARTITION BY q)) / nullif(stddev_samp(ws) OVER (PARTITION BY q), 0), 5) AS z1 FROM w"""
 
 
+RESIDUAL = """r AS (SELECT q, instrument, {rank} AS y, ln(cap) AS a, ln(adv) AS b FROM {rows}),
+c AS (SELECT *, y - avg(y) OVER w AS dy, a - avg(a) OVER w AS da, b - avg(b) OVER w AS db FROM r WINDOW w AS (PARTITION BY q)),
+m AS (SELECT q, count(*) AS n, sum(dy * da) AS ya, sum(dy * db) AS yb, sum(da * da) AS aa, sum(db * db) AS bb, sum(da * db) AS ab FROM c GROUP BY q),
+e AS (SELECT c.q, instrument, round(CASE WHEN n >= 20 AND aa * bb - ab * ab > 1e-9 THEN dy - (ya * bb - yb * ab) / (aa * bb - ab * ab) * da - (yb * aa - ya * ab) / (aa * bb - ab * ab) * db ELSE dy END, 9) AS resid FROM c JOIN m ON c.q = m.q)"""
+
+
 @plan
 def xs_residual(d: Spark) -> str:
     """Rank residual on log cap and log volume, closed form from grouped moments, ranked again."""
-    return f"""WITH {SIGNALS},
-r AS (SELECT q, instrument, {pct_rank("s", "q")} AS y, ln(cap) AS a, ln(adv) AS b FROM panel_),
-c AS (SELECT *, y - avg(y) OVER w AS dy, a - avg(a) OVER w AS da, b - avg(b) OVER w AS db FROM r WINDOW w AS (PARTITION BY q)),
-m AS (SELECT q, count(*) AS n, sum(dy * da) AS ya, sum(dy * db) AS yb, sum(da * da) AS aa, sum(db * db) AS bb, sum(da * db) AS ab FROM c GROUP BY q),
-e AS (SELECT c.q, instrument, CASE WHEN n >= 20 AND aa * bb - ab * ab > 1e-9 THEN dy - (ya * bb - yb * ab) / (aa * bb - ab * ab) * da - (yb * aa - ya * ab) / (aa * bb - ab * ab) * db ELSE dy END AS resid FROM c JOIN m ON c.q = m.q)
-SELECT q, instrument, round(resid, 5) AS residual FROM e"""
+    return f"""WITH {SIGNALS}, {RESIDUAL.format(rank=pct_rank("s", "q"), rows="panel_")}
+SELECT q, instrument, round(resid, 5) + 0e0 AS residual, round({pct_rank("resid", "q")}, 6) AS ranked FROM e"""
 
 
 @plan
 def signal_pipeline(d: Spark) -> str:
-    """Winsor, signed log, rank, and smoothing over two quarters."""
+    """Winsor, log of the positive part, rank, residual on log cap and log volume, rank again, and the mean of two quarters."""
     return f"""WITH {SIGNALS},
 lim AS (SELECT q, {d.quantile("s", 0.01)} AS lo, {d.quantile("s", 0.99)} AS hi FROM panel_ GROUP BY q),
-l AS (SELECT p.q, instrument, sign(s) * ln(1 + abs(least(greatest(s, lo), hi))) AS x FROM panel_ p JOIN lim ON p.q = lim.q),
-r AS (SELECT q, instrument, {pct_rank("x", "q")} AS r FROM l)
-SELECT q, instrument, round(r, 6) AS ranked, round(avg(r) OVER (PARTITION BY instrument ORDER BY q ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS smooth FROM r"""
+l AS (SELECT p.q, instrument, cap, adv, ln(1 + greatest(least(greatest(s, lo), hi), 0)) AS x FROM panel_ p JOIN lim ON p.q = lim.q),
+{RESIDUAL.format(rank=pct_rank("x", "q"), rows="l")}, t AS (SELECT q, instrument, {pct_rank("resid", "q")} AS r FROM e)
+SELECT q, instrument, round(r, 6) AS ranked, round(avg(r) OVER (PARTITION BY instrument ORDER BY q ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS smooth FROM t"""
 
 
 EVENT = """b AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s, instrument) AS rn, count(*) OVER (PARTITION BY q) AS n FROM panel_ WHERE fwd IS NOT NULL AND s IS NOT NULL)"""
@@ -66,14 +68,18 @@ round(corr(rs, rf), 6) AS ic, round(corr(s, fwd), 6) AS pearson FROM f GROUP BY
 
 @plan
 def event_summary(d: Spark) -> str:
-    """Mean spread with Newey-West t (four lags), Sharpe, hit rate, breakeven cost."""
+    """Mean spread with Newey-West t (four lags), Sharpe, hit rate, monotonicity of the quintiles' means, one-sided turnover of the top one, breakeven cost in basis points."""
     return f"""WITH {SIGNALS}, {EVENT},
-f AS (SELECT q, fwd, {bins(d, "rn", "n", 5)} AS bin FROM b),
-e AS (SELECT q, avg(CASE WHEN bin = 4 THEN fwd END) - avg(CASE WHEN bin = 0 THEN fwd END) AS x FROM f GROUP BY q),
+f AS (SELECT q, instrument, fwd, {bins(d, "rn", "n", 5)} AS bin FROM b),
+e AS (SELECT q, avg(CASE WHEN bin = 4 THEN fwd END) - avg(CASE WHEN bin = 0 THEN fwd END) AS x, avg(CASE WHEN bin = 0 THEN fwd END) AS b0, avg(CASE WHEN bin = 1 THEN fwd END) AS b1, avg(CASE WHEN bin = 2 THEN fwd END) AS b2, avg(CASE WHEN bin = 3 THEN fwd END) AS b3, avg(CASE WHEN bin = 4 THEN fwd END) AS b4 FROM f GROUP BY q),
 c AS (SELECT q, x, x - avg(x) OVER () AS u, avg(x) OVER () AS mean_, count(*) OVER () AS n, row_number() OVER (ORDER BY q) AS i FROM e),
-lagged AS (SELECT l.lag, sum(a.u * z.u) AS g FROM c a JOIN c z ON a.i >= z.i JOIN (SELECT 0 AS lag UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) l ON a.i - z.i = l.lag GROUP BY l.lag),
-s AS (SELECT sum(CASE WHEN lag = 0 THEN g ELSE 2 * (1 - lag / 5e0) * g END) AS v FROM lagged)
-SELECT max(n) AS n, round(max(mean_), 6) AS mean, round(max(mean_) / sqrt(max(v) / max(n) / max(n)), 4) AS nw_t, round(max(mean_) / stddev_samp(x) * 2, 4) AS sharpe, round(avg(CASE WHEN x > 0 THEN 1e0 ELSE 0e0 END), 6) AS hit FROM c CROSS JOIN s"""
+lags AS (SELECT c.*, i + lag AS later, lag FROM c CROSS JOIN (SELECT 0 AS lag UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) l),
+lagged AS (SELECT z.lag, sum(a.u * z.u) AS g FROM c a JOIN lags z ON a.i = z.later GROUP BY z.lag),
+s AS (SELECT sum(CASE WHEN lag = 0 THEN g ELSE 2 * (1 - lag / 5e0) * g END) AS v FROM lagged),
+mono AS (SELECT (CASE WHEN avg(b1) >= avg(b0) THEN 1 ELSE 0 END + CASE WHEN avg(b2) >= avg(b1) THEN 1 ELSE 0 END + CASE WHEN avg(b3) >= avg(b2) THEN 1 ELSE 0 END + CASE WHEN avg(b4) >= avg(b3) THEN 1 ELSE 0 END) / 4e0 AS monotonicity FROM e),
+top_ AS (SELECT q, instrument FROM f WHERE bin = 4), turns AS (SELECT a.q, avg(CASE WHEN z.instrument IS NULL THEN 1e0 ELSE 0e0 END) AS turn FROM top_ a LEFT JOIN top_ z ON z.q = a.q - 1 AND z.instrument = a.instrument WHERE a.q > (SELECT min(q) FROM top_) GROUP BY a.q),
+cost AS (SELECT avg(turn) AS turn FROM turns)
+SELECT max(n) AS n, round(max(mean_), 6) AS mean, round(max(mean_) / sqrt(max(v) / max(n) / max(n)), 4) AS nw_t, round(max(mean_) / stddev_samp(x) * 2, 4) AS sharpe, round(avg(CASE WHEN x > 0 THEN 1e0 ELSE 0e0 END), 6) AS hit, max(monotonicity) AS monotonicity, round(max(turn), 6) AS turnover, round(max(mean_) / nullif(4 * max(turn), 0) * 10000, 3) AS breakeven_bps FROM c CROSS JOIN s CROSS JOIN mono CROSS JOIN cost"""
 
 
 @plan
@@ -162,8 +168,14 @@ def forward_returns(d: Spark) -> str:
 
 @plan
 def forward_sum_return(d: Spark) -> str:
-    """Sum of simple returns from the first day after a quarter's end until 90 days on."""
-    return f"SELECT period_end, instrument, count(ret) AS days, round(sum(ret), 5) AS fwd FROM quarters JOIN prices ON day > {d.plus('period_end', 1)} AND day <= {d.plus('period_end', 91)} GROUP BY period_end, instrument"
+    """Sum of simple returns from the second day after a quarter's end until 91 days after it: a day belongs to the last quarter's end or the one before."""
+    if isinstance(d, DuckDB):
+        rows = f"prices JOIN quarters ON day > {d.plus('period_end', 1)} AND day <= {d.plus('period_end', 91)}"
+    else:
+        start = "CAST(date_trunc('quarter', day) AS DATE)"
+        ends = " UNION ALL ".join(f"SELECT *, {d.plus(d.months(start, -3 * k), -1)} AS period_end FROM prices" for k in (0, 1))
+        rows = f"({ends}) p JOIN quarters USING (period_end) WHERE day > {d.plus('period_end', 1)} AND day <= {d.plus('period_end', 91)}"
+    return f"SELECT period_end, instrument, count(ret) AS days, round(sum(ret), 5) AS fwd FROM {rows} GROUP BY period_end, instrument"
 
 
 @plan
@@ -175,9 +187,16 @@ SELECT instrument, month, round(v, 6) AS value, round(v / max(v) OVER (PARTITION
 
 @plan
 def ewm_mean(d: Spark) -> str:
-    """Exponentially weighted mean, half-life two, missing values skipped while weights decay."""
-    return f"""WITH {MONTHLY} SELECT a.instrument, a.month, round(sum(b.ret * power(0.5e0, (a.i - b.i) / 2e0)) / sum(power(0.5e0, (a.i - b.i) / 2e0)), 6) AS ewm
+    """Exponentially weighted mean, half-life two, missing values skipped while weights decay.
+
+    Weights are powers of two against the series' end, so one running sum does what the check does by pairs.
+    """
+    if isinstance(d, DuckDB):
+        return f"""WITH {MONTHLY} SELECT a.instrument, a.month, round(sum(b.ret * power(0.5e0, (a.i - b.i) / 2e0)) / sum(power(0.5e0, (a.i - b.i) / 2e0)), 6) AS ewm
 FROM mret a JOIN mret b ON a.instrument = b.instrument AND b.i <= a.i WHERE b.ret IS NOT NULL GROUP BY a.instrument, a.month"""
+    return f"""WITH {MONTHLY}, p AS (SELECT *, CASE WHEN ret IS NOT NULL THEN power(2e0, (i - max(i) OVER (PARTITION BY instrument)) / 2e0) END AS k FROM mret),
+s AS (SELECT instrument, month, sum(ret * k) OVER w AS x, sum(k) OVER w AS k FROM p WINDOW w AS (PARTITION BY instrument ORDER BY month ROWS UNBOUNDED PRECEDING))
+SELECT instrument, month, round(x / k, 6) AS ewm FROM s WHERE k IS NOT NULL"""
 
 
 @plan
@@ -188,9 +207,13 @@ def expanding_quantile(d: Spark) -> str:
 
 @plan
 def expanding_percentile(d: Spark) -> str:
-    """Share of a filer's earlier turnovers below the present one, from four on."""
-    return """WITH t AS (SELECT q, filer_id, 2 * sum(abs(value - value_before)) / nullif(sum(value + value_before), 0) AS x FROM moves GROUP BY q, filer_id)
+    """Share of a filer's earlier turnovers that aren't above the present one, from four on; a filer's own history is one array."""
+    turns = "SELECT q, filer_id, 2 * sum(abs(value - value_before)) / nullif(sum(value + value_before), 0) AS x FROM moves GROUP BY q, filer_id"
+    if isinstance(d, DuckDB):
+        return f"""WITH t AS ({turns})
 SELECT a.q, a.filer_id, count(b.x) AS past, CASE WHEN count(b.x) >= 4 THEN round(avg(CASE WHEN b.x <= a.x THEN 1e0 ELSE 0e0 END), 6) END AS pct FROM t a JOIN t b ON a.filer_id = b.filer_id AND b.q < a.q GROUP BY a.q, a.filer_id, a.x"""
+    return f"""WITH t AS ({turns}), h AS (SELECT q, filer_id, x, collect_list(x) OVER w AS past, count(*) OVER w AS rows_ FROM t WINDOW w AS (PARTITION BY filer_id ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT q, filer_id, CAST(size(past) AS BIGINT) AS past, CASE WHEN size(past) >= 4 THEN round(size(filter(past, y -> y <= x)) / CAST(rows_ AS DOUBLE), 6) END AS pct FROM h WHERE rows_ > 0"""
 
 
 @plan
@@ -238,10 +261,9 @@ def business_day_offset(d: Spark) -> str:
 
 @plan
 def knowledge_time(d: Spark) -> str:
-    """New York date on which an event in UTC counts as known: the next one from four in the afternoon (fixed offset of -5 h)."""
-    t = d.table
-    ts = d.instant("ts")
-    return f"SELECT event_id, CAST({ts} - INTERVAL 5 HOUR AS DATE) AS local_day, CASE WHEN extract(hour FROM {ts} - INTERVAL 5 HOUR) >= 16 THEN {d.plus(f'CAST({ts} - INTERVAL 5 HOUR AS DATE)', 1)} ELSE CAST({ts} - INTERVAL 5 HOUR AS DATE) END AS known FROM {t('events')}"
+    """New York date on which an event in UTC counts as known: the next one from four in the afternoon, by that day's clocks."""
+    t, local = d.table, d.local("ts")
+    return f"SELECT event_id, CAST({local} AS DATE) AS local_day, CASE WHEN extract(hour FROM {local}) >= 16 THEN {d.plus(f'CAST({local} AS DATE)', 1)} ELSE CAST({local} AS DATE) END AS known FROM {t('events')}"
 
 
 @plan
@@ -314,13 +336,25 @@ SELECT round(avg(r) * 4, 6) AS annual, round(stddev_samp(r) * 2, 6) AS vol, roun
 round(max(sqrt(z.n * (z.n - 1)) / (z.n - 2) * m3 / power(m2, 1.5e0)), 4) AS skew, round(max((z.n - 1e0) / ((z.n - 2) * (z.n - 3)) * ((z.n + 1) * m4 / m2 / m2 - 3 * (z.n - 1))), 4) AS kurtosis FROM k CROSS JOIN z"""
 
 
+DRIFT = """rb AS (SELECT k.period_end, w.instrument, w.w, s.price AS p0 FROM wts w JOIN quarters k ON w.q = k.q JOIN sig s ON s.q = w.q AND s.instrument = w.instrument WHERE w.w <> 0),
+nxt AS (SELECT period_end, lead(period_end) OVER (ORDER BY period_end) AS until FROM quarters),
+dr AS (SELECT r.period_end, p.day, r.instrument, r.w * p.price / r.p0 AS x FROM rb r JOIN nxt n ON r.period_end = n.period_end JOIN prices p ON p.instrument = r.instrument AND p.day > r.period_end AND p.day <= n.until),
+drifted AS (SELECT period_end, day, instrument, x / nullif(sum(greatest(x, 0)) OVER (PARTITION BY day), 0) AS w FROM dr)"""
+
+
 @plan
 def rebalance_drift(d: Spark) -> str:
-    """Between rebalances weights drift with prices: closed form from the last rebalance strictly before the day."""
-    return f"""WITH {SIGNALS}, {legs(d)}, rb AS (SELECT k.period_end, w.instrument, w.w, s.price AS p0 FROM wts w JOIN quarters k ON w.q = k.q JOIN sig s ON s.q = w.q AND s.instrument = w.instrument WHERE w.w > 0),
-nxt AS (SELECT period_end, lead(period_end) OVER (ORDER BY period_end) AS until FROM quarters),
-dr AS (SELECT r.period_end, p.day, r.instrument, r.w * p.price / r.p0 AS x FROM rb r JOIN nxt n ON r.period_end = n.period_end JOIN prices p ON p.instrument = r.instrument AND p.day > r.period_end AND p.day <= n.until)
-SELECT day, instrument, round(x / sum(x) OVER (PARTITION BY day), 6) AS weight FROM dr"""
+    """Between rebalances weights drift with prices, shorts on the long side's base: closed form from the last rebalance strictly before the day."""
+    return f"WITH {SIGNALS}, {legs(d)}, {DRIFT} SELECT day, instrument, round(w, 6) AS weight FROM drifted"
+
+
+@plan
+def rebalance_trades(d: Spark) -> str:
+    """What a rebalance trades: the new weights less those that the old ones had drifted to by their last day."""
+    return f"""WITH {SIGNALS}, {legs(d)}, {DRIFT}, last_ AS (SELECT period_end, instrument, max_by(w, day) AS w FROM drifted WHERE w IS NOT NULL GROUP BY period_end, instrument),
+old AS (SELECT n.until AS period_end, instrument, w FROM last_ l JOIN nxt n ON l.period_end = n.period_end), new AS (SELECT period_end, instrument, w FROM rb)
+SELECT coalesce(n.period_end, o.period_end) AS period_end, coalesce(n.instrument, o.instrument) AS instrument, round(coalesce(n.w, 0) - coalesce(o.w, 0), 6) + 0e0 AS trade
+FROM new n FULL OUTER JOIN old o ON n.period_end = o.period_end AND n.instrument = o.instrument"""
 
 
 @plan
@@ -423,11 +457,12 @@ SELECT filer_id, count(*) AS n, round(avg(ex), 6) AS excess, round(avg(ex) / nul
 
 @plan
 def manager_stress(d: Spark) -> str:
-    """Frozen-weight books by month: drawdown and pain, standardised over filers."""
-    return f"""WITH {MONTHLY}, h AS (SELECT filer_id, instrument, w FROM numbered WHERE q = 10),
-b AS (SELECT filer_id, month, sum(w * coalesce(ret, 0)) AS r, sum(CASE WHEN ret < -0.05 THEN w ELSE 0 END) AS pain FROM h JOIN mret m ON h.instrument = m.instrument GROUP BY filer_id, month),
-c AS (SELECT *, sum(ln(greatest(1 + r, 0.01e0))) OVER (PARTITION BY filer_id ORDER BY month ROWS UNBOUNDED PRECEDING) AS v FROM b), e AS (SELECT filer_id, month, pain, 1 - exp(v - max(v) OVER (PARTITION BY filer_id ORDER BY month ROWS UNBOUNDED PRECEDING)) AS dd FROM c)
-SELECT filer_id, month, round((dd - avg(dd) OVER p) / nullif(stddev_pop(dd) OVER p, 0) + (pain - avg(pain) OVER p) / nullif(stddev_pop(pain) OVER p, 0), 4) + 0e0 AS stress FROM e WINDOW p AS (PARTITION BY month)"""
+    """Each quarter's books, their weights frozen for the next four quarters: drawdown and pain by month, standardised over filers."""
+    return f"""WITH {MONTHLY}, dated AS (SELECT instrument, ret, month, CAST(year(month) * 4 + quarter(month) - 7979 AS BIGINT) AS at_ FROM mret),
+h AS (SELECT q, q + i + 1 AS at_, filer_id, instrument, w FROM numbered {d.each(4)}),
+b AS (SELECT q, filer_id, month, sum(w * coalesce(ret, 0)) AS r, sum(CASE WHEN ret < -0.05 THEN w ELSE 0 END) AS pain FROM h JOIN dated m ON h.instrument = m.instrument AND h.at_ = m.at_ GROUP BY q, filer_id, month),
+c AS (SELECT *, sum(ln(greatest(1 + r, 0.01e0))) OVER (PARTITION BY q, filer_id ORDER BY month ROWS UNBOUNDED PRECEDING) AS v FROM b), e AS (SELECT q, filer_id, month, pain, 1 - exp(v - max(v) OVER (PARTITION BY q, filer_id ORDER BY month ROWS UNBOUNDED PRECEDING)) AS dd FROM c)
+SELECT q, filer_id, month, round(CASE WHEN stddev_pop(dd) OVER p > 1e-9 THEN (dd - avg(dd) OVER p) / stddev_pop(dd) OVER p END + CASE WHEN stddev_pop(pain) OVER p > 1e-9 THEN (pain - avg(pain) OVER p) / stddev_pop(pain) OVER p END, 4) + 0e0 AS stress FROM e WINDOW p AS (PARTITION BY q, month)"""
 
 
 @plan

@@ -58,6 +58,14 @@ class Spark:
     def instant(self, x: str) -> str:
         return f"cast({x} AS timestamp_ntz)"
 
+    def each(self, n: int) -> str:
+        """A row for each i from 0 to n - 1, to be joined to what stands before."""
+        return f"LATERAL VIEW explode(sequence(0, {n - 1})) e AS i"
+
+    def local(self, x: str) -> str:
+        """A time in UTC as New York's clocks show it."""
+        return f"from_utc_timestamp(cast({x} AS timestamp_ntz), 'America/New_York')"
+
     def seconds(self, x: str) -> str:
         return f"unix_micros(to_utc_timestamp({x}, 'UTC')) / 1e6"
 
@@ -105,6 +113,12 @@ class DuckDB(Spark):
     def instant(self, x: str) -> str:
         return f"CAST({x} AS TIMESTAMP)"
 
+    def each(self, n: int) -> str:
+        return f"CROSS JOIN (SELECT range AS i FROM range({n})) e"
+
+    def local(self, x: str) -> str:
+        return f"((CAST({x} AS TIMESTAMP) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')"
+
     def seconds(self, x: str) -> str:
         return f"epoch_us({x}) / 1e6"
 

@@ -9,7 +9,10 @@ books        panel with each position's weight w in its filer's book, and the bo
 quarters     the periods in order, numbered
 prices       daily price, volume, return per instrument
 market       per instrument and period: last price, median dollar volume, volatility, cap
-moves        positions against the previous quarter (full outer), with prices
+splits       per quarter and instrument, the most common ratio of shares among holders of both quarters,
+             in thousandths, where it has support and is no rounding matter
+moves        positions against the previous quarter (full outer); shares_before in units of
+             today (times the split), shares_reported as they were
 
 Relations that many plans read are written once, as Parquet, and read from there
 (:class:`Domain`); books and moves are partitioned by quarter, so a plan of one quarter reads
@@ -75,9 +78,16 @@ def _plain(d: Spark) -> dict[str, str]:
         "prices": "SELECT *, price / lag(price) OVER (PARTITION BY instrument ORDER BY day) - 1 AS ret FROM trades",
         "market": f"""SELECT period_end, instrument, max_by(price, day) AS price, {d.quantile("dollars", 0.5)} AS adv, stddev_samp(ret) AS vol, max_by(price, day) * sum(volume) AS cap
   FROM quarters JOIN prices ON day <= period_end AND day > {d.plus("period_end", -92)} GROUP BY period_end, instrument""",
+        "ratios": """SELECT c.q, c.filer_id, c.instrument, floor(c.shares / p.shares * 1000 + 0.5e0) / 1000 AS ratio
+  FROM numbered c JOIN numbered p ON c.q = p.q + 1 AND c.filer_id = p.filer_id AND c.instrument = p.instrument WHERE c.shares > 0 AND p.shares > 0""",
+        "splits": """SELECT q, instrument, ratio AS factor FROM (
+  SELECT *, sum(k) OVER (PARTITION BY q, instrument) AS n, row_number() OVER (PARTITION BY q, instrument ORDER BY k DESC, ratio) AS rn, lead(k) OVER (PARTITION BY q, instrument ORDER BY k DESC, ratio) AS k2
+  FROM (SELECT q, instrument, ratio, count(*) AS k FROM ratios GROUP BY q, instrument, ratio) r) o
+  WHERE rn = 1 AND n >= 10 AND abs(ratio - 1) > 0.15 AND (k >= 0.1 * n OR (k >= 30 AND k >= 2.5 * coalesce(k2, 0)))""",
         "moves": """SELECT coalesce(c.q, p.q + 1) AS q, coalesce(c.filer_id, p.filer_id) AS filer_id, coalesce(c.instrument, p.instrument) AS instrument,
-  coalesce(c.shares, 0) AS shares, coalesce(p.shares, 0) AS shares_before, coalesce(c.value, 0) AS value, coalesce(p.value, 0) AS value_before, c.w, p.w AS w_before
+  coalesce(c.shares, 0) AS shares, coalesce(p.shares, 0) * coalesce(s.factor, 1e0) AS shares_before, coalesce(p.shares, 0) AS shares_reported, coalesce(c.value, 0) AS value, coalesce(p.value, 0) AS value_before, c.w, p.w AS w_before
   FROM numbered c FULL OUTER JOIN numbered p ON c.q = p.q + 1 AND c.filer_id = p.filer_id AND c.instrument = p.instrument
+  LEFT JOIN splits s ON s.q = p.q + 1 AND s.instrument = p.instrument
   WHERE coalesce(c.q, p.q + 1) > 1 AND coalesce(c.q, p.q + 1) <= (SELECT max(q) FROM quarters)""",
     }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .dialect import Spark, plan
+from .dialect import DuckDB, Spark, plan
 
 
 @plan
@@ -139,10 +139,11 @@ sum(CASE WHEN shares_before = 0 THEN 1 ELSE 0 END) AS entries, sum(CASE WHEN sha
 
 @plan
 def common_filers(d: Spark) -> str:
-    """Filers in both of two quarters, by intersection; new pairs by difference."""
-    return """WITH both_ AS (SELECT filer_id FROM numbered WHERE q = 5 INTERSECT SELECT filer_id FROM numbered WHERE q = 6),
-fresh AS (SELECT filer_id, instrument FROM numbered WHERE q = 6 EXCEPT SELECT filer_id, instrument FROM numbered WHERE q = 5)
-SELECT (SELECT count(*) FROM both_) AS common, (SELECT count(*) FROM fresh) AS new_pairs"""
+    """Per quarter: filers of this and the previous one, by intersection; new positions, by difference."""
+    return """WITH f AS (SELECT DISTINCT q, filer_id FROM numbered), p AS (SELECT DISTINCT q, filer_id, instrument FROM numbered),
+both_ AS (SELECT q, filer_id FROM f INTERSECT SELECT q + 1, filer_id FROM f), fresh AS (SELECT q, filer_id, instrument FROM p EXCEPT SELECT q + 1, filer_id, instrument FROM p),
+a AS (SELECT q, count(*) AS common FROM both_ GROUP BY q), b AS (SELECT q, count(*) AS new_pairs FROM fresh GROUP BY q)
+SELECT q, common, new_pairs FROM a JOIN b USING (q)"""
 
 
 @plan
@@ -166,9 +167,9 @@ def holder_concentration(d: Spark) -> str:
 
 @plan
 def filer_stats(d: Spark) -> str:
-    """Book size, number, top weight, Herfindahl index and its normalised form."""
+    """Book size, number, top weight, Herfindahl index and its normalised form, one for a single position."""
     return """SELECT q, filer_id, round(max(book), 2) AS book, count(*) AS positions, round(max(w), 6) AS top1, round(sum(w * w), 6) AS hhi,
-round(CASE WHEN count(*) > 1 THEN least(greatest((sum(w * w) - 1e0 / count(*)) / (1 - 1e0 / count(*)), 0), 1) END, 6) AS hhi_norm FROM numbered GROUP BY q, filer_id"""
+round(least(greatest((sum(w * w) - 1e0 / greatest(count(*), 2)) / (1 - 1e0 / greatest(count(*), 2)), 0), 1), 6) AS hhi_norm FROM numbered GROUP BY q, filer_id"""
 
 
 @plan
@@ -179,19 +180,25 @@ def top_share(d: Spark) -> str:
 
 @plan
 def new_conviction(d: Spark) -> str:
-    """Share of filers in whose book a name weighs at least the book's ninth decile; the part new or grown by a quarter."""
+    """Share of filers in whose book a name weighs at least the book's ninth decile; the part new or grown by a quarter, splits apart.
+
+    Every name with five holders now or before has its row, with zeros where no filer counts.
+    """
     return f"""WITH limits AS (SELECT q, filer_id, {d.quantile("w", 0.9)} AS q90 FROM numbered GROUP BY q, filer_id),
 n AS (SELECT q, count(*) AS filers FROM limits GROUP BY q),
-top_ AS (SELECT m.q, m.filer_id, m.instrument, m.shares_before = 0 OR m.shares >= 1.25 * m.shares_before AS fresh FROM moves m JOIN limits l ON m.q = l.q AND m.filer_id = l.filer_id WHERE m.w >= l.q90)
-SELECT t.q, instrument, round(count(DISTINCT filer_id) / CAST(max(n.filers) AS DOUBLE), 6) AS conviction_top, round(count(DISTINCT CASE WHEN fresh THEN filer_id END) / CAST(max(n.filers) AS DOUBLE), 6) AS new_conviction FROM top_ t JOIN n ON t.q = n.q GROUP BY t.q, instrument"""
+t AS (SELECT m.q, m.instrument, m.filer_id, m.shares, m.shares_before, CASE WHEN m.w >= l.q90 THEN m.filer_id END AS top_,
+  CASE WHEN m.w >= l.q90 AND (m.shares_before = 0 OR m.shares >= 1.25 * m.shares_before) THEN m.filer_id END AS fresh FROM moves m LEFT JOIN limits l ON m.q = l.q AND m.filer_id = l.filer_id)
+SELECT t.q, instrument, round(count(DISTINCT top_) / CAST(max(n.filers) AS DOUBLE), 6) AS conviction_top, round(count(DISTINCT fresh) / CAST(max(n.filers) AS DOUBLE), 6) AS new_conviction
+FROM t JOIN n ON t.q = n.q GROUP BY t.q, instrument HAVING greatest(sum(CASE WHEN shares > 0 THEN 1 ELSE 0 END), sum(CASE WHEN shares_before > 0 THEN 1 ELSE 0 END)) >= 5"""
 
 
 @plan
 def trade_imbalance(d: Spark) -> str:
-    """Buyers against sellers, by number and by volume."""
-    return """SELECT q, instrument, round((b - s) / nullif(CAST(b + s AS DOUBLE), 0), 6) AS ti, round((bv - sv) / nullif(bv + sv, 0), 6) AS vi FROM (
+    """Buyers against sellers, by number and by volume, splits apart, of names with five holders now or before."""
+    return """SELECT q, instrument, round((b - s) / nullif(CAST(b + s AS DOUBLE), 0), 6) AS ti, round((bv - sv) / nullif(bv + sv, 0), 6) AS vi, b + s AS n_active FROM (
 SELECT q, instrument, sum(CASE WHEN shares > shares_before THEN 1 ELSE 0 END) AS b, sum(CASE WHEN shares < shares_before THEN 1 ELSE 0 END) AS s,
-sum(greatest(shares - shares_before, 0)) AS bv, sum(greatest(shares_before - shares, 0)) AS sv FROM moves GROUP BY q, instrument) x"""
+sum(greatest(shares - shares_before, 0)) AS bv, sum(greatest(shares_before - shares, 0)) AS sv,
+greatest(sum(CASE WHEN shares > 0 THEN 1 ELSE 0 END), sum(CASE WHEN shares_before > 0 THEN 1 ELSE 0 END)) AS crowd FROM moves GROUP BY q, instrument) x WHERE crowd >= 5"""
 
 
 @plan
@@ -246,11 +253,10 @@ SELECT q, filer_id, round(sum(s * peers * size_) / nullif(sum(CASE WHEN peers IS
 
 @plan
 def split_factor(d: Spark) -> str:
-    """Most common share ratio among holders of both quarters, where it has support over the next one."""
-    return """WITH r AS (SELECT q, instrument, round(shares / shares_before, 1) AS ratio FROM moves WHERE shares > 0 AND shares_before > 0),
-c AS (SELECT q, instrument, ratio, count(*) AS k FROM r GROUP BY q, instrument, ratio),
-o AS (SELECT *, sum(k) OVER (PARTITION BY q, instrument) AS n, row_number() OVER (PARTITION BY q, instrument ORDER BY k DESC, ratio) AS rn, lead(k) OVER (PARTITION BY q, instrument ORDER BY k DESC, ratio) AS k2 FROM c)
-SELECT q, instrument, ratio AS mode_ratio, k, n, CASE WHEN n >= 10 AND abs(ratio - 1) > 0.15 AND (k >= 0.1 * n OR (k >= 30 AND k >= 2.5 * coalesce(k2, 0))) THEN ratio ELSE 1e0 END AS factor FROM o WHERE rn = 1"""
+    """Most common share ratio among holders of both quarters, in thousandths, and the factor where it has support."""
+    return """WITH c AS (SELECT q, instrument, ratio, count(*) AS k FROM ratios GROUP BY q, instrument, ratio),
+o AS (SELECT *, sum(k) OVER (PARTITION BY q, instrument) AS n, row_number() OVER (PARTITION BY q, instrument ORDER BY k DESC, ratio) AS rn FROM c)
+SELECT o.q, o.instrument, ratio AS mode_ratio, k, n, coalesce(s.factor, 1e0) AS factor FROM o LEFT JOIN splits s ON o.q = s.q AND o.instrument = s.instrument WHERE rn = 1"""
 
 
 @plan
@@ -276,8 +282,10 @@ SELECT kind, CASE WHEN replaced > known THEN 'superseded' ELSE 'live' END AS sta
 
 @plan
 def residual_duplicates(d: Spark) -> str:
-    """Equal (period, instrument, shares) reported by several filers."""
-    return "SELECT period_end, instrument, shares, count(DISTINCT filer_id) AS filers FROM folded JOIN holdings USING (accession) GROUP BY period_end, instrument, shares HAVING count(DISTINCT filer_id) > 2"
+    """Rows of one (period, instrument, shares) that more than one filer reports, and how many do."""
+    return """WITH r AS (SELECT period_end, instrument, shares, filer_id, accession FROM folded JOIN holdings USING (accession) WHERE shares > 0),
+n AS (SELECT period_end, instrument, shares, count(DISTINCT filer_id) AS filers FROM r GROUP BY period_end, instrument, shares HAVING count(DISTINCT filer_id) > 1)
+SELECT period_end, instrument, shares, filers, filer_id, accession FROM n JOIN r USING (period_end, instrument, shares)"""
 
 
 @plan
@@ -291,25 +299,53 @@ SELECT a.cik AS predecessor, b.cik AS successor FROM named a JOIN named b ON a.n
 
 @plan
 def overlap_network(d: Spark) -> str:
-    """Overlap of filers' books as the sum of smaller weights, per pair that shares a name, in one quarter."""
-    return "SELECT a.filer_id AS a, b.filer_id AS b, round(sum(least(a.w, b.w)), 6) AS overlap, count(*) AS shared FROM numbered a JOIN numbered b ON a.q = b.q AND a.instrument = b.instrument AND a.filer_id < b.filer_id WHERE a.q = 8 GROUP BY a.filer_id, b.filer_id"
+    """Overlap of filers' books as the sum of smaller weights, per quarter and pair that shares a name."""
+    return "SELECT a.q, a.filer_id AS a, b.filer_id AS b, round(sum(least(a.w, b.w)), 6) AS overlap, count(*) AS shared FROM numbered a JOIN numbered b ON a.q = b.q AND a.instrument = b.instrument AND a.filer_id < b.filer_id GROUP BY a.q, a.filer_id, b.filer_id"
 
 
 @plan
 def coownership_diffusion(d: Spark) -> str:
-    """Shock to a name spread over names held together with it, rows of the graph normalised."""
-    return """WITH e AS (SELECT a.q, a.instrument AS i, b.instrument AS j, sum(a.value + b.value) AS v FROM numbered a JOIN numbered b ON a.q = b.q AND a.filer_id = b.filer_id AND a.instrument <> b.instrument GROUP BY a.q, a.instrument, b.instrument),
-p AS (SELECT q, i, j, v / sum(v) OVER (PARTITION BY q, i) AS p FROM e),
-shock AS (SELECT q, instrument, sum(greatest(value_before - value, 0)) / nullif(sum(value_before), 0) AS x FROM moves GROUP BY q, instrument)
+    """Shock to a name spread over names held together with it, rows of the graph normalised.
+
+    The graph's weights are sums over filers of both positions' values, so its product with the
+    shocks needs only sums per filer; the graph itself, which the check forms, never is.
+    """
+    shock = "SELECT q, instrument, sum(greatest(value_before - value, 0)) / nullif(sum(value_before), 0) AS x FROM moves GROUP BY q, instrument"
+    if isinstance(d, DuckDB):
+        return f"""WITH e AS (SELECT a.q, a.instrument AS i, b.instrument AS j, sum(a.value + b.value) AS v FROM numbered a JOIN numbered b ON a.q = b.q AND a.filer_id = b.filer_id AND a.instrument <> b.instrument GROUP BY a.q, a.instrument, b.instrument),
+p AS (SELECT q, i, j, v / sum(v) OVER (PARTITION BY q, i) AS p FROM e), shock AS ({shock})
 SELECT p.q, i AS instrument, round(sum(p * x), 6) AS spill FROM p JOIN shock s ON p.q = s.q AND p.j = s.instrument GROUP BY p.q, i"""
+    return f"""WITH shock AS ({shock}), h AS (SELECT n.q, n.filer_id, n.instrument, n.value AS v, coalesce(x, 0) AS x, CASE WHEN x IS NULL THEN 0 ELSE 1 END AS known FROM numbered n JOIN shock s ON n.q = s.q AND n.instrument = s.instrument),
+f AS (SELECT n.*, count(*) OVER w AS names, sum(v) OVER w AS vs, sum(x) OVER w AS xs, sum(v * x) OVER w AS vxs, sum(known) OVER w AS seen FROM h n WINDOW w AS (PARTITION BY q, filer_id))
+SELECT q, instrument, CASE WHEN sum(seen - known) > 0 THEN round(sum(v * (xs - x) + vxs - v * x) / sum(v * (names - 1) + vs - v), 6) END AS spill FROM f WHERE names > 1 GROUP BY q, instrument"""
+
+
+#: Leaders by book, positions that an eligible book has, quarters of score history.
+LEADERS, POSITIONS, TRAIL = 20, (3, 500), 4
+COPYCAT = f"""stats AS (SELECT q, filer_id, max(book) AS aum, count(*) AS n FROM numbered GROUP BY q, filer_id HAVING count(*) BETWEEN {POSITIONS[0]} AND {POSITIONS[1]}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY aum DESC, filer_id) AS rk FROM stats),
+fresh AS (SELECT q, filer_id, instrument FROM moves WHERE shares_before = 0),
+size_ AS (SELECT q, filer_id, count(*) AS n FROM fresh GROUP BY q, filer_id),
+lead_ AS (SELECT r.q, r.filer_id FROM ranked r JOIN size_ s ON r.q = s.q AND r.filer_id = s.filer_id WHERE rk <= {LEADERS}),
+many AS (SELECT q, count(*) AS leaders FROM lead_ GROUP BY q),
+hits AS (SELECT f.q, f.filer_id AS follower, l.filer_id AS leader, count(*) AS hits FROM fresh f JOIN fresh l ON l.q = f.q - 1 AND l.instrument = f.instrument JOIN lead_ k ON k.q = l.q AND k.filer_id = l.filer_id GROUP BY f.q, f.filer_id, l.filer_id),
+scored AS (SELECT h.q, follower, leader, hits / CAST(s.n AS DOUBLE) AS overlap, sum(hits) OVER (PARTITION BY h.q, follower) / CAST(s.n AS DOUBLE) / leaders AS usual
+  FROM hits h JOIN size_ s ON s.q = h.q AND s.filer_id = h.follower JOIN stats e ON e.q = h.q AND e.filer_id = h.follower JOIN many m ON m.q = h.q - 1
+  LEFT JOIN ranked b ON b.q = h.q - 1 AND b.filer_id = h.follower AND b.rk <= {LEADERS} WHERE s.n >= 3 AND b.filer_id IS NULL)"""
 
 
 @plan
 def copycat_overlap(d: Spark) -> str:
-    """Share of a follower's new names that a leader had entered the quarter before."""
-    return """WITH fresh AS (SELECT q, filer_id, instrument FROM moves WHERE shares_before = 0),
-n AS (SELECT q, filer_id, count(*) AS n FROM fresh GROUP BY q, filer_id HAVING count(*) >= 3)
-SELECT f.q, f.filer_id AS follower, l.filer_id AS leader, round(count(*) / CAST(max(n.n) AS DOUBLE), 6) AS overlap FROM fresh f JOIN fresh l ON f.q = l.q + 1 AND f.instrument = l.instrument AND f.filer_id <> l.filer_id JOIN n ON n.q = f.q AND n.filer_id = f.filer_id WHERE l.filer_id < 5 GROUP BY f.q, f.filer_id, l.filer_id"""
+    """Share of a follower's new names that a leader, one of the largest eligible books, had entered the quarter before, and what it is over the mean of all leaders."""
+    return f"WITH {COPYCAT} SELECT q, follower, leader, round(overlap, 6) AS overlap, round(overlap - usual, 6) AS excess FROM scored WHERE overlap - usual > 1e-12"
+
+
+@plan
+def copycat_shadow(d: Spark) -> str:
+    """Assets that shadow a leader: followers' books times their mean excess overlap of this and the last TRAIL quarters."""
+    return f"""WITH {COPYCAT}, spread_ AS (SELECT q + i AS q, follower, leader, overlap - usual AS x FROM scored {d.each(TRAIL + 1)} WHERE overlap - usual > 1e-12),
+means AS (SELECT q, follower, leader, avg(x) AS x FROM spread_ GROUP BY q, follower, leader)
+SELECT m.q, leader, round(sum(x * aum), 2) AS shadow, count(*) AS followers FROM means m JOIN stats s ON s.q = m.q AND s.filer_id = m.follower GROUP BY m.q, leader"""
 
 
 @plan
@@ -345,13 +381,37 @@ g AS (SELECT q, sum(flow * aum) / sum(aum) AS g FROM f WHERE flow IS NOT NULL GR
 SELECT filer_id, count(*) AS n, round(covar_pop(flow, g) / nullif(var_pop(g), 0), 5) AS beta FROM f JOIN g ON f.q = g.q WHERE flow IS NOT NULL GROUP BY filer_id HAVING count(*) >= 8"""
 
 
+#: Quarters of flows that a covariance looks back over, and its weight of the diagonal.
+LOOKBACK, SHRINKAGE = 12, 0.25
+
+
+def flow_history(d: Spark) -> str:
+    """dev: for each quarter, filers' flows of the LOOKBACK quarters before, less their mean there; spans: how many quarters these are."""
+    return f"""f AS (SELECT q, filer_id, sum(value - value_before) / nullif(sum(value_before), 0) AS flow FROM moves GROUP BY q, filer_id),
+past AS (SELECT q + i + 1 AS q, q AS at_, filer_id, flow FROM f {d.each(LOOKBACK)} WHERE flow IS NOT NULL),
+dev AS (SELECT q, at_, filer_id, flow - avg(flow) OVER (PARTITION BY q, filer_id) AS u FROM past),
+spans AS (SELECT q, count(DISTINCT at_) AS n FROM past GROUP BY q)"""
+
+
+@plan
+def flow_covariance(d: Spark) -> str:
+    """Covariance of filers' flows over the quarters before, shrunk toward its diagonal; missing flows count as the filer's mean.
+
+    A covariance shrunk so has no negative eigenvalue, so nothing is left to clip.  Pairs without a common quarter have none.
+    """
+    return f"""WITH {flow_history(d)}, pairs AS (SELECT a.q, a.filer_id AS a, b.filer_id AS b, sum(a.u * b.u) AS s FROM dev a JOIN dev b ON a.q = b.q AND a.at_ = b.at_ AND a.filer_id <= b.filer_id GROUP BY a.q, a.filer_id, b.filer_id)
+SELECT p.q, a, b, round(s / (n - 1) * CASE WHEN a = b THEN 1 ELSE {1 - SHRINKAGE} END, 6) AS covariance FROM pairs p JOIN spans t ON p.q = t.q WHERE n > 1"""
+
+
 @plan
 def fragility(d: Spark) -> str:
-    """Variance of the flow-driven trade in a name over its cap, as the variance of one weighted sum."""
-    return """WITH f AS (SELECT q, filer_id, sum(value - value_before) / nullif(sum(value_before), 0) AS flow FROM moves GROUP BY q, filer_id),
-h AS (SELECT n.filer_id, n.instrument, n.value, x.cap FROM numbered n JOIN market x USING (period_end, instrument) WHERE n.q = 20),
-s AS (SELECT f.q, h.instrument, sum(h.value * f.flow) AS t, max(h.cap) AS cap FROM f JOIN h ON f.filer_id = h.filer_id WHERE f.q <= 20 AND flow IS NOT NULL GROUP BY f.q, h.instrument)
-SELECT instrument, round(var_samp(t) / (max(cap) * max(cap)), 6) AS fragility FROM s GROUP BY instrument"""
+    """Holders' positions through the shrunk covariance of their flows, over the squared cap, every quarter.
+
+    The quadratic form is the variance of one weighted sum per name, and its diagonal another; no matrix is formed.
+    """
+    return f"""WITH {flow_history(d)},
+s AS (SELECT n.q, n.instrument, at_, sum(n.value * u) AS x, sum(n.value * u * n.value * u) AS y, max(m.cap) AS cap FROM numbered n JOIN market m ON m.period_end = n.period_end AND m.instrument = n.instrument JOIN dev ON dev.q = n.q AND dev.filer_id = n.filer_id GROUP BY n.q, n.instrument, at_)
+SELECT s.q, instrument, round(({1 - SHRINKAGE} * sum(x * x) + {SHRINKAGE} * sum(y)) / max(n - 1) / (max(cap) * max(cap)), 6) AS fragility FROM s JOIN spans t ON s.q = t.q WHERE n > 1 GROUP BY s.q, instrument"""
 
 
 @plan
@@ -428,7 +488,7 @@ def ragged_edge(d: Spark) -> str:
     """Running census of buys and sells as filings arrive after a quarter's end."""
     return f"""WITH first_ AS (SELECT filer_id, period_end, min(known) AS known FROM revisions GROUP BY filer_id, period_end),
 v AS (SELECT m.q, k.period_end, f.known, m.instrument, sum(CASE WHEN shares > shares_before THEN 1 ELSE -1 END) AS net, count(*) AS votes FROM moves m JOIN quarters k ON m.q = k.q JOIN first_ f ON f.filer_id = m.filer_id AND f.period_end = k.period_end WHERE shares <> shares_before GROUP BY m.q, k.period_end, f.known, m.instrument)
-SELECT q, known, instrument, sum(net) OVER w AS running_net, sum(votes) OVER w AS running_votes FROM v WHERE q BETWEEN 3 AND 5 WINDOW w AS (PARTITION BY q, instrument ORDER BY known ROWS UNBOUNDED PRECEDING)"""
+SELECT q, known, instrument, sum(net) OVER w AS running_net, sum(votes) OVER w AS running_votes FROM v WINDOW w AS (PARTITION BY q, instrument ORDER BY known ROWS UNBOUNDED PRECEDING)"""
 
 
 @plan

@@ -11,7 +11,7 @@ from ..functions import calendar, identifiers
 from ..operators import asof, crosssection, graph, inference, latent, sequential, storage
 from ..sources import filings
 from ..streaming import events as streams
-from . import analytics, dialect, domain
+from . import analytics, dialect, domain, text
 from .dialect import DuckDB, Spark
 
 QUERIES: dict = {}
@@ -105,15 +105,26 @@ def reporting_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def overlap_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eigenvector centrality of filers in the overlap of one quarter's books."""
-    return graph.centrality(relation(spark, sf_dir, "SELECT filer_id AS row, instrument AS item, w FROM numbered WHERE q = 12"))
+    """Eigenvector centrality of filers in the overlap of each quarter's books."""
+    return graph.centrality(relation(spark, sf_dir, "SELECT q, filer_id AS row, instrument AS item, w FROM numbered"), by="q")
 
 
-@query()
+@query(
+    oracle("""WITH RECURSIVE r AS (SELECT q, filer_id, row_number() OVER (PARTITION BY q ORDER BY max(book) DESC, filer_id) AS rank FROM numbered GROUP BY q, filer_id),
+per AS (SELECT q, list({'k': filer_id, 'r': rank} ORDER BY rank) AS ranked FROM r WHERE rank <= 35 GROUP BY q), seq AS (SELECT *, row_number() OVER (ORDER BY q) AS i FROM per),
+step(i, members, kept) AS (
+  SELECT 1::BIGINT, []::BIGINT[], []::BIGINT[]
+  UNION ALL
+  SELECT i, stay || list_transform(list_filter(ranked, lambda x: x.r <= 25 AND NOT list_contains(stay, x.k::BIGINT))[1:25 - len(stay)], lambda x: x.k::BIGINT), stay FROM (
+    SELECT s.i + 1 AS i, q.ranked, list_transform(list_filter(q.ranked, lambda x: list_contains(s.members, x.k::BIGINT)), lambda x: x.k::BIGINT)[1:25] AS stay FROM step s JOIN seq q ON q.i = s.i) z),
+flat AS (SELECT i, unnest(members) AS key, kept FROM step WHERE i > 1)
+SELECT now.q AS period, src.q AS source, f.key, r.rank::DOUBLE AS rank, CASE WHEN list_contains(f.kept, f.key) THEN 'retained' ELSE 'new' END AS status
+FROM flat f JOIN seq now ON now.i = f.i JOIN seq src ON src.i = f.i - 1 JOIN r ON r.q = src.q AND r.filer_id = f.key""")
+)
 def hysteresis_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filers that enter a universe at rank 25 and leave it beyond 35."""
+    """Filers of a universe of 25 by book, in which members stay up to rank 35."""
     ranked = relation(spark, sf_dir, "SELECT q AS period, filer_id AS key, row_number() OVER (PARTITION BY q ORDER BY max(book) DESC, filer_id) AS rank FROM numbered GROUP BY q, filer_id")
-    return sequential.hysteresis(ranked)
+    return sequential.hysteresis(ranked).withColumn("key", F.col("key").cast("long"))
 
 
 @query()
@@ -217,11 +228,11 @@ def independent_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trade_breadth_gls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filers' weights by how little their trades of eight quarters repeat others', and breadth of one quarter under them."""
-    signs = relation(spark, sf_dir, "SELECT q, filer_id, instrument, concat(q, '|', instrument) AS item, sign(shares - shares_before) AS s FROM moves WHERE q BETWEEN 9 AND 16")
-    weights = latent.gls_weights(signs, "filer_id", "item", "s")
-    now = signs.where("q = 16").join(weights, "filer_id")
-    return now.groupBy("instrument").agg(F.round(F.sum(F.col("weight") * F.col("s")), 6).alias("cab"), F.round(F.try_divide(F.sum(F.col("weight") * F.col("s")), F.sum(F.abs("weight"))), 6).alias("cab_scaled"))
+    """Per quarter: filers' weights by how little their trades of the last eight quarters repeat others', and the quarter's breadth under them."""
+    signs = relation(spark, sf_dir, "SELECT q + i AS q, i, filer_id, instrument, concat(i, '|', instrument) AS item, sign(shares - shares_before) AS s FROM moves LATERAL VIEW explode(sequence(0, 7)) e AS i WHERE q + i <= (SELECT max(q) FROM quarters)")
+    weights = latent.gls_weights(signs, "filer_id", "item", "s", by="q")
+    now = signs.where("i = 0").join(weights, ["q", "filer_id"])
+    return now.groupBy("q", "instrument").agg(F.round(F.sum(F.col("weight") * F.col("s")), 6).alias("cab"), F.round(F.try_divide(F.sum(F.col("weight") * F.col("s")), F.sum(F.abs("weight"))), 6).alias("cab_scaled"))
 
 
 @query()
@@ -234,7 +245,7 @@ def tree_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def correlated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names grouped by the correlation of monthly returns, with weights by Sharpe ratio."""
     rows = relation(spark, sf_dir, f"WITH {analytics.MONTHLY} SELECT month, instrument, ret FROM mret WHERE ret IS NOT NULL")
-    return latent.correlation_groups(rows, "month", "instrument", "ret", 0.1)
+    return latent.correlation_groups(rows, "month", "instrument", "ret", 4)
 
 
 @query(oracle("SELECT CASE kind WHEN 'ORIGINAL' THEN '13F-HR' ELSE '13F-HR/A' END AS form, 'FILER ' || filer_id AS company, cik, known AS filed, 'edgar/data/' || accession || '.txt' AS path FROM revisions"))
@@ -261,10 +272,11 @@ def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("p_partkey", F.col("other_p_partkey").alias("other"), F.round(identifiers.token_similarity(F.col("tokens"), F.col("other_tokens")), 6).alias("jaccard"), F.round(identifiers.sequence_ratio(F.col("p_name"), F.col("other_p_name")), 6).alias("ratio"))
 
 
-@query()
+@query(text.repaired_sql())
 def repaired_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "part").select("p_partkey", F.lpad((F.col("p_partkey") * 7919 % 100000000).cast("string"), 8, "0").alias("s8"))
-    return raw.withColumn("r", identifiers.repair_identifier(F.col("s8"))).select("p_partkey", "s8", "r.fixed", "r.action")
+    """The same repair as :func:`identifier_repair`, as a column function."""
+    raw = relation(spark, sf_dir, text.found_sql(Spark()))
+    return raw.withColumn("r", identifiers.repair_identifier(F.col("found"))).select("p_partkey", "found", "r.fixed", "r.action")
 
 
 @query("SELECT o_orderkey, CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS quarter_end, year(o_orderdate) || 'Q' || quarter(o_orderdate) AS label, CAST(CASE isodow(o_orderdate) WHEN 6 THEN o_orderdate + INTERVAL 2 DAY WHEN 7 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS DATE) AS rolled FROM orders")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .dialect import Spark, plan
+from .dialect import DuckDB, Spark, plan
 
 #: Characters of a security identifier, in the order of their values (fixed value).
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ*@#"
@@ -28,15 +28,24 @@ def identifier_check(d: Spark) -> str:
     return f"WITH {_ids(d)} SELECT p_partkey, s8, digit FROM ids"
 
 
+def found_sql(d: Spark) -> str:
+    """Part numbers as identifiers that lost zeros or the check digit, or have a wrong one."""
+    found = d.replace_regex("CASE WHEN p_partkey % 4 = 0 THEN concat(s8, CAST(digit AS VARCHAR(2))) WHEN p_partkey % 4 = 1 THEN s8 WHEN p_partkey % 4 = 2 THEN concat(s8, 'X') ELSE concat('1', substr(s8, 2, 7), CAST(digit AS VARCHAR(2))) END", "^0+", "")
+    return f"WITH {_ids(d)} SELECT p_partkey, {found} AS found FROM ids"
+
+
+def repaired_sql() -> str:
+    return identifier_repair(DuckDB())
+
+
 @plan
 def identifier_repair(d: Spark) -> str:
-    """Identifiers as found, some without leading zeros or check digit, brought back to nine characters."""
-    body = check_digit("substr(padded, 1, 8)").replace("strpos(", "strpos(" if d.table("x") == "x" else "instr(")
-    tail = check_digit("lpad(found, 8, '0')").replace("strpos(", "strpos(" if d.table("x") == "x" else "instr(")
-    return f"""WITH {_ids(d)}, raw AS (SELECT p_partkey, {d.replace_regex("CASE WHEN p_partkey % 3 = 0 THEN concat(s8, CAST(digit AS VARCHAR(2))) WHEN p_partkey % 3 = 1 THEN s8 ELSE concat(s8, 'X') END", "^0+", "")} AS found FROM ids),
-p AS (SELECT p_partkey, found, lpad(found, 9, '0') AS padded FROM raw)
-SELECT p_partkey, found, CASE WHEN CAST({body} AS VARCHAR(2)) = substr(padded, 9, 1) THEN padded WHEN length(found) <= 8 THEN concat(lpad(found, 8, '0'), CAST({tail} AS VARCHAR(2))) END AS fixed,
-CASE WHEN CAST({body} AS VARCHAR(2)) = substr(padded, 9, 1) THEN CASE WHEN length(found) = 9 THEN 'ok' ELSE 'padded' END WHEN length(found) <= 8 THEN 'appended' ELSE 'rejected' END AS action FROM p"""
+    """Identifiers as found, some without leading zeros or check digit, some with a wrong one, brought back to nine characters."""
+    digit = lambda x: check_digit(x).replace("strpos(", "strpos(" if d.table("x") == "x" else "instr(")
+    return f"""WITH raw AS ({found_sql(d)}), p AS (SELECT p_partkey, found, lpad(found, 9, '0') AS padded FROM raw),
+j AS (SELECT *, CAST({digit("substr(padded, 1, 8)")} AS VARCHAR(2)) = substr(padded, 9, 1) AND found <> '' AS valid, CASE WHEN length(found) >= 8 THEN concat(substr(found, 1, 8), CAST({digit("substr(concat(found, '00000000'), 1, 8)")} AS VARCHAR(2))) END AS checked FROM p)
+SELECT p_partkey, found, CASE WHEN valid THEN padded ELSE checked END AS fixed,
+CASE WHEN valid AND length(found) = 9 THEN 'ok' WHEN valid THEN 'padded' WHEN length(found) = 8 THEN 'appended_check' WHEN length(found) = 9 THEN 'recovered' ELSE 'invalid' END AS action FROM j"""
 
 
 @plan

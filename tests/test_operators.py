@@ -59,10 +59,23 @@ def test_centrality_matches_eigenvector(spark):
 
 
 def test_hysteresis(spark):
-    ranks = {1: "abcd", 2: "bcda", 3: "dcba"}
+    """Incumbents within the buffer stay, up to the target's size; only free places are offered, and only within the target."""
+    ranks = {1: "abcd", 2: "bcda", 3: "dcba", 4: "dcba"}
     rows = [(p, k, i + 1) for p, order in ranks.items() for i, k in enumerate(order)]
-    got = {(r.period, r.key) for r in sequential.hysteresis(spark.createDataFrame(rows, "period int, key string, rank int"), 2, 3).collect()}
-    assert got == {(2, "a"), (2, "b"), (3, "b"), (3, "c")}
+    out = sequential.hysteresis(spark.createDataFrame(rows, "period int, key string, rank int"), 2, 3).collect()
+    got = {(r.period, r.key, r.rank, r.status) for r in out}
+    assert got == {(2, "a", 1, "new"), (2, "b", 2, "new"), (3, "b", 1, "retained"), (3, "c", 2, "new"), (4, "c", 2, "retained"), (4, "b", 3, "retained")}
+    assert all(r.source == r.period - 1 for r in out)
+
+
+def test_hysteresis_reduces_churn(spark):
+    rng = np.random.default_rng(7)
+    level = rng.normal(size=60)
+    rows = [(q, m, int(r) + 1) for q in range(12) for m, r in enumerate(np.argsort(np.argsort(-(level + rng.normal(size=60)))))]
+    ranked = spark.createDataFrame(rows, "period int, key int, rank int")
+    hard, buffered = (sequential.hysteresis(ranked, 15, b).collect() for b in (15, 25))
+    new = lambda out: sum(r.status == "new" for r in out)
+    assert new(buffered) < new(hard) and len(hard) == len(buffered) == 11 * 15
 
 
 def test_identifiers(spark):
@@ -70,8 +83,10 @@ def test_identifiers(spark):
     got = spark.createDataFrame(rows, "c string").select("c", identifiers.valid_identifier(F.col("c")).alias("ok"), identifiers.repair_identifier(F.col("c")).alias("r")).collect()
     assert [r.ok for r in got] == [True] * 5 + [False] * 4
     assert (got[6].r.fixed, got[6].r.action) == ("037833100", "padded")
-    assert (got[7].r.fixed, got[7].r.action) == ("037833100", "appended")
-    assert got[5].r.action == "rejected" and got[8].r.action == "rejected"
+    assert (got[7].r.fixed, got[7].r.action) == ("037833100", "appended_check")
+    assert (got[5].r.fixed, got[5].r.action) == ("037833019", "recovered") and got[8].r.action == "invalid"
+    odd = spark.createDataFrame([("GARBAGE!!",), ("0378 33-100",), ("",), ("1234567",)], "c string").select(identifiers.repair_identifier(F.col("c")).alias("r")).collect()
+    assert [(r.r.fixed, r.r.action) for r in odd] == [(None, "invalid"), ("037833100", "ok"), (None, "invalid"), (None, "invalid")]
 
 
 def test_names_and_numbers(spark):
@@ -163,7 +178,7 @@ def test_correlation_groups(spark):
     a, b = rng.normal(0.1, 1, 200), rng.normal(0.1, 1, 200)
     cols = {"a1": a, "a2": a + rng.normal(0, 0.1, 200), "b1": b, "b2": b + rng.normal(0, 0.1, 200)}
     df = spark.createDataFrame([(t, k, float(v[t])) for k, v in cols.items() for t in range(200)], "t int, i string, x double")
-    out = latent.correlation_groups(df, "t", "i", "x").toPandas().set_index("i")
+    out = latent.correlation_groups(df, "t", "i", "x", 2).toPandas().set_index("i")
     assert out.loc["a1", "group"] == out.loc["a2", "group"] != out.loc["b1", "group"] == out.loc["b2", "group"]
     assert np.allclose(out.groupby("group")["weight"].sum(), 1)
 
