@@ -128,9 +128,10 @@ def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = MA
             added = F.when(F.col("best").isNotNull(), F.array(F.struct("best.mark", "best.place"))).otherwise(F.array().cast(_FILL))
             state = joined.select("sid", (F.col("left") - F.coalesce("best.size", F.lit(0))).alias("left"), "cuts", F.concat("fills", added).alias("fills"))
         state = scratch.write(state, f"state-{k}")
-    for table in ("marks", "edge-bucket", "edge-mark", "edge-equal", "edge-part", *(f"found-{k}" for k in range(CUTS)), *(f"state-{k}" for k in range(CUTS + FILLS - 1))):
+    out = scratch.write(sources.drop("left", "cuts", "fills").join(state.drop("left"), "sid"), "plan")  # a small file, so that its size is known
+    for table in ("marks", "sources", "edge-bucket", "edge-mark", "edge-equal", "edge-part", *(f"found-{k}" for k in range(CUTS)), *(f"state-{k}" for k in range(CUTS + FILLS))):
         scratch.drop(table)
-    return sources.drop("left", "cuts", "fills").join(state.drop("left"), "sid")
+    return out
 
 
 def extra() -> Column:
