@@ -98,12 +98,14 @@ def with_reference(spark: SparkSession, path: str, schema: str, required: Sequen
 
 
 def manifest(index: DataFrame, api: DataFrame) -> DataFrame:
-    """Index rows with acceptance times of the API where it has them, else the end of the filing day; one row per accession."""
-    rows = index.join(api.select("accession", "accepted"), "accession", "left")
+    """Index rows with acceptance times of the API where it has them, else the end of the filing day; one row per accession, the smallest path of those filed first."""
     late = F.to_timestamp(F.concat(F.col("filed").cast("string"), F.lit(" 23:59:59")))
-    return rows.withColumn("accepted", F.coalesce("accepted", late)).dropDuplicates(["accession"])
+    rest = [c for c in index.columns if c not in ("accession", "filed", "path")]
+    first = index.groupBy("accession").agg(F.min(F.struct("filed", "path", *rest)).alias("_r")).select("accession", "_r.*")
+    times = api.groupBy("accession").agg(F.min("accepted").alias("accepted"))
+    return first.join(times, "accession", "left").withColumn("accepted", F.coalesce("accepted", late))
 
 
 def column_store(df: DataFrame, path: str, by: str) -> None:
-    """Writes a panel partitioned by period, one shuffle by period, so that a scan of one period reads its files alone."""
-    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+    """Writes a panel partitioned by period, so that a scan of one period reads its files alone; a large period is written by several tasks."""
+    df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)

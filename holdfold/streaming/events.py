@@ -60,3 +60,35 @@ def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append")
     """Runs a stream over all that is available into Parquet, and ends."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+EXPIRING = "user_id long, event_id long, seen long, stale boolean"
+
+
+def expiring(events: DataFrame, limit: str = "200 days") -> DataFrame:
+    """Each event's number within its user's state, which lapses when the event before is more than ``limit`` old; ``stale``: a state had lapsed before it.
+
+    Within a batch the events' own times decide; between batches a time-out on the watermark
+    drops what nothing has touched, so state doesn't grow with users long gone.
+    """
+    width = pd.Timedelta(limit)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last, _, lives = state.get
+            state.update((last, 0, lives))  # the next event begins anew; what stays is three numbers
+            return
+        last, seen, lives = state.get if state.exists else (None, 0, 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = []
+        for event, ts in zip(rows["event_id"], rows["ts"], strict=True):
+            fresh = last is None or ts - pd.Timestamp(last, unit="us") > width
+            seen, lives = (1, lives + 1) if fresh else (seen + 1, lives)
+            out.append((key[0], event, seen, bool(fresh and lives > 1)))
+            last = int(ts.value // 1000)
+        state.update((last, seen, lives))
+        state.setTimeoutTimestamp(last // 1000 + int(width.total_seconds() * 1000) + 1)
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "seen", "stale"])
+
+    rows = events.withWatermark("ts", limit).select("user_id", "event_id", "ts")
+    return rows.groupBy("user_id").applyInPandasWithState(fold, EXPIRING, "last long, seen long, lives long", "append", GroupStateTimeout.EventTimeTimeout)
