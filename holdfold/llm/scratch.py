@@ -33,12 +33,15 @@ class Scratch:
 
     Tables are files, so a lost executor takes nothing with it, and a reader sees
     columns and statistics rather than a cached RDD.  The tables behind a returned,
-    still lazy result must outlive the call; the others go through :meth:`drop`.
+    still lazy result must outlive the call; the others go through :meth:`drop`.  What is
+    left goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}")

@@ -6,8 +6,13 @@ manifest and so is never read.  Reading: a task opens the archives of its manife
 as streams, loads the dictionary, decodes frame after frame, and raises on a bad magic
 number, header, length, digest or frame border.
 
-Payloads may be null (taken as empty) and of any length.  Record ids may repeat or be
-null.  An empty table gives no archives and an empty result.
+The dictionary is trained on the first bytes of a sample of payloads, SAMPLE_ROWS in the order
+of a hash of their ids, so it is the same whenever the table is.
+
+Payloads may be null (taken as empty) and of any length; a worker holds a payload and its
+compressed frame, and 256 rows at a time.  Record ids may repeat or be null; repeated rows each
+get a record.  Further columns, whatever their names, are ignored.  An empty table gives no
+archives and an empty result.
 """
 
 from __future__ import annotations
@@ -185,18 +190,19 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, roll_byte
                 out = None
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
-                frame = packer.compress(record(row["record_id"], row["uri"], row["payload"], row["refers_to"], row["digest"]))
-                if out is None:
-                    path, count, size = f"{base}/{uuid.uuid4().hex}.warc.zst", 0, len(head)
-                    store.create_dir(base, recursive=True)
-                    out = store.open_output_stream(path)
-                    out.write(head)
-                out.write(frame)
-                count, size = count + 1, size + len(frame)
-                if size >= roll_bytes:
-                    close()
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256).to_pydict()
+                for number, uri, payload, refers_to, digest in zip(*(part[c] for c in ("record_id", "uri", "payload", "refers_to", "digest")), strict=True):
+                    frame = packer.compress(record(number, uri, payload, refers_to, digest))
+                    if out is None:
+                        path, count, size = f"{base}/{uuid.uuid4().hex}.warc.zst", 0, len(head)
+                        store.create_dir(base, recursive=True)
+                        out = store.open_output_stream(path)
+                        out.write(head)
+                    out.write(frame)
+                    count, size = count + 1, size + len(frame)
+                    if size >= roll_bytes:
+                        close()
         close()
         if done:
             yield pa.RecordBatch.from_pandas(pd.DataFrame(done, columns=["path", "records", "bytes"]), preserve_index=False)
@@ -236,7 +242,8 @@ def read_archives(manifest: DataFrame, folder: str, columns: str = RECORDS) -> D
 def round_trip(records: DataFrame, columns: str = RECORDS) -> DataFrame:
     """Writes ``records`` (record_id, uri, payload string) as archives and reads them back."""
     scratch = Scratch(records.sparkSession, "warc")
-    sample = [(r[0] or "").encode() for r in records.select(F.substring("payload", 1, SAMPLE_BYTES)).limit(SAMPLE_ROWS).collect()]
+    head = records.select(F.xxhash64("record_id").alias("order"), F.coalesce(F.substring("payload", 1, SAMPLE_BYTES), F.lit("")).alias("head"))
+    sample = [r.head.encode() for r in head.orderBy("order", "head").limit(SAMPLE_ROWS).collect()]
     folder = f"{scratch.path}/archives"
     manifest = scratch.write(write_archives(with_revisits(records), folder, train_dictionary(sample)), "manifest")
     return read_archives(manifest, folder, columns)
