@@ -3,6 +3,14 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows of its predecessor; all but
 the last return the columns of documents.  The last returns the mixture: a row for each
 time a document is taken, with the words it adds in all (``taken``) and ``repeat``.
+
+Defined results: documents with a null id are judged by their text like all others; null and
+empty texts, and texts without words, aren't toxic, have no duplicates and hold nothing to
+find, so they reach the mixture, which takes none of their words; rows of one id with different
+texts are different documents, repeated rows copies of one; a null source is a source of its own;
+further columns stay as they are, but for ``taken`` and ``repeat``; texts of any length are taken
+whole; an empty table of documents gives an empty mixture, without labels nothing is toxic, and
+without benchmark items nothing contaminated.
 """
 
 from __future__ import annotations

@@ -10,5 +10,10 @@ def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root or "file:///tmp/holdfold-shared")
+    return qualified(spark, root or "file:///tmp/holdfold-shared")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system: of a bare one, the cluster's default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()

@@ -9,6 +9,7 @@ books        panel with each position's weight w in its filer's book, and the bo
 quarters     the periods in order, numbered
 prices       daily price, volume, return per instrument
 market       per instrument and period: last price, median dollar volume, volatility, cap
+funds        filers taken as funds: the third of them with the most positions over all quarters
 splits       per quarter and instrument, the most common ratio of shares among holders of both quarters,
              in thousandths, where it has support and is no rounding matter
 moves        positions against the previous quarter (full outer); shares_before in units of
@@ -78,6 +79,7 @@ def _plain(d: Spark) -> dict[str, str]:
         "prices": "SELECT *, price / lag(price) OVER (PARTITION BY instrument ORDER BY day) - 1 AS ret FROM trades",
         "market": f"""SELECT period_end, instrument, max_by(price, day) AS price, {d.quantile("dollars", 0.5)} AS adv, stddev_samp(ret) AS vol, max_by(price, day) * sum(volume) AS cap
   FROM quarters JOIN prices ON day <= period_end AND day > {d.plus("period_end", -92)} GROUP BY period_end, instrument""",
+        "funds": """SELECT filer_id AS fund FROM (SELECT filer_id, ntile(3) OVER (ORDER BY count(*) DESC, filer_id) AS third FROM numbered GROUP BY filer_id) x WHERE third = 1""",
         "ratios": """SELECT c.q, c.filer_id, c.instrument, floor(c.shares / p.shares * 1000 + 0.5e0) / 1000 AS ratio
   FROM numbered c JOIN numbered p ON c.q = p.q + 1 AND c.filer_id = p.filer_id AND c.instrument = p.instrument WHERE c.shares > 0 AND p.shares > 0""",
         "splits": """SELECT q, instrument, ratio AS factor FROM (
@@ -88,7 +90,7 @@ def _plain(d: Spark) -> dict[str, str]:
   coalesce(c.shares, 0) AS shares, coalesce(p.shares, 0) * coalesce(s.factor, 1e0) AS shares_before, coalesce(p.shares, 0) AS shares_reported, coalesce(c.value, 0) AS value, coalesce(p.value, 0) AS value_before, c.w, p.w AS w_before
   FROM numbered c FULL OUTER JOIN numbered p ON c.q = p.q + 1 AND c.filer_id = p.filer_id AND c.instrument = p.instrument
   LEFT JOIN splits s ON s.q = p.q + 1 AND s.instrument = p.instrument
-  WHERE coalesce(c.q, p.q + 1) > 1 AND coalesce(c.q, p.q + 1) <= (SELECT max(q) FROM quarters)""",
+  WHERE coalesce(c.q, p.q + 1) > (SELECT min(q) FROM quarters) AND coalesce(c.q, p.q + 1) <= (SELECT max(q) FROM quarters)""",
     }
 
 
@@ -140,6 +142,7 @@ class Domain:
 
     def run(self, name: str) -> DataFrame:
         """A plan by its name."""
+        from .. import catalogue  # noqa: F401, registers the plans
         from .dialect import PLANS
 
         return self.sql(PLANS[name](Spark()))

@@ -114,7 +114,7 @@ def position_deltas(d: Spark) -> str:
 def trade_deltas_signed(d: Spark) -> str:
     """The same changes as one signed sum over a union."""
     return """WITH signed AS (SELECT q, filer_id, instrument, shares FROM numbered UNION ALL SELECT q + 1, filer_id, instrument, -shares FROM numbered WHERE q < (SELECT max(q) FROM quarters))
-SELECT q, instrument, round(sum(shares), 2) AS net_shares, count(DISTINCT filer_id) AS filers FROM signed WHERE q > 1 GROUP BY q, instrument"""
+SELECT q, instrument, round(sum(shares), 2) AS net_shares, count(DISTINCT filer_id) AS filers FROM signed WHERE q > (SELECT min(q) FROM quarters) GROUP BY q, instrument"""
 
 
 @plan
@@ -503,14 +503,14 @@ SELECT least(run, 3) AS k, count(*) AS n, round(avg(CASE WHEN next_cut THEN 1e0
 @plan
 def lookthrough_pressure(d: Spark) -> str:
     """Demand for funds passed through to the names in their baskets, over their caps."""
-    return """WITH fund AS (SELECT q, filer_id, sum(value - value_before) AS demand, sum(value_before) AS aum FROM moves WHERE filer_id < 20 GROUP BY q, filer_id)
+    return """WITH fund AS (SELECT q, filer_id, sum(value - value_before) AS demand, sum(value_before) AS aum FROM moves WHERE filer_id IN (SELECT fund FROM funds) GROUP BY q, filer_id)
 SELECT f.q, b.instrument, round(sum(f.demand * b.w) / nullif(max(x.cap), 0), 6) AS pressure FROM fund f JOIN numbered b ON b.q = f.q - 1 AND b.filer_id = f.filer_id JOIN quarters k ON k.q = f.q - 1 JOIN market x ON x.period_end = k.period_end AND x.instrument = b.instrument GROUP BY f.q, b.instrument"""
 
 
 @plan
 def direct_vs_fund(d: Spark) -> str:
     """Holdings implied by funds against direct ones, full outer."""
-    return """WITH f AS (SELECT q, instrument, sum(value) AS v FROM numbered WHERE filer_id < 20 GROUP BY q, instrument), g AS (SELECT q, instrument, sum(value) AS v FROM numbered WHERE filer_id >= 20 GROUP BY q, instrument)
+    return """WITH f AS (SELECT q, instrument, sum(value) AS v FROM numbered WHERE filer_id IN (SELECT fund FROM funds) GROUP BY q, instrument), g AS (SELECT q, instrument, sum(value) AS v FROM numbered WHERE filer_id NOT IN (SELECT fund FROM funds) GROUP BY q, instrument)
 SELECT coalesce(f.q, g.q) AS q, coalesce(f.instrument, g.instrument) AS instrument, round(coalesce(g.v, 0) - coalesce(f.v, 0), 2) AS gap, round(coalesce(f.v, 0) / (coalesce(f.v, 0) + coalesce(g.v, 0)), 6) AS fund_share FROM f FULL OUTER JOIN g ON f.q = g.q AND f.instrument = g.instrument"""
 
 

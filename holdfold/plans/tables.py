@@ -90,19 +90,15 @@ def arrival_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand.arrivals(rows).groupBy("period_end", "fund", "available").agg(F.round(F.max("running"), 2).alias("running"))
 
 
-#: Filers as funds: those with the most names in their books over all quarters, a third of all.
-FUNDS = "funds AS (SELECT filer_id AS fund FROM (SELECT filer_id, ntile(3) OVER (ORDER BY count(*) DESC, filer_id) AS third FROM numbered GROUP BY filer_id) x WHERE third = 1)"
-
-
 @query(
-    oracle(f"""WITH {FUNDS}, b AS (SELECT n.q, n.filer_id AS fund, max(n.book) AS assets, sum(n.shares) AS shares FROM numbered n JOIN funds f ON f.fund = n.filer_id GROUP BY n.q, n.filer_id),
+    oracle("""WITH b AS (SELECT n.q, n.filer_id AS fund, max(n.book) AS assets, sum(n.shares) AS shares FROM numbered n JOIN funds f ON f.fund = n.filer_id GROUP BY n.q, n.filer_id),
 o AS (SELECT q, fund, assets, shares / (10 * assets) AS own FROM b), d AS (SELECT q, fund, assets, own - lag(own) OVER (PARTITION BY fund ORDER BY q) AS d_own FROM o),
 p AS (SELECT n.q, n.instrument AS name, sum(d.d_own * d.assets * n.w) AS flow FROM numbered n JOIN d ON d.q = n.q AND d.fund = n.filer_id GROUP BY n.q, n.instrument)
 SELECT k.period_end, p.name, round(p.flow / m.cap * 1000, 6) AS pressure FROM p JOIN quarters k ON k.q = p.q JOIN market m ON m.period_end = k.period_end AND m.instrument = p.name""")
 )
 def fund_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ownership change of funds passed through to the names in their baskets, over their caps; a basket from the future raises."""
-    own = relation(spark, sf_dir, f"WITH {FUNDS} SELECT n.period_end, n.filer_id AS fund, sum(n.shares) AS shares, max(n.book) AS assets FROM numbered n JOIN funds f ON f.fund = n.filer_id GROUP BY n.period_end, n.filer_id")
+    own = relation(spark, sf_dir, "SELECT n.period_end, n.filer_id AS fund, sum(n.shares) AS shares, max(n.book) AS assets FROM numbered n JOIN funds f ON f.fund = n.filer_id GROUP BY n.period_end, n.filer_id")
     change = demand.ownership_change(own, own.select("period_end", "fund", (F.col("assets") * 10).alias("outstanding"))).join(own.select("period_end", "fund", "assets"), ["period_end", "fund"])
     basket = relation(spark, sf_dir, "SELECT period_end, period_end AS effective, filer_id AS fund, instrument AS name, w AS weight FROM numbered")
     stocks = relation(spark, sf_dir, "SELECT period_end, instrument AS name, cap FROM market")
