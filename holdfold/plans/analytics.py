@@ -91,21 +91,6 @@ h AS (SELECT x, CASE WHEN row_number() OVER (ORDER BY q) <= {d.idiv("count(*) OV
 SELECT half, count(*) AS n, round(avg(x), 6) AS mean, round(avg(x) / nullif(stddev_samp(x) / sqrt(count(*)), 0), 4) AS t FROM h GROUP BY half"""
 
 
-@plan
-def lead_signal_test(d: Spark) -> str:
-    """Correlation of returns with the later signal, a test for lookahead, beside the honest one."""
-    return f"WITH {SIGNALS} SELECT count(*) AS n, round(corr(s, fwd), 6) AS honest, round(corr(later, fwd), 6) AS lookahead FROM (SELECT s, fwd, lead(s) OVER (PARTITION BY instrument ORDER BY q) AS later FROM panel_) x WHERE fwd IS NOT NULL AND later IS NOT NULL"
-
-
-@plan
-def double_sort(d: Spark) -> str:
-    """Quintile spread of the signal within terciles of volatility."""
-    return f"""WITH {SIGNALS}, t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY vol, instrument) AS rn, count(*) OVER (PARTITION BY q) AS n FROM panel_ WHERE fwd IS NOT NULL AND vol IS NOT NULL),
-u AS (SELECT q, instrument, s, fwd, {bins(d, "rn", "n", 3)} AS tercile FROM t),
-v AS (SELECT *, row_number() OVER (PARTITION BY q, tercile ORDER BY s, instrument) AS rn, count(*) OVER (PARTITION BY q, tercile) AS n FROM u)
-SELECT q, tercile, round(avg(CASE WHEN bin = 2 THEN fwd END) - avg(CASE WHEN bin = 0 THEN fwd END), 6) AS spread, count(*) AS n FROM (SELECT *, {bins(d, "rn", "n", 3)} AS bin FROM v) y GROUP BY q, tercile"""
-
-
 @plan
 def fama_macbeth(d: Spark) -> str:
     """Slope of returns on the ranked signal per quarter, and its mean over strictly earlier quarters."""
@@ -239,14 +224,6 @@ def stress_flag(d: Spark) -> str:
 SELECT instrument, day, round(s5, 6) AS s5, s5 < {d.quantile("s5", 0.1)} OVER (PARTITION BY instrument ORDER BY day ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING) AS stressed FROM s"""
 
 
-@plan
-def universe_filter(d: Spark) -> str:
-    """Price floor, rolling median volume and history, with the median of the day as the volume limit."""
-    return f"""WITH r AS (SELECT instrument, day, price, {d.quantile("dollars", 0.5)} OVER w AS adv, count(*) OVER w AS n FROM prices WINDOW w AS (PARTITION BY instrument ORDER BY day ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)),
-c AS (SELECT day, {d.quantile("adv", 0.2)} AS p20, count(*) AS names FROM r GROUP BY day)
-SELECT instrument, r.day, price >= 4 AND adv >= p20 AND n >= 57 AND names >= 10 AS eligible FROM r JOIN c ON r.day = c.day"""
-
-
 @plan
 def shock_calendar(d: Spark) -> str:
     """Rebalance dates: the last trading day of each month, and of each quarter."""
@@ -393,13 +370,6 @@ def impact_costs(d: Spark) -> str:
     return f"WITH {SIGNALS}, g AS (SELECT 1000e0 AS capital UNION ALL SELECT 10000e0 UNION ALL SELECT 100000e0) SELECT q, capital, round(sum(capital / 25 * vol * sqrt(capital / 25 / adv)), 4) AS cost, round(sum(vol * sqrt(capital / 25 / adv)) / 25 * 10000, 4) AS bps FROM panel_ CROSS JOIN g WHERE vol IS NOT NULL GROUP BY q, capital"
 
 
-@plan
-def ndcg(d: Spark) -> str:
-    """Discounted gain at five of the signal's order against next quarter's order."""
-    return f"""WITH {SIGNALS}, r AS (SELECT q, {pct_rank("fwd", "q")} AS gain, row_number() OVER (PARTITION BY q ORDER BY s DESC, instrument) AS i, row_number() OVER (PARTITION BY q ORDER BY fwd DESC, instrument) AS best FROM panel_ WHERE fwd IS NOT NULL AND s IS NOT NULL)
-SELECT q, round(sum(CASE WHEN i <= 5 THEN gain / (ln(i + 1) / ln(2e0)) ELSE 0 END) / sum(CASE WHEN best <= 5 THEN gain / (ln(best + 1) / ln(2e0)) ELSE 0 END), 6) AS ndcg5 FROM r GROUP BY q"""
-
-
 @plan
 def top_fraction(d: Spark) -> str:
     """The top fifth of a quarter's names, three at least; each filer's three largest positions beside."""

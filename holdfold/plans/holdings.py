@@ -467,13 +467,6 @@ c AS (SELECT q, {d.quantile("h", 0.5)} AS h50, {d.quantile("turn", 0.3333)} AS t
 SELECT u.q, u.filer_id, n >= 10 AND h > h50 AND turn > t33 AND history >= 4 AS eligible FROM u JOIN c ON u.q = c.q"""
 
 
-@plan
-def score_filers(d: Spark) -> str:
-    """Weighted percent ranks of a filer's statistics, missing ones at the median."""
-    rank = lambda x: f"(rank() OVER (PARTITION BY q ORDER BY {x}) + (count(*) OVER (PARTITION BY q, {x}) - 1) / 2e0) / count(*) OVER (PARTITION BY q)"
-    return f"WITH s AS (SELECT q, filer_id, sum(w * w) AS hhi, max(book) AS book, count(*) AS n FROM numbered GROUP BY q, filer_id) SELECT q, filer_id, round(0.5 * {rank('hhi')} + 0.3 * {rank('book')} + 0.2 * (1 - {rank('n')}), 6) AS score FROM s"
-
-
 @plan
 def nowcast_dio(d: Spark) -> str:
     """Ownership change from the filers seen by day 30, scaled by coverage, against the later truth; OOS fit."""

@@ -180,12 +180,6 @@ def signal_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.permutation_test(_signals(spark, sf_dir), "q", "s", "fwd")
 
 
-@query()
-def alpha_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each name's returns on two factors, with Bartlett errors."""
-    return inference.ols_hac(_signals(spark, sf_dir), "instrument", "fwd", ["s", "vol"], "q")
-
-
 @query()
 def clustered_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.clustered_ols(_signals(spark, sf_dir), "fwd", ["s", "cap", "adv"], "q")

@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import holdfold
 from holdfold.functions import calendar
 from holdfold.operators import bitemporal, demand, inference, latent, portfolio, storage
 from holdfold.plans.domain import Domain
@@ -257,3 +258,9 @@ def test_bare_shared_folder_is_on_the_default_file_system(spark):
         assert storage.qualified(spark, "/somewhere/shared") == "viewfs://store/somewhere/shared"
     finally:
         conf.set("fs.defaultFS", before)
+
+
+def test_packed_holds_every_module(tmp_path):
+    with zipfile.ZipFile(holdfold.packed(str(tmp_path))) as z:
+        names = set(z.namelist())
+    assert {"holdfold/__init__.py", "holdfold/catalogue.py", "holdfold/plans/domain.py", "holdfold/operators/latent.py"} <= names
