@@ -300,3 +300,44 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = p.join(q, (F.col("p_brand") == F.col("_brand")) & (F.col("one") < F.col("other"))).withColumn("similarity", identifiers.token_similarity(F.col("a"), F.col("b")))
     telling = F.exists(F.array_intersect("a", "b"), lambda x: ~x.isin("BIG", "SMALL", "RED", "BLUE"))
     return pairs.where((F.col("similarity") >= 0.5) & telling).select("one", "other", F.round("similarity", 6).alias("similarity"))
+
+
+#: Words that say what kind of company one is (fixed values), left out when names are compared.
+LEGAL = ("INC", "LLC", "LP", "LTD", "CORP", "CO", "PLC", "SA", "AG", "L", "P")
+_NAMED = """SELECT l.cik, l.first_q, l.last_q, concat_ws(' ', c_mktsegment, n_name, CASE l.cik % 4 WHEN 0 THEN 'L.P.' WHEN 1 THEN 'LLC' WHEN 2 THEN concat('ADVISORS ', l.cik % 9) ELSE 'Inc' END) AS name
+FROM (SELECT cik, min(year(known) * 4 + quarter(known)) AS first_q, max(year(known) * 4 + quarter(known)) AS last_q FROM revisions GROUP BY cik) l JOIN {customer} ON c_custkey = l.cik JOIN {nation} ON n_nationkey = c_nationkey"""
+
+
+@query(
+    oracle(f"""WITH n AS ({_NAMED.format(customer="customer", nation="nation")}), t AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g'), ' '), lambda x: x <> '' AND x NOT IN {LEGAL})) AS w FROM n)
+SELECT a.cik AS predecessor, b.cik AS successor, b.first_q - a.last_q AS gap, round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))::DOUBLE, 6) AS similarity
+FROM t a JOIN t b ON a.cik <> b.cik AND b.first_q - a.last_q IN (1, 2) WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w))::DOUBLE >= 0.5""")
+)
+def succession(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filers that begin one or two quarters after another one ends, with half of their names' words in common, legal forms apart."""
+    named = relation(spark, sf_dir, _NAMED.format(customer="hf_customer", nation="hf_nation"))
+    rows = named.select("cik", "first_q", "last_q", identifiers.name_tokens(F.col("name"), LEGAL).alias("w"))
+    ended = rows.select(F.col("cik").alias("predecessor"), F.col("w").alias("a"), F.col("last_q"), F.explode(F.array(F.col("last_q") + 1, F.col("last_q") + 2)).alias("q")).withColumn("token", F.explode("a"))
+    begun = rows.select(F.col("cik").alias("successor"), F.col("w").alias("b"), F.col("first_q").alias("q")).withColumn("token", F.explode("b"))
+    pairs = ended.join(begun, ["q", "token"]).where("predecessor <> successor").drop("token").distinct()
+    pairs = pairs.withColumn("similarity", identifiers.token_similarity(F.col("a"), F.col("b"))).where("similarity >= 0.5")
+    return pairs.select("predecessor", "successor", (F.col("q") - F.col("last_q")).alias("gap"), F.round("similarity", 6).alias("similarity"))
+
+
+@plan
+def name_crosswalk(d: Spark) -> str:
+    """Instruments by normalised name: the one that most rows say, names that have no such majority left out."""
+    t = d.table
+    key = d.replace_regex("upper(p_name)", "[^A-Z0-9]+", " ")
+    return f"""WITH n AS (SELECT trim({key}) AS name, p_brand AS instrument FROM {t("part")}), v AS (SELECT name, instrument, count(*) AS votes FROM n WHERE name <> '' GROUP BY name, instrument),
+r AS (SELECT *, sum(votes) OVER (PARTITION BY name) AS all_, row_number() OVER (PARTITION BY name ORDER BY votes DESC, instrument) AS rn, count(*) OVER (PARTITION BY name) AS choices FROM v)
+SELECT name, instrument, votes, choices FROM r WHERE rn = 1 AND 2 * votes > all_"""
+
+
+@plan
+def manager_features(d: Spark) -> str:
+    """Book, names, top weight, turnover as the smaller of buys and sells over the mean book, and flags of style: index-like, concentrated, trading."""
+    return """WITH m AS (SELECT q, instrument, sum(value) / sum(sum(value)) OVER (PARTITION BY q) AS wm FROM numbered GROUP BY q, instrument),
+a AS (SELECT n.q, n.filer_id, max(book) AS aum, count(*) AS names, max(w) AS top1, 1 - sum(least(w, wm)) AS active FROM numbered n JOIN m ON m.q = n.q AND m.instrument = n.instrument GROUP BY n.q, n.filer_id),
+t AS (SELECT q, filer_id, least(sum(greatest(value - value_before, 0)), sum(greatest(value_before - value, 0))) / nullif((sum(value) + sum(value_before)) / 2, 0) AS turn FROM moves GROUP BY q, filer_id)
+SELECT a.q, a.filer_id, round(aum, 2) AS aum, names, round(top1, 6) AS top1, round(active, 6) AS active_share, round(turn, 6) AS turnover, round(active, 9) < 0.25 AS index_like, round(top1, 9) > 0.25 AS concentrated, coalesce(round(turn, 9) > 0.5, false) AS trading FROM a LEFT JOIN t ON t.q = a.q AND t.filer_id = a.filer_id"""

@@ -288,15 +288,6 @@ n AS (SELECT period_end, instrument, shares, count(DISTINCT filer_id) AS filers
 SELECT period_end, instrument, shares, filers, filer_id, accession FROM n JOIN r USING (period_end, instrument, shares)"""
 
 
-@plan
-def succession(d: Spark) -> str:
-    """Filers that begin one or two quarters after another one of the same name key ends."""
-    t = d.table
-    return f"""WITH life AS (SELECT cik, min(date_trunc('quarter', known)) AS first_q, max(date_trunc('quarter', known)) AS last_q FROM revisions GROUP BY cik),
-named AS (SELECT life.*, c_nationkey AS nation, {d.extract_regex("c_name", "([0-9])$")} AS name_key FROM life JOIN {t("customer")} ON cik = c_custkey)
-SELECT a.cik AS predecessor, b.cik AS successor FROM named a JOIN named b ON a.name_key = b.name_key AND a.cik <> b.cik AND CAST(b.first_q AS DATE) IN ({d.months("CAST(a.last_q AS DATE)", 3)}, {d.months("CAST(a.last_q AS DATE)", 6)})"""
-
-
 @plan
 def overlap_network(d: Spark) -> str:
     """Overlap of filers' books as the sum of smaller weights, per quarter and pair that shares a name."""
@@ -457,14 +448,19 @@ all_ AS (SELECT q, sum(sw) AS total FROM z GROUP BY q)
 SELECT n.q, instrument, round(sum(sw) / max(total), 6) AS weighted_breadth FROM numbered n JOIN z ON n.q = z.q AND n.filer_id = z.filer_id JOIN all_ ON all_.q = n.q GROUP BY n.q, instrument"""
 
 
+#: An eligible filer's number of names, smallest book, and quarters of history.
+NAMES_HELD, SMALLEST, HISTORY = (10, 200), 1000, 8
+
+
 @plan
 def endogenous_universe(d: Spark) -> str:
-    """Filers chosen by thresholds of their own quarter: concentration over the median, turnover over the lower third, history."""
-    return f"""WITH s AS (SELECT q, filer_id, count(*) AS n, (sum(w * w) - 1e0 / count(*)) / nullif(1 - 1e0 / count(*), 0) AS h FROM numbered GROUP BY q, filer_id),
-t AS (SELECT q, filer_id, 2 * sum(abs(value - value_before)) / nullif(sum(value + value_before), 0) AS turn FROM moves GROUP BY q, filer_id),
-u AS (SELECT s.*, turn, row_number() OVER (PARTITION BY s.filer_id ORDER BY s.q) AS history FROM s JOIN t ON s.q = t.q AND s.filer_id = t.filer_id),
-c AS (SELECT q, {d.quantile("h", 0.5)} AS h50, {d.quantile("turn", 0.3333)} AS t33 FROM u GROUP BY q)
-SELECT u.q, u.filer_id, n >= 10 AND h > h50 AND turn > t33 AND history >= 4 AS eligible FROM u JOIN c ON u.q = c.q"""
+    """Filers with enough names, concentration above the median, mean turnover of four quarters above the lower third, a book of some size, and history; each condition by itself too."""
+    return f"""WITH t AS (SELECT q, filer_id, 2 * sum(abs(value - value_before)) / nullif(sum(value + value_before), 0) AS turn FROM moves GROUP BY q, filer_id),
+s AS (SELECT q, filer_id, count(*) AS n, max(book) AS book, round(least(greatest((sum(w * w) - 1e0 / greatest(count(*), 2)) / (1 - 1e0 / greatest(count(*), 2)), 0), 1), 9) AS h FROM numbered GROUP BY q, filer_id),
+u AS (SELECT s.*, round(avg(turn) OVER (PARTITION BY s.filer_id ORDER BY s.q ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 9) AS turn4, row_number() OVER (PARTITION BY s.filer_id ORDER BY s.q) AS history FROM s LEFT JOIN t ON s.q = t.q AND s.filer_id = t.filer_id),
+c AS (SELECT q, {d.quantile("h", 0.5)} AS h50, {d.quantile("turn4", 1 / 3)} AS t33 FROM u GROUP BY q),
+e AS (SELECT u.q, u.filer_id, n BETWEEN {NAMES_HELD[0]} AND {NAMES_HELD[1]} AS elig_names, h > h50 AS elig_concentrated, coalesce(turn4 > t33 + 1e-9, false) AS elig_active, book > {SMALLEST} AS elig_size, history >= {HISTORY} AS elig_history FROM u JOIN c ON u.q = c.q)
+SELECT *, elig_names AND elig_concentrated AND elig_active AND elig_size AND elig_history AS eligible FROM e"""
 
 
 @plan

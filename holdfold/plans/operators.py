@@ -127,11 +127,20 @@ def hysteresis_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequential.hysteresis(ranked).withColumn("key", F.col("key").cast("long"))
 
 
-@query()
+@query(
+    oracle("""WITH RECURSIVE c AS (SELECT known AS day, count(DISTINCT instrument) AS names FROM revisions JOIN holdings USING (accession) GROUP BY known),
+d AS (SELECT day, row_number() OVER (ORDER BY day) AS i FROM (SELECT DISTINCT day FROM prices) x), e AS (SELECT d.i FROM c JOIN d ON d.day = c.day WHERE names > greatest(3, 0.3 * (SELECT quantile_cont(names, 0.5) FROM c))),
+w(i) AS (SELECT min(i) FROM e UNION ALL SELECT (SELECT min(e.i) FROM e WHERE e.i > w.i + 20) FROM w WHERE w.i IS NOT NULL) SELECT i FROM w WHERE i IS NOT NULL""")
+)
 def rebalance_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days on which enough names moved, spaced by more than twenty rows."""
-    days = relation(spark, sf_dir, "SELECT row_number() OVER (ORDER BY day) AS i, count(*) AS moved FROM prices WHERE abs(ret) > 0.5 GROUP BY day")
-    return sequential.spaced(days.where("moved >= 8").select(F.col("i").cast("long").alias("i")))
+    """Trading days on which filings change more than three names, and three tenths of a usual day's, spaced by more than twenty days."""
+    days = relation(
+        spark,
+        sf_dir,
+        """WITH c AS (SELECT known AS day, count(DISTINCT instrument) AS names FROM revisions JOIN holdings USING (accession) GROUP BY known), m AS (SELECT percentile(names, 0.5) AS usual FROM c),
+d AS (SELECT day, row_number() OVER (ORDER BY day) AS i FROM (SELECT DISTINCT day FROM prices) x) SELECT CAST(d.i AS BIGINT) AS i FROM c JOIN d ON d.day = c.day CROSS JOIN m WHERE names > greatest(3, 0.3 * usual)""",
+    )
+    return sequential.spaced(days)
 
 
 @query()
