@@ -78,11 +78,11 @@ round((w - avg(w) OVER (PARTITION BY r.q)) / stddev_pop(w) OVER (PARTITION BY r.
 def crosssection_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank, decile, winsorised value and z-score of position weights per quarter."""
     rows = relation(spark, sf_dir, "SELECT q, filer_id, instrument, w FROM numbered")
-    w, by = F.col("w"), ["q"]
-    return rows.select(
-        "q", "filer_id", "instrument", F.round(crosssection.pct_rank(w, by), 6).alias("pct"), crosssection.quantile_bin(w, F.struct("filer_id", "instrument"), by, 10).alias("decile"),
-        F.round(crosssection.winsorise(w, by, 0.05), 6).alias("winsorised"), F.round(crosssection.zscore(w, by), 5).alias("z"),
-    )
+    moments = rows.groupBy("q").agg(F.percentile("w", F.lit(0.05)).alias("low"), F.percentile("w", F.lit(0.95)).alias("high"), F.avg("w").alias("mean"), F.stddev_pop("w").alias("spread"))
+    out = crosssection.ranked(rows, "w", ["q"], ["filer_id", "instrument"], lambda df: stored(df, "ranges")).join(moments, "q")
+    decile = F.when(F.col("size") > 1, F.greatest(F.floor(((F.col("place") - 1) * 10 + F.col("size") - 2) / (F.col("size") - 1)), F.lit(1)) - 1).otherwise(0)
+    cut = F.least(F.greatest("w", "low"), "high")
+    return out.select("q", "filer_id", "instrument", F.round("rank", 6).alias("pct"), decile.alias("decile"), F.round(cut, 6).alias("winsorised"), F.round(F.try_divide(F.col("w") - F.col("mean"), "spread"), 5).alias("z"))
 
 
 @query(oracle("SELECT q, filer_id, instrument, round(w - (avg(w) OVER p + regr_slope(w, ln(book)) OVER p * (ln(book) - avg(ln(book)) OVER p)), 5) + 0e0 AS residual FROM numbered WINDOW p AS (PARTITION BY q)"))
@@ -146,8 +146,8 @@ d AS (SELECT day, row_number() OVER (ORDER BY day) AS i FROM (SELECT DISTINCT da
 @query()
 def rank_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal quantiles of ranked weights."""
-    rows = relation(spark, sf_dir, "SELECT q, filer_id, instrument, w, count(*) OVER (PARTITION BY q) AS n FROM numbered")
-    p = (crosssection.pct_rank(F.col("w"), ["q"]) * F.col("n") - 0.5) / F.col("n")
+    rows = crosssection.ranked(relation(spark, sf_dir, "SELECT q, filer_id, instrument, w FROM numbered"), "w", ["q"], ["filer_id", "instrument"], lambda df: stored(df, "ranges"))
+    p = F.col("rank") - F.lit(0.5) / F.col("size")
     return rows.select("q", "filer_id", "instrument", F.round(inference.inverse_normal(p), 6).alias("z"))
 
 

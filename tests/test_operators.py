@@ -48,6 +48,25 @@ def test_groups_of_a_long_chain_and_loops(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 102, 103: 102}
 
 
+def test_ranks_over_ranges_match_pandas(spark, tmp_path):
+    """Nulls, ties, null groups and a group over many ranges; ranks are those of whole groups."""
+    rng = np.random.default_rng(4)
+    rows = [(None if k % 50 == 0 else int(k % 3 > 0), k, None if k % 17 == 0 else float(rng.integers(0, 40))) for k in range(700)]
+    df = spark.createDataFrame(rows, "g int, k int, x double")
+
+    def store(d):
+        path = str(tmp_path / str(rng.integers(1 << 40)))
+        d.write.parquet(path)
+        return spark.read.schema(d.schema).parquet(path)
+
+    got = crosssection.ranked(df, "x", ["g"], ["k"], store, 9).toPandas().set_index("k").sort_index()
+    pdf = pd.DataFrame(rows, columns=["g", "k", "x"]).set_index("k")
+    groups = pdf.groupby(pdf["g"].fillna(-1))["x"]
+    assert np.allclose(got["rank"].fillna(-1), groups.rank(pct=True).fillna(-1))
+    place = pdf.reset_index().sort_values(["x", "k"]).dropna(subset=["x"]).pipe(lambda d: d.assign(p=d.groupby(d["g"].fillna(-1)).cumcount() + 1)).set_index("k")["p"].sort_index()
+    assert (got["place"].dropna() == place).all() and len(got) == 700
+
+
 def test_centrality_matches_eigenvector(spark):
     x = np.random.default_rng(1).random((6, 4))
     rows = [(i, j, float(x[i, j])) for i in range(6) for j in range(4)]
