@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textscan import U64, Scan, mix, scan, slices
 
 #: Positions that a mask looks at (fixed values).
@@ -216,7 +217,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                         rows = [[ids[a + h.row].as_py(), h.item_id, h.doc_start, h.item_start, h.n_words, h.n_same] for h in hits]
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
-        part = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OVERLAPS)
+        part = small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OVERLAPS)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], OVERLAPS) if out is None else out
 
@@ -235,5 +236,5 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
                     keep[[h.row for h in shared.value.find(scan(texts.slice(a, b - a))) if h.n_same >= REJECTED]] = False
                     yield batch.slice(a, b - a).filter(pa.array(keep))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = small_batches(documents).mapInArrow(run, documents.schema)
     return documents

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .blocks import HEAVY, crossing, deal, spanning
 from .components import connected_components
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .textscan import U64, by_row, mix, scan, shingles, slices
 
 THRESHOLD, RECALL, WORDS, PERMUTATIONS = 0.8, 0.999, 5, 160
@@ -90,7 +90,7 @@ def signatures(documents: DataFrame, threshold: float = THRESHOLD, words: int =
 
     doc_id = F.col("doc_id").cast("long")
     own = own_id()
-    return documents.select(own.alias("id"), text_key().alias("key"), doc_id.alias("doc_id"), "text").mapInArrow(run, "id long, key long, doc_id long, class binary, bands array<long>")
+    return small_batches(documents).select(own.alias("id"), text_key().alias("key"), doc_id.alias("doc_id"), "text").mapInArrow(run, "id long, key long, doc_id long, class binary, bands array<long>")
 
 
 def n_gram_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
@@ -108,23 +108,30 @@ def n_gram_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.select("id", "n", "grp", "text").mapInArrow(run, "id long, n long, grp long, grams array<long>")
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float, width: int = 2048) -> np.ndarray:
-    """Boolean matrix of the pairs, of a set on the left and one on the right, that reach the threshold."""
+def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float, width: int = 2048, ranges: int = 8) -> np.ndarray:
+    """Boolean matrix of the pairs, of a set on the left and one on the right, that reach the threshold.
+
+    N-grams are counted range by range of their hashes, so what is held beside the sets is a part of them.
+    """
     m, n = len(left), len(right)
-    size = np.array([len(x) for x in [*left, *right]], dtype=np.int64)
-    owner = np.repeat(np.arange(m + n), size)
-    _, gram, count = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
-    shared = count[gram] > 1
-    gram, owner = gram[shared], owner[shared]
-    order = np.argsort(gram, kind="stable")
-    gram, owner = gram[order], owner[order]
-    gram = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]])) if len(gram) else gram
+    sets = [x.view(U64) for x in (*left, *right)]
+    size = np.array([len(x) for x in sets], dtype=np.int64)
     common = np.zeros((m, n), dtype=np.float32)
-    for low in range(0, int(gram[-1]) + 1 if len(gram) else 0, width):
-        a, b = np.searchsorted(gram, [low, low + width])
-        part = np.zeros((m + n, width), dtype=np.float32)
-        part[owner[a:b], gram[a:b] - low] = 1
-        common += part[:m] @ part[m:].T
+    for r in range(ranges):
+        some = [x[(x >> U64(32)) * U64(ranges) >> U64(32) == U64(r)] for x in sets]
+        value, owner = np.concatenate(some), np.repeat(np.arange(m + n, dtype=np.int32), [len(x) for x in some])
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, dtype=bool)
+        gram = np.cumsum(new, dtype=np.int32) - 1
+        shared = np.bincount(gram)[gram] > 1 if len(gram) else new
+        owner, gram = owner[shared], gram[shared]
+        gram = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]])) if len(gram) else gram
+        for low in range(0, int(gram[-1]) + 1 if len(gram) else 0, width):
+            a, b = np.searchsorted(gram, [low, low + width])
+            part = np.zeros((m + n, width), dtype=np.float32)
+            part[owner[a:b], gram[a:b] - low] = 1
+            common += part[:m] @ part[m:].T
     out = np.zeros((m, n), dtype=bool)
     for low in range(0, m, 256):
         c = common[low : low + 256].astype(np.float64)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textscan import Scan, scan, slices
 
 #: The phrases whose places are counted, with their labels (fixed values).
@@ -105,7 +106,7 @@ def document_frequencies(documents: DataFrame, rules: Rules) -> tuple[int, np.nd
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_words + 1)), pa.array(total)], ["word", "n"])
 
     out = np.zeros(n_words + 1, dtype=np.int64)
-    for r in documents.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for r in small_batches(documents).select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         out[r.word] = r.n
     return int(out[-1]), out[:-1]
 

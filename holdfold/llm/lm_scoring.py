@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, pack, unpack
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .textscan import NONSPACE, U64, mix, scan, slices
 
 #: Hashes of the end token and of the start mark (fixed values; words hash to other values but for chance).
@@ -352,7 +352,7 @@ def build(training: DataFrame, shards: int = 0) -> Model:
             row = {"shard": k, "name": name, "n": int(count.sum()), "v": len(count), "texts": int(texts.sum()), "n1": int((number == 1).sum()), "n2": int((number == 2).sum())}
             yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("name", pa.string()), *((c, pa.int64()) for c in ("n", "v", "texts", "n1", "n2"))]))
 
-    blocks = training.select("text").mapInArrow(count, "shard int, block binary")
+    blocks = small_batches(training).select("text").mapInArrow(count, "shard int, block binary")
     dealt = blocks.repartitionById(shards, F.col("shard"))
     manifest = scratch.write(dealt.mapInArrow(merge, "shard int, name string, n long, v long, texts long, n1 long, n2 long"), "manifest").collect()
     names: list[str | None] = [None] * shards

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textscan import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -423,7 +424,7 @@ def judge(documents: DataFrame) -> DataFrame:
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *columns], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
+    return small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
 
 
 def redact(text: str | None, model: Model) -> str | None:
@@ -457,4 +458,4 @@ def redacted(documents: DataFrame) -> DataFrame:
                     columns[count] = pa.array([n if a == b else len(b) for a, b, n in zip(old, new, columns[count].to_pylist(), strict=True)], columns[count].type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return documents.mapInArrow(run, documents.schema)
+    return small_batches(documents).mapInArrow(run, documents.schema)

@@ -22,6 +22,18 @@ def shared_root(spark: SparkSession) -> str:
     return qualified(spark, root)
 
 
+#: Rows that Spark hands to a worker at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, of which workers get BATCH_ROWS rows at once or fewer from now on in its session: texts are long, and a batch is held on both sides."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its file system: of a bare one, the cluster's default file system."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .textscan import U64, Scan, _powers_to, by_row, mix, scan, slices
 
 BITS, WIDTH, WINDOW = 17, 8, 3
@@ -302,7 +302,7 @@ def _mapped(documents: DataFrame, function: Callable[[Scan], np.ndarray]) -> Dat
             for a, b in slices(texts):
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(shared.value(scan(texts.slice(a, b - a))))], ["doc_id", "score"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
@@ -328,4 +328,4 @@ def clean(documents: DataFrame, model: Model) -> DataFrame:
                 keep = shared.value.score(scan(texts.slice(a, b - a))) < 0.5
                 yield batch.slice(a, b - a).filter(pa.array(keep))
 
-    return documents.mapInArrow(run, documents.schema)
+    return small_batches(documents).mapInArrow(run, documents.schema)
