@@ -238,18 +238,18 @@ def filing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference.identifier_pairs(rows.union(odd))
 
 
-@query(oracle("SELECT day, avg(ret) AS mkt, max(ret) AS top FROM (SELECT day, round(ret, 4) AS ret FROM prices WHERE ret IS NOT NULL) r GROUP BY day").replace("SELECT day, avg(ret) AS mkt, max(ret) AS top FROM", "SELECT day, round(avg(ret), 6) AS mkt, round(max(ret), 6) AS top FROM"))
+@query(oracle("SELECT day, round(avg(ret), 6) + 0e0 AS mkt, round(max(ret), 6) + 0e0 AS top FROM prices WHERE ret IS NOT NULL GROUP BY day"))
 def benchmark_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark returns given in percent, brought to decimals by their size."""
-    rows = relation(spark, sf_dir, "SELECT day, avg(ret) * 100 AS mkt, max(ret) * 100 AS top FROM (SELECT day, round(ret, 4) AS ret FROM prices WHERE ret IS NOT NULL) r GROUP BY day")
-    return reference.in_decimals(rows, ["mkt", "top"]).select("day", F.round("mkt", 6).alias("mkt"), F.round("top", 6).alias("top"))
+    rows = relation(spark, sf_dir, "SELECT day, avg(ret) * 100 AS mkt, max(ret) * 100 AS top FROM prices WHERE ret IS NOT NULL GROUP BY day")
+    return reference.in_decimals(rows, ["mkt", "top"]).select("day", (F.round("mkt", 6) + F.lit(0.0)).alias("mkt"), (F.round("top", 6) + F.lit(0.0)).alias("top"))
 
 
-@query(oracle("SELECT instrument, day, round(price, 4) AS price FROM prices"))
+@query(oracle("SELECT instrument, day, round(price, 8) AS price FROM prices"))
 def price_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price store extended by two overlapping downloads."""
     path = shared_path(spark, "prices")
-    rows = relation(spark, sf_dir, "SELECT instrument, day, round(price, 4) AS price FROM prices")
+    rows = relation(spark, sf_dir, "SELECT instrument, day, round(price, 8) AS price FROM prices")
     middle = "1998-01-01"
     reference.extend_prices(spark, path, rows.where(F.col("day") < middle))
     return reference.extend_prices(spark, path, rows.where(F.col("day") >= "1996-01-01")).select("instrument", "day", "price")

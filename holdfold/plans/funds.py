@@ -38,14 +38,14 @@ states AS (SELECT w.q, w.filer_id, w.instrument, CASE WHEN m.filer_id IS NOT NUL
 @plan
 def manager_quality(d: Spark) -> str:
     """Churn of each filing against the old book drifted by returns, its mean over eligible filings, and the quality that low churn is."""
-    return f"WITH {MANAGERS} SELECT q, filer_id, round(churn, 6) AS churn, round(smooth, 6) AS smooth, round(quality, 6) AS quality FROM managers"
+    return f"WITH {MANAGERS} SELECT q, filer_id, round(churn, 6) AS churn, round(smooth, 6) AS smooth, round(quality, 8) AS quality FROM managers"
 
 
 @plan
 def filing_states(d: Spark) -> str:
     """State of each filer's names at its filings: drift-adjusted trade, quality, conviction, persistence, their product, and consensus."""
     return f"""WITH {MANAGERS}, {STATES}
-SELECT q, filer_id, instrument, round(trade, 6) + 0e0 AS trade, round(trade * quality, 6) + 0e0 AS sticky, round(conviction, 6) AS conviction, persistence, round(conviction * quality * persistence, 6) AS ccp, CASE WHEN conviction >= 0.9 THEN round(quality, 6) ELSE 0e0 END AS consensus, age = 1 AS new_holder FROM states"""
+SELECT q, filer_id, instrument, round(trade, 6) + 0e0 AS trade, round(trade * quality, 6) + 0e0 AS sticky, round(conviction, 8) AS conviction, persistence, round(conviction * quality * persistence, 13) AS ccp, CASE WHEN conviction >= 0.9 THEN round(quality, 8) ELSE 0e0 END AS consensus, age = 1 AS new_holder FROM states"""
 
 
 #: Per name and quarter: sums of the states, and what is public of the name.

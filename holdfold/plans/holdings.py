@@ -107,7 +107,7 @@ FROM holdings h FULL OUTER JOIN revisions r ON h.accession = r.accession"""
 @plan
 def position_deltas(d: Spark) -> str:
     """Full outer change of every position."""
-    return "SELECT q, filer_id, instrument, round(shares - shares_before, 2) AS d_shares, round(value - value_before, 2) AS d_value, shares_before = 0 AS opened, shares = 0 AS closed FROM moves"
+    return "SELECT q, filer_id, instrument, round(shares - shares_before, 4) + 0e0 AS d_shares, round(value - value_before, 3) + 0e0 AS d_value, shares_before = 0 AS opened, shares = 0 AS closed FROM moves"
 
 
 @plan
@@ -208,7 +208,7 @@ greatest(sum(CASE WHEN shares > 0 THEN 1 ELSE 0 END), sum(CASE WHEN shares_befor
 @plan
 def caf_consensus(d: Spark) -> str:
     """Net dollar flow over a quarter's dollar volume; agreement of buyers and sellers."""
-    return """SELECT m.q, m.instrument, round(sum((shares - shares_before) * price) / nullif(max(adv) * 63, 0), 6) AS caf,
+    return """SELECT m.q, m.instrument, round(sum((shares - shares_before) * price) / nullif(max(adv) * 63, 0), 6) + 0e0 AS caf,
 CASE WHEN sum(CASE WHEN shares <> shares_before THEN 1 ELSE 0 END) >= 3 THEN round((sum(CASE WHEN shares > shares_before THEN 1 ELSE 0 END) - sum(CASE WHEN shares < shares_before THEN 1 ELSE 0 END)) / CAST(sum(CASE WHEN shares <> shares_before THEN 1 ELSE 0 END) AS DOUBLE), 6) END AS consensus
 FROM moves m JOIN quarters k ON m.q = k.q JOIN market x ON x.period_end = k.period_end AND x.instrument = m.instrument GROUP BY m.q, m.instrument"""
 

@@ -82,12 +82,12 @@ def costed_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle("""WITH f AS (SELECT r.period_end, r.filer_id, min(r.known) AS known FROM revisions r GROUP BY ALL), m AS (SELECT m.q, k.period_end, m.instrument AS fund, f.known, m.shares - m.shares_before AS delta FROM moves m JOIN quarters k ON k.q = m.q JOIN f ON f.period_end = k.period_end AND f.filer_id = m.filer_id)
-SELECT period_end, fund, known AS available, round(sum(sum(delta)) OVER (PARTITION BY period_end, fund ORDER BY known), 2) AS running FROM m GROUP BY period_end, fund, known""")
+SELECT period_end, fund, known AS available, round(sum(sum(delta)) OVER (PARTITION BY period_end, fund ORDER BY known), 4) + 0e0 AS running FROM m GROUP BY period_end, fund, known""")
 )
 def arrival_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demand known of each name as filings arrive."""
     rows = relation(spark, sf_dir, "SELECT k.period_end, m.instrument AS fund, f.known AS available, m.shares - m.shares_before AS delta FROM moves m JOIN quarters k ON k.q = m.q JOIN (SELECT period_end, filer_id, min(known) AS known FROM revisions GROUP BY period_end, filer_id) f ON f.period_end = k.period_end AND f.filer_id = m.filer_id")
-    return demand.arrivals(rows).groupBy("period_end", "fund", "available").agg(F.round(F.max("running"), 2).alias("running"))
+    return demand.arrivals(rows).groupBy("period_end", "fund", "available").agg((F.round(F.max("running"), 4) + F.lit(0.0)).alias("running"))
 
 
 @query(
