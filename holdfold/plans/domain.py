@@ -152,15 +152,18 @@ class Domain:
         fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         fs = fs_path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         schema = None
-        if not fs.exists(fs_path(f"{path}/_SUCCESS")):
+        if not fs.exists(fs_path(f"{path}/_columns")):
             rows = self.sql(f"SELECT * FROM ({relations(Spark())[name]}) r")
             schema = rows.schema
-            made = f"{path}-{uuid.uuid4().hex}"
+            own = f"{name}-{uuid.uuid4().hex}"
+            made = f"{path.rpartition('/')[0]}/{own}"
             writer = (rows.hint("rebalance", by) if by else rows).write
             (writer.partitionBy(by) if by else writer).parquet(made)
             self.spark.createDataFrame([], schema).write.parquet(f"{made}/_columns")
-            if not fs.rename(fs_path(made), fs_path(path)):
-                fs.delete(fs_path(made), True)  # another session was first
+            if not fs.exists(fs_path(path)):
+                fs.rename(fs_path(made), fs_path(path))
+            for left in (made, f"{path}/{own}"):  # another session was first, before or after the look
+                fs.delete(fs_path(left), True)
         schema = schema or self.spark.read.parquet(f"{path}/_columns").schema
         self._view(name, self.spark.read.schema(schema).parquet(path))
 

@@ -175,6 +175,21 @@ def test_splits_in_deltas_on_a_callers_tables(spark):
     assert all(r.hhi == 0.5 and r.hhi_norm == 0 for r in stats)
 
 
+def test_store_is_written_once_whoever_is_first(spark):
+    """Two engines of one key: the second reads what the first wrote, and one that comes second to write leaves nothing behind."""
+    p = D("2020-03-31")
+    given = {"revisions": spark.createDataFrame([("a", 1, 1, D("2020-05-01"), p, "ORIGINAL")], "accession string, cik int, filer_id int, known date, period_end date, kind string"), "holdings": spark.createDataFrame([("a", "X", 1.0, 1.0)], "accession string, instrument string, shares double, value double")}
+    first, second = (Domain(spark, given, "samekey") for _ in range(2))
+    assert first.sql("SELECT * FROM numbered").count() == second.sql("SELECT * FROM numbered").count() == 1
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{storage.shared_folder(spark)}/store-samekey")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert sorted(f.getPath().getName() for f in fs.listStatus(path)) == ["folded", "numbered"]
+    late = Domain(spark, given, "samekey")
+    fs.delete(path.getParent().suffix("/store-samekey/numbered/_columns"), True)  # looks unfinished, as to one who is writing it too
+    assert late.sql("SELECT * FROM numbered").count() == 1
+    assert sorted(f.getPath().getName() for f in fs.listStatus(path)) == ["folded", "numbered"]
+
+
 def test_one_position_is_fully_concentrated(spark):
     p = D("2020-03-31")
     engine = Domain(spark, {"revisions": spark.createDataFrame([("a", 1, 1, D("2020-05-01"), p, "ORIGINAL")], "accession string, cik int, filer_id int, known date, period_end date, kind string"), "holdings": spark.createDataFrame([("a", "X", 1.0, 1.0)], "accession string, instrument string, shares double, value double")})
