@@ -62,6 +62,16 @@ def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append")
     query.awaitTermination()
 
 
+def drained_whole(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream in complete mode over all that is available, and ends; the executors write each result over the last one."""
+
+    def put(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 EXPIRING = "user_id long, event_id long, seen long, stale boolean"
 
 
