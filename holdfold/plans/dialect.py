@@ -19,6 +19,14 @@ class Spark:
     def quantile(self, x: str, q: float) -> str:
         return f"percentile({x}, {q})"
 
+    def corr(self, a: str, b: str) -> str:
+        """NaN where one of them doesn't vary; Spark's own corr fails there."""
+        return f"CASE WHEN regr_count({a}, {b}) > 0 THEN coalesce(try_divide(regr_sxy({a}, {b}), sqrt(regr_sxx({a}, {b}) * regr_syy({a}, {b}))), double('NaN')) END"
+
+    def over(self, a: str, b: str) -> str:
+        """a / b of doubles; infinite or NaN where b is zero."""
+        return f"coalesce(try_divide({a}, {b}), CASE WHEN {b} = 0 THEN sign({a}) * double('Infinity') END)"
+
     def days(self, end: str, start: str) -> str:
         return f"datediff({end}, {start})"
 
@@ -77,6 +85,12 @@ class DuckDB(Spark):
     def quantile(self, x: str, q: float) -> str:
         return f"quantile_cont({x}, {q})"
 
+    def corr(self, a: str, b: str) -> str:
+        return f"corr({a}, {b})"
+
+    def over(self, a: str, b: str) -> str:
+        return f"{a} / {b}"
+
     def days(self, end: str, start: str) -> str:
         return f"date_diff('day', CAST({start} AS DATE), CAST({end} AS DATE))"
 

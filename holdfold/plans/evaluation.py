@@ -86,11 +86,11 @@ def factor_table(d: Spark) -> str:
     """Rank correlations of three scores with the next return: mean, spread, ratio, Newey-West t of four lags, hit rate."""
     return f"""WITH {SIGNALS}, o AS (SELECT q, instrument, sum(shares - shares_before) / nullif(sum(shares_before), 0) AS dio, sum(CASE WHEN shares > 0 THEN 1 ELSE 0 END) - sum(CASE WHEN shares_before > 0 THEN 1 ELSE 0 END) AS dn FROM moves GROUP BY q, instrument),
 v AS (SELECT p.q, p.instrument, 'flow' AS factor, s AS x, fwd FROM panel_ p UNION ALL SELECT p.q, p.instrument, 'ownership', o.dio, fwd FROM panel_ p JOIN o ON o.q = p.q AND o.instrument = p.instrument UNION ALL SELECT p.q, p.instrument, 'holders', CAST(o.dn AS DOUBLE), fwd FROM panel_ p JOIN o ON o.q = p.q AND o.instrument = p.instrument),
-r AS (SELECT q, factor, {pct_rank("x", "q, factor")} AS a, {pct_rank("fwd", "q, factor")} AS b FROM v WHERE x IS NOT NULL AND fwd IS NOT NULL), ic AS (SELECT q, factor, corr(a, b) AS ic FROM r GROUP BY q, factor),
+r AS (SELECT q, factor, {pct_rank("x", "q, factor")} AS a, {pct_rank("fwd", "q, factor")} AS b FROM v WHERE x IS NOT NULL AND fwd IS NOT NULL), ic AS (SELECT q, factor, {d.corr("a", "b")} AS ic FROM r GROUP BY q, factor),
 u AS (SELECT *, ic - avg(ic) OVER (PARTITION BY factor) AS u, row_number() OVER (PARTITION BY factor ORDER BY q) AS i FROM ic WHERE ic IS NOT NULL),
 l AS (SELECT b.*, b.i + k AS later, k FROM u b CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) x),
 g AS (SELECT a.factor, sum(CASE WHEN k = 0 THEN 1 ELSE 2 * (1 - k / 5e0) END * a.u * l.u) AS g FROM u a JOIN l ON l.factor = a.factor AND l.later = a.i GROUP BY a.factor)
-SELECT u.factor, count(*) AS n, round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS sd, round(avg(ic) / nullif(stddev_samp(ic), 0), 5) AS ir, round(avg(ic) / sqrt(max(g) / count(*) / count(*)), 4) AS t, round(avg(CASE WHEN ic > 0 THEN 1e0 ELSE 0e0 END), 6) AS hit FROM u JOIN g ON g.factor = u.factor GROUP BY u.factor"""
+SELECT u.factor, count(*) AS n, round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS sd, round(avg(ic) / nullif(stddev_samp(ic), 0), 5) AS ir, round({d.over("avg(ic)", "sqrt(max(g) / count(*) / count(*))")}, 4) AS t, round(avg(CASE WHEN ic > 0 THEN 1e0 ELSE 0e0 END), 6) AS hit FROM u JOIN g ON g.factor = u.factor GROUP BY u.factor"""
 
 
 @plan

@@ -1,8 +1,13 @@
 """What large tables ask of queries: results that the driver doesn't hold, and copies that aren't compared one by one."""
 
 import datetime as dt
+import math
+
+import duckdb
 
 from holdfold.plans import curation
+from holdfold.plans.dialect import DuckDB, Spark
+from holdfold.plans.domain import Domain
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -25,3 +30,26 @@ def test_sessions_lie_in_files(spark, tmp_path):
     out = curation.stream_sessions(spark, _events(spark, tmp_path, [(1, 0), (1, 29), (1, 59), (2, 10), (2, 10), (None, 5)]))
     assert out.inputFiles()
     assert {(r.user_id, r.start.minute, r.n) for r in out.collect()} == {(1, 0, 2), (1, 59, 1), (2, 10, 2), (None, 5, 1)}
+
+
+def test_a_score_that_does_not_vary(spark):
+    """Each filer holds each name in each quarter, so the change of holders is 0 everywhere: NaN for it, numbers for the others."""
+    days = [dt.date(2020, 3 * k, 28) for k in range(1, 5)]
+    quarters = spark.createDataFrame([(d, q) for q, d in enumerate(days)], "period_end date, q long")
+    at = [(q, i, (7 * q + 3 * i * i) % 5 + 1.0) for q in range(4) for i in range(4)]
+    moves = spark.createDataFrame([(q, f"n{i}", x, 2.0, 10 * x, 20.0 + i) for q, i, x in at], "q long, instrument string, shares double, shares_before double, value double, value_before double")
+    market = spark.createDataFrame([(days[q], f"n{i}", 10 + (q + i) % 3 + x, 1e3, 0.1, 1e6) for q, i, x in at], "period_end date, instrument string, price double, adv double, vol double, cap double")
+    got = {r.factor: r for r in Domain(spark, {"quarters": quarters, "moves": moves, "market": market}).run("factor_table").collect()}
+    assert math.isnan(got["holders"]["mean"]) and math.isnan(got["holders"]["t"]) and got["holders"]["n"] == 3
+    assert all(math.isfinite(got[k]["mean"]) and math.isfinite(got[k]["t"]) for k in ("flow", "ownership"))
+
+
+def test_correlation_and_quotient_are_those_of_the_sql(spark):
+    pairs = {"varies": [(1, 2), (2, 1), (3, 7)], "constant": [(1, 2), (1, 5)], "one": [(1, 2)], "nulls": [(None, 2)], "holes": [(1, 2), (None, 9), (2, 3), (4, None), (5, 1)]}
+    rows = ", ".join(f"('{g}', CAST({'NULL' if x is None else x} AS DOUBLE), CAST({'NULL' if y is None else y} AS DOUBLE))" for g, xs in pairs.items() for x, y in xs)
+    sums = "(VALUES (1e0, 0e0), (-1e0, 0e0), (0e0, 0e0), (3e0, 2e0), (NULL, 0e0), (1e0, NULL)) v(a, b)"
+    found = []
+    for d, run in ((Spark(), lambda q: [tuple(r) for r in spark.sql(q).collect()]), (DuckDB(), lambda q: duckdb.sql(q).fetchall())):
+        c = run(f"SELECT g, round({d.corr('x', 'y')}, 9) AS c FROM (VALUES {rows}) v(g, x, y) GROUP BY g")
+        found.append(sorted(str(r) for r in c + run(f"SELECT a, b, {d.over('a', 'b')} AS c FROM {sums}")))
+    assert found[0] == found[1]
