@@ -343,8 +343,11 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read twice over, each once in the stream's output."""
-    source = _events(spark, sf_dir)
-    return _to_memory(streams.deduplicated(source.union(_events(spark, sf_dir)), ["event_id"], "60 days"), shared_path(spark, "once"), "append").select("event_id", "user_id", "event_type")
+    path = shared_path(spark, "once")
+    source, again = (_events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts") for _ in range(2))
+    once = streams.deduplicated(source.union(again), ["event_id"], "60 days").select("event_id", "user_id", "event_type")
+    streams.drained(once, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.schema(once.schema).parquet(f"{path}/out")
 
 
 @query(

@@ -53,3 +53,10 @@ def test_correlation_and_quotient_are_those_of_the_sql(spark):
         c = run(f"SELECT g, round({d.corr('x', 'y')}, 9) AS c FROM (VALUES {rows}) v(g, x, y) GROUP BY g")
         found.append(sorted(str(r) for r in c + run(f"SELECT a, b, {d.over('a', 'b')} AS c FROM {sums}")))
     assert found[0] == found[1]
+
+
+def test_deduplicated_events_lie_in_files(spark, tmp_path):
+    """Each event once, also one of weeks later and one without a user."""
+    out = curation.stream_deduplicated(spark, _events(spark, tmp_path, [(1, 0), (1, 0), (2, 50_000), (None, 3)]))
+    assert out.inputFiles()
+    assert sorted((r.event_id, r.user_id, r.event_type) for r in out.collect()) == [(0, 1, "view"), (1, 1, "view"), (2, 2, "view"), (3, None, "view")]
