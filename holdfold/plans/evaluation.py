@@ -11,7 +11,7 @@ from ..sources import filings
 from .analytics import MONTHLY, RESIDUAL, SIGNALS, bins, legs, pct_rank
 from .dialect import DuckDB, Spark, plan
 from .holdings import flow_history
-from .operators import oracle, query, relation, shared_path
+from .operators import alike, oracle, ordered_pairs, query, relation, shared_path, spread
 
 #: Months with what was known of a name before them: last month's return, momentum, and the cap and volume of the last quarter's end.
 TRAITS = f"""{MONTHLY}, lagged AS (SELECT instrument, month, ret, lag(ret) OVER w AS before, CASE WHEN count(ret) OVER v >= 8 THEN exp(sum(ln(1 + ret)) OVER v) - 1 END AS mom,
@@ -294,12 +294,14 @@ WHERE len(list_intersect(a.t, z.t)) / len(list_distinct(a.t || z.t))::DOUBLE >=
 )
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of one brand that share half of their words, one of them at least not a generic one."""
-    words = identifiers.name_tokens(F.col("p_name"), ())
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("one"), "p_brand", words.alias("a"))
-    q = p.select(F.col("one").alias("other"), F.col("p_brand").alias("_brand"), F.col("a").alias("b"))
-    pairs = p.join(q, (F.col("p_brand") == F.col("_brand")) & (F.col("one") < F.col("other"))).withColumn("similarity", identifiers.token_similarity(F.col("a"), F.col("b")))
-    telling = F.exists(F.array_intersect("a", "b"), lambda x: ~x.isin("BIG", "SMALL", "RED", "BLUE"))
-    return pairs.where((F.col("similarity") >= 0.5) & telling).select("one", "other", F.round("similarity", 6).alias("similarity"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", identifiers.name_tokens(F.col("p_name"), ()).alias("words"))
+    other = lambda rows: rows.select(*[F.col(c).alias(c if c in ("p_brand", "word") else f"other_{c}") for c in rows.columns])
+    names = p.select("p_brand", "words").distinct().withColumn("word", F.explode("words")).where(~F.col("word").isin("BIG", "SMALL", "RED", "BLUE"))
+    names = names.join(other(names), ["p_brand", "word"]).drop("word").withColumn("similarity", identifiers.token_similarity(F.col("words"), F.col("other_words"))).where("similarity >= 0.5").distinct()
+    groups = alike(p, ["p_brand", "words"], "p_partkey")
+    pairs = groups.join(names, ["p_brand", "words"]).join(other(groups), ["p_brand", "other_words"])
+    pairs = spread(pairs.select("ids", "other_ids", "similarity").where(F.array_min("ids") < F.array_max("other_ids")))
+    return ordered_pairs(pairs, "one", "other").select("one", "other", F.round("similarity", 6).alias("similarity"))
 
 
 #: Words that say what kind of company one is (fixed values), left out when names are compared.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, identifiers
@@ -266,6 +266,28 @@ def json_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings.json_columns(documents, "doc", ["accession", "filed"])
 
 
+#: Ids in an array at most, so that two arrays give a bounded number of pairs.
+ALIKE = 128
+
+
+def alike(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Rows alike in ``by`` with their ``key`` in arrays (``ids``) of at most :data:`ALIKE`, nulls left out."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1
+    rows = rows.where(F.col(key).isNotNull()).withColumn("_chunk", F.floor(place / ALIKE))
+    return rows.groupBy(*by, "_chunk").agg(F.collect_list(key).alias("ids")).drop("_chunk")
+
+
+def ordered_pairs(pairs: DataFrame, one: str, other: str) -> DataFrame:
+    """A row for each id of the array ``ids`` and each larger one of ``other_ids``."""
+    pairs = pairs.withColumn(one, F.explode("ids")).drop("ids")
+    return pairs.withColumn(other, F.explode("other_ids")).drop("other_ids").where(F.col(one) < F.col(other))
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Few small rows that become many, over as many tasks as a shuffle has."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 @query()
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names against the other names of their brand and size: token overlap and matching blocks."""

@@ -4,8 +4,10 @@ import datetime as dt
 import math
 
 import duckdb
+from pyspark.sql import functions as F
 
-from holdfold.plans import curation
+from holdfold.functions import identifiers
+from holdfold.plans import curation, evaluation, operators
 from holdfold.plans.dialect import DuckDB, Spark
 from holdfold.plans.domain import Domain
 
@@ -60,3 +62,26 @@ def test_deduplicated_events_lie_in_files(spark, tmp_path):
     out = curation.stream_deduplicated(spark, _events(spark, tmp_path, [(1, 0), (1, 0), (2, 50_000), (None, 3)]))
     assert out.inputFiles()
     assert sorted((r.event_id, r.user_id, r.event_type) for r in out.collect()) == [(0, 1, "view"), (1, 1, "view"), (2, 2, "view"), (3, None, "view")]
+
+
+PART = "p_partkey long, p_name string, p_brand string, p_size int"
+NAMES = ("red bolt", "Bolt, RED", "big  gear", "hot gear wheel", "gear wheel", "", None, "red big")
+PARTS = [(7 * k % 1201, NAMES[k % 8], None if k % 101 == 0 else f"b{k % 3 // 2}", k % 5 // 4) for k in range(1200)] + [(5, "red bolt", "b0", 0), (5, "red bolt", "b0", 0), (None, "red bolt", "b0", 0)]
+
+
+def test_copies_of_names_are_compared_once(spark, tmp_path, monkeypatch):
+    """1,203 parts of eight names: the SQL's pairs, from a comparison for each two names of a brand."""
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def similarity(a, b):
+        compared.add(1)
+        return len({*a} & {*b}) / len({*a} | {*b}) if a or b else None
+
+    monkeypatch.setattr(identifiers, "token_similarity", similarity)
+    path = _folder(spark, tmp_path, part=(PARTS, PART))
+    got = sorted(tuple(r) for r in evaluation.similar_names(spark, path).collect())
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{path}/part.parquet/*.parquet'")
+    assert got == sorted(con.execute(operators.ORACLE_SQL["similar_names"]).fetchall()) and len(got) > 50_000
+    assert compared.value <= 1_000
