@@ -291,10 +291,16 @@ def spread(rows: DataFrame, *by: str) -> DataFrame:
 @query()
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names against the other names of their brand and size: token overlap and matching blocks."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_name", identifiers.name_tokens(F.col("p_name")).alias("tokens"))
-    q = p.select(*[F.col(c).alias(f"other_{c}") for c in p.columns])
-    pairs = p.join(q, (F.col("p_brand") == F.col("other_p_brand")) & (F.col("p_size") == F.col("other_p_size")) & (F.col("p_partkey") < F.col("other_p_partkey")))
-    return pairs.select("p_partkey", F.col("other_p_partkey").alias("other"), F.round(identifiers.token_similarity(F.col("tokens"), F.col("other_tokens")), 6).alias("jaccard"), F.round(identifiers.sequence_ratio(F.col("p_name"), F.col("other_p_name")), 6).alias("ratio"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_name")
+    q = lambda rows: rows.select("p_brand", "p_size", *[F.col(c).alias(f"other_{c}") for c in rows.columns if c not in ("p_brand", "p_size")])
+    names = p.select("p_brand", "p_size", "p_name").distinct()
+    names = names.join(q(names), ["p_brand", "p_size"]).select("p_name", "other_p_name").distinct()  # each two names are compared once
+    tokens = [identifiers.name_tokens(F.col(c)) for c in names.columns]
+    scored = names.select("*", F.round(identifiers.token_similarity(*tokens), 6).alias("jaccard"), F.round(identifiers.sequence_ratio(*names.columns), 6).alias("ratio"))
+    groups = alike(p, ["p_brand", "p_size", "p_name"], "p_partkey")
+    pairs = groups.join(q(groups), ["p_brand", "p_size"]).where(F.array_min("ids") < F.array_max("other_ids")).drop("p_brand", "p_size")
+    pairs = spread(pairs, *names.columns).join(scored, names.columns, "left")  # names that are null have no score
+    return ordered_pairs(pairs, "p_partkey", "other").select("p_partkey", "other", "jaccard", "ratio")
 
 
 @query(text.repaired_sql())

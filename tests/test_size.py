@@ -1,9 +1,11 @@
 """What large tables ask of queries: results that the driver doesn't hold, and copies that aren't compared one by one."""
 
 import datetime as dt
+import difflib
 import math
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from holdfold.functions import identifiers
@@ -85,3 +87,25 @@ def test_copies_of_names_are_compared_once(spark, tmp_path, monkeypatch):
     con.execute(f"create view part as select * from '{path}/part.parquet/*.parquet'")
     assert got == sorted(con.execute(operators.ORACLE_SQL["similar_names"]).fetchall()) and len(got) > 50_000
     assert compared.value <= 1_000
+
+
+def test_ratios_of_names_are_found_once(spark, tmp_path, monkeypatch):
+    """Every pair of a brand and size, those of null names too, from a ratio for each two names."""
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        compared.add(len(a))
+        return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    monkeypatch.setattr(identifiers, "sequence_ratio", ratio)
+    got = operators.name_similarity(spark, _folder(spark, tmp_path, part=(PARTS, PART))).collect()
+    groups: dict = {}
+    for key, name, brand, size in PARTS:
+        if key is not None and brand is not None:
+            groups.setdefault((brand, size), []).append((key, name))
+    known = {(x, y): None if x is None or y is None else round(difflib.SequenceMatcher(None, x, y).ratio(), 6) for x in NAMES for y in NAMES}
+    want = sorted(str((k, j, known[x, y])) for rows in groups.values() for k, x in rows for j, y in rows if k < j)
+    assert sorted(str((r.p_partkey, r.other, r.ratio)) for r in got) == want
+    assert {r.jaccard for r in got if r.ratio is None} == {None} and 1.0 in {r.jaccard for r in got}
+    assert compared.value <= 256
